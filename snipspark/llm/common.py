@@ -122,7 +122,7 @@ def flat(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def input_bytes(df: DataFrame) -> int:
     """The planner's estimate of the input's size."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def ranges_for(df: DataFrame, each: int = 8 << 20) -> int:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, substrings
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
+    "op3_substring_dedup": substrings.op3,
 }
 ORACLE = {
     "op1_decontaminate": decontaminate.ORACLE_OP1,
+    "op3_substring_dedup": substrings.ORACLE_OP3,
 }
