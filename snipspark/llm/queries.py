@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, substrings
+from . import decontaminate, jaccard_join, substrings
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
     "op3_substring_dedup": substrings.op3,
+    "op7_jaccard_join": jaccard_join.op7,
 }
 ORACLE = {
     "op1_decontaminate": decontaminate.ORACLE_OP1,
     "op3_substring_dedup": substrings.ORACLE_OP3,
+    "op7_jaccard_join": jaccard_join.ORACLE_OP7,
 }
