@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, substrings
+from . import decontaminate, jaccard_join, quality, substrings
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
     "op3_substring_dedup": substrings.op3,
+    "op4_quality_rules": quality.op4,
     "op7_jaccard_join": jaccard_join.op7,
 }
 ORACLE = {
     "op1_decontaminate": decontaminate.ORACLE_OP1,
     "op3_substring_dedup": substrings.ORACLE_OP3,
+    "op4_quality_rules": quality.ORACLE_OP4,
     "op7_jaccard_join": jaccard_join.ORACLE_OP7,
 }
