@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, langid, quality, substrings
+from . import decontaminate, jaccard_join, langid, quality, substrings, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
     "op2_language_id": langid.op2,
     "op3_substring_dedup": substrings.op3,
     "op4_quality_rules": quality.op4,
+    "op5_toxicity": toxicity.op5,
     "op7_jaccard_join": jaccard_join.op7,
 }
 ORACLE = {
