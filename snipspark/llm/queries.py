@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, langid, quality, substrings, toxicity
+from . import decontaminate, jaccard_join, langid, quality, sharding, substrings, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality_rules": quality.op4,
     "op5_toxicity": toxicity.op5,
     "op7_jaccard_join": jaccard_join.op7,
+    "op8_sharding": sharding.op8,
 }
 ORACLE = {
     "op1_decontaminate": decontaminate.ORACLE_OP1,
