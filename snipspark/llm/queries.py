@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, langid, quality, sharding, substrings, toxicity
+from . import decontaminate, jaccard_join, langid, quality, sharding, substrings, toxicity, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
@@ -12,10 +12,12 @@ QUERIES = {
     "op5_toxicity": toxicity.op5,
     "op7_jaccard_join": jaccard_join.op7,
     "op8_sharding": sharding.op8,
+    "op10_warc": warc.op10,
 }
 ORACLE = {
     "op1_decontaminate": decontaminate.ORACLE_OP1,
     "op3_substring_dedup": substrings.ORACLE_OP3,
     "op4_quality_rules": quality.ORACLE_OP4,
     "op7_jaccard_join": jaccard_join.ORACLE_OP7,
+    "op10_warc": warc.ORACLE_OP10,
 }
