@@ -96,8 +96,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW, one_in
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that aren't contaminated, with all their columns."""
     numbered = with_uid(docs)
-    bad = decontaminate(docs, items).where("contaminated").select("doc_id", "uid")
-    return numbered.join(bad.select("uid"), "uid", "left_anti").drop("uid")
+    bad = decontaminate(docs, items).where("contaminated").select("uid")
+    return numbered.join(sized(stored(bad)), "uid", "left_anti").drop("uid")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -93,16 +93,18 @@ def text_shares(text: bytes) -> np.ndarray:
 
 
 def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 12) -> np.ndarray:
-    """A linear SVM (L1 loss, the last weight is the bias) by dual coordinate descent."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    w, alpha, norms = np.zeros(x.shape[1]), np.zeros(len(x)), (x * x).sum(1)
+    """A linear SVM (L1 loss, the last weight is the bias) by dual coordinate descent over the rows' features that aren't 0."""
+    held = [np.flatnonzero(row) for row in x]
+    held = [(np.append(i, x.shape[1]), np.append(row[i], 1.0)) for i, row in zip(held, x)]
+    w, alpha, norms = np.zeros(x.shape[1] + 1), np.zeros(len(x)), [(v * v).sum() for _, v in held]
     order = np.random.RandomState(7)
     for _ in range(rounds):
         for i in order.permutation(len(x)):
-            g = y[i] * (x[i] @ w) - 1
+            at, v = held[i]
+            g = y[i] * (w[at] * v).sum() - 1
             a = min(max(alpha[i] - g / max(norms[i], 1e-9), 0), c)
             if a != alpha[i]:
-                w += (a - alpha[i]) * y[i] * x[i]
+                w[at] += (a - alpha[i]) * y[i] * v
                 alpha[i] = a
     return w
 

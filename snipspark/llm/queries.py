@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, langid, quality, sharding, substrings, toxicity, warc
+from . import decontaminate, jaccard_join, langid, pieces, quality, sharding, substrings, toxicity, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5,
     "op7_jaccard_join": jaccard_join.op7,
     "op8_sharding": sharding.op8,
+    "op9_sentencepiece": pieces.op9,
     "op10_warc": warc.op10,
 }
 ORACLE = {
