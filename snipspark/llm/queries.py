@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, langid, pieces, quality, sharding, substrings, toxicity, warc
+from . import chat, decontaminate, jaccard_join, langid, pieces, quality, sharding, substrings, toxicity, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_substring_dedup": substrings.op3,
     "op4_quality_rules": quality.op4,
     "op5_toxicity": toxicity.op5,
+    "op6_chat_formatting": chat.op6,
     "op7_jaccard_join": jaccard_join.op7,
     "op8_sharding": sharding.op8,
     "op9_sentencepiece": pieces.op9,
@@ -19,6 +20,7 @@ ORACLE = {
     "op1_decontaminate": decontaminate.ORACLE_OP1,
     "op3_substring_dedup": substrings.ORACLE_OP3,
     "op4_quality_rules": quality.ORACLE_OP4,
+    "op6_chat_formatting": chat.ORACLE_OP6,
     "op7_jaccard_join": jaccard_join.ORACLE_OP7,
     "op10_warc": warc.ORACLE_OP10,
 }
