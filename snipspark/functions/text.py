@@ -84,8 +84,9 @@ def blocks(text: Column) -> Column:
     return F.split(text, r"\n{2,}")
 
 
-#: What counts as an identifier in code.
-IDENTIFIERS = [r"\b(?:class|interface|type|enum|function|const|let|var)\s+([A-Za-z_$][\w$]*)", r"\b([A-Z][A-Za-z0-9_]*)\b", r"\b([a-z_$][\w$]*)\s*\("]
+#: What counts as an identifier in code. Word boundaries are those of ASCII words.
+EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+IDENTIFIERS = [EDGE + r"(?:class|interface|type|enum|function|const|let|var)\s+([A-Za-z_$][\w$]*)", EDGE + r"([A-Z][A-Za-z0-9_]*)" + EDGE, EDGE + r"([a-z_$][\w$]*)\s*\("]
 
 
 def identifiers(text: Column) -> Column:

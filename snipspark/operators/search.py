@@ -89,12 +89,14 @@ def fused(query: str, key: str, keyword: DataFrame, vector: DataFrame, overlap:
     return legs.groupBy(query, key).agg(F.sum("part").alias("score"))
 
 
-def hybrid(docs: DataFrame, queries: DataFrame, k: int = 20, key: str = "doc_id", text: str = "text", name: str | None = None, query: str = "query_id", query_text: str = "text", weights: tuple[float, float] = LOCAL, language: str | None = None, strict: bool = False) -> DataFrame:
-    """(query, key, score, rank): the fused top k. `language` restricts the keyword leg alone, with `strict` all legs."""
+def hybrid(docs: DataFrame, queries: DataFrame, k: int = 20, key: str = "doc_id", text: str = "text", name: str | None = None, query: str = "query_id", query_text: str = "text", weights: tuple[float, float] = LOCAL, language: str | None = None, strict: bool = False, digits: int = 6) -> DataFrame:
+    """(query, key, score, rank): the fused top k. `language` restricts the keyword leg alone, with `strict` all legs.
+    Cosines and scores are rounded before they are ranked, so that the order of additions decides no tie."""
     only = F.col("lang") == language if language else None
     scope = docs.where(only) if language and strict else docs
     keyword = bm25(docs, queries, key, text, query, query_text, only)
     q_vectors = hash_embeddings(queries, query, query_text)
-    vector = top_k(sparse_cosine(hash_embeddings(scope, key, text), q_vectors, key, query), query, "cosine", key, 2 * k)
+    cosines = sparse_cosine(hash_embeddings(scope, key, text), q_vectors, key, query).withColumn("cosine", F.round("cosine", digits))
+    vector = top_k(cosines, query, "cosine", key, 2 * k)
     overlap = name_overlap(scope, queries, key, name, query, query_text) if name else None
-    return top_k(fused(query, key, keyword, vector, overlap, weights), query, "score", key, k)
+    return top_k(fused(query, key, keyword, vector, overlap, weights).withColumn("score", F.round("score", digits)), query, "score", key, k)
