@@ -95,9 +95,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW, one_in
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that aren't contaminated, with all their columns."""
-    numbered = with_uid(docs)
+    numbered = with_uid(docs.select(F.struct(*docs.columns).alias("row")))
     bad = decontaminate(docs, items).where("contaminated").select("uid")
-    return numbered.join(sized(stored(bad)), "uid", "left_anti").drop("uid")
+    return numbered.join(sized(stored(bad)), "uid", "left_anti").select("row.*")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -9,14 +9,18 @@ probing visits. Which shingles are frequent comes from counts over all documents
 
 1. Counts: each task counts its distinct shingles, key ranges add up; the most frequent (at most MOST) are broadcast.
 2. Postings of the short lists: lists of one class end here; the others are rows (shingle, class, n).
-3. Merging: each list links its members to its first class (its leader). Pairs are probed exactly on whole texts.
-4. Lists whose members already form one component need nothing else. In the others, members of different components
-   are probed too, unless the triangle inequality of the Jaccard distance, through the leader, rules the pair out.
+3. Merging: each list has a leader, the class with the largest share of frequent shingles, as the source of a group of
+   near-copies has; each class is probed exactly, on whole texts, against the best leader of its lists. Lists whose
+   members then form one component need nothing more.
+4. In the lists that are left, all members of different components have to be compared. Those of up to FEW members give
+   pairs, unless the triangle inequality of the Jaccard distance, through a leader that both were probed against, rules
+   the pair out. Larger ones are joined to families; the members outside a family's main component meet all its members
+   in blocks, which count shared shingles for whole blocks at once and return links only, not pairs.
 5. Components by repeated star contraction in the shared folder; each document gets the least doc_id of its component.
 
 Every pair that reaches the threshold is either probed or lies within a component already found, so components are
-exact (up to collisions of 64-bit hashes). Near-copies by the thousand cost about one probe for each list leader, not
-one for each pair.
+exact (up to collisions of 64-bit hashes). Near-copies by the thousand cost one probe each; only those of them that aren't
+near their source are compared with all others, block by block.
 
 Cases: null and empty texts have no shingles (n_shingles 0), are linked with nothing and keep their own doc_id; a text
 of fewer than 5 words has one shingle, the whole sequence. Repeated rows each get a row. A null doc_id is never a
@@ -34,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import U64, WordHashes, flat, hashed_words, joined, mixed, pieces, planes, ranges_for, stored, text_bytes, window_hashes
+from .decontaminate import sized
 from .substrings import by_part, rows, runs
 
 SIZE = 5
@@ -51,8 +56,10 @@ FILTER_BITS = 1 << 25
 STAR = 256
 
 COUNTS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("key", T.BinaryType()), T.StructField("n", T.BinaryType())])
-POSTS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("key", T.BinaryType()), T.StructField("cls", T.BinaryType()), T.StructField("size", T.BinaryType())])
-LISTS = "shingle long, cls long, size int"
+POSTS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("key", T.BinaryType()), T.StructField("cls", T.BinaryType()), T.StructField("size", T.BinaryType()), T.StructField("core", T.BinaryType())])
+LISTS = "shingle long, cls long, size int, core int"
+#: Members of a list that give pairs, and of a block.
+FEW, BLOCK = 64, 512
 
 
 def class_of(words: list[bytes]) -> int:
@@ -61,21 +68,30 @@ def class_of(words: list[bytes]) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def shingled(words: list[list[bytes]], memo: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the distinct shingles of each text, sorted, end to end, and where each text's begin."""
+def windows(words: list[list[bytes]], memo: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of each text end to end, as they come, and where each text's begin."""
     h, at = hashed_words(words, memo)
     n = np.diff(at)
-    w = window_hashes(h, SIZE)
-    doc = np.repeat(np.arange(len(words)), np.maximum(n - SIZE + 1, 0))
-    w = w[flat(at[:-1], np.maximum(n - SIZE + 1, 0))] if len(w) else w
-    for d in np.flatnonzero((n > 0) & (n < SIZE)):
-        w, doc = np.append(w, window_hashes(h[at[d] : at[d + 1]], int(n[d]))), np.append(doc, d)
-    order = np.lexsort((w, doc))
-    w, doc = w[order], doc[order]
+    whole = np.maximum(n - SIZE + 1, 0)
+    w = window_hashes(h, SIZE)[flat(at[:-1], whole)] if whole.any() else np.zeros(0, np.uint64)
+    short = np.flatnonzero((n > 0) & (n < SIZE))
+    if not len(short):
+        return w, np.append(0, np.cumsum(whole))
+    parts = np.split(w, np.cumsum(whole)[:-1])
+    for d in short:
+        parts[d] = window_hashes(h[at[d] : at[d + 1]], int(n[d]))
+    return np.concatenate(parts), np.append(0, np.cumsum([len(x) for x in parts]))
+
+
+def shingled(words: list[list[bytes]], memo: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct shingles of each text, sorted, end to end, and where each text's begin."""
+    w, at = windows(words, memo)
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        w[a:b].sort()
+    doc = np.repeat(np.arange(len(words)), np.diff(at))
     new = np.ones(len(w), bool)
     new[1:] = (w[1:] != w[:-1]) | (doc[1:] != doc[:-1])
-    w, doc = w[new], doc[new]
-    return w, np.searchsorted(doc, np.arange(len(words) + 1))
+    return w[new], np.append(0, np.cumsum(np.bincount(doc[new], minlength=len(words))))
 
 
 def normalised(texts: list) -> list[list[bytes]]:
@@ -83,7 +99,7 @@ def normalised(texts: list) -> list[list[bytes]]:
 
 
 def count_stage(parts: int):
-    """Texts to counts of their classes' shingles, by key range."""
+    """Texts to counts of their classes' shingles, by key range (a shingle counts as often as it stands in a text)."""
     bits = parts.bit_length() - 1
 
     def flush(found):
@@ -103,7 +119,7 @@ def count_stage(parts: int):
                     if words and (c := class_of(words)) not in seen:
                         seen.add(c)
                         fresh.append(words)
-                w, _ = shingled(fresh, memo)
+                w, _ = windows(fresh, memo)
                 found.append(w >> U64(64 - COUNT_BITS))
                 count += len(w)
                 if count >= FLUSH or len(seen) >= CLASSES:
@@ -150,15 +166,15 @@ def posting_stage(parts: int, known):
     """Texts to the postings of their short lists, by key range; a class once for each task's gathering."""
     bits = parts.bit_length() - 1
 
-    def flush(keys, classes, sizes):
-        key, cls, size = np.concatenate(keys), np.concatenate(classes), np.concatenate(sizes)
+    def flush(found):
+        key, cls, size, core = (np.concatenate(x) for x in zip(*found))
         order = np.argsort(key, kind="stable")
-        key, cls, size = key[order], cls[order], size[order]
-        return rows(POSTS, [(p, planes(key[s]), planes(cls[s]), planes(size[s])) for p, s in by_part((key >> U64(64 - bits)).astype(np.int64))])
+        key, cls, size, core = key[order], cls[order], size[order], core[order]
+        return rows(POSTS, [(p, planes(key[s]), planes(cls[s]), planes(size[s]), core[s].tobytes()) for p, s in by_part((key >> U64(64 - bits)).astype(np.int64))])
 
     def stage(batches):
         often, times = known.value
-        memo, seen, keys, classes, sizes, count = WordHashes(), set(), [], [], [], 0
+        memo, seen, found, count = WordHashes(), set(), [], 0
         for b in batches:
             texts = text_bytes(b.column("text"))
             for lo, hi in pieces(texts):
@@ -176,20 +192,21 @@ def posting_stage(parts: int, known):
                     i = np.minimum(np.searchsorted(often, low), len(often) - 1)
                     rank = np.where(often[i] == low, times[i], 0)
                 doc = np.repeat(np.arange(len(n)), n)
-                if rank.any():
-                    order = np.lexsort((w, rank, doc))
-                    w = w[order]
+                # the share of frequent shingles, in 255ths
+                core = (255 * np.bincount(doc, rank > 0, len(n)) // np.maximum(n, 1)).astype(np.uint8)
+                for d in np.flatnonzero(np.bincount(doc, rank > 0, len(n))):
+                    a, b = at[d], at[d + 1]
+                    w[a:b] = w[a:b][np.argsort(rank[a:b], kind="stable")]
                 place = np.arange(len(w)) - np.repeat(at[:-1], n)
                 short = place < np.repeat(n - least_shared(n) + 1, n)
-                keys.append(w[short])
-                classes.append(np.array(names, np.int64)[doc[short]] if names else np.empty(0, np.int64))
-                sizes.append(np.repeat(n, n)[short].astype(np.uint32))
-                count += int(short.sum())
+                own = doc[short]
+                found.append((w[short], np.array(names, np.int64)[own], n[own].astype(np.uint32), core[own]))
+                count += len(own)
                 if count >= FLUSH or len(seen) >= CLASSES:
-                    yield from flush(keys, classes, sizes).to_batches()
-                    seen, keys, classes, sizes, count = set(), [], [], [], 0
+                    yield from flush(found).to_batches()
+                    seen, found, count = set(), [], 0
         if count:
-            yield from flush(keys, classes, sizes).to_batches()
+            yield from flush(found).to_batches()
 
     return stage
 
@@ -197,17 +214,17 @@ def posting_stage(parts: int, known):
 def list_stage(table):
     """The postings of one key range to the lists of two classes and more."""
     key, cls, size = joined(table.column("key").to_pylist(), np.uint64), joined(table.column("cls").to_pylist(), np.int64), joined(table.column("size").to_pylist(), np.uint32)
+    core = np.frombuffer(b"".join(table.column("core").to_pylist()), np.uint8)
     order = np.argsort(key, kind="stable")
     starts, n = runs(key[order])
     order = order[np.repeat(n > 1, n)]
-    key, cls, size = key[order], cls[order], size[order]
-    order = np.lexsort((cls, key))
-    key, cls, size = key[order], cls[order], size[order]
+    order = order[np.lexsort((cls[order], key[order]))]
+    key, cls, size, core = key[order], cls[order], size[order], core[order]
     starts, _ = runs(key, cls)
-    key, cls, size = key[starts], cls[starts], size[starts]
-    _, n = runs(key) if len(key) else (0, np.empty(0, np.int64))
+    key, cls, size, core = key[starts], cls[starts], size[starts], core[starts]
+    _, n = runs(key)
     many = np.repeat(n > 1, n)
-    return pa.table({"shingle": pa.array(key[many].view(np.int64)), "cls": pa.array(cls[many]), "size": pa.array(size[many].astype(np.int32))})
+    return pa.table({"shingle": pa.array(key[many].view(np.int64)), "cls": pa.array(cls[many]), "size": pa.array(size[many].astype(np.int32)), "core": pa.array(core[many].astype(np.int32))})
 
 
 def filter_bits(cls: np.ndarray) -> np.ndarray:
@@ -260,17 +277,25 @@ def class_stage(chosen):
 def probe_stage(table):
     """The pairs of a block, each with the whole words of both, to their numbers of shared and of all shingles."""
     a, b, words = table.column("a").to_numpy(), table.column("b").to_numpy(), table.column("words").to_pylist()
-    memo, out = WordHashes(), []
-    leaders = {}
-    order = np.lexsort((a != b, a))
-    for i in order:
+    memo, known, out = WordHashes(), {}, []
+
+    def shingles(i):
+        if b[i] not in known:
+            h, _ = hashed_words([words[i].split()], memo)
+            w = window_hashes(h, min(SIZE, len(h)))
+            w.sort()
+            new = np.ones(len(w), bool)
+            new[1:] = w[1:] != w[:-1]
+            known[b[i]] = w[new]
+        return known[b[i]]
+
+    for i in np.lexsort((a != b, a)):
         if a[i] == b[i]:
-            leaders = {a[i]: shingled([words[i].split()], memo)[0]}
+            x = shingles(i)
             continue
-        x, y = leaders[a[i]], shingled([words[i].split()], memo)[0]
-        both = np.concatenate([x, y])
-        both.sort()
-        same = int((both[1:] == both[:-1]).sum())
+        y = shingles(i)
+        at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+        same = int((x[at] == y).sum())
         out.append((a[i], b[i], same, len(x) + len(y) - same))
     a, b, same, union = zip(*out) if out else ((), (), (), ())
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "same": pa.array(same, pa.int64()), "united": pa.array(union, pa.int64())})
@@ -290,16 +315,15 @@ def probed(pairs: DataFrame, texts: DataFrame, blocks: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(cls, root) for every class in links (a, b): the least class it is connected with, by alternating large and small stars."""
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_least, "u")
-        after = stored(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        same = (edges.count(), edges.agg(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()[0]) == (after.count(), after.agg(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()[0])
-        edges = after
-        if same:
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        edges = stored(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        last, state = state, edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == last:
             break
     named = edges.select(F.col("u").alias("cls"), F.col("v").alias("root"))
     return named.unionByName(named.select(F.col("root").alias("cls"), "root").distinct())
@@ -309,6 +333,65 @@ def is_link():
     return DEN * F.col("same") >= NUM * F.col("united")
 
 
+def block_stage(table):
+    """Two blocks of a family, each class with its component and whole words, to links between components: for a class of the first block one for each component of the second."""
+    side, cls, root, words = (table.column(c).to_pylist() for c in ("side", "cls", "root", "words"))
+    memo, out = WordHashes(), []
+    w, at = shingled([x.split() for x in words], memo)
+    size = np.diff(at)
+    cls, root, first = np.array(cls, np.int64), np.array(root, np.int64), np.array(side) == 0
+    i, j = np.flatnonzero(first), np.flatnonzero(~first)
+    owner = np.repeat(np.arange(len(size)), size)
+    # only shingles that both blocks hold can be shared
+    names, back = np.unique(w, return_inverse=True)
+    both = (np.bincount(back, first[owner], len(names)) > 0) & (np.bincount(back, ~first[owner], len(names)) > 0)
+    place = np.cumsum(both) - 1
+    keep = both[back]
+    owner, back = owner[keep], place[back[keep]]
+    row = np.zeros(len(size), np.int64)
+    row[i], row[j] = np.arange(len(i)), np.arange(len(j))
+    shared = np.zeros((len(i), len(j)), np.float32)
+    for lo in range(0, int(both.sum()), 8192):
+        here = (back >= lo) & (back < lo + 8192)
+        a, b = np.zeros((len(i), 8192), np.float32), np.zeros((len(j), 8192), np.float32)
+        for m, mine in ((a, first), (b, ~first)):
+            own = here & mine[owner]
+            m[row[owner[own]], back[own] - lo] = 1
+        shared += a @ b.T
+    hit = (DEN * shared >= NUM * (size[i][:, None] + size[j][None] - shared)) & (root[i][:, None] != root[j][None])
+    p, q = np.nonzero(hit)
+    if len(p):
+        _, one = np.unique(np.stack([p, root[j][q]]), axis=1, return_index=True)
+        out = [(cls[i[p[k]]], cls[j[q[k]]]) for k in one]
+    a, b = zip(*out) if out else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def in_blocks(lists: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links between members of different components within the families of large lists. All members of a list are one family."""
+    family = components(lists.select(F.col("cls").alias("a"), F.col("lead_cls").alias("b"))).withColumnRenamed("root", "family")
+    held = stored(lists.groupBy("cls").agg(F.first("root").alias("root")).join(family, "cls"))
+    roots = held.groupBy("family", "root").agg(F.count("*").alias("n"))
+    main = roots.groupBy("family").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("in_main"))
+    main = main.select("family", "main", F.ceil(F.col("all") / BLOCK).alias("columns"), F.greatest(F.ceil((F.col("all") - F.col("in_main")) / BLOCK), F.lit(1)).alias("rows"))
+    spread = held.join(main, "family")
+    block = lambda n: F.pmod(F.xxhash64("cls"), F.col(n))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    strangers = spread.where("root <> main").select("family", "cls", "root", F.lit(0).alias("side"), block("rows").alias("i"), upto("columns").alias("j"))
+    everyone = spread.select("family", "cls", "root", F.lit(1).alias("side"), upto("rows").alias("i"), block("columns").alias("j"))
+    cells = strangers.unionByName(everyone).join(texts, "cls")
+    return stored(cells.groupBy("family", "i", "j").applyInArrow(block_stage, "a long, b long"))
+
+
+def first_pivots(probes: DataFrame) -> DataFrame:
+    """(cls, pivot, far): for each probed class a leader it was compared with, the one of most probes, and the Jaccard distance; a leader is at 0 from itself."""
+    sides = probes.select(F.col("a").alias("pivot"), F.col("b").alias("cls"), (1 - F.col("same") / F.col("united")).alias("far"))
+    sides = sides.unionByName(probes.select(F.col("b").alias("pivot"), F.col("a").alias("cls"), (1 - F.col("same") / F.col("united")).alias("far")))
+    often = sides.groupBy("pivot").agg(F.count("*").alias("n"))
+    sides = sides.join(often, "pivot").unionByName(often.select("pivot", F.col("pivot").alias("cls"), F.lit(0.0).alias("far"), "n"))
+    return sides.groupBy("cls").agg(F.max_by(F.struct("pivot", "far"), F.struct("n", "pivot")).alias("p")).select("cls", "p.pivot", "p.far")
+
+
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """For each row: uid, doc_id, cls (its class; null without words), n_shingles, component_id."""
     spark = docs.sparkSession
@@ -320,27 +403,32 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     classes = stored(numbered.mapInArrow(class_stage(chosen), "uid long, doc_id long, cls long, n_shingles long, words binary"))
     texts = classes.where("words is not null").groupBy("cls").agg(F.first("words").alias("words"))
 
-    leaders = lists.groupBy("shingle").agg(F.min("cls").alias("a"))
+    best = F.struct("core", -F.col("cls"))
+    leaders = lists.groupBy("shingle").agg(F.max_by(F.struct("core", F.col("cls").alias("a")), best).alias("lead"))
     led = lists.join(leaders, "shingle")
-    first = stored(led.where("cls <> a").select("a", F.col("cls").alias("b")).distinct())
-    probes = probed(first, texts, parts)
+    # a leader's own best leader is itself: it is probed by the others only
+    pairs = led.groupBy("cls").agg(F.max_by("lead.a", F.struct("lead.core", -F.col("lead.a"))).alias("a")).where("a <> cls")
+    pairs = pairs.select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
+    probes = probed(stored(pairs), texts, parts)
     links = probes.where(is_link()).select("a", "b")
     found = stored(components(links))
 
-    # the lists that hold several components: members outside their leader's component against all others
-    root = lambda c: F.coalesce(f"root_{c}", c)
-    tagged = led.join(found.select("cls", F.col("root").alias("root_cls")), "cls", "left").join(found.select(F.col("cls").alias("a"), F.col("root").alias("root_a")), "a", "left").join(probes.select("a", F.col("b").alias("cls"), (1 - F.col("same") / F.col("united")).alias("far")), ["a", "cls"], "left")
-    members = tagged.select("shingle", "cls", "size", root("cls").alias("root"), root("a").alias("lead"), F.coalesce("far", F.lit(0.0)).alias("far"), (F.col("cls") == F.col("a")).alias("leads"))
-    strangers = members.where("root <> lead").select("shingle").distinct()
-    members = stored(members.join(strangers, "shingle", "left_semi"))
-    x, y = members.where("root <> lead").alias("x"), members.where("not leads").alias("y")
+    # what is left: lists of several components
+    tagged = lists.join(found, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    several = tagged.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("members"), F.max_by(F.struct("cls", "root"), best).alias("lead")).where("least <> most")
+    open_ = stored(tagged.join(several.select("shingle", "members", F.col("lead.cls").alias("lead_cls"), F.col("lead.root").alias("lead")), "shingle").drop("core"))
+    members = stored(open_.where(F.col("members") <= FEW).join(first_pivots(probes), "cls", "left"))
+    x, y = members.where("root <> lead").alias("x"), members.alias("y")
     near = 1 - NUM / DEN + 1e-9
     apart = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.lead")) | (F.col("x.cls") < F.col("y.cls")))
-    could = (F.abs(F.col("x.far") - F.col("y.far")) <= near) & (DEN * F.least("x.size", "y.size") >= NUM * F.greatest("x.size", "y.size"))
+    could = F.coalesce((F.col("x.pivot") != F.col("y.pivot")) | (F.abs(F.col("x.far") - F.col("y.far")) <= near), F.lit(True)) & (DEN * F.least("x.size", "y.size") >= NUM * F.greatest("x.size", "y.size"))
     rest = x.join(y, apart & could).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
     rest = stored(rest.join(probes.select("a", "b"), ["a", "b"], "left_anti"))
-    more = probed(rest, texts, parts).where(is_link()).select("a", "b")
-    final = components(links.unionByName(more))
+    links = links.unionByName(probed(rest, texts, parts).where(is_link()).select("a", "b"))
+    large = open_.where(F.col("members") > FEW)
+    if large.limit(1).count():
+        links = links.unionByName(in_blocks(large, texts))
+    final = components(links)
 
     own = classes.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
     named = own.join(final, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
@@ -351,10 +439,10 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """Of each component the document of the least doc_id (of several rows of that id, one); rows without words all stay."""
-    numbered = docs.withColumn("uid", F.monotonically_increasing_id())
-    groups = jaccard_join(docs)
-    stay = groups.where("cls is null or component_id is null").select("uid").unionByName(groups.where("cls is not null and doc_id = component_id").groupBy("component_id").agg(F.min("uid").alias("uid")).select("uid"))
-    return numbered.join(stay, "uid", "left_semi").drop("uid")
+    numbered = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("uid"))
+    groups = stored(jaccard_join(docs).where("cls is not null and component_id is not null").select("uid", "doc_id", "component_id"))
+    stay = groups.where("doc_id = component_id").groupBy("component_id").agg(F.min("uid").alias("uid"))
+    return numbered.join(sized(groups.join(stay, "uid", "left_anti").select("uid")), "uid", "left_anti").select("row.*")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
