@@ -62,10 +62,10 @@ def features(docs: DataFrame) -> DataFrame:
     # each window covers three words, or fewer if the next one begins before its end
     covered = F.aggregate(F.transform("p", lambda x, j: F.least(F.lit(3).cast("long"), F.coalesce(F.get("p", j + 1) - x, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda a, x: a + x)
     size = F.size("ws").cast("long")
-    counted = places.select(
+    counted = places.select(F.inline(F.array(F.struct(  # a generator: filters on the verdict stay above it and don't repeat all this
         "doc_id", size.alias("n_words"), "word_chars", "n_symbols", (F.size("ls") - F.size(F.array_distinct("ls"))).cast("long").alias("n_dup_lines"), covered.alias("n_repeat_words"),
         F.size("ls").cast("long").alias("n_lines"), F.size(F.array_intersect(F.transform(F.slice("ws", 1, F.size("ws")), F.lower), stop)).cast("long").alias("stop_words"),
-    )
+    ))))
     ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
     return counted.select("*", ratio("n_repeat_words", "n_words").alias("repeat_ratio"), ratio("word_chars", "n_words").alias("mean_word_chars"), ratio("n_symbols", "word_chars").alias("symbol_ratio"), ratio("n_dup_lines", "n_lines").alias("dup_line_ratio"))
 
