@@ -83,23 +83,20 @@ def word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return place[order], np.bincount(own, minlength=len(words))
 
 
-def text_shares(text: bytes) -> np.ndarray:
-    """A text's features: shares of its grams."""
+def text_shares(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A text's features that aren't 0: places and shares of its grams, with the bias at the end."""
     words = text.translate(TABLE).split()
-    if not words:
-        return np.zeros(DIMS, np.float32)
-    place, _ = word_grams(words)
-    return (np.bincount(place, minlength=DIMS) / max(len(place), 1) * SCALE).astype(np.float32)
+    place = word_grams(words)[0] if words else np.zeros(0, np.int64)
+    at, n = np.unique(place, return_counts=True)
+    return np.append(at, DIMS), np.append(n / max(len(place), 1) * SCALE, 1.0)
 
 
-def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 12) -> np.ndarray:
-    """A linear SVM (L1 loss, the last weight is the bias) by dual coordinate descent over the rows' features that aren't 0."""
-    held = [np.flatnonzero(row) for row in x]
-    held = [(np.append(i, x.shape[1]), np.append(row[i], 1.0)) for i, row in zip(held, x)]
-    w, alpha, norms = np.zeros(x.shape[1] + 1), np.zeros(len(x)), [(v * v).sum() for _, v in held]
+def svm(held: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, c: float = 10.0, rounds: int = 12) -> np.ndarray:
+    """A linear SVM (L1 loss, the last weight is the bias) by dual coordinate descent over sparse rows."""
+    w, alpha, norms = np.zeros(DIMS + 1), np.zeros(len(held)), [(v * v).sum() for _, v in held]
     order = np.random.RandomState(7)
     for _ in range(rounds):
-        for i in order.permutation(len(x)):
+        for i in order.permutation(len(held)):
             at, v = held[i]
             g = y[i] * (w[at] * v).sum() - 1
             a = min(max(alpha[i] - g / max(norms[i], 1e-9), 0), c)
@@ -115,7 +112,7 @@ class Model:
     def __init__(self, texts: list[bytes], langs: list[str]):
         self.langs = sorted(set(langs))
         self.families = sorted({family(lang) for lang in self.langs})
-        x, lang = np.stack([text_shares(t) for t in texts]) if texts else np.zeros((0, DIMS), np.float32), np.array(langs)
+        x, lang = [text_shares(t) for t in texts], np.array(langs)
         fam = np.array([family(lang) for lang in langs])
         columns = []
         if len(self.families) > 1:
@@ -123,7 +120,7 @@ class Model:
         self.pairs = [(a, b) for a, b in combinations(self.langs, 2) if family(a) == family(b)]
         for a, b in self.pairs:
             rows = (lang == a) | (lang == b)
-            columns.append(svm(x[rows], np.where(lang[rows] == a, 1, -1)))
+            columns.append(svm([x[k] for k in np.flatnonzero(rows)], np.where(lang[rows] == a, 1, -1)))
         w = np.stack(columns, 1) if columns else np.zeros((DIMS + 1, 0))
         self.weights, self.bias = w[:-1].astype(np.float32), w[-1]
 
