@@ -223,6 +223,17 @@ def test_toxicity(spark, nothing):
     assert toxicity.toxicity(nothing, model).count() == 0
 
 
+def test_toxicity_keeps_rare_expressions_of_large_classes(spark):
+    rng = random.Random(5)
+    plain = ["".join(rng.choice("abcdefghilmnorst") for _ in range(rng.randrange(3, 10))) for _ in range(5000)]
+    rare = ["".join(rng.choice("abcdefghilmnorst") for _ in range(8)) for _ in range(400)]
+    text = lambda i: " ".join(rng.choices(plain, k=5000) + rng.sample(rare[i % 2 :: 2], 3))
+    d = spark.createDataFrame([(i, text(i)) for i in range(400)], "doc_id long, text string").repartition(4)
+    model = toxicity.fit(d, spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int"))
+    asked = spark.createDataFrame([(i, text(i)) for i in range(40)], "doc_id long, text string")
+    assert sum((r["score"] >= 0.5) == (r["doc_id"] % 2) for r in toxicity.toxicity(asked, model).collect()) >= 38
+
+
 def test_chat(spark):
     call = lambda *calls: json.dumps({"tool_calls": [{"id": i, "name": n, "arguments": a, **({"depends_on": d} if d else {})} for i, n, a, d in calls]})
     rows = [
