@@ -234,6 +234,18 @@ def test_toxicity_keeps_rare_expressions_of_large_classes(spark):
     assert sum((r["score"] >= 0.5) == (r["doc_id"] % 2) for r in toxicity.toxicity(asked, model).collect()) >= 38
 
 
+def test_toxicity_knows_whole_words(spark):
+    rng = random.Random(6)
+    make = lambda n: "".join(rng.choice("abcdefghilmnorst") for _ in range(n))
+    plain, parts = [make(rng.randrange(3, 10)) for _ in range(300)], [[make(k) for k in (4, 4, 8, 4, 4)] for _ in range(10)]
+    words = [[a + m + d for a, b, m, c, d in parts] + [b + m + c for a, b, m, c, d in parts], [a + m + c for a, b, m, c, d in parts] + [b + m + d for a, b, m, c, d in parts]]
+    text = lambda i: " ".join(rng.choices(plain, k=40) + rng.sample(words[i % 2], 2))
+    d = spark.createDataFrame([(i, text(i)) for i in range(400)], "doc_id long, text string").repartition(4)
+    model = toxicity.fit(d, spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int"))
+    asked = spark.createDataFrame([(i, text(i)) for i in range(60)], "doc_id long, text string")
+    assert sum((r["score"] >= 0.5) == (r["doc_id"] % 2) for r in toxicity.toxicity(asked, model).collect()) >= 57
+
+
 def test_chat(spark):
     call = lambda *calls: json.dumps({"tool_calls": [{"id": i, "name": n, "arguments": a, **({"depends_on": d} if d else {})} for i, n, a, d in calls]})
     rows = [
