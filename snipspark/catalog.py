@@ -49,6 +49,10 @@ POSTINGS = f"p AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest({ter
 BM25 = f"{POSTINGS}, m AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * dl / greatest(a, 1)))) AS bm25 FROM q JOIN p USING (term) JOIN f USING (term) JOIN l USING (doc_id), n GROUP BY query_id, doc_id)"
 
 
+def words(spark, sf_dir, *keep):
+    return search.tokens(read(spark, sf_dir, "documents"), "doc_id", "text", *keep)
+
+
 def asked(spark, sf_dir):
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
@@ -56,35 +60,34 @@ def asked(spark, sf_dir):
 # terms and BM25
 @query(f"SELECT doc_id, term FROM (SELECT DISTINCT doc_id, unnest({terms_sql('text')}) AS term FROM documents)")
 def tokenize_terms(spark, sf_dir):
-    return search.postings(read(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "term")
+    return search.postings(words(spark, sf_dir), "doc_id")
 
 
 @query(f"WITH {POSTINGS} SELECT n AS docs, round(a, 6) AS avg_terms, (SELECT max(dl) FROM l) AS max_terms FROM n")
 def token_stats(spark, sf_dir):
-    n = F.size(T.search_terms(F.col("text")))
-    return read(spark, sf_dir, "documents").agg(F.count("*").alias("docs"), F.round(F.avg(n), 6).alias("avg_terms"), F.max(n).cast("long").alias("max_terms"))
+    return words(spark, sf_dir).agg(F.count("*").alias("docs"), F.round(F.avg("dl"), 6).alias("avg_terms"), F.max("dl").cast("long").alias("max_terms"))
 
 
 @query(f"WITH {POSTINGS} SELECT term, df FROM f")
 def doc_frequency(spark, sf_dir):
-    return search.postings(read(spark, sf_dir, "documents"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"))
+    return search.postings(words(spark, sf_dir), "doc_id").groupBy("term").agg(F.count("*").alias("df"))
 
 
 @query(f"WITH {BM25} SELECT query_id, doc_id, r AS rank, s AS bm25 FROM (SELECT query_id, doc_id, round(bm25, 6) AS s, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, doc_id) AS r FROM m) WHERE r <= 10")
 def bm25_topk(spark, sf_dir):
-    scored = search.bm25(read(spark, sf_dir, "documents"), asked(spark, sf_dir)).withColumn("bm25", F.round("bm25", 6))
+    scored = search.bm25(search.held(words(spark, sf_dir)), asked(spark, sf_dir)).withColumn("bm25", F.round("bm25", 6))
     return search.top_k(scored, "query_id", "bm25", "doc_id", 10)
 
 
 @query(f"WITH {BM25} SELECT query_id, doc_id, r AS rank, s AS bm25 FROM (SELECT query_id, doc_id, round(bm25, 6) AS s, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, doc_id) AS r FROM m JOIN documents USING (doc_id) WHERE lang = 'fr') WHERE r <= 10")
 def bm25_lang_filtered(spark, sf_dir):
-    scored = search.bm25(read(spark, sf_dir, "documents"), asked(spark, sf_dir), where=F.col("lang") == "fr").withColumn("bm25", F.round("bm25", 6))
+    scored = search.bm25(search.held(words(spark, sf_dir, "lang")), asked(spark, sf_dir), where=F.col("lang") == "fr").withColumn("bm25", F.round("bm25", 6))
     return search.top_k(scored, "query_id", "bm25", "doc_id", 10)
 
 
 @query(f"WITH {BM25} SELECT query_id, round(greatest(max(bm25), 1), 6) AS best FROM m GROUP BY query_id")
 def max_normalised_keyword(spark, sf_dir):
-    return search.bm25(read(spark, sf_dir, "documents"), asked(spark, sf_dir)).groupBy("query_id").agg(F.round(F.greatest(F.max("bm25"), F.lit(1.0)), 6).alias("best"))
+    return search.bm25(search.held(words(spark, sf_dir)), asked(spark, sf_dir)).groupBy("query_id").agg(F.round(F.greatest(F.max("bm25"), F.lit(1.0)), 6).alias("best"))
 
 
 # vectors
@@ -92,21 +95,26 @@ COSINE = "list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DO
 
 
 def vector_queries(v):
-    return v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("wanted"), F.col("label").alias("query_label"))
+    return v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 @query(f"SELECT query_id, vec_id, s AS cosine, r AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, round({COSINE}, 6) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COSINE}, 6) DESC, v.vec_id) AS r FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0) WHERE r <= 10")
 def vector_topk(spark, sf_dir):
     v = read(spark, sf_dir, "embeddings")
-    scored = search.cosine_scores(v, vector_queries(v), "vec_id", "embedding", "query_id", "wanted").select("query_id", "vec_id", rounded("cosine"))
-    return search.top_k(scored, "query_id", "cosine", "vec_id", 10)
+    return search.nearest(v, vector_queries(v), "vec_id", "query_id", 10, "embedding")
 
 
 @query(f"SELECT query_id, vec_id, s AS cosine, r AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, round({COSINE}, 6) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COSINE}, 6) DESC, v.vec_id) AS r FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0 AND v.label = 3) WHERE r <= 5")
 def vector_topk_filtered(spark, sf_dir):
     v = read(spark, sf_dir, "embeddings")
-    scored = search.cosine_scores(v.where("label = 3"), vector_queries(v), "vec_id", "embedding", "query_id", "wanted").select("query_id", "vec_id", rounded("cosine"))
-    return search.top_k(scored, "query_id", "cosine", "vec_id", 5)
+    return search.nearest(v.where("label = 3"), vector_queries(v), "vec_id", "query_id", 5, "embedding")
+
+
+@query(f"SELECT query_id, vec_id, s AS cosine, r AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, round({COSINE}, 6) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COSINE}, 6) DESC, v.vec_id) AS r FROM embeddings v JOIN embeddings q USING (label) WHERE q.vec_id % 100 = 0) WHERE r <= 5")
+def vector_topk_within(spark, sf_dir):
+    v = read(spark, sf_dir, "embeddings")
+    queries = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label", "embedding")
+    return search.nearest_within(v, queries, "vec_id", "query_id", "label", 5, "embedding")
 
 
 @query("SELECT label, count(*) AS n, round(avg(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))), 6) AS mean_norm FROM embeddings GROUP BY label")
@@ -177,12 +185,12 @@ def symbol_page(spark, sf_dir):
     return tables.find_symbols(parts_as_symbols(spark, sf_dir), limit=20, offset=40).select("id", "name")
 
 
-REFS = "r AS (SELECT l_orderkey * 10 + l_linenumber AS ref_id, any_value(p_name) AS name, any_value(p2.b) AS file_path FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS k, min(l_suppkey) AS s FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY ALL) JOIN part ON p_partkey = k JOIN (SELECT p_partkey AS pk, p_brand AS b FROM part) p2 ON p2.pk = s GROUP BY ALL)"
+REFS = "r AS (SELECT l_orderkey * 10 + l_linenumber AS ref_id, any_value(p_name) AS name, any_value(p2.b) AS file_path FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS k, min(l_suppkey) AS s FROM lineitem GROUP BY ALL) JOIN part ON p_partkey = k JOIN (SELECT p_partkey AS pk, p_brand AS b FROM part) p2 ON p2.pk = s GROUP BY ALL)"
 
 
 def part_refs(spark, sf_dir):
     lines, parts = read(spark, sf_dir, "lineitem", "part")
-    one = lines.where("l_orderkey % 50 = 0").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("k"), F.min("l_suppkey").alias("s"))
+    one = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("k"), F.min("l_suppkey").alias("s"))
     named = one.join(parts.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name")), "k").join(parts.select(F.col("p_partkey").alias("s"), F.col("p_brand").alias("file_path")), "s")
     return named.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ref_id"), "name", "file_path")
 
@@ -220,13 +228,13 @@ def popularity(spark, sf_dir):
     return graph.popularity(links(spark, sf_dir).select(F.col("page_id").alias("from_id"), F.col("href").alias("to_id"))).withColumn("popularity", F.round("popularity", 6))
 
 
-EDGES = "e AS (SELECT 'n' || n_nationkey AS from_id, 'r' || n_regionkey AS to_id, 'contains' AS kind FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'imports' FROM supplier UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'references' FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey, 'calls' FROM lineitem WHERE l_orderkey % 20 = 0)"
+EDGES = "e AS (SELECT 'n' || n_nationkey AS from_id, 'r' || n_regionkey AS to_id, 'contains' AS kind FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'imports' FROM supplier UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'references' FROM customer UNION ALL SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey, 'calls' FROM lineitem)"
 
 
 def key_edges(spark, sf_dir):
     nation, supplier, customer, lines = read(spark, sf_dir, "nation", "supplier", "customer", "lineitem")
     edge = lambda df, a, ka, b, kb, kind: df.select(F.concat(F.lit(a), F.col(ka).cast("string")).alias("from_id"), F.concat(F.lit(b), F.col(kb).cast("string")).alias("to_id"), F.lit(kind).alias("kind"))
-    return edge(nation, "n", "n_nationkey", "r", "n_regionkey", "contains").unionByName(edge(supplier, "s", "s_suppkey", "n", "s_nationkey", "imports")).unionByName(edge(customer.where("c_custkey % 10 = 0"), "c", "c_custkey", "n", "c_nationkey", "references")).unionByName(edge(lines.where("l_orderkey % 20 = 0"), "s", "l_suppkey", "p", "l_partkey", "calls").distinct())
+    return edge(nation, "n", "n_nationkey", "r", "n_regionkey", "contains").unionByName(edge(supplier, "s", "s_suppkey", "n", "s_nationkey", "imports")).unionByName(edge(customer, "c", "c_custkey", "n", "c_nationkey", "references")).unionByName(edge(lines, "s", "l_suppkey", "p", "l_partkey", "calls").distinct())
 
 
 def seeds(spark):
@@ -271,39 +279,44 @@ def graph_neighbors_kinds_legacy(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {EDGES}, k AS (SELECT * FROM e WHERE kind IN ('calls', 'imports', 'references')), o AS (SELECT from_id AS a, to_id AS b FROM k UNION SELECT to_id, from_id FROM k),
- f AS (SELECT p_partkey % 3 AS query_id, 'p' || p_partkey AS seed FROM part WHERE p_partkey <= 15),
+ f AS (SELECT query_id, seed FROM (SELECT p_brand AS query_id, 'p' || p_partkey AS seed, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS r FROM part) WHERE r <= 5),
  w AS (SELECT DISTINCT seed, seed AS node_id, 0 AS d FROM f UNION SELECT w.seed, o.b, d + 1 FROM w JOIN o ON o.a = w.node_id WHERE d < 2),
  n AS (SELECT seed, node_id, row_number() OVER (PARTITION BY seed ORDER BY min(d), node_id) AS r FROM w WHERE node_id <> seed GROUP BY seed, node_id)
- SELECT DISTINCT query_id, p_partkey AS chunk_id FROM f JOIN n USING (seed) JOIN part ON 'p' || p_partkey = node_id WHERE r <= 10""")
+ SELECT DISTINCT query_id, node_id || '/1' AS chunk_id FROM f JOIN n USING (seed) WHERE r <= 10 AND node_id[1] IN ('p', 's')""")
 def graph_expand_candidates(spark, sf_dir):
-    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("chunk_id"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("symbol_id"), F.col("p_partkey").alias("ord"))
-    found = parts.where("chunk_id <= 15").select((F.col("chunk_id") % 3).alias("query_id"), F.lit(1).alias("rank"), F.lit(0.5).alias("score"), "symbol_id")
-    return graph.expand(found, key_edges(spark, sf_dir), parts, 1000)
+    named = lambda df, mark, key: df.select(F.concat(F.lit(mark), F.col(key).cast("string")).alias("symbol_id"))
+    symbols = named(read(spark, sf_dir, "part"), "p", "p_partkey").unionByName(named(read(spark, sf_dir, "supplier"), "s", "s_suppkey"))
+    # a symbol's first chunk is the one that counts
+    chunks = symbols.select("symbol_id", F.explode(F.array(F.lit(2), F.lit(1))).alias("ord")).withColumn("chunk_id", F.concat_ws("/", "symbol_id", F.col("ord").cast("string")))
+    found = search.top_k(read(spark, sf_dir, "part"), "p_brand", "p_retailprice", "p_partkey", 30).select(F.col("p_brand").alias("query_id"), "rank", F.lit(0.5).alias("score"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("symbol_id"))
+    return graph.expand(found, key_edges(spark, sf_dir), chunks, 1000)
 
 
 # ranking
-CANDIDATES = f"""c AS (SELECT e.query_id, d.doc_id, d.source AS file_path, d.n_chars % 300 AS start_line, 'src' || e.query_id % 20 AS current_file, (e.query_id * 7) % 300 AS cursor_line, ['src1', 'src' || e.query_id % 5] AS open_files, ['src2'] AS recent_edits, '+++ b/src3' || chr(10) || '+++ b/src4' AS git_diff, (d.doc_id % 11) / 10.0 AS semantic, CASE WHEN d.doc_id % 4 < 3 THEN d.doc_id % 4 END AS distance, CASE WHEN d.doc_id % 5 > 0 THEN d.doc_id % 5 END AS in_degree, CASE WHEN d.doc_id % 6 > 0 THEN {AS_OF} - (d.doc_id % 6) * 3600000 END AS indexed_at_ms
- FROM (SELECT item_id AS query_id FROM benchmark WHERE item_id < 10) e JOIN documents d ON d.doc_id % 10 = e.query_id),
- f AS (SELECT *, semantic AS f_semantic, coalesce(1 / (1 + distance), 0) AS f_dependency, CASE WHEN list_contains(open_files, file_path) THEN 1.0 ELSE 0 END AS f_open_files, CASE WHEN file_path IN ('src3', 'src4') THEN 1.0 ELSE 0 END AS f_git_diff, CASE WHEN list_contains(recent_edits, file_path) THEN 1.0 ELSE 0 END AS f_recent_edits, CASE WHEN current_file = file_path THEN 1 / (1 + abs(cursor_line - start_line)) ELSE 0 END AS f_cursor, CASE WHEN indexed_at_ms IS NOT NULL THEN exp(-({AS_OF} - indexed_at_ms) / 86400000.0) ELSE 0 END AS f_recency, coalesce(ln(1 + in_degree), 0) AS f_popularity FROM c)"""
+CANDIDATES = f"""{BM25}, b AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, doc_id) AS found FROM m),
+ c AS (SELECT b.query_id, d.doc_id, d.source AS file_path, d.n_chars % 300 AS start_line, 'src' || b.query_id % 20 AS current_file, (b.query_id * 7) % 300 AS cursor_line, ['src1', 'src' || b.query_id % 5] AS open_files, ['src2'] AS recent_edits, '+++ b/src3' || chr(10) || '+++ b/src4' AS git_diff, 1 / (1 + found) AS semantic, CASE WHEN d.doc_id % 4 < 3 THEN d.doc_id % 4 END AS distance, CASE WHEN d.doc_id % 5 > 0 THEN d.doc_id % 5 END AS in_degree, CASE WHEN d.doc_id % 6 > 0 THEN {AS_OF} - (d.doc_id % 6) * 3600000 END AS indexed_at_ms
+ FROM b JOIN documents d USING (doc_id) WHERE found <= 30),
+ x AS (SELECT *, semantic AS f_semantic, coalesce(1 / (1 + distance), 0) AS f_dependency, CASE WHEN list_contains(open_files, file_path) THEN 1.0 ELSE 0 END AS f_open_files, CASE WHEN file_path IN ('src3', 'src4') THEN 1.0 ELSE 0 END AS f_git_diff, CASE WHEN list_contains(recent_edits, file_path) THEN 1.0 ELSE 0 END AS f_recent_edits, CASE WHEN current_file = file_path THEN 1 / (1 + abs(cursor_line - start_line)) ELSE 0 END AS f_cursor, CASE WHEN indexed_at_ms IS NOT NULL THEN exp(-({AS_OF} - indexed_at_ms) / 86400000.0) ELSE 0 END AS f_recency, coalesce(ln(1 + in_degree), 0) AS f_popularity FROM c)"""
 
 
 def candidates(spark, sf_dir):
-    docs, items = read(spark, sf_dir, "documents", "benchmark")
-    q = items.where("item_id < 10").select(F.col("item_id").alias("query_id"))
-    d = docs.withColumn("query_id", F.col("doc_id") % 10).join(F.broadcast(q), "query_id")
+    """The 30 documents that the keyword search finds for each item, with the facts of a request made up from their numbers."""
+    found = search.bm25(search.held(words(spark, sf_dir)), asked(spark, sf_dir)).withColumn("bm25", F.round("bm25", 6))
+    found = search.top_k(found, "query_id", "bm25", "doc_id", 30).select("query_id", "doc_id", (1 / (1 + F.col("rank"))).alias("semantic"))
+    d = found.join(read(spark, sf_dir, "documents").drop("text"), "doc_id")
     return d.select(
         "query_id", "doc_id", F.col("source").alias("file_path"), (F.col("n_chars") % 300).alias("start_line"), F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")).alias("current_file"), ((F.col("query_id") * 7) % 300).alias("cursor_line"),
-        F.array(F.lit("src1"), F.concat(F.lit("src"), (F.col("query_id") % 5).cast("string"))).alias("open_files"), F.array(F.lit("src2")).alias("recent_edits"), F.lit("+++ b/src3\n+++ b/src4").alias("git_diff"), ((F.col("doc_id") % 11) / 10.0).alias("semantic"),
+        F.array(F.lit("src1"), F.concat(F.lit("src"), (F.col("query_id") % 5).cast("string"))).alias("open_files"), F.array(F.lit("src2")).alias("recent_edits"), F.lit("+++ b/src3\n+++ b/src4").alias("git_diff"), "semantic",
         F.when(F.col("doc_id") % 4 < 3, F.col("doc_id") % 4).alias("distance"), F.when(F.col("doc_id") % 5 > 0, F.col("doc_id") % 5).alias("in_degree"), F.when(F.col("doc_id") % 6 > 0, AS_OF - (F.col("doc_id") % 6) * 3600000).alias("indexed_at_ms"),
     )
 
 
-@query(f"WITH {CANDIDATES} SELECT query_id, doc_id, {', '.join(f'round(CAST(f_{n} AS DOUBLE), 6) AS f_{n}' for n in ranking.WEIGHTS)} FROM f")
+@query(f"WITH {CANDIDATES} SELECT query_id, doc_id, {', '.join(f'round(CAST(f_{n} AS DOUBLE), 6) AS f_{n}' for n in ranking.WEIGHTS)} FROM x")
 def rank_factors(spark, sf_dir):
     return ranking.factors(candidates(spark, sf_dir), AS_OF).select("query_id", "doc_id", *(F.round(F.col(f"f_{n}").cast("double"), 6).alias(f"f_{n}") for n in ranking.WEIGHTS))
 
 
-@query(f"WITH {CANDIDATES}, s AS (SELECT query_id, doc_id, CAST({' + '.join(f'f_{n} * {w}' for n, w in ranking.WEIGHTS.items())} AS DOUBLE) AS score FROM f) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) WHERE rank <= 20")
+@query(f"WITH {CANDIDATES}, s AS (SELECT query_id, doc_id, CAST({' + '.join(f'f_{n} * {w}' for n, w in ranking.WEIGHTS.items())} AS DOUBLE) AS score FROM x) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) WHERE rank <= 20")
 def rank_topk(spark, sf_dir):
     x = ranking.rank(candidates(spark, sf_dir), "query_id", "doc_id", AS_OF).withColumn("score", F.round("score", 9)).drop("rank")
     return search.top_k(x, "query_id", "score", "doc_id", 20).select("query_id", "doc_id", rounded("score"), "rank")
@@ -345,14 +358,45 @@ def dedupe_lines(spark, sf_dir):
     return compress.line_rows(read(spark, sf_dir, "documents"), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
 
 
-@query()
+def trimmed_sql(x: str) -> str:
+    return f"trim({x}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+def deduped_sql(text: str) -> str:
+    trims = f"list_transform(string_split({text}, chr(10)), lambda y: {trimmed_sql('y')})"
+    return f"array_to_string(list_filter(string_split({text}, chr(10)), lambda x, i: {trimmed_sql('x')} = '' OR list_position({trims}, {trimmed_sql('x')}) = i), chr(10))"
+
+
+def merged_sql(text: str) -> str:
+    blocks = f"list_transform(regexp_split_to_array({text}, '\\n{{2,}}'), lambda b: {{'done': '', 'cur': b}})"
+    flushed = "a.done || CASE WHEN a.cur = '' THEN '' WHEN a.done = '' THEN a.cur ELSE chr(10) || chr(10) || a.cur END"
+    fold = f"list_reduce({blocks}, lambda a, x: CASE WHEN length(a.cur) + length(x.cur) < 500 THEN {{'done': a.done, 'cur': CASE WHEN a.cur = '' THEN x.cur ELSE a.cur || chr(10) || x.cur END}} ELSE {{'done': {flushed}, 'cur': x.cur}} END, {{'done': '', 'cur': ''}})"
+    return f"list_transform([{fold}], lambda a: {flushed})[1]"
+
+
+def skeleton_sql(text: str, most: int | None = None) -> str:
+    bare = trimmed_sql("x")
+    keep = f"regexp_matches({bare}, '^(//|/\\*\\*|\\*|import |export |(class|function|interface|type|enum|const|let|var|async)\\s)')"
+    count = lambda c: f"(length({bare}) - length(replace({bare}, '{c}', '')))"
+    lines = f"list_transform(string_split({text}, chr(10)), lambda x: {{'line': x, 'keep': {keep}, 'opens': contains(x, '{{'), 'depth': {count('{')} - {count('}')}, 'inside': false}})"
+    deeper = "a.depth + v.depth"
+    kept = f"{{'line': a.line || chr(10) || v.line || CASE WHEN v.opens AND {deeper} > 0 THEN chr(10) || '{compress.OMITTED}' ELSE '' END, 'keep': false, 'opens': false, 'depth': CASE WHEN v.opens THEN {deeper} ELSE a.depth END, 'inside': a.inside OR v.opens}}"
+    within = f"{{'line': CASE WHEN {deeper} <= 0 THEN a.line || chr(10) || v.line ELSE a.line END, 'keep': false, 'opens': false, 'depth': {deeper}, 'inside': {deeper} > 0}}"
+    out = f"substr(list_reduce({lines}, lambda a, v: CASE WHEN v.keep THEN {kept} WHEN a.inside AND a.depth > 0 THEN {within} ELSE a END, {{'line': '', 'keep': false, 'opens': false, 'depth': 0, 'inside': false}}).line, 2)"
+    return f"list_transform([{out}], lambda o: CASE WHEN length(o) > {most} THEN substr(o, 1, {most}) || chr(10) || '{compress.TRUNCATED}' ELSE o END)[1]" if most else out
+
+
+NAMES = r"list_filter(list_concat(list_concat(regexp_extract_all({0}, '\b(?:class|interface|type|enum|function|const|let|var)\s+([A-Za-z_$][\w$]*)', 1), regexp_extract_all({0}, '\b([A-Z][A-Za-z0-9_]*)\b', 1)), regexp_extract_all({0}, '\b([a-z_$][\w$]*)\s*\(', 1)), lambda n: length(n) > 1)"
+
+
+@query(f"SELECT doc_id, sha256({merged_sql('text')}) AS merged_sha256 FROM documents")
 def merge_blocks(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(compress.stage_column("merge")(F.col("text")), 256).alias("merged_sha256"))
+    return search.spread(read(spark, sf_dir, "documents")).select("doc_id", F.sha2(compress.merge(F.col("text")), 256).alias("merged_sha256"))
 
 
-@query()
+@query(f"SELECT doc_id, sha256({skeleton_sql('text')}) AS skeleton_sha256 FROM documents")
 def skeleton(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.length(compress.stage_column("skeleton")(F.col("text"))).alias("chars"))
+    return search.spread(read(spark, sf_dir, "documents")).select("doc_id", F.sha2(compress.skeleton(F.col("text")), 256).alias("skeleton_sha256"))
 
 
 @query("WITH s AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[.!?\\n]+'), lambda x: trim(x) <> '') AS s FROM conversations), o AS (SELECT conv_id, turn, array_to_string(s[greatest(len(s) - 4, 1):], '. ') AS o FROM s) SELECT conv_id, turn, CASE WHEN ends_with(o, '.') THEN o ELSE o || '.' END AS summary FROM o")
@@ -360,15 +404,27 @@ def last_sentences(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", compress.last_sentences(F.col("text")).alias("summary"))
 
 
-@query(r"SELECT DISTINCT doc_id, name FROM (SELECT doc_id, unnest(list_concat(list_concat(regexp_extract_all(text, '\b(?:class|interface|type|enum|function|const|let|var)\s+([A-Za-z_$][\w$]*)', 1), regexp_extract_all(text, '\b([A-Z][A-Za-z0-9_]*)\b', 1)), regexp_extract_all(text, '\b([a-z_$][\w$]*)\s*\(', 1))) AS name FROM documents WHERE lang = 'en') WHERE length(name) > 1")
+@query(r"SELECT DISTINCT doc_id, name FROM (SELECT doc_id, unnest(list_concat(list_concat(regexp_extract_all(text, '\b(?:class|interface|type|enum|function|const|let|var)\s+([A-Za-z_$][\w$]*)', 1), regexp_extract_all(text, '\b([A-Z][A-Za-z0-9_]*)\b', 1)), regexp_extract_all(text, '\b([a-z_$][\w$]*)\s*\(', 1))) AS name FROM documents) WHERE length(name) > 1")
 def identifiers(spark, sf_dir):
-    return read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.explode(T.identifiers(F.col("text"))).alias("name"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.explode(T.identifiers(F.col("text"))).alias("name"))
+
+
+COMPRESSED = f"""WITH a AS (SELECT doc_id, text, {deduped_sql('text')} AS s1 FROM documents),
+ b AS (SELECT *, CASE WHEN ceil(length(s1) / 4) > 200 THEN {merged_sql('s1')} END AS s2 FROM a),
+ c AS (SELECT *, CASE WHEN ceil(length(s2) / 4) > 200 THEN {skeleton_sql('s2', 800)} END AS s3 FROM b),
+ d AS (SELECT *, CASE WHEN ceil(length(s3) / 4) > 200 THEN list_filter(regexp_split_to_array(s3, '[.!?\\n]+'), lambda x: trim(x) <> '') END AS parts FROM c),
+ e AS (SELECT *, array_to_string(parts[greatest(len(parts) - 9, 1):], '. ') AS o FROM d),
+ f AS (SELECT *, CASE WHEN ends_with(o, '.') THEN o ELSE o || '.' END AS s4 FROM e),
+ g AS (SELECT *, coalesce(s4, s3, s2, s1) AS now, {NAMES.format('text')} AS found FROM f),
+ h AS (SELECT doc_id, text, 1 + (s2 IS NOT NULL)::INT + (s3 IS NOT NULL)::INT + (s4 IS NOT NULL)::INT AS stages, list_reduce(list_filter(found, lambda n, i: list_position(found, n) = i), lambda t, n: CASE WHEN contains(t, n) THEN t ELSE t || chr(10) || '{compress.PRESERVED}' || n END, now) AS compressed FROM g),
+ i AS (SELECT *, CAST(ceil(length(text) / 4) AS BIGINT) AS original_tokens, CAST(ceil(length(compressed) / 4) AS BIGINT) AS compressed_tokens FROM h)
+ SELECT doc_id, original_tokens, compressed_tokens, greatest(original_tokens - compressed_tokens, 0) AS saved_tokens, stages, sha256(compressed) AS compressed_sha256 FROM i"""
 
 
-@query()
+@query(COMPRESSED)
 def compress_pipeline(spark, sf_dir):
     c = compress.compress(read(spark, sf_dir, "documents").select("doc_id", "text"), target=200)
-    return c.select("doc_id", "result.original_tokens", "result.compressed_tokens", "result.saved_tokens", F.size("result.stages").alias("stages"))
+    return c.select("doc_id", "result.original_tokens", "result.compressed_tokens", "result.saved_tokens", F.size("result.stages").alias("stages"), F.sha2("result.compressed", 256).alias("compressed_sha256"))
 
 
 # memory, expiry, metrics

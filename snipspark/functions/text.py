@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,23 +18,23 @@ LANGUAGES = {
 }
 
 
-def split_identifiers(text: Column) -> Column:
-    """Each run of word, dot, slash and dash characters in lower case, its camel-case parts and its path parts, in order."""
-    runs = F.filter(F.split(text, "[^a-zA-Z0-9_./-]+"), lambda x: x != "")
-    camel = lambda x: F.split(F.regexp_replace(F.regexp_replace(x, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2"), " ")
-    parts = lambda x: F.filter(F.split(x, "[./_-]+"), lambda p: F.length(p) > 1)
-    return F.flatten(F.transform(runs, lambda x: F.concat(F.array(F.lower(x)), F.transform(F.filter(camel(x), lambda p: p != ""), F.lower), F.transform(parts(x), F.lower))))
+#: What separates runs of identifier characters, where camel case is cut, and what separates path parts.
+RUN_GAP = "[^a-zA-Z0-9_./-]+"
+CAMEL_EDGE = "(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
+PART_GAP = "[./_-]+"
+#: Runs without a match are one word: they need no cutting.
+COMPOUND = "[a-z0-9][A-Z]|[A-Z][A-Z][a-z]|[./_-]"
 
 
 def search_terms(text: Column) -> Column:
-    """Distinct identifiers and parts of two characters and more, in order of first occurrence."""
-    return F.array_distinct(F.filter(split_identifiers(F.coalesce(text, F.lit(""))), lambda x: F.length(x) >= 2))
-
+    """Distinct identifiers and parts of two characters and more, in order of first occurrence: each run of word, dot,
+    slash and dash characters in lower case, its camel-case parts and its path parts. Equal runs are cut once."""
+    runs = F.array_distinct(F.split(F.coalesce(text, F.lit("")), RUN_GAP))
+    lower = lambda parts: F.transform(parts, F.lower)
+    cut = lambda x: F.concat(F.array(F.lower(x)), lower(F.split(x, CAMEL_EDGE)), lower(F.split(x, PART_GAP)))
+    terms = F.flatten(F.transform(runs, lambda x: F.when(x.rlike(COMPOUND), cut(x)).otherwise(F.array(F.lower(x)))))
+    return F.array_distinct(F.filter(terms, lambda x: F.length(x) >= 2))
 
-def bigrams(terms: Column) -> Column:
-    """Adjacent pairs."""
-    n = F.size(terms)
-    return F.when(n > 1, F.zip_with(F.slice(terms, 1, n - 1), F.slice(terms, F.lit(2), n - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
 
 
 def normal_path(path: Column) -> Column:
@@ -52,6 +50,7 @@ def language_of(path: Column) -> Column:
     return F.coalesce(F.create_map(*pairs)[extension(path)], F.lit("unknown"))
 
 
+#: Fixed values below: what makes a path one of tests or of documentation.
 def is_test(path: Column) -> Column:
     p = F.lower(normal_path(path))
     return p.contains("/test/") | p.contains("/tests/") | p.contains("/__tests__/") | p.rlike(r"\.(test|spec)\.[a-z]+$")
@@ -67,7 +66,7 @@ def snippet_kind(path: Column) -> Column:
 
 
 def diff_files(diff: Column) -> Column:
-    """Paths on the added side of a unified diff."""
+    """Paths on the added side of a unified diff (the mark of that side is a fixed value)."""
     return F.array_distinct(F.transform(F.regexp_extract_all(diff, F.lit(r"(?m)^\+\+\+ b/(.+)$"), F.lit(1)), normal_path))
 
 
@@ -80,13 +79,13 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(text, r"[.!?\n]+"), lambda s: F.trim(s) != "")
 
 
-def blocks(text: Column) -> Column:
-    return F.split(text, r"\n{2,}")
-
-
-#: What counts as an identifier in code. Word boundaries are those of ASCII words.
-EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
-IDENTIFIERS = [EDGE + r"(?:class|interface|type|enum|function|const|let|var)\s+([A-Za-z_$][\w$]*)", EDGE + r"([A-Z][A-Za-z0-9_]*)" + EDGE, EDGE + r"([a-z_$][\w$]*)\s*\("]
+#: What counts as an identifier in code: declared names, capitalised names, called names. Words are ASCII
+#: words, so their edges are spelt out (a dollar sign is no part of a word: only after one is there an edge before it).
+IDENTIFIERS = [
+    r"(?<![A-Za-z0-9_])(?:class|interface|type|enum|function|const|let|var)\s+([A-Za-z_$][\w$]*)",
+    r"(?<![A-Za-z0-9_])([A-Z][A-Za-z0-9_]*)",
+    r"(?:(?<![A-Za-z0-9_])(?=[a-z_])|(?<=[A-Za-z0-9_])(?=\$))([a-z_$][\w$]*)\s*\(",
+]
 
 
 def identifiers(text: Column) -> Column:
@@ -99,25 +98,6 @@ def fingerprint(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def key_of(*parts: Column) -> Column:
-    """A cache key: parts joined by colons."""
-    return F.concat_ws(":", *parts)
-
-
-def request_hash(*columns) -> Column:
-    """A fingerprint of a request's fields as JSON."""
-    return F.sha2(F.to_json(F.struct(*columns)), 256)
-
-
 def joined_parts(*parts: Column) -> Column:
     """Non-empty parts joined by blanks."""
     return F.concat_ws(" ", *(F.nullif(p, F.lit("")) for p in parts))
-
-
-def braces(line: Column) -> Column:
-    """How much deeper a line leaves the nesting."""
-    return F.regexp_count(line, F.lit(r"\{")) - F.regexp_count(line, F.lit(r"\}"))
-
-
-def any_of(conditions) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))

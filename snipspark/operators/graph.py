@@ -39,8 +39,15 @@ def resolve_imports(imports: DataFrame, files: DataFrame, symbols: DataFrame, by
     if not by_name:
         return hit
     left = imports.join(hit.select("id"), "id", "left_anti").select("id", "file_path", F.element_at(F.split("source", "/"), -1).alias("last"))
-    # a stated set of unresolved names against all symbols: a nested-loop join by substring, as the legacy rule wants
-    named = left.join(F.broadcast(symbols.select("name", F.col("file_path").alias("target_path"), F.col("id").alias("sid"))), F.expr("contains(lower(name), lower(last))"))
+    # a substring of a name stands at the head of one of the name's tails, so equal first letters of both make this a
+    # join on keys; names shorter than that head join by what they have
+    head = 3
+    tails = symbols.select("name", F.col("file_path").alias("target_path"), F.col("id").alias("sid"), F.explode(F.sequence(F.lit(1), F.greatest(F.length("name"), F.lit(1)))).alias("at"))
+    tails = tails.withColumn("tail", F.substr(F.lower("name"), F.col("at")))
+    keyed = tails.withColumn("size", F.explode(F.array(*(F.lit(n) for n in range(1, head + 1))))).where(F.length("tail") >= F.col("size"))
+    keyed = keyed.select("name", "target_path", "sid", "tail", F.substr("tail", F.lit(1), F.col("size")).alias("head")).distinct()
+    wanted = left.where("last <> ''").withColumn("last", F.lower("last")).withColumn("head", F.substring("last", 1, head))
+    named = wanted.join(keyed, "head").where(F.expr("startswith(tail, last)"))
     return hit.unionByName(named.groupBy("id", "file_path").agg(F.min_by("target_path", F.struct("name", "sid")).alias("target_path")))
 
 
@@ -83,8 +90,8 @@ def neighbours(edges: DataFrame, seeds: DataFrame, depth: int = 1, kinds: list[s
     for step in range(1, depth + 1):
         found = frontier.join(both, F.col("node_id") == F.col("a")).select("seed", F.col("b").alias("node_id")).distinct()
         frontier = found.join(reached.select("seed", "node_id"), ["seed", "node_id"], "left_anti").withColumn("distance", F.lit(step))
-        if step > 1 and edges.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            frontier = frontier.checkpoint()
+        if step > 1:
+            frontier = frontier.persist()
         reached = reached.unionByName(frontier)
     w = Window.partitionBy("seed").orderBy("distance", "node_id")
     return reached.where("distance > 0").withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit).drop("n")

@@ -1,82 +1,177 @@
-"""Retrieval for many queries at once: binary-term BM25, vector top-k, weighted fusion. Every result is keyed by query."""
+"""Retrieval for many queries at once: binary-term BM25, vector top-k, weighted fusion. Every result is keyed by query.
+
+Texts become tokens once (`tokens`, or the engine's stored table of them); BM25, embeddings and name overlap read those."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.embedders import LOCAL
 from ..functions.text import search_terms
-from ..functions.vectors import dot, hash_embeddings, norm
+from ..functions.vectors import DIMENSIONS, cosine, hash_vectors
 
 #: Saturation and length normalisation of BM25.
 K1, B = 1.2, 0.75
-#: Weights (vector, keyword) with a hashed local embedding, and with a learned one.
-LOCAL, LEARNED = (0.25, 0.75), (0.7, 0.3)
-#: Sides of at most so many rows are broadcast.
-SMALL = 100_000
+#: Sides of at most so many rows are broadcast; so many query vectors are compared at once (some 50 MB).
+SMALL, BLOCK = 100_000, 16_384
+#: Input under so many bytes a core may be a single row group, and is dealt over all cores before it is tokenised.
+SPLIT = 32 << 20
 
 
 def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
-    """With a broadcast hint if a count of its rows, cut off at the bound, allows it; else Spark joins by shuffling."""
+    """With a broadcast hint if a count of its rows, cut off at the bound, allows it; else Spark joins by shuffling.
+    Only for sides that are cheap to count, such as those made of the queries alone."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def postings(docs: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
-    """(key, keep, term, dl): a row for each distinct term of each text; dl counts the text's terms."""
-    t = docs.select(key, *keep, search_terms(F.col(text)).alias("ts"))
-    return t.select(key, *keep, F.size("ts").alias("dl"), F.explode("ts").alias("term"))
+def spread(df: DataFrame) -> DataFrame:
+    """Dealt over all cores where the input is small for them; large inputs have splits enough and stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SPLIT else df
 
 
-def term_weights(post: DataFrame, n_docs: int, avg_len: float) -> tuple[DataFrame, Column]:
-    """Document frequencies, and the score of one matched term (columns df, dl)."""
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return df, idf * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("dl") / max(avg_len, 1.0)))
+def tokens(docs: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
+    """(key, keep, ts, dl): the distinct terms of each text, in order, and their number."""
+    t = spread(docs.select(key, *keep, F.col(text).alias("__text"))).select(key, *keep, search_terms(F.col("__text")).alias("ts"))
+    return t.withColumn("dl", F.size("ts"))
 
 
-def corpus_shape(docs: DataFrame, text: str) -> tuple[int, float]:
-    r = docs.agg(F.count("*").alias("n"), F.avg(F.size(search_terms(F.col(text)))).alias("a")).first()
-    return r["n"], r["a"] if r["n"] else 1.0
+def held(df: DataFrame) -> DataFrame:
+    """Kept for several readers; a lost executor's part is made again from its input."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", query: str = "query_id", query_text: str = "text", where: Column | None = None) -> DataFrame:
-    """(query, key, bm25) of all matches. Frequencies and lengths are those of all docs; `where` only restricts the matches."""
-    n, avg_len = corpus_shape(docs, text)
-    asked = queries.select(query, F.explode(search_terms(F.col(query_text))).alias("term"))
-    # only terms that are asked for are shuffled: their postings are found by a broadcast join
-    wanted = small(asked.select("term").distinct())
-    post = postings(docs.withColumn("allowed", where if where is not None else F.lit(True)), key, text, "allowed").join(wanted, "term")
-    df, score = term_weights(post, n, avg_len)
-    weighted = small(asked.join(df, "term"))
-    return post.where("allowed").join(weighted, "term").groupBy(query, key).agg(F.sum(score).alias("bm25"))
+def postings(tokens: DataFrame, *columns: str) -> DataFrame:
+    """(columns, term): a row for each term of each text. An outer explode, as Spark guards an inner one by a filter that makes the terms a second time."""
+    return tokens.select(*columns, F.explode_outer("ts").alias("term")).where("term is not null")
 
 
-def top_k(scored: DataFrame, query: str, score: str, key: str, k: int) -> DataFrame:
-    """The k best of each query with their rank; ties by key. Spark keeps only k rows a task and query before it shuffles."""
-    w = Window.partitionBy(query).orderBy(F.col(score).desc(), F.col(key))
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def asked_terms(queries: DataFrame, query: str, text: str, *keep: str) -> DataFrame:
+    return postings(queries.select(query, *keep, search_terms(F.col(text)).alias("ts")), query, *keep)
 
 
-def cosine_scores(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query: str, query_vector: str) -> DataFrame:
-    """(query, key, cosine) of every vector with every query of a stated set, which is broadcast when it is small. Norms are computed once a row."""
-    v = vectors.withColumn("nv", norm(F.col(vector)))
-    q = queries.select(query, F.col(query_vector).alias("qv"), norm(F.col(query_vector)).alias("nq"))
-    pairs = v.join(small(q))
-    value = F.when((F.size(vector) == F.size("qv")) & (F.col("nv") * F.col("nq") > 0), dot(F.col(vector), F.col("qv")) / (F.col("nv") * F.col("nq"))).otherwise(F.lit(0.0))
-    return pairs.withColumn("cosine", value)
+def bm25(tokens: DataFrame, queries: DataFrame, key: str = "doc_id", query: str = "query_id", query_text: str = "text", where: Column | None = None, by: str | None = None) -> DataFrame:
+    """(query, key, bm25) of all matches. Frequencies and lengths are those of all texts; `where` only restricts the
+    matches. With `by` (a column of both sides) a query sees the texts of its group alone, with that group's numbers;
+    nothing grows with the number of groups but the rows.
 
+    Only terms that are asked for are joined: their postings are found against the queries' terms, broadcast when a
+    count of those allows it, and frequencies are counted before anything is shuffled."""
+    group = [by] if by else []
+    asked = asked_terms(queries, query, query_text, *group)
+    fits = asked.limit(SMALL + 1).count() <= SMALL
+    hint = F.broadcast if fits else lambda df: df
+    shape = tokens.groupBy(*group).agg(F.count("*").alias("n"), F.avg("dl").alias("a"))
+    allowed = where if where is not None else F.lit(True)
+    post = postings(tokens.withColumn("allowed", allowed), key, "dl", "allowed", *group).join(hint(asked.select("term", *group).distinct()), ["term", *group])
+    df = post.groupBy("term", *group).agg(F.count("*").alias("df"))
+    # no more rows than asked for; the shape is one row, or one for each group asked for
+    counted = asked.join(df, ["term", *group])
+    counted = counted.join(shape, group) if by else counted.join(F.broadcast(shape))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = counted.select(query, *group, "term", (idf * (K1 + 1)).alias("idf"), F.greatest("a", F.lit(1.0)).alias("a"))
+    score = F.col("idf") / (1 + K1 * (1 - B + B * F.col("dl") / F.col("a")))
+    return post.where("allowed").join(hint(weighted), ["term", *group]).groupBy(query, key).agg(F.sum(score).alias("bm25"))
 
-def sparse_cosine(docs: DataFrame, queries: DataFrame, key: str, query: str) -> DataFrame:
-    """(query, key, cosine) from unit vectors given as (key, dim, value) rows: a join on dimensions and a sum."""
-    return docs.join(small(queries.withColumnRenamed("value", "qv")), "dim").groupBy(query, key).agg(F.sum(F.col("value") * F.col("qv")).alias("cosine"))
+
+def top_k(scored: DataFrame, query: str, score: str, key: str, k: int) -> DataFrame:
+    """The k best of each query with their rank; ties by key. Spark keeps only k rows a task and query before it shuffles."""
+    w = Window.partitionBy(query).orderBy(F.col(score).desc(), F.col(key))
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def name_overlap(names: DataFrame, queries: DataFrame, key: str, name: str, query: str, query_text: str) -> DataFrame:
-    """(query, key, overlap): the share of a query's terms that are terms of a name."""
-    asked = queries.select(query, search_terms(F.col(query_text)).alias("qt"))
-    terms = asked.select(query, F.size("qt").alias("n"), F.explode("qt").alias("term"))
-    named = names.select(key, F.explode(search_terms(F.col(name))).alias("term"))
-    return named.join(small(terms), "term").groupBy(query, key, "n").agg((F.count("*") / F.col("n")).alias("overlap")).drop("n")
+class Best:
+    """The k best keys of each query among the blocks seen; ties by key."""
+
+    def __init__(self, n_queries: int, k: int):
+        self.k, self.floor, self.held, self.count = k, np.full(n_queries, -np.inf), [], 0
+
+    def add(self, scores: np.ndarray, keys: pa.Array) -> None:
+        row, q = np.nonzero(scores >= self.floor)
+        self.held.append((q, scores[row, q], keys.take(pa.array(row))))
+        self.count += len(q)
+        if self.count > max(4 * self.k * len(self.floor), 1 << 20):
+            self.prune()
+
+    def prune(self) -> tuple:
+        if not self.held:
+            return np.zeros(0, np.int64), np.zeros(0), None
+        q, s = (np.concatenate([h[i] for h in self.held]) for i in (0, 1))
+        keys = pa.concat_arrays([h[2] for h in self.held])
+        order = np.lexsort((pc.rank(keys).to_numpy(), -s, q))
+        at = np.arange(len(order)) - np.searchsorted(q[order], q[order], "left")
+        order = order[at < self.k]
+        q, s, keys = q[order], s[order], keys.take(pa.array(order))
+        full = np.flatnonzero(np.bincount(q, minlength=len(self.floor)) >= self.k)
+        ends = np.searchsorted(q, full, "right") - 1
+        self.floor[full] = s[ends]
+        self.held, self.count = [(q, s, keys)], len(q)
+        return q, s, keys
+
+
+def matrix(column) -> np.ndarray:
+    """Rows of equal length at length 1; other rows, and those without direction, are zeros. The first row's length counts."""
+    rows = [np.asarray(r if r is not None else [], np.float64) for r in column.to_pylist()]
+    out = np.zeros((len(rows), len(rows[0]) if rows else 0))
+    for i, r in enumerate(rows):
+        size = np.sqrt((r * r).sum())
+        if len(r) == out.shape[1] and size > 0:
+            out[i] = r / size
+    return out
+
+
+def half_up(x: np.ndarray, digits: int) -> np.ndarray:
+    return np.sign(x) * np.floor(np.abs(x) * 10**digits + 0.5) / 10**digits
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, key: str, query: str, k: int, vector: str = "vector", digits: int = 6) -> DataFrame:
+    """(query, key, cosine, rank): the k nearest vectors of each query of a stated set (columns query, vector), by
+    rounded cosine, ties by key; vectors of another length are at 0.
+
+    Query vectors go to the tasks in blocks of at most BLOCK; each task multiplies matrices and keeps its k best of each
+    query, so neither pairs nor places are shuffled."""
+    kind, asked = vectors.schema[key].dataType.simpleString(), queries.schema[query].dataType.simpleString()
+    blocks = -(-queries.count() // BLOCK) or 1
+    out = None
+    for block in range(blocks):
+        rows = queries.select(query, vector).where(F.pmod(F.xxhash64(query), F.lit(blocks)) == block).orderBy(query).toArrow()
+        names, wanted = rows.column(query).combine_chunks(), matrix(rows.column(vector))
+        shared = queries.sparkSession.sparkContext.broadcast((names, wanted))
+
+        def stage(batches, shared=shared):
+            names, wanted = shared.value
+            best = Best(len(names), k)
+            for b in batches:
+                if b.num_rows and len(names):
+                    v = matrix(b.column(vector))
+                    best.add(half_up(v @ wanted.T, digits) if v.shape[1] == wanted.shape[1] else np.zeros((len(v), len(names))), b.column(key))
+            q, s, keys = best.prune()
+            if len(q):
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), keys, pa.array(s)], [query, key, "cosine"])
+
+        near = vectors.select(key, vector).mapInArrow(stage, f"{query} {asked}, {key} {kind}, cosine double")
+        out = near if out is None else out.unionByName(near)
+    return top_k(out, query, "cosine", key, k)
+
+
+def nearest_within(vectors: DataFrame, queries: DataFrame, key: str, query: str, by: str, k: int, vector: str = "vector", digits: int = 6) -> DataFrame:
+    """`nearest` among the vectors of each query's own group (column `by` of both sides, such as a file)."""
+    pairs = vectors.select(key, by, vector).join(queries.select(query, by, F.col(vector).alias("wanted")), by)
+    return top_k(pairs.select(query, key, F.round(cosine(F.col(vector), F.col("wanted")), digits).alias("cosine")), query, "cosine", key, k)
+
+
+def name_overlap(names: DataFrame, queries: DataFrame, key: str, name: str, query: str, query_text: str, by: str | None = None) -> DataFrame:
+    """(query, key, overlap): the share of a query's terms that are terms of a name; with `by` among the names of the query's group."""
+    group = [by] if by else []
+    asked = queries.select(query, *group, search_terms(F.col(query_text)).alias("ts")).withColumn("n", F.size("ts"))
+    named = postings(names.select(key, *group, search_terms(F.col(name)).alias("ts")), key, *group)
+    return named.join(small(postings(asked, query, "n", *group)), ["term", *group]).groupBy(query, key, "n").agg((F.count("*") / F.col("n")).alias("overlap")).drop("n")
 
 
 def fused(query: str, key: str, keyword: DataFrame, vector: DataFrame, overlap: DataFrame | None = None, weights: tuple[float, float] = LOCAL) -> DataFrame:
@@ -93,10 +188,10 @@ def hybrid(docs: DataFrame, queries: DataFrame, k: int = 20, key: str = "doc_id"
     """(query, key, score, rank): the fused top k. `language` restricts the keyword leg alone, with `strict` all legs.
     Cosines and scores are rounded before they are ranked, so that the order of additions decides no tie."""
     only = F.col("lang") == language if language else None
-    scope = docs.where(only) if language and strict else docs
-    keyword = bm25(docs, queries, key, text, query, query_text, only)
-    q_vectors = hash_embeddings(queries, query, query_text)
-    cosines = sparse_cosine(hash_embeddings(scope, key, text), q_vectors, key, query).withColumn("cosine", F.round("cosine", digits))
-    vector = top_k(cosines, query, "cosine", key, 2 * k)
-    overlap = name_overlap(scope, queries, key, name, query, query_text) if name else None
+    kept = held(tokens(docs, key, text, *(["lang"] if language else [])))
+    scope = kept.where(only) if language and strict else kept
+    keyword = bm25(kept, queries, key, query, query_text, only)
+    wanted = hash_vectors(queries.select(query, search_terms(F.col(query_text)).alias("ts")), query, DIMENSIONS)
+    vector = nearest(hash_vectors(scope, key, DIMENSIONS), wanted, key, query, 2 * k, digits=digits)
+    overlap = name_overlap(docs.where(only) if language and strict else docs, queries, key, name, query, query_text) if name else None
     return top_k(fused(query, key, keyword, vector, overlap, weights).withColumn("score", F.round("score", digits)), query, "score", key, k)

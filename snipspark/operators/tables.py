@@ -5,15 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Categories of the memory.
 CATEGORIES = ("project_summary", "decision", "convention", "retrieval", "conversation", "note")
 
 
-def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row for each key: the last by `order`. An aggregate, so each task keeps one row a key before the shuffle."""
-    rest = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("row")).select(*keys, "row.*")
-
-
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Old rows whose key isn't new, and the new rows."""
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
@@ -69,8 +64,8 @@ def hit_ratio(hits, misses):
 
 
 def usage(log: DataFrame) -> DataFrame:
-    """One row of counters from a request log (kind, tokens, saved, latency_ms, hit)."""
-    of = lambda kind, c: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col(c))), F.lit(0))
+    """One row of counters from a request log (kind, tokens, saved, latency_ms, hit); an entry below 0 counts as 0."""
+    of = lambda kind, c: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.greatest(F.col(c), F.lit(0)))), F.lit(0))
     hits, misses = (F.count_if((F.col("kind") == "retrieval") & (F.col("hit") == v)) for v in (True, False))
     return log.agg(
         of("retrieval", "tokens").alias("retrieved_tokens"), of("compression", "tokens").alias("compressed_tokens"), of("compression", "saved").alias("saved_tokens"), of("retrieval", "latency_ms").alias("latency_ms"),
@@ -101,6 +96,7 @@ def find_symbols(symbols: DataFrame, name: str | None = None, kind: str | None =
 
 
 def references_of(refs: DataFrame, symbol_id: str) -> DataFrame:
+    """References from a symbol or to it (refs with the column to_symbol_id)."""
     return refs.where((F.col("from_symbol_id") == symbol_id) | (F.col("to_symbol_id") == symbol_id))
 
 

@@ -6,13 +6,14 @@ the same."""
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.embedders import HashEmbedder
 from ..functions.text import estimated_tokens, joined_parts
-from ..functions.vectors import DIMENSIONS, hash_embeddings
 from ..operators import budget, compress, graph, ranking, search, tables
 from ..sources import files, parsing
 from ..sources.store import Store
@@ -38,73 +39,110 @@ def filled(name: str, value: str) -> None:
         raise InvalidRequest(f"{name} must not be empty")
 
 
+#: Errors that a run of the index returns; results of the search that the ranking starts from; characters of a task's key.
+ERRORS, FOUND, KEY = 100, 30, 100
+
+
 @dataclass
 class Engine:
+    """`embedder` makes the vectors (see functions/embedders.py), `count` a column of token counts from one of texts."""
+
     spark: SparkSession
     root: str
     rules: list[str] | None = None
     documents: bool = True
+    embedder: object = field(default_factory=HashEmbedder)
+    count: Callable[[Column], Column] = estimated_tokens
 
     def __post_init__(self):
         self.store = Store(self.spark, self.root)
 
     # index
     def index(self, source: str, force: bool = False, now_ms: int | None = None) -> dict:
-        """Indexes what changed under a folder; children, graph and vectors of changed and removed files are replaced."""
+        """Indexes what changed under a folder; children, graph and vectors of changed and removed files are replaced, in
+        one commit. Returns counts, the number of files that couldn't be parsed, and at most ERRORS of their errors."""
         now_ms = int(time.time() * 1000) if now_ms is None else now_ms
         found = files.scan(self.spark, source, self.rules, self.documents)
         old = self.store.table("files")
         fresh, gone = tables.changed(found, old, force=force).persist(), tables.removed(found, old).persist()
-        stats = tables.index_stats(found, fresh, gone, parsing.table(parsed := parsing.parse(fresh).persist(), "symbols")).first().asDict()
-        errors = [(r["path"], r["error"]) for r in parsed.where("error is not null").select("path", "error").limit(100).collect()]
+        parsed = parsing.parse(fresh).persist()
+        stats = tables.index_stats(found, fresh, gone, parsing.table(parsed, "symbols")).first().asDict()
+        bad = parsed.where("error is not null")
+        errors = [(r["path"], r["error"]) for r in bad.select("path", "error").limit(ERRORS).collect()]
         if stats["indexed"] or stats["removed"]:
-            touched, lost = fresh.select(F.col("path").alias("file_path")), gone.select(F.col("path").alias("file_path"))
-            kept = lambda name: self.store.table(name).join(touched.union(lost), "file_path", "left_anti")
+            touched = fresh.select(F.col("path").alias("file_path")).union(gone.select("path")).distinct()
+            kept = lambda name: self.store.table(name).join(touched, "file_path", "left_anti")
             new = {name: kept(name).unionByName(parsing.table(parsed, name)) for name in ("symbols", "imports", "refs", "chunks")}
-            listed = old.join(gone.select("path"), "path", "left_anti").join(fresh.select("path"), "path", "left_anti").unionByName(fresh.drop("content").withColumn("indexed_at_ms", F.lit(now_ms)))
-            vectors = self.store.table("vectors").join(new["chunks"].select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi").join(parsing.table(parsed, "chunks").select(F.col("id").alias("chunk_id")), "chunk_id", "left_anti")
-            made = hash_embeddings(parsing.table(parsed, "chunks").withColumnRenamed("id", "chunk_id"), "chunk_id", "content").withColumns({"provider": F.lit("local"), "dims": F.lit(DIMENSIONS)})
-            self.store.commit(files=listed, vectors=vectors.unionByName(made), **new)
-            f, s, i, r = (self.store.table(t) for t in ("files", "symbols", "imports", "refs"))
-            self.store.commit(nodes=graph.nodes(f, s), edges=graph.edges(f, s, i, r))
+            listed = old.join(touched.withColumnRenamed("file_path", "path"), "path", "left_anti").unionByName(fresh.drop("content").withColumn("indexed_at_ms", F.lit(now_ms)))
+            made = search.held(search.tokens(parsing.table(parsed, "chunks").withColumnRenamed("id", "chunk_id"), "chunk_id", "content", "content", "file_path", "language", "symbol_kind", "symbol_name"))
+            vectors = self.embedder.embed(made, "chunk_id", "content").join(made.select("chunk_id", "file_path"), "chunk_id").withColumn("provider", F.lit(self.embedder.name))
+            links = graph.resolve_names(new["refs"].select(F.col("id").alias("ref_id"), "file_path", F.col("to_name").alias("name")), new["symbols"])
+            self.store.commit(
+                files=listed, terms=kept("terms").unionByName(made.drop("content")), vectors=kept("vectors").unionByName(vectors), links=links,
+                nodes=graph.nodes(listed, new["symbols"]), edges=graph.edges(listed, new["symbols"], new["imports"], new["refs"]), **new,
+            )
+            made.unpersist()
+        stats |= {"failed": bad.count(), "errors": errors}
         for df in (fresh, gone, parsed):
             df.unpersist()
-        return stats | {"errors": errors}
+        return stats
 
     # search
     def search(self, queries: DataFrame, limit: int = 20, language: str | None = None, kinds: list[str] | None = None, file_path: str | None = None, strict: bool = False) -> DataFrame:
-        """(query_id, rank, score, chunk_id, symbol_id, file_path, content, start_line, end_line) for queries (query_id, text). language restricts the keyword leg only, unless strict."""
+        """(query_id, rank, score, chunk_id, symbol_id, file_path, content, ord, start_line, end_line) for queries (query_id,
+        text and, if they like, file_path: the one file to search in). language restricts the keyword leg only, unless strict."""
         positive("limit", limit)
-        chunks = self.store.table("chunks")
         if file_path:
-            chunks = chunks.where(F.col("file_path") == file_path)
-        if kinds:
-            chunks = chunks.where(F.col("symbol_kind").isin(kinds))
+            queries = queries.withColumn("file_path", F.lit(file_path))
         only = F.col("language") == language if language else None
-        scope = chunks.where(only) if language and strict else chunks
-        keyword = search.bm25(chunks, queries, "id", "content", where=only).withColumnRenamed("id", "chunk_id")
-        vectors = self.store.table("vectors").join(scope.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi").select("chunk_id", "dim", "value")
-        cosines = search.top_k(search.sparse_cosine(vectors, hash_embeddings(queries, "query_id", "text"), "chunk_id", "query_id"), "query_id", "cosine", "chunk_id", 2 * limit)
-        named = search.name_overlap(scope.where("symbol_name is not null"), queries, "id", "symbol_name", "query_id", "text").withColumnRenamed("id", "chunk_id")
-        best = search.fused("query_id", "chunk_id", keyword, cosines, named)
-        rows = chunks.select(F.col("id").alias("chunk_id"), "symbol_id", "file_path", "content", "ord", "start_line", "end_line")
-        return search.top_k(best.join(rows, "chunk_id"), "query_id", "score", "chunk_id", limit)
+        if "file_path" not in queries.columns:
+            best = self._best(queries, limit, only, kinds, strict, None)
+        else:
+            inside = self._best(queries.where("file_path is not null"), limit, only, kinds, strict, "file_path")
+            best = inside if file_path else inside.unionByName(self._best(queries.where("file_path is null").drop("file_path"), limit, only, kinds, strict, None))
+        rows = self.store.table("chunks").select(F.col("id").alias("chunk_id"), "symbol_id", "file_path", "content", "ord", "start_line", "end_line")
+        return best.join(rows, "chunk_id")
+
+    def _best(self, queries: DataFrame, limit: int, only, kinds, strict: bool, by: str | None) -> DataFrame:
+        """(query_id, chunk_id, score, rank), with `by` within each query's own file: the file is a key of the joins, so many files are one plan."""
+        terms = self.store.table("terms")
+        if kinds:
+            terms = terms.where(F.col("symbol_kind").isin(kinds))
+        scope = terms.where(only) if only is not None and strict else terms
+        keyword = search.bm25(terms, queries, "chunk_id", where=only, by=by)
+        vectors = self.store.table("vectors")
+        if kinds or (only is not None and strict):
+            vectors = vectors.join(scope.select("chunk_id"), "chunk_id", "left_semi")
+        wanted = self.embedder.embed(queries, "query_id", "text")
+        if by:
+            cosines = search.nearest_within(vectors, wanted.join(queries.select("query_id", by), "query_id"), "chunk_id", "query_id", by, 2 * limit)
+        else:
+            cosines = search.nearest(vectors, wanted, "chunk_id", "query_id", 2 * limit)
+        named = search.name_overlap(scope.where("symbol_name is not null"), queries, "chunk_id", "symbol_name", "query_id", "text", by)
+        best = search.fused("query_id", "chunk_id", keyword, cosines, named, self.embedder.weights).withColumn("score", F.round("score", 9))
+        return search.top_k(best, "query_id", "score", "chunk_id", limit)
+
+    def find(self, text: str, limit: int = 20) -> DataFrame:
+        """(kind, rank, payload) for one text: symbols whose name holds it, then what the search finds, as JSON."""
+        query = self.spark.createDataFrame([(0, text)], "query_id long, text string")
+        named = self.symbols(name=text, limit=limit)
+        named = named.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("name", "id")))
+        found = self.search(query, max(1, limit // 2)).drop("query_id")
+        pack = lambda df, kind: df.select(F.lit(kind).alias("kind"), "rank", F.to_json(F.struct(*(c for c in df.columns if c != "rank"))).alias("payload"))
+        return pack(named, "symbol").unionByName(pack(found, "chunk"))
 
     # context
     def context(self, requests: DataFrame, max_tokens: int | None = None, limit: int | None = None, as_of_ms: int | None = None, weights: dict | None = None) -> DataFrame:
-        """The snippets chosen for each request (REQUEST): rank, score, scores, tokens, run, file_path, lines, content. Without max_tokens the budget adapts to the collection and the scores."""
+        """The snippets chosen for each request (REQUEST): rank, score, scores, tokens, run, file_path, lines, content.
+        Without max_tokens the budget adapts to the collection and the scores. Token counts are the engine's counter's."""
         positive("max_tokens", max_tokens)
         positive("limit", limit)
         as_of_ms = int(time.time() * 1000) if as_of_ms is None else as_of_ms
         chunks, edges = self.store.table("chunks"), self.store.table("edges")
         total = chunks.count()
         note = tables.recall(self.store.table("memory"), "project_summary", "default", 1).select(F.col("content").alias("note"))
-        asked = requests.join(F.broadcast(note), how="left").select("*", joined_parts(F.col("task"), F.coalesce("note", F.lit(""))).alias("text")) if note.limit(1).count() else requests.withColumn("text", F.col("task"))
-        found = self.search(asked.where("current_file is null").select("query_id", "text"), 30)
-        for r in asked.where("current_file is not null").select("current_file").distinct().collect():
-            here = asked.where(F.col("current_file") == r[0]).select("query_id", "text")
-            found = found.unionByName(self.search(here, 30, file_path=r[0]))
-        found = found.persist()
+        asked = requests.join(F.broadcast(note), how="left").select("query_id", F.col("current_file").alias("file_path"), joined_parts(F.col("task"), F.coalesce("note", F.lit(""))).alias("text"))
+        found = search.held(self.search(asked, FOUND))
         more = graph.expand(found, edges, chunks.withColumnRenamed("id", "chunk_id"), total)
         first = 2 if total <= 50 else 3
         w = Window.partitionBy("file_path").orderBy("ord", "id")
@@ -116,22 +154,32 @@ class Engine:
         reached = graph.neighbours(edges, seeds.select("seed"), 3, None, 100).join(seeds, "seed").select("query_id", "node_id", "distance")
         placed = ranking.distances(rows, reached, "query_id")
         placed = placed.join(graph.in_degree(edges).withColumnRenamed("node_id", "symbol_id"), "symbol_id", "left").join(self.store.table("files").select(F.col("path").alias("file_path"), "indexed_at_ms"), "file_path", "left")
-        ranked = ranking.rank(placed, "query_id", "chunk_id", as_of_ms, weights or ranking.WEIGHTS).withColumn("tokens", estimated_tokens(F.col("content")))
+        ranked = ranking.rank(placed, "query_id", "chunk_id", as_of_ms, weights or ranking.WEIGHTS).withColumn("tokens", self.count(F.col("content")))
         chosen = budget.fill(ranked, "query_id", max_tokens) if max_tokens else budget.adaptive(ranked, "query_id", total)
         if limit:
             chosen = chosen.where(F.col("rank") <= limit)
         return chosen.select("query_id", "rank", "chunk_id", "symbol_id", "file_path", "start_line", "end_line", "content", "score", "scores", "tokens", "run")
 
+    def record(self, requests: DataFrame, chosen: DataFrame, latency_ms: int = 0, now_ms: int | None = None) -> None:
+        """Notes what `context` chose for requests, in one commit: a memory entry for each task (its first 100 characters
+        are the key, the chosen files the content) and a log entry with its tokens."""
+        now_ms = int(time.time() * 1000) if now_ms is None else now_ms
+        each = chosen.groupBy("query_id").agg(F.sum("tokens").alias("tokens"), F.array_join(F.array_sort(F.collect_set("file_path")), ", ").alias("files"))
+        done = requests.select("query_id", "task").join(each, "query_id", "left")
+        notes = done.select(F.lit("retrieval").alias("category"), F.substring("task", 1, KEY).alias("key"), F.coalesce("files", F.lit("")).alias("content"), F.lit(now_ms).alias("at"))
+        entries = done.select(F.lit("retrieval").alias("kind"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.lit(0).cast("long").alias("saved"), F.lit(latency_ms).cast("long").alias("latency_ms"), F.lit(False).alias("hit"))
+        self.store.commit(memory=tables.remember(self._past().unionByName(notes)), log=self.store.table("log").unionByName(entries))
+
     # text
     def compress(self, texts: DataFrame, target: int | None = None) -> DataFrame:
         """texts (text) with the struct `result`."""
         positive("target", target)
-        return compress.compress(texts, "text", target)
+        return compress.compress(texts, "text", target, count=self.count)
 
     def budget(self, items: DataFrame, max_tokens: int) -> DataFrame:
         """The prefix of items (query_id, rank, content) that fits."""
         positive("max_tokens", max_tokens)
-        return budget.fill(items.withColumn("tokens", estimated_tokens(F.col("content"))), "query_id", max_tokens)
+        return budget.fill(items.withColumn("tokens", self.count(F.col("content"))), "query_id", max_tokens)
 
     # lookups
     def symbols(self, **query) -> DataFrame:
@@ -141,6 +189,23 @@ class Engine:
         filled("path", path)
         return self.store.table("files").where(F.col("path") == path)
 
+    def by_id(self, table: str, id: str) -> DataFrame:
+        """The symbol, chunk, import, reference or node of an id."""
+        filled("id", id)
+        return self.store.table(table).where(F.col("id") == id)
+
+    def imports(self, file_path: str | None = None) -> DataFrame:
+        every = self.store.table("imports")
+        return every if file_path is None else every.where(F.col("file_path") == file_path)
+
+    def references(self, symbol_id: str | None = None, file_path: str | None = None) -> DataFrame:
+        """References with the symbol they name (to_symbol_id, null if unknown): all, or those from and to a symbol, or
+        those that stand in a file or come from a symbol of it."""
+        every = self.store.table("refs").join(self.store.table("links").select(F.col("ref_id").alias("id"), F.col("symbol_id").alias("to_symbol_id")), "id", "left")
+        if file_path is not None:
+            every = tables.references_of_file(every, self.store.table("symbols"), file_path)
+        return every if symbol_id is None else tables.references_of(every, symbol_id)
+
     def neighbours(self, node: str, depth: int = 1, kinds: list[str] | None = None, limit: int = 100) -> DataFrame:
         filled("node", node)
         positive("depth", depth)
@@ -158,10 +223,13 @@ class Engine:
         if category not in tables.CATEGORIES:
             raise InvalidRequest(f"unknown category {category}")
         now_ms = int(time.time() * 1000) if now_ms is None else now_ms
-        old = self.store.table("memory")
         entry = self.spark.createDataFrame([(category, key, content, now_ms)], "category string, key string, content string, at long")
-        past = old.select("category", "key", "content", F.col("created_at").alias("at")).unionByName(old.select("category", "key", "content", F.col("updated_at").alias("at")))
-        self.store.commit(memory=tables.remember(past.unionByName(entry)))
+        self.store.commit(memory=tables.remember(self._past().unionByName(entry)))
+
+    def _past(self) -> DataFrame:
+        """The memory as the writes it came from, first and last."""
+        old = self.store.table("memory")
+        return old.select("category", "key", "content", F.col("created_at").alias("at")).unionByName(old.select("category", "key", "content", F.col("updated_at").alias("at")))
 
     def recall(self, category: str | None = None, key: str | None = None, limit: int = 100) -> DataFrame:
         positive("limit", limit)
@@ -183,7 +251,13 @@ class Engine:
         return tables.usage(self.store.table("log"))
 
     def doctor(self) -> dict:
-        """Whether there are files, chunks and vectors of every chunk with terms."""
+        """Whether there are files, chunks and a graph, and a vector for every chunk with terms."""
         n = {t: self.store.table(t).count() for t in ("files", "chunks", "nodes")}
-        checks = {"storage": bool(self.store.versions()), "files": n["files"] > 0, "chunks": n["chunks"] > 0, "graph": n["nodes"] >= n["files"], "vectors": bool(self.store.table("vectors").limit(1).count())}
+        bare = self.store.table("terms").where("dl > 0").join(self.store.table("vectors"), "chunk_id", "left_anti")
+        checks = {"storage": bool(self.store.versions()), "files": n["files"] > 0, "chunks": n["chunks"] > 0, "graph": n["nodes"] >= n["files"], "vectors": n["chunks"] > 0 and not bare.limit(1).count()}
         return {"healthy": all(checks.values()), "checks": checks}
+
+
+def as_json(df: DataFrame) -> DataFrame:
+    """One column `json`: each row as a JSON object, for sinks of text."""
+    return df.select(F.to_json(F.struct(*df.columns)).alias("json"))

@@ -15,7 +15,9 @@ SCHEMAS = {
     "chunks": "id string, symbol_id string, file_path string, content string, hash string, language string, ord long, symbol_name string, symbol_kind string, signature string, parent_id string, start_line int, end_line int",
     "nodes": "id string, kind string, name string, file_path string, symbol_kind string",
     "edges": "from_id string, to_id string, kind string",
-    "vectors": "chunk_id string, dim int, value double, provider string, dims int",
+    "terms": "chunk_id string, file_path string, language string, symbol_kind string, symbol_name string, ts array<string>, dl int",
+    "vectors": "chunk_id string, file_path string, vector array<double>, provider string",
+    "links": "ref_id string, symbol_id string",
     "memory": "category string, key string, content string, created_at long, updated_at long",
     "log": "kind string, tokens long, saved long, latency_ms long, hit boolean",
 }

@@ -2,7 +2,7 @@
 
 import pytest
 
-from snipspark.plans.engine import REQUEST, Engine, InvalidRequest
+from snipspark.plans.engine import REQUEST, Engine, InvalidRequest, as_json
 
 AUTH = """import { Http } from "./http";
 
@@ -81,6 +81,32 @@ def test_search_and_context(engine, spark):
     assert set(got[0]["scores"]) >= {"semantic", "cursor"}
 
 
+def test_many_files_are_one_plan(engine, spark):
+    row = lambda i, f: (i, "renew token", f, 1, None, None, None)
+    some = lambda n: spark.createDataFrame([row(i, f) for i, f in zip(range(n), ["src/http.ts", "src/session.ts", None] * n)], REQUEST)
+    size = lambda df: str(df._jdf.queryExecution().optimizedPlan()).count("\n")
+    many = engine.context(some(60), as_of_ms=2_000)
+    assert size(many) == size(engine.context(some(3), as_of_ms=2_000))
+    got = {}
+    for r in many.collect():
+        got.setdefault(r["query_id"] % 3, {}).setdefault(r["query_id"], []).append((r["rank"], r["chunk_id"]))
+    assert all(len({tuple(sorted(x)) for x in g.values()}) == 1 and len(g) == 20 for g in got.values())
+
+
+def test_lookups_and_record(engine, spark):
+    http = next(r for r in engine.symbols(name="Http").collect())
+    assert {r["to_name"] for r in engine.references(http["id"]).collect()} >= {"Http"}
+    assert engine.references(file_path="src/session.ts").count() and engine.by_id("symbols", http["id"]).count() == 1
+    assert [r["source"] for r in engine.imports("src/session.ts").collect()] == ["./http"]
+    assert {r["kind"] for r in engine.find("token").collect()} == {"symbol", "chunk"}
+    r = spark.createDataFrame([(1, "renew token", None, None, None, None, None)], REQUEST)
+    chosen = engine.context(r, as_of_ms=2_000)
+    engine.record(r, chosen, 5, 10)
+    assert "src/session.ts" in engine.recall("retrieval", "renew token").first()["content"]
+    assert engine.metrics().first()["retrieved_tokens"] == sum(x["tokens"] for x in chosen.collect())
+    assert '"rank":1' in as_json(chosen.where("rank = 1")).first()["json"]
+
+
 def test_docs(engine, spark):
     q = spark.createDataFrame([(1, "tokens")], "query_id long, text string")
     assert [r["file_path"] for r in engine.docs(q).collect()] == ["README.md"]

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ def test_tokenizer(spark):
 def test_related_texts_are_nearer(spark):
     d = spark.createDataFrame([(1, "function renewSession(token) { return token.renew() }"), (2, "class ShoppingCart { addItem(item) {} }"), (3, "")], "id long, t string")
     q = spark.createDataFrame([(9, "renew the session token")], "q long, t string")
-    got = {r["id"]: r["cosine"] for r in search.sparse_cosine(V.hash_embeddings(d, "id", "t"), V.hash_embeddings(q, "q", "t"), "id", "q").collect()}
+    got = {r["id"]: r["cosine"] for r in search.nearest(V.hash_vectors(search.tokens(d, "id", "t"), "id"), V.hash_vectors(search.tokens(q, "q", "t"), "q"), "id", "q", 5).collect()}
     assert got[1] > got.get(2, 0) and 3 not in got
 
 
@@ -88,15 +89,88 @@ def test_import_paths(spark):
     assert got == {"1": "src/a.ts", "2": "lib/index.ts", "3": "src/b/c.js"}
 
 
-def test_compression():
+def folded(text):
+    """Block merging and skeletons by loops of their own."""
+    groups = []
+    for block in re.split("\n\n+", text):
+        if groups and len(groups[-1]) + len(block) < 500:
+            groups[-1] = f"{groups[-1]}\n{block}" if groups[-1] else block
+        else:
+            groups.append(block)
+    shown, depth, body = [], 0, False
+    for line in text.split("\n"):
+        x = line.strip()
+        if x.startswith(("//", "/**", "*", "import ", "export ")) or re.match(r"(class|function|interface|type|enum|const|let|var|async)\s", x):
+            shown.append(line)
+            if "{" in x:
+                body, depth = True, depth + x.count("{") - x.count("}")
+                shown += [compress.OMITTED] if depth > 0 else []
+        elif body and depth > 0:
+            depth += x.count("{") - x.count("}")
+            if depth <= 0:
+                body = False
+                shown.append(line)
+    return "\n\n".join(g for g in groups if g), "\n".join(shown)
+
+
+def test_compression(spark):
+    rng = random.Random(1)
+    lines = ["class A {", "function f() {", "}", "  }", "", "  const x = 1", "foo(bar)", "// c", "* d", "export x {", "if {{", "}}", "async go", "typed", "  run() {", "x. y! z?", "a" * 260, "b" * 240 + " "]
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randrange(700 if i == 7 else 25))) for i in range(60)] + ["", "\n\n", "a\n\n"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", compress.merge(F.col("t")).alias("m"), compress.skeleton(F.col("t")).alias("s"), compress.dedupe(F.col("t")).alias("d")).collect():
+        assert (r["m"], r["s"]) == folded(r["t"])
+        seen = set()
+        assert r["d"].split("\n") == [x for x in r["t"].split("\n") if not x.strip() or (x.strip() not in seen and not seen.add(x.strip()))]
+
+
+def test_compression_pipeline(spark):
     code = "class Alpha {\n  run() {\n    return 1\n  }\n}\nclass Alpha {\n  run() {\n    return 1\n  }\n}\n\n\nconst x = 1\n"
-    r = compress.compress_text(code, None, list(compress.STAGES), compress.estimate)
-    assert "Alpha" in r["compressed"] and [s["stage"] for s in r["stages"]] == list(compress.STAGES)
-    assert compress.dedupe("a\n a\n\n\nb") == "a\n\n\nb"
-    assert compress.merge("a\n\nb\n\n" + "c" * 600) == "a\nb\n\n" + "c" * 600
-    assert compress.skeleton("function f() {\n  a()\n}\nx = 1") == "function f() {\n" + compress.OMITTED + "\n}"
-    assert compress.summary("a. b. c. d. e. f. g") == " c.  d.  e.  f.  g."
-    assert compress.names("const ab = Cd(x)") == ["ab", "Cd"]
+    text = "a. b. c. d. e. f. g"
+    df = spark.createDataFrame([(1, code), (2, text), (3, None)], "id long, text string")
+    got = {r["id"]: r["result"] for r in compress.compress(df).collect()}
+    assert "Alpha" in got[1]["compressed"] and [s["stage"] for s in got[1]["stages"]] == list(compress.STAGES)
+    assert got[1]["identifiers"][0] == "Alpha" and got[3]["original_tokens"] == 0
+    assert df.where("id = 2").select(compress.last_sentences(F.col("text"))).first()[0] == " c.  d.  e.  f.  g."
+    one = compress.compress(df.where("id = 1"), target=25, count=lambda t: F.length(t).cast("long")).first()["result"]
+    assert len(one["stages"]) > 1 and one["original_tokens"] == len(code)
+
+
+def test_nearest_is_the_full_comparison(spark):
+    rng = random.Random(4)
+    v = [(i, [rng.choice([-1.0, 0.0, 1.0]) for _ in range(4)]) for i in range(300)]
+    df = spark.createDataFrame(v, "id long, vector array<double>").repartition(5)
+    cos = lambda a, b: round(sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b)), 6) if any(a) and any(b) else 0.0
+    got = {}
+    for r in search.nearest(df, df.where("id < 3").withColumnRenamed("id", "q"), "id", "q", 7).orderBy("q", "rank").collect():
+        got.setdefault(r["q"], []).append((r["id"], round(r["cosine"], 6) + 0.0))
+    assert got == {q: [(i, s) for s, i in sorted(((-cos(v[q][1], x) , i) for i, x in v))[:7] for s in [-s + 0.0]] for q in range(3)}
+
+
+def test_embedders(spark):
+    from snipspark.functions import embedders as E
+
+    df = spark.createDataFrame([(1, "alpha beta"), (2, "alpha beta"), (3, "")], "id long, text string")
+    tries = []
+
+    def client(texts):
+        return [[float(len(t)), 1.0] for t in texts]
+
+    def broken(texts):
+        tries.append(1)
+        raise OSError("no answer")
+
+    assert [r["id"] for r in E.embedder().embed(df, "id", "text").orderBy("id").collect()] == [1, 2]
+    assert E.embedder("other").name == "local" and E.embedder("digest:m").name == "digest:m"
+    a, b = (E.DigestEmbedder(m).embed(df, "id", "text").first()["vector"] for m in (None, "m"))
+    assert len(a) == 384 and a != b
+    assert E.embedder("remote", client).embed(df, "id", "text").where("id = 1").first()["vector"] == [10.0, 1.0]
+    with pytest.raises(OSError):
+        E.patient(broken, 3, 0.001)(["x"])
+    ask = E.resilient(broken, client)
+    assert len(tries) == 3 and ask(["x"]) == ask(["x"]) == [[1.0, 1.0]] and len(tries) == 4
+    known = spark.createDataFrame([("x" * 64, [0.0])], "hash string, vector array<double>")
+    assert {tuple(r["vector"]) for r in E.CachedEmbedder(E.ClientEmbedder("c", client), known).embed(df, "id", "text").collect()} == {(10.0, 1.0)}
 
 
 def test_memory_and_upsert(spark):
