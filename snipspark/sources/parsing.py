@@ -11,6 +11,7 @@ from __future__ import annotations
 import ast
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,6 +24,8 @@ REFERENCE = "id string, from_symbol_id string, to_name string, kind string, file
 CHUNK = "id string, symbol_id string, file_path string, content string, hash string, language string, ord long, symbol_name string, symbol_kind string, signature string, parent_id string, start_line int, end_line int"
 PARSED = f"path string, symbols array<struct<{SYMBOL.replace(' ', ':').replace(',:', ',')}>>, imports array<struct<{IMPORT.replace(' ', ':').replace(',:', ',')}>>, refs array<struct<{REFERENCE.replace(' ', ':').replace(',:', ',')}>>, chunks array<struct<{CHUNK.replace(' ', ':').replace(',:', ',')}>>, error string"
 SCOPES = ("class", "struct", "interface")
+#: Characters of a documentation and of a signature that are kept.
+DOCUMENTATION, SIGNATURE = 500, 200
 #: Declarations by language: kind and a pattern whose group is the name; the first that matches a line counts.
 BRACED = {
     "typescript": [("class", r"(?:abstract\s+)?class\s+(\w+)"), ("interface", r"interface\s+(\w+)"), ("enum", r"(?:const\s+)?enum\s+(\w+)"), ("type", r"type\s+(\w+)[^=]*="), ("function", r"(?:async\s+)?function\s*\*?\s*(\w+)"), ("variable", r"(?:const|let)\s+(\w+)"), ("method", r"(?:(?:public|private|protected|static|async|readonly|get|set|override)\s+)*(?!(?:if|for|while|switch|catch|return|function|new|await|throw|else|do)\b)([A-Za-z_$#][\w$]*)\s*(?:<[^>]*>)?\([^;]*\)\s*(?::[^{;=]+)?\{")],
@@ -36,6 +39,7 @@ PATTERNS = {lang: [(kind, re.compile(p)) for kind, p in rules] for lang, rules i
 NOT_CODE = re.compile(r'//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|`(?:\\.|[^`\\])*`', re.S)
 CALL = re.compile(r"([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\s*\(")
 WORD = re.compile(r"[A-Za-z_$][\w$]*")
+OPENS = re.compile(r"\s*\{")
 RESERVED = frozenset("if for while switch catch return function new await async throw else do const let var class interface enum type import export from default extends implements public private protected static readonly this super true false null undefined void string number boolean any struct func fn pub impl package use mod int long float double char final try in of def self break continue typeof".split())
 
 
@@ -50,11 +54,12 @@ def blanked(text: str) -> str:
 
 def closing(code: str, start: int) -> int:
     """Where the block or statement that begins at start ends."""
-    depth = 0
+    depth, braced, content = 0, False, False
     for i in range(start, len(code)):
         c = code[i]
         if c in "{([":
             depth += 1
+            braced |= c == "{"
         elif c in "})]":
             depth -= 1
             if depth <= 0 and c == "}":
@@ -63,14 +68,27 @@ def closing(code: str, start: int) -> int:
                 return i - 1
         elif c == ";" and depth == 0:
             return i
-        elif c == "\n" and depth == 0 and not code[i:].lstrip().startswith("{") and code[start:i].strip() and "{" not in code[start:i]:
+        elif c == "\n" and depth == 0 and content and not braced and not OPENS.match(code, i):
             return i - 1
+        content |= not c.isspace()
     return len(code) - 1
 
 
+class Nest:
+    """Ranges (start, end) in the order of their starts, as a sweep meets them: which of them hold a place."""
+
+    def __init__(self):
+        self.open: list[dict] = []
+
+    def at(self, place: int) -> list[dict]:
+        """The ranges that hold a place, outer ones first; places must not decrease."""
+        self.open = [d for d in self.open if d["end"] >= place]
+        return self.open
+
+
 def scanned(language: str, text: str) -> list[dict]:
     """Declarations in order: name, kind, start, end (offsets), exported, depth by enclosing ranges."""
-    code, found = blanked(text), []
+    code, found, nest = blanked(text), [], Nest()
     at = 0
     for line in code.split("\n"):
         bare = line.lstrip()
@@ -80,29 +98,41 @@ def scanned(language: str, text: str) -> list[dict]:
             m = pattern.match(bare, len(head))
             if not m:
                 continue
-            inside = [d for d in found if d["start"] < at + lead <= d["end"]]
+            inside = nest.at(at + lead)
             if kind == "method" and not any(d["kind"] in SCOPES for d in inside) and language != "go":
                 continue
             if kind == "method" and any(d["kind"] in ("method", "function") for d in inside):
                 continue
-            found.append({"name": m[1], "kind": kind, "start": at + lead + len(head), "end": closing(code, at + lead + len(head)), "exported": head.startswith("export") or any(d["exported"] for d in inside)})
+            start = at + lead + len(head)
+            found.append({"name": m[1], "kind": kind, "start": start, "end": closing(code, start), "exported": head.startswith("export") or any(d["exported"] for d in inside)})
+            nest.open.append(found[-1])
             break
         at += len(line) + 1
     return found
 
 
 def python_found(text: str) -> list[dict]:
+    lines = text.split("\n")
     starts = [0]
-    for line in text.split("\n"):
+    for line in lines:
         starts.append(starts[-1] + len(line) + 1)
     out = []
     for node in ast.walk(ast.parse(text)):
         if isinstance(node, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)):
-            end = starts[node.end_lineno - 1] + len(text.split("\n")[node.end_lineno - 1].encode()[: node.end_col_offset].decode(errors="ignore")) - 1
+            end = starts[node.end_lineno - 1] + len(lines[node.end_lineno - 1].encode()[: node.end_col_offset].decode(errors="ignore")) - 1
             out.append({"name": node.name, "kind": "class" if isinstance(node, ast.ClassDef) else "function", "start": starts[node.lineno - 1] + node.col_offset, "end": end, "exported": False})
     return sorted(out, key=lambda d: d["start"])
 
 
+def comments(language: str, text: str) -> tuple[list[int], list[str]]:
+    """The ends and the texts of all comments, in order."""
+    if language == "python":
+        found = list(re.finditer(r"^[ \t]*(#[^\n]*)", text, re.M))
+        return [m.end() for m in found], [m[1] for m in found]
+    found = [m for m in NOT_CODE.finditer(text) if m[0].startswith(("//", "/*"))]
+    return [m.end() for m in found], [m[0] for m in found]
+
+
 def found_imports(language: str, path: str, text: str) -> list[dict]:
     """Imports with their source, names and whether the default is taken."""
     out = []
@@ -126,53 +156,64 @@ def found_imports(language: str, path: str, text: str) -> list[dict]:
             if inside and (m := re.match(patterns[language], line)):
                 add(m[1], [], False, i)
         return out
-    for m in re.finditer(r"^[ \t]*import\s+(?:type\s+)?(?:(.+?)\s+from\s+)?[\"']([^\"']+)[\"']", text, re.M | re.S):
+    line, seen = 0, 0
+    for m in re.finditer(r"^[ \t]*import\s+(?:type\s+)?(?:([^;\"'()]+?)\s+from\s+)?[\"']([^\"'\n]+)[\"']", text, re.M):
         clause = m[1] or ""
         named = re.search(r"\{([^}]*)\}", clause)
         names = [re.split(r"\s+as\s+", n.strip())[0] for n in (named[1].split(",") if named else []) if n.strip()]
         lone = re.match(r"([A-Za-z_$][\w$]*)", clause)
-        add(m[2], names + ([lone[1]] if lone else []), bool(lone), text.count("\n", 0, m.start()))
+        line, seen = line + text.count("\n", seen, m.start()), m.start()
+        add(m[2], names + ([lone[1]] if lone else []), bool(lone), line)
     return out
 
 
 def parsed_file(path: str, language: str, text: str, fine_scopes: bool = False) -> dict:
     """A file's rows. With fine_scopes functions and methods own their references too, not only classes."""
     lines = text.split("\n")
+    starts = [0]
+    for line in lines:
+        starts.append(starts[-1] + len(line) + 1)
     if language == "markdown":
-        declared = [{"name": lines[i].lstrip("# ").strip() or path, "kind": "section", "start": sum(len(x) + 1 for x in lines[:i]), "end": 0, "exported": True} for i in range(len(lines)) if i == 0 or re.match(r"#{1,6}\s", lines[i])]
+        declared = [{"name": lines[i].lstrip("# ").strip() or path, "kind": "section", "start": starts[i], "end": 0, "exported": True} for i in range(len(lines)) if i == 0 or re.match(r"#{1,6}\s", lines[i])]
         for d, after in zip(declared, [*declared[1:], {"start": len(text) + 1}]):
             d["end"] = max(after["start"] - 2, d["start"])
     else:
         declared = python_found(text) if language == "python" else scanned(language, text)
-    starts = [0]
-    for line in lines:
-        starts.append(starts[-1] + len(line) + 1)
-    row = lambda at: next(i for i in range(len(starts) - 1) if starts[i + 1] > at) if at < len(text) else len(lines) - 1
+    row = lambda at: bisect_right(starts, at, hi=len(lines)) - 1
+    ends, said = comments(language, text) if language != "markdown" else ([], [])
+    scopes = Nest()
     symbols, chunks = [], []
     for d in declared:
         first, last = row(d["start"]), row(max(d["end"], d["start"]))
-        outer = [o for o in declared if o["start"] < d["start"] <= o["end"] and o["kind"] in SCOPES]
+        outer = list(scopes.at(d["start"]))
         parent = outer[-1]["id"] if outer else None
         kind = "method" if d["kind"] == "function" and language == "python" and outer and outer[-1]["kind"] == "class" else d["kind"]
+        if d["kind"] in SCOPES:
+            scopes.open.append(d)
         d["id"] = ident("sym", path, kind, d["name"], first, d["start"] - starts[first])
-        before = lines[first - 1].strip() if first else ""
-        doc = before[:500] if before.startswith(("//", "#", "/*", "*")) else None
-        signature = lines[first].strip()[:200]
+        # the comment that only white space parts from the declaration's line
+        k = bisect_right(ends, starts[first]) - 1
+        doc = said[k][:DOCUMENTATION] if k >= 0 and not text[ends[k] : starts[first]].strip() else None
+        signature = lines[first].strip()[:SIGNATURE]
         symbols.append({"id": d["id"], "name": d["name"], "kind": kind, "file_path": path, "start_line": first, "end_line": last, "start_column": d["start"] - starts[first], "end_column": d["end"] + 1 - starts[last], "signature": signature, "documentation": doc, "parent_id": parent, "language": language, "exported": d["exported"]})
+        # fixed values: the lines at the head of a chunk
         header = [f"// File: {path}", f"// Symbol: {d['name']} ({kind})", *([f"// Signature: {signature}"] if signature else [])]
         content = "\n".join([*header, *lines[first : last + 1]])
         chunks.append({"id": ident("chunk", path, d["id"]), "symbol_id": d["id"], "file_path": path, "content": content, "hash": hashlib.sha256(content.encode()).hexdigest(), "language": language, "ord": len(chunks), "symbol_name": d["name"], "symbol_kind": kind, "signature": signature, "parent_id": parent, "start_line": first, "end_line": last})
     refs = []
-    owners = [d for d in declared if d["kind"] in SCOPES or fine_scopes]
-    code = blanked(text)
-    for d in owners if language != "markdown" else []:
-        inner = [o for o in owners if o is not d and d["start"] < o["start"] and o["end"] <= d["end"]]
-        body = lambda at: not any(o["start"] <= at <= o["end"] for o in inner)
-        for kind, pattern in (("call", CALL), ("read", WORD)):
-            for m in pattern.finditer(code, d["start"], d["end"] + 1):
-                name = m[1] if kind == "call" else m[0]
-                if body(m.start()) and name.split(".")[0] not in RESERVED - {"this", "self"} and name not in RESERVED and name != d["name"]:
-                    refs.append({"id": ident("ref", path, kind, m.start()), "from_symbol_id": d["id"], "to_name": name, "kind": kind, "file_path": path, "line": row(m.start())})
+    owners = [d for d in declared if d["kind"] in SCOPES or fine_scopes] if language != "markdown" else []
+    code = blanked(text) if owners else ""
+    for kind, pattern in (("call", CALL), ("read", WORD)):
+        nest, waiting = Nest(), iter([*owners, None])
+        ahead = next(waiting)
+        for m in pattern.finditer(code):
+            while ahead and ahead["start"] <= m.start():
+                nest.open.append(ahead)
+                ahead = next(waiting)
+            around = nest.at(m.start())
+            name = m[1] if kind == "call" else m[0]
+            if around and name.split(".")[0] not in RESERVED - {"this", "self"} and name not in RESERVED and name != around[-1]["name"]:
+                refs.append({"id": ident("ref", path, kind, m.start()), "from_symbol_id": around[-1]["id"], "to_name": name, "kind": kind, "file_path": path, "line": row(m.start())})
     return {"path": path, "symbols": symbols, "imports": found_imports(language, path, text) if language != "markdown" else [], "refs": refs, "chunks": chunks, "error": None}
 
 

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from snipspark.functions import text as T
 from snipspark.functions import vectors as V
 from snipspark.operators import budget, compress, graph, ranking, search, tables
-from snipspark.sources.files import ignored
+from snipspark.sources.files import Rules, scan
 from snipspark.sources.parsing import parsed_file
 
 
@@ -180,25 +181,54 @@ def test_memory_and_upsert(spark):
     assert sorted(map(tuple, tables.upsert(old, spark.createDataFrame([(2, "c"), (3, "d")], "id long, v string"), ["id"]).collect())) == [(1, "a"), (2, "c"), (3, "d")]
 
 
-@pytest.mark.parametrize(("path", "rules", "out"), [("a/node_modules/x.js", ["node_modules"], True), ("a/b.min.js", ["*.min.js"], True), ("src/a.ts", ["/src"], True), ("lib/src/a.ts", ["/src"], False), ("src/a.ts", ["*.ts", "!a.ts"], False), ("gen/a.ts", ["gen/"], True), ("gen", ["gen/"], False)])
+@pytest.mark.parametrize(
+    ("path", "rules", "out"),
+    [("a/node_modules/x.js", ["node_modules"], True), ("a/b.min.js", ["*.min.js"], True), ("src/a.ts", ["/src"], True), ("lib/src/a.ts", ["/src"], False), ("src/a.ts", ["*.ts", "!a.ts"], False), ("gen/a.ts", ["gen/"], True), ("gen", ["gen/"], False)]
+    + [("src/a/b.js", ["src/*.js"], False), ("src/b.js", ["src/*.js"], True), ("a/mygen/x.ts", ["**/gen"], False), ("a/gen/x.ts", ["**/gen"], True), ("gen/x.ts", ["**/gen"], True), ("a/b/c.ts", ["a/**"], True), ("a/b/c/d.ts", ["a/**/d.ts"], True), ("f1.ts", ["f[0-9].ts"], True), ("fx.ts", ["f[!0-9].ts"], True), ("a+b.ts", ["a+b.ts"], True), ("src/keep.ts", ["src", "!src/keep.ts"], True)],
+)
 def test_ignore_rules(path, rules, out):
-    assert ignored(path, rules) is out
+    assert Rules(rules).ignored(path) is out
+
+
+def test_scan(spark, tmp_path):
+    names = ["pkg/__init__.py", "_app.tsx", "__tests__/a.ts", ".hidden/x.js", "deep/a/b/c/d/e.go", "dist/x.js", "pkg/skip.py", "notes.txt"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_bytes(b"x = '\xff\xc3\xa9'\n")
+    (tmp_path / "big.py").write_bytes(b"#" * 1_000_001)
+    (tmp_path / ".gitignore").write_text("skip.py\n")
+    got = {r["path"]: r for r in scan(spark, str(tmp_path)).collect()}
+    assert sorted(got) == sorted(names[:5]) and got["_app.tsx"]["content"] == "x = '\ufffd\u00e9'\n" and got["_app.tsx"]["size"] == 10
+    assert {r["path"] for r in scan(spark, f"file://{tmp_path}", ["pkg/"]).collect()} == set(names[1:5])
 
 
 def test_parsers():
     py = parsed_file("m.py", "python", "from a.b import c\nclass K:\n    def m(self):\n        return c(1)\n\ndef top():\n    pass\n")
     assert [(s["name"], s["kind"], s["start_line"], s["end_line"]) for s in py["symbols"]] == [("K", "class", 1, 3), ("m", "method", 2, 3), ("top", "function", 5, 6)]
     assert py["imports"][0]["imported_names"] == ["c"] and ("c", "call") in {(r["to_name"], r["kind"]) for r in py["refs"]}
+    assert py["symbols"][1]["parent_id"] == py["symbols"][0]["id"]
     js = parsed_file("m.js", "javascript", 'import { login } from "./auth.js";\nexport function go() { return login(); }\n')
     assert js["imports"][0]["source"] == "./auth.js" and js["symbols"][0]["exported"]
     assert js["chunks"][0]["content"].startswith("// File: m.js\n// Symbol: go (function)")
 
 
+def test_documentation_and_long_files():
+    block = "/**\n * What it does.\n */\nfunction one() {\n}\n// other\n\nfunction two() {\n}\nconst x = 1; // not of three\nlet y = 2\nfunction three() {\n}\n"
+    docs = {s["name"]: s["documentation"] for s in parsed_file("a.ts", "typescript", block)["symbols"]}
+    assert docs["one"] == "/**\n * What it does.\n */" and docs["two"] == "// other" and docs["three"] is None
+    unit = "/* c */\nexport class K%d {\n  run(a: string) {\n    const v = this.go(a)\n    return v\n  }\n}\n"
+    text = "".join(unit % i for i in range(1_000_000 // 80))
+    began = time.time()
+    many = parsed_file("a.ts", "typescript", text)
+    assert time.time() - began < 6 and len(many["symbols"]) == 3 * text.count("class")
+    assert all(s["exported"] for s in many["symbols"]) and {r["to_name"] for r in many["refs"] if r["kind"] == "call"} == {"run", "this.go"}
+
+
 def test_stream(spark, tmp_path):
     from snipspark.streaming.ingest import chunk_stream, files_stream
 
     (tmp_path / "in").mkdir()
-    (tmp_path / "in/a.py").write_text("def f():\n    pass\n")
+    (tmp_path / "in/a.py").write_bytes(b"def f():\n    return '\xff'\n")
     q = chunk_stream(files_stream(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("chunks").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [r["symbol_name"] for r in spark.table("chunks").collect()] == ["f"]
