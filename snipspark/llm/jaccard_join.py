@@ -8,28 +8,34 @@ frequent ones, rarest first. So the lists of passages that many documents share
 probing visits. Which shingles are frequent comes from counts over all documents and decides cost, never results.
 
 1. Counts: each task counts its distinct shingles, key ranges add up; the most frequent (at most MOST) are broadcast.
-2. Postings of the short lists: lists of one class end here; the others are rows (shingle, class, n).
-3. Merging: each list has a leader, the class with the largest share of frequent shingles, as the source of a group of
-   near-copies has; each class is probed exactly, on whole texts, against the best leader of its lists. Lists whose
-   members then form one component need nothing more.
-4. In the lists that are left, all members of different components have to be compared. Those of up to FEW members give
-   pairs, unless the triangle inequality of the Jaccard distance, through a leader that both were probed against, rules
-   the pair out. Larger ones are joined to families; the members outside a family's main component meet all its members
-   in blocks, which count shared shingles for whole blocks at once and return links only, not pairs.
+2. Postings of the n - T + 1 first elements: lists of one class end here; the others are rows (shingle, class, n).
+3. Searches: each list has a leader, the class with the largest share of frequent shingles, as the source of a group of
+   near-copies has, and each class is searched by the best leader of its lists. A search is DivideSkip over the inverted
+   lists of the classes that it may reach (`Lists`): of the leader's lists the longest are set aside, the short ones are
+   merged by a heap, classes that occur there often enough are probed in the long lists by binary search, and those that
+   reach the required overlap stay. Lists whose members then form one component need nothing more.
+4. In the lists that are left, members of different components have to be compared. Those of up to FEW members give
+   pairs, unless the triangle inequality of the Jaccard distance, through a leader that both were probed by, rules the
+   pair out. Larger ones are joined to families; the members outside a family's main component are searches among
+   blocks of all its members. Both go through the same DivideSkip searches and return links only.
 5. Components by repeated star contraction in the shared folder; each document gets the least doc_id of its component.
 
-Every pair that reaches the threshold is either probed or lies within a component already found, so components are
-exact (up to collisions of 64-bit hashes). Near-copies by the thousand cost one probe each; only those of them that aren't
-near their source are compared with all others, block by block.
+Every pair that reaches the threshold is either found by a search or lies within a component already found, so
+components are exact (up to collisions of 64-bit hashes of shingles and of word sequences: at 5e10 documents some tens of
+false merges). Near-copies by the thousand cost one probe each; only those of them that aren't near their source are
+searched for among all others, block by block.
 
 Cases: null and empty texts have no shingles (n_shingles 0), are linked with nothing and keep their own doc_id; a text
 of fewer than 5 words has one shingle, the whole sequence. Repeated rows each get a row. A null doc_id is never a
 component's name unless all its documents have none. Other columns are ignored. An empty table gives an empty result.
-The input is read more than once and its rows are numbered each time: pass a table of files, not a shuffle's output.
+Rows have no numbers, only their doc_id and a hash of their text, so nothing depends on how a scan is split.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -60,6 +66,10 @@ POSTS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("key
 LISTS = "shingle long, cls long, size int, core int"
 #: Members of a list that give pairs, and of a block.
 FEW, BLOCK = 64, 512
+#: Fixed value: weight of a long list's probe in the choice of how many lists are long.
+MU = 0.0085
+#: Entries of short lists that go through a heap; more are merged as sorted runs by NumPy.
+HEAP = 4096
 
 
 def class_of(words: list[bytes]) -> int:
@@ -259,7 +269,7 @@ def class_stage(chosen):
     def stage(batches):
         bits, memo = chosen.value, WordHashes()
         for b in batches:
-            texts, ids, uids = text_bytes(b.column("text")), b.column("doc_id"), b.column("uid")
+            texts, ids, keys = text_bytes(b.column("text")), b.column("doc_id"), b.column("key")
             names, sizes, keep = [], [], []
             for lo, hi in pieces(texts):
                 words = normalised(texts[lo:hi])
@@ -269,40 +279,82 @@ def class_stage(chosen):
                 cls = np.array([c or 0 for c in names[lo:hi]], np.int64)
                 hit = np.all([bits[i >> U64(3)] >> (U64(7) - (i & U64(7))).astype(np.uint8) & 1 for i in filter_bits(cls)], axis=0)
                 keep += [b" ".join(w) if w and k else None for w, k in zip(words, hit)]
-            yield pa.RecordBatch.from_arrays([uids, ids, pa.array(names, pa.int64()), pa.array(np.concatenate(sizes) if sizes else [], pa.int64()), pa.array(keep, pa.binary())], ["uid", "doc_id", "cls", "n_shingles", "words"])
+            yield pa.RecordBatch.from_arrays([keys, ids, pa.array(names, pa.int64()), pa.array(np.concatenate(sizes) if sizes else [], pa.int64()), pa.array(keep, pa.binary())], ["key", "doc_id", "cls", "n_shingles", "words"])
 
     return stage
 
 
+def merged(lists: list[np.ndarray], need: int) -> tuple[np.ndarray, np.ndarray]:
+    """The members of sorted lists that occur at least `need` times, in order, and how often."""
+    if sum(map(len, lists)) <= HEAP:
+        times = Counter(heapq.merge(*(x.tolist() for x in lists)))
+        often = [i for i, n in times.items() if n >= need]
+        return np.array(often, np.int64), np.array([times[i] for i in often], np.int64)
+    every = np.concatenate(lists)
+    every.sort(kind="stable")
+    starts, n = runs(every)
+    return every[starts][n >= need], n[n >= need]
+
+
+class Lists:
+    """Inverted lists of the members of a block, and the T-occurrence search in them (DivideSkip)."""
+
+    def __init__(self, w: np.ndarray, at: np.ndarray):
+        self.size = np.diff(at)
+        owner = np.repeat(np.arange(len(self.size)), self.size)
+        order = np.argsort(w, kind="stable")
+        self.start, self.length = runs(w[order])
+        self.name, self.member = w[order][self.start], owner[order]
+        self.probes = 0
+
+    def search(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Members that the short lists leave for a set q of shingles, the overlaps that probing gives them, and whether
+        those reach the threshold. Members that aren't among them can't reach it."""
+        none = np.zeros(0, np.int64)
+        t = int(least_shared(len(q)))
+        if not len(self.name):
+            return none, none, none.astype(bool)
+        i = np.minimum(np.searchsorted(self.name, q), len(self.name) - 1)
+        i = i[self.name[i] == q]
+        if len(i) < t:
+            return none, none, none.astype(bool)
+        i = i[np.argsort(self.length[i], kind="stable")]
+        # the longest lists are set aside: a member that all of them hold still needs t - n_long of the others
+        n_long = min(t - 1, int(t / (MU * np.log(max(self.length[i[-1]], 2)) + 1)))
+        short, long = i[: len(i) - n_long], i[len(i) - n_long :]
+        found, count = merged([self.member[self.start[k] : self.start[k] + self.length[k]] for k in short], t - n_long)
+        if n_long and len(found):
+            # all long lists end to end, each in a number range of its own: one binary search a list and member
+            span, own = len(self.size), np.arange(n_long)
+            entries = self.member[flat(self.start[long], self.length[long])] + np.repeat(own, self.length[long]) * span
+            wanted = (own[:, None] * span + found[None]).reshape(-1)
+            place = np.minimum(np.searchsorted(entries, wanted), len(entries) - 1)
+            count = count + (entries[place] == wanted).reshape(n_long, -1).sum(0)
+            self.probes += len(wanted)
+        return found, count, DEN * count >= NUM * (len(q) + self.size[found] - count)
+
+
 def probe_stage(table):
-    """The pairs of a block, each with the whole words of both, to their numbers of shared and of all shingles."""
-    a, b, words = table.column("a").to_numpy(), table.column("b").to_numpy(), table.column("words").to_pylist()
-    memo, known, out = WordHashes(), {}, []
-
-    def shingles(i):
-        if b[i] not in known:
-            h, _ = hashed_words([words[i].split()], memo)
-            w = window_hashes(h, min(SIZE, len(h)))
-            w.sort()
-            new = np.ones(len(w), bool)
-            new[1:] = w[1:] != w[:-1]
-            known[b[i]] = w[new]
-        return known[b[i]]
-
-    for i in np.lexsort((a != b, a)):
-        if a[i] == b[i]:
-            x = shingles(i)
-            continue
-        y = shingles(i)
-        at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-        same = int((x[at] == y).sum())
-        out.append((a[i], b[i], same, len(x) + len(y) - same))
-    a, b, same, union = zip(*out) if out else ((), (), (), ())
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "same": pa.array(same, pa.int64()), "united": pa.array(union, pa.int64())})
+    """The searches of a block (a leader, the classes it may reach, all with their words) to the numbers of shared and of all shingles; classes that the short lists rule out have -1 shared ones."""
+    a, star, b, words = table.column("a").to_numpy(), table.column("star").to_numpy(), table.column("b").to_numpy(), table.column("words").to_pylist()
+    _, first, row = np.unique(b, return_index=True, return_inverse=True)
+    w, at = shingled([words[i].split() for i in first], WordHashes())
+    size, out = np.diff(at), []
+    order = np.lexsort((a != b, star, a))
+    starts, n = runs(a[order], star[order])
+    for lo, k in zip(starts, n):
+        lead, others = row[order[lo]], row[order[lo + 1 : lo + k]]
+        lists = Lists(w[flat(at[others], size[others])], np.append(0, np.cumsum(size[others])))
+        found, count, _ = lists.search(w[at[lead] : at[lead + 1]])
+        same = np.full(len(others), -1, np.int64)
+        same[found] = count
+        out.append((np.full(len(others), a[order[lo]]), b[order[lo + 1 : lo + k]], same, np.where(same < 0, 0, size[lead] + size[others] - same)))
+    a, b, same, united = (np.concatenate(x) if out else np.zeros(0, np.int64) for x in (zip(*out) if out else ((),) * 4))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "same": pa.array(same, pa.int64()), "united": pa.array(united, pa.int64())})
 
 
 def probed(pairs: DataFrame, texts: DataFrame, blocks: int) -> DataFrame:
-    """(a, b, same, united) of pairs of classes (a, b), by exact comparison. A leader's words go once to each block of its pairs, of which a leader of many has many."""
+    """(a, b, same, united) of pairs of classes (a, b), by searches for a. Its words go once to each block of its pairs, of which a leader of many has many."""
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).alias("stars"))
     pairs = pairs.join(many, "a").withColumn("star", F.pmod(F.col("b"), F.col("stars")))
     block = F.pmod(F.xxhash64("a", "star"), F.lit(blocks)).cast("int").alias("block")
@@ -334,35 +386,19 @@ def is_link():
 
 
 def block_stage(table):
-    """Two blocks of a family, each class with its component and whole words, to links between components: for a class of the first block one for each component of the second."""
+    """Two blocks of a family, each class with its component and whole words, to links between components: the first block's classes are searched for among the second's; a class gives one link for each component there."""
     side, cls, root, words = (table.column(c).to_pylist() for c in ("side", "cls", "root", "words"))
-    memo, out = WordHashes(), []
-    w, at = shingled([x.split() for x in words], memo)
-    size = np.diff(at)
+    w, at = shingled([x.split() for x in words], WordHashes())
+    size, out = np.diff(at), []
     cls, root, first = np.array(cls, np.int64), np.array(root, np.int64), np.array(side) == 0
-    i, j = np.flatnonzero(first), np.flatnonzero(~first)
-    owner = np.repeat(np.arange(len(size)), size)
-    # only shingles that both blocks hold can be shared
-    names, back = np.unique(w, return_inverse=True)
-    both = (np.bincount(back, first[owner], len(names)) > 0) & (np.bincount(back, ~first[owner], len(names)) > 0)
-    place = np.cumsum(both) - 1
-    keep = both[back]
-    owner, back = owner[keep], place[back[keep]]
-    row = np.zeros(len(size), np.int64)
-    row[i], row[j] = np.arange(len(i)), np.arange(len(j))
-    shared = np.zeros((len(i), len(j)), np.float32)
-    for lo in range(0, int(both.sum()), 8192):
-        here = (back >= lo) & (back < lo + 8192)
-        a, b = np.zeros((len(i), 8192), np.float32), np.zeros((len(j), 8192), np.float32)
-        for m, mine in ((a, first), (b, ~first)):
-            own = here & mine[owner]
-            m[row[owner[own]], back[own] - lo] = 1
-        shared += a @ b.T
-    hit = (DEN * shared >= NUM * (size[i][:, None] + size[j][None] - shared)) & (root[i][:, None] != root[j][None])
-    p, q = np.nonzero(hit)
-    if len(p):
-        _, one = np.unique(np.stack([p, root[j][q]]), axis=1, return_index=True)
-        out = [(cls[i[p[k]]], cls[j[q[k]]]) for k in one]
+    own = np.flatnonzero(~first)
+    lists = Lists(w[flat(at[own], size[own])], np.append(0, np.cumsum(size[own])))
+    for i in np.flatnonzero(first):
+        found, _, reaches = lists.search(w[at[i] : at[i + 1]])
+        near = own[found[reaches]]
+        near = near[root[near] != root[i]]
+        _, one = np.unique(root[near], return_index=True)
+        out += [(cls[i], cls[j]) for j in near[one]]
     a, b = zip(*out) if out else ((), ())
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -385,6 +421,7 @@ def in_blocks(lists: DataFrame, texts: DataFrame) -> DataFrame:
 
 def first_pivots(probes: DataFrame) -> DataFrame:
     """(cls, pivot, far): for each probed class a leader it was compared with, the one of most probes, and the Jaccard distance; a leader is at 0 from itself."""
+    probes = probes.where("same >= 0")
     sides = probes.select(F.col("a").alias("pivot"), F.col("b").alias("cls"), (1 - F.col("same") / F.col("united")).alias("far"))
     sides = sides.unionByName(probes.select(F.col("b").alias("pivot"), F.col("a").alias("cls"), (1 - F.col("same") / F.col("united")).alias("far")))
     often = sides.groupBy("pivot").agg(F.count("*").alias("n"))
@@ -393,14 +430,14 @@ def first_pivots(probes: DataFrame) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
-    """For each row: uid, doc_id, cls (its class; null without words), n_shingles, component_id."""
+    """For each row: key (a hash of its text), doc_id, cls (its class; null without words), n_shingles, component_id."""
     spark = docs.sparkSession
     parts = ranges_for(docs)
-    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("uid"))
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
     known = spark.sparkContext.broadcast(frequent(docs))
     lists = stored(docs.select("text").mapInArrow(posting_stage(parts, known), POSTS).groupBy("part").applyInArrow(list_stage, LISTS))
     chosen = spark.sparkContext.broadcast(class_filter(lists))
-    classes = stored(numbered.mapInArrow(class_stage(chosen), "uid long, doc_id long, cls long, n_shingles long, words binary"))
+    classes = stored(keyed.mapInArrow(class_stage(chosen), "key long, doc_id long, cls long, n_shingles long, words binary"))
     texts = classes.where("words is not null").groupBy("cls").agg(F.first("words").alias("words"))
 
     best = F.struct("core", -F.col("cls"))
@@ -434,15 +471,24 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     named = own.join(final, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     names = named.join(ids, "root").select("cls", "component_id")
-    return classes.drop("words").join(names, "cls", "left").select("uid", "doc_id", "cls", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return classes.drop("words").join(names, "cls", "left").select("key", "doc_id", "cls", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Of each component the document of the least doc_id (of several rows of that id, one); rows without words all stay."""
-    numbered = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("uid"))
-    groups = stored(jaccard_join(docs).where("cls is not null and component_id is not null").select("uid", "doc_id", "component_id"))
-    stay = groups.where("doc_id = component_id").groupBy("component_id").agg(F.min("uid").alias("uid"))
-    return numbered.join(sized(groups.join(stay, "uid", "left_anti").select("uid")), "uid", "left_anti").select("row.*")
+    """Of each component the document of the least doc_id (of several texts of that id the one of the least hash, of
+    several rows with it one); rows without words all stay, and so do the rows of a component in which all doc_ids are null.
+
+    Rows are told apart by doc_id and a hash of the text, which every scan gives alike. Rows that are alike in both are
+    equal here: the one that stays is picked among them."""
+    given = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("key"), F.col("doc_id").alias("id"))
+    groups = stored(jaccard_join(docs).where("cls is not null and component_id is not null").groupBy("component_id", "doc_id", "key").agg(F.count("*").alias("n")))
+    best = groups.where("doc_id = component_id").groupBy("component_id").agg(F.min(F.struct("key", "n")).alias("m")).select(F.col("component_id").alias("id"), "m.key", "m.n")
+    gone = stored(groups.select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")).join(best, F.col("gone_id").eqNullSafe(F.col("id")) & (F.col("gone_key") == F.col("key")), "left_anti"))
+    again = stored(best.where("n > 1").select("id", "key"))
+    twice = sized(gone.unionByName(again.select(F.col("id").alias("gone_id"), F.col("key").alias("gone_key"))))
+    left = given.join(twice, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left_anti")
+    one = given.join(sized(again), ["id", "key"]).groupBy("id", "key").agg(F.first("row").alias("row"))
+    return left.select("row.*").unionByName(one.select("row.*"))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
