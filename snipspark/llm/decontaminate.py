@@ -50,10 +50,11 @@ def item_windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
 
 
 def build_index(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """The stored postings of the terms in `vocabulary` (column term), with an end marker for each document."""
-    tokens = with_uid(docs.select("doc_id", "text")).select("uid", "doc_id", F.posexplode(F.concat(F.coalesce(words(F.col("text")), F.array().cast("array<string>")), F.array(F.lit(END)))).alias("pos", "term"))
+    """The stored postings of the terms in `vocabulary` (column term), with an end marker for each document, which alone
+    carries a hash of the text (key). Rows are numbered (uid) in the one scan that is stored; the numbers mean nothing outside the index."""
+    tokens = with_uid(docs.select("doc_id", "text")).withColumn("key", F.xxhash64("text")).select("uid", "doc_id", "key", F.posexplode(F.concat(F.coalesce(words(F.col("text")), F.array().cast("array<string>")), F.array(F.lit(END)))).alias("pos", "term"))
     wanted = vocabulary.select("term").union(docs.sparkSession.range(1).select(F.lit(END).alias("term"))).distinct()
-    return stored(tokens.join(sized(wanted), "term").select("uid", "doc_id", "term", "pos"))
+    return stored(tokens.join(sized(wanted), "term").select("uid", "doc_id", "term", "pos", F.when(F.col("term") == END, F.col("key")).alias("key")))
 
 
 def phrase_matches(index: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFrame:
@@ -80,24 +81,27 @@ def phrase_matches(index: DataFrame, phrases: DataFrame, slop: int = 0) -> DataF
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW, one_in: int = ONE_IN) -> DataFrame:
-    """For each row of docs: doc_id, n_words, n_hit, n_items, item_ids (sorted as strings), contaminated."""
+    """For each row of docs: doc_id, key (a hash of the text), n_words, n_hit, n_items, item_ids (sorted as strings), contaminated."""
     windows = stored(item_windows(items, width))
     index = build_index(docs, windows.select(F.explode("terms").alias("term")).distinct())
     hits = stored(phrase_matches(index, windows))
     covered = hits.select("uid", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n_terms") - 1)).alias("pos")).distinct().groupBy("uid").agg(F.count("*").alias("n_hit"))
     of_items = hits.select("uid", "phrase").distinct().join(windows.select("phrase", F.explode("item_ids").alias("item_id")), "phrase").groupBy("uid").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
-    rows = index.where(F.col("term") == END).select("uid", "doc_id", F.col("pos").cast("long").alias("n_words"))
+    rows = index.where(F.col("term") == END).select("uid", "doc_id", "key", F.col("pos").cast("long").alias("n_words"))
     out = reduce(lambda a, b: a.join(b, "uid", "left"), (covered, of_items), rows)
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
-    return out.select("uid", "doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), ((n_hit > 0) & (one_in * n_hit >= F.col("n_words"))).alias("contaminated"))
+    return out.select("uid", "doc_id", "key", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), ((n_hit > 0) & (one_in * n_hit >= F.col("n_words"))).alias("contaminated"))
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that aren't contaminated, with all their columns."""
-    numbered = with_uid(docs.select(F.struct(*docs.columns).alias("row")))
-    bad = decontaminate(docs, items).where("contaminated").select("uid")
-    return numbered.join(sized(stored(bad)), "uid", "left_anti").select("row.*")
+    """The rows of docs that aren't contaminated, with all their columns, in whatever number they repeat.
+
+    Contamination is a matter of the text alone, so rows are found again by doc_id (null is one too) and a hash of the
+    text: nothing depends on how a scan is split. Null and empty texts stay."""
+    given = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("own"))
+    bad = stored(decontaminate(docs, items).where("contaminated").select("doc_id", "key").distinct())
+    return given.join(sized(bad), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("key")), "left_anti").select("row.*")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
