@@ -6,18 +6,21 @@ segments of a batch are laid end to end; a suffix array of that batch text, orde
 piece has, is built, and every piece of the vocabulary is looked up in it by binary search: its range of suffixes is
 where it occurs. The edges (position, length, rank), sorted by position, are then relaxed as the model's byte-pair rule
 wants it: in each segment the adjacent pair of symbols with the best edge over both, the leftmost of equals, becomes one
-symbol, until no pair has an edge. All segments relax side by side in NumPy. Characters that are no piece fall back to
-bytes. Results of segments are kept in a bounded memo. (A shortest path over the edges would be the rule of unigram
+symbol, until no pair has an edge. Short segments relax side by side in NumPy; a segment of more than LONG characters
+(an unbroken word such as encoded data) takes its edges from a heap, over linked neighbours, in about n log n steps.
+Characters that are no piece fall back to bytes. Results of segments are kept in a bounded memo. (A shortest path over the edges would be the rule of unigram
 models; it gives wrong results for byte-pair models, so the relaxation follows the merge rule.)
 
 Cases: null and empty texts have no tokens; decoding gives the text back, except that U+2581, the mark itself, comes
-back as a blank (`round_trip` compares with that). Repeated rows each get a row; other columns of docs are carried along
+back as a blank (`round_trip` compares with that). A model that isn't byte-pair, or changes texts before it cuts them, is
+refused. Repeated rows each get a row; other columns of docs are carried along
 where asked for; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from itertools import chain
 
@@ -31,6 +34,8 @@ from .common import flat, pieces as ranges, text_bytes
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 MEMO = 300_000
+#: Characters from which on a segment is relaxed by a heap.
+LONG = 200
 NONE = np.iinfo(np.int32).max
 
 
@@ -44,6 +49,13 @@ class Vocabulary:
         n = m.get_piece_size()
         text = [m.id_to_piece(i) for i in range(n)]
         plain = [i for i in range(n) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))]
+        scores = [m.get_score(i) for i in plain]
+        # a byte-pair model scores its pieces by the order of their merges, 0, -1, -2 ...; others by log-probabilities
+        if any(x != int(x) or x > 0 for x in scores) or len(set(scores)) < len(scores) // 2:
+            raise ValueError(f"{path} isn't a byte-pair model")
+        odd = "a  \uff21\ufb01\u00bd "
+        if m.decode(m.encode(odd)) != odd:
+            raise ValueError(f"{path} changes texts before it cuts them")
         byte_of = {int(text[i][3:5], 16): i for i in range(n) if m.is_byte(i)}
         self.unknown = m.unk_id()
         self.bytes = np.array([byte_of.get(b, self.unknown) for b in range(256)], np.int32)
@@ -112,6 +124,38 @@ def edges(code: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.n
     return both >> 32, v.length[piece], piece
 
 
+def relaxed(table: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols (begin, end) that one segment ends in; table has the piece (-1: none) at each place by length.
+
+    The heap holds edges over two adjacent symbols by rank and place. An edge that comes up is used if two symbols still
+    lie under it; a merge then offers the edges over the new symbol and its neighbours."""
+    n, most = len(table), table.shape[1] - 1
+    rank = memoryview(np.ascontiguousarray(ranks[table]).reshape(-1))
+    none, width = int(NONE), table.shape[1]
+    stop, start = list(range(1, n + 1)), list(range(-1, n))  # where the symbol at a place ends; where the one that ends there begins
+    pairs = np.flatnonzero(ranks[table[: n - 1, 2]] != NONE)
+    shift = max(n.bit_length(), 1)
+    mask = (1 << shift) - 1
+    heap = (((ranks[table[pairs, 2]].astype(np.int64) << shift | pairs) << 8) | 2).tolist()
+    heapq.heapify(heap)
+    while heap:
+        key = heapq.heappop(heap)
+        span, i = key & 255, key >> 8 & mask
+        j = stop[i]
+        if not 0 < j < n or stop[j] != i + span:
+            continue
+        k = i + span
+        stop[i], stop[j], start[k] = k, 0, i
+        before = start[i]
+        if i and k - before <= most and (r := rank[before * width + k - before]) != none:
+            heapq.heappush(heap, (r << shift | before) << 8 | (k - before))
+        if k < n and (size := stop[k] - i) <= most and (r := rank[i * width + size]) != none:
+            heapq.heappush(heap, (r << shift | i) << 8 | size)
+    stops = np.array(stop, np.int64)
+    starts = np.flatnonzero(stops)
+    return starts, stops[starts]
+
+
 def encoded_segments(segments: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the segments end to end, and how many each has."""
     joined = "".join(segments)
@@ -123,19 +167,27 @@ def encoded_segments(segments: list[str], v: Vocabulary) -> tuple[np.ndarray, np
     at = np.arange(len(points)) + np.repeat(np.arange(len(n)), n)
     code[at] = np.maximum(v.code[points], 1)
     position, length, piece = edges(code, v)
-    table = np.full((len(code), v.longest + 1), NONE, np.int32)
-    table[position, length] = v.rank[piece]
-    name = np.full((len(code), v.longest + 1), -1, np.int32)
-    name[position, length] = v.ids[piece]
+    # the piece that stands at a place with a length, by both
+    table = np.full((len(code), v.longest + 1), -1, np.int32)
+    table[position, length] = piece
+    ranks = np.append(v.rank, np.int32(NONE))
 
     begin, end, own = at.copy(), at + 1, np.repeat(np.arange(len(n)), n)
     done = []
+    long = np.flatnonzero(n > LONG)
+    for i in long:
+        lo = int(at[ends[i] - n[i]])
+        starts, stops = relaxed(table[lo : lo + n[i]], ranks)
+        done.append((starts + lo, stops + lo, np.full(len(starts), i)))
+    if len(long):
+        left = np.repeat(n <= LONG, n)
+        begin, end, own = begin[left], end[left], own[left]
     while len(begin):
         span = end[1:] - begin[:-1]
         best = np.full(len(begin), NONE, np.int32)
         ok = (own[1:] == own[:-1]) & (span <= v.longest)
         i = np.flatnonzero(ok)
-        best[i] = table[begin[i], span[i]]
+        best[i] = ranks[table[begin[i], span[i]]]
         first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
         least = np.minimum.reduceat(best, first)
         count = np.diff(np.append(first, len(begin)))
@@ -154,7 +206,7 @@ def encoded_segments(segments: list[str], v: Vocabulary) -> tuple[np.ndarray, np
     begin, end, own = (np.concatenate(x) for x in zip(*done))
     order = np.argsort(begin)
     begin, end, own = begin[order], end[order], own[order]
-    ids = name[begin, end - begin]
+    ids = np.append(v.ids, np.int32(-1))[table[begin, end - begin]]
     fallen = np.flatnonzero(ids < 0)
     width = np.ones(len(ids), np.int64)
     if len(fallen):
