@@ -28,6 +28,8 @@ GRAMS = (1, 2, 3, 4)
 #: Bound of the sample that models are fitted on: rows of each language.
 PER_LANGUAGE = 400
 SCALE = 30.0
+#: Score under which the pipeline's stage takes a language as not identified.
+LEAST = 0.25
 MEMO = 200_000
 #: Language families by ISO 639-1 code.
 FAMILIES = {
@@ -42,6 +44,7 @@ FAMILIES = {
 }
 #: White space, digits and ASCII signs become blanks; A-Z become small.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: Candidates for letters; Unicode numbers such as fractions are among them and aren't letters.
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -50,7 +53,7 @@ def family(lang: str) -> str:
 
 
 def has_letter(text: bytes) -> bool:
-    return bool(text) and (re.search(rb"[A-Za-z]", text) is not None or LETTER.search(text.decode("utf-8", "replace")) is not None)
+    return bool(text) and (re.search(rb"[A-Za-z]", text) is not None or any(m[0].isalpha() for m in LETTER.finditer(text.decode("utf-8", "replace"))))
 
 
 def word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -109,10 +112,10 @@ def svm(held: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, c: float = 10.
 class Model:
     """Weights of all linear classifiers side by side, and how their values make a language."""
 
-    def __init__(self, texts: list[bytes], langs: list[str]):
+    def __init__(self, x: list[tuple[np.ndarray, np.ndarray]], langs: list[str]):
         self.langs = sorted(set(langs))
         self.families = sorted({family(lang) for lang in self.langs})
-        x, lang = [text_shares(t) for t in texts], np.array(langs)
+        lang = np.array(langs)
         fam = np.array([family(lang) for lang in langs])
         columns = []
         if len(self.families) > 1:
@@ -147,13 +150,23 @@ class Model:
         return best, share[np.arange(n), fam] * belief[np.arange(n), best]
 
 
-def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[bytes], list[str]]:
-    """At most per_language labelled rows of each language; ids first, then the texts of the chosen."""
+def share_stage(batches):
+    """Whole texts to their features; texts without a letter are left out."""
+    for b in batches:
+        for t, lang in zip(text_bytes(b.column("text")), b.column("lang").to_pylist()):
+            if has_letter(t):
+                at, v = text_shares(t)
+                yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], ["lang", "at", "v"])
+
+
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[str]]:
+    """The features of at most per_language labelled rows of each language; ids first, then the texts of the chosen.
+    What comes to the driver is bounded by rows times DIMS, however long the texts."""
     ids = docs.where("lang is not null and text is not null").select("doc_id", "lang").distinct()
     ranked = ids.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("n") <= per_language)
-    rows = docs.join(F.broadcast(ranked.select("doc_id", "lang")), ["doc_id", "lang"]).select("doc_id", "lang", "text").dropDuplicates(["doc_id", "lang"]).orderBy("doc_id", "lang").collect()
-    rows = [(r["text"].encode(), r["lang"]) for r in rows if has_letter((r["text"] or "").encode())]
-    return [t for t, _ in rows], [lang for _, lang in rows]
+    rows = docs.join(F.broadcast(ranked.select("doc_id", "lang")), ["doc_id", "lang"]).select("doc_id", "lang", "text").dropDuplicates(["doc_id", "lang"])
+    found = rows.select("lang", "text").mapInArrow(share_stage, "lang string, at binary, v binary").orderBy("lang", "at", "v").collect()
+    return [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["v"], np.float64)) for r in found], [r["lang"] for r in found]
 
 
 def predict_stage(model):
@@ -229,6 +242,9 @@ def op2(spark, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", F.coalesce(F.crc32(F.col("row.doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """The rows whose language is identified, with their columns as they are."""
-    return predict(docs, fit(learned(docs))).where(F.col("lang_pred") != UND).select("row.*")
+def identified(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """The rows whose language is identified, with their columns, of which lang becomes the language predicted. Rejected
+    are texts without a letter (null and empty ones too) and those whose score is below `least`. Rows that repeat are
+    judged alike; an empty table stays empty; where no language is learned nothing is identified."""
+    kept = predict(docs, fit(learned(docs))).where((F.col("lang_pred") != UND) & (F.col("score") >= least))
+    return kept.select(*(F.col("lang_pred").alias("lang") if c == "lang" else F.col("row")[c].alias(c) for c in docs.columns))
