@@ -12,7 +12,7 @@ a false match only adds a window to compare. Window keys have 96 bits.
 
 Cases: null and empty texts have no words and are kept as they are (n_words 0, empty kept text). Rows that share a
 doc_id count as one document in the order of occurrences; of exactly equal rows none removes the other's words. Rows
-with null doc_id come last in the order, as one document. Other columns are carried along untouched. An empty table
+with null doc_id come last in the order, as one document (doc_id 2^63 - 1 counts among them). Other columns are carried along untouched. An empty table
 gives an empty result.
 """
 
@@ -141,8 +141,10 @@ def ordered(table: pa.Table) -> tuple[list, np.ndarray, np.ndarray]:
     return text_bytes(table.column("text")), doc, table.column("uid").to_numpy()
 
 
-def check_bits(uid: np.ndarray) -> np.ndarray:
-    return (uid.view(np.uint64) >> U64(48)).astype(np.uint16)
+def check_bits(uid: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """What tells rows of one doc_id apart: 32 bits of their hash, all 64 where the doc_id is null, which many rows may share."""
+    full = uid.view(np.uint64)
+    return np.where(doc == LAST, full, full >> U64(32))
 
 
 def window_stage(parts: int, width: int):
@@ -175,7 +177,7 @@ def window_stage(parts: int, width: int):
             np.add.at(edge, np.minimum(p, n - 1) + 1, -1)
             at = np.flatnonzero(np.cumsum(edge)[:n] > 0)
             if len(at):
-                kept.append((window_hashes(h, width)[at], (window_hashes(h, width, OTHER_BASE)[at] >> U64(32)).astype(np.uint32), np.full(len(at), doc[d]), np.full(len(at), check_bits(uid[d : d + 1])[0]), at.astype(np.uint32)))
+                kept.append((window_hashes(h, width)[at], (window_hashes(h, width, OTHER_BASE)[at] >> U64(32)).astype(np.uint32), np.full(len(at), doc[d]), np.full(len(at), check_bits(uid[d : d + 1], doc[d : d + 1])[0]), at.astype(np.uint32)))
         if not kept:
             return rows(WINDOWS, [])
         key, more, doc, ref, pos = (np.concatenate(x) for x in zip(*kept))
@@ -208,7 +210,7 @@ def later_stage(table):
     """The windows of one key range to those that aren't the first of their sequence."""
     passing = table.column("passing").to_pylist()
     got = {c: table.column(c).to_pylist() for c in ("bucket", "key", "more", "doc", "ref", "pos")}
-    kinds = {"key": np.uint64, "more": np.uint32, "doc": np.int64, "ref": np.uint16, "pos": np.uint32}
+    kinds = {"key": np.uint64, "more": np.uint32, "doc": np.int64, "ref": np.uint64, "pos": np.uint32}
     out = [tuple(got[c][i] for c in ("bucket", "doc", "ref", "pos")) for i, p in enumerate(passing) if p]
     asks = [i for i, p in enumerate(passing) if not p]
     key, more, doc, ref, pos = (joined([got[c][i] for i in asks], kinds[c]) for c in ("key", "more", "doc", "ref", "pos"))
@@ -228,11 +230,11 @@ def removal_stage(width: int):
 
     def stage(docs, later):
         doc_of = joined(later.column("doc").to_pylist(), np.int64)
-        ref, pos = joined(later.column("ref").to_pylist(), np.uint16), joined(later.column("pos").to_pylist(), np.uint32)
+        ref, pos = joined(later.column("ref").to_pylist(), np.uint64), joined(later.column("pos").to_pylist(), np.uint32)
         order = np.lexsort((ref, doc_of))
         doc_of, ref, pos = doc_of[order], ref[order], pos[order].astype(np.int64)
         texts, doc, uid = ordered(docs)
-        check = check_bits(uid)
+        check = check_bits(uid, doc)
         lo, hi = np.searchsorted(doc_of, doc, "left"), np.searchsorted(doc_of, doc, "right")
         n_words, n_removed, kept_texts, digests = [], [], [], []
         for d, text in enumerate(texts):
