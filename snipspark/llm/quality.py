@@ -26,7 +26,7 @@ STOP_WORDS = "the and of to in a is that it for as with by on be at or an are wa
 #: The table: measure, "min" or "max", bound. A text is kept if it meets every line.
 RULES = [
     ("n_words", "min", 50),
-    ("repeat_ratio", "max", 0.5),
+    ("repeat_percent", "max", 50),
     ("n_words", "max", 1_000_000),
     ("mean_word_chars", "min", 2.0),
     ("mean_word_chars", "max", 20.0),
@@ -67,18 +67,23 @@ def features(docs: DataFrame) -> DataFrame:
         F.size("ls").cast("long").alias("n_lines"), F.size(F.array_intersect(F.transform(F.slice("ws", 1, F.size("ws")), F.lower), stop)).cast("long").alias("stop_words"),
     ))))
     ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
-    return counted.select("*", ratio("n_repeat_words", "n_words").alias("repeat_ratio"), ratio("word_chars", "n_words").alias("mean_word_chars"), ratio("n_symbols", "word_chars").alias("symbol_ratio"), ratio("n_dup_lines", "n_lines").alias("dup_line_ratio"))
+    return counted.select("*", ratio("word_chars", "n_words").alias("mean_word_chars"), ratio("n_symbols", "word_chars").alias("symbol_ratio"), ratio("n_dup_lines", "n_lines").alias("dup_line_ratio"))
+
+
+#: Measures that are shares in percent, as numerator and denominator: their lines are compared in whole numbers.
+PERCENT = {"repeat_percent": ("n_repeat_words", "n_words")}
 
 
 def verdict(rules=RULES):
     """True where every line of the table holds."""
-    return reduce(lambda a, b: a & b, [F.col(m) >= F.lit(v) if kind == "min" else F.col(m) <= F.lit(v) for m, kind, v in rules])
+    sides = lambda m, bound: (100 * F.col(PERCENT[m][0]), bound * F.col(PERCENT[m][1])) if m in PERCENT else (F.col(m), F.lit(bound))
+    line = lambda kind, a, b: a >= b if kind == "min" else a <= b
+    return reduce(lambda a, b: a & b, [line(kind, *sides(m, bound)) for m, kind, bound in rules])
 
 
-def quality(docs: DataFrame, rules=RULES) -> DataFrame:
-    # the base rule in whole numbers: n_words < 50, or 100 * n_repeat_words > 50 * n_words
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return features(docs).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+def quality(docs: DataFrame, rules=RULES, base=BASE) -> DataFrame:
+    """doc_id, the measures, base_failed (a line of `base` doesn't hold) and kept (all lines of both tables hold)."""
+    return features(docs).withColumn("base_failed", ~verdict(base)).withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
