@@ -135,8 +135,12 @@ def ranges_for(df: DataFrame, each: int = 8 << 20) -> int:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under the shared folder that the cluster names; where none is named, one under the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
+    """A new folder under the shared folder that the cluster names; without a cluster, where none is named, one under the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
