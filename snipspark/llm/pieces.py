@@ -266,20 +266,18 @@ def tokenised(docs: DataFrame, model: str = MODEL, tokens: bool = False) -> Data
         encoder = Encoder(v)
         for b in batches:
             texts = text_bytes(b.column("text"))
-            counts, digests, same, lists = [], [], [], []
+            # a batch of results for each megabyte or so of texts; ids never become Python numbers
             for lo, hi in ranges(texts, 1 << 20):
                 ids, count = encoder.encode([t.decode() if t else "" for t in texts[lo:hi]])
                 ends = np.cumsum(count)
-                for i, e in enumerate(ends):
-                    own = ids[e - count[i] : e]
-                    digests.append(hashlib.sha256(own.astype("<i4").tobytes()).hexdigest())
-                    if tokens:
-                        lists.append(own.tolist())
-                counts += count.tolist()
-                same += [back == (t or b"").replace(MARK.encode(), b" ") for back, t in zip(decode(ids, count, v), texts[lo:hi])]
-            columns = [b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(same, pa.bool_())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "round_trip"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lists, pa.list_(pa.int32()))] if tokens else columns, [*names, "ids"] if tokens else names)
+                digests = [hashlib.sha256(ids[e - n : e].astype("<i4").tobytes()).hexdigest() for e, n in zip(ends, count)]
+                same = [back == (t or b"").replace(MARK.encode(), b" ") for back, t in zip(decode(ids, count, v), texts[lo:hi])]
+                columns = [b.column("doc_id").slice(lo, hi - lo), pa.array(count, pa.int64()), pa.array(digests, pa.string()), pa.array(same, pa.bool_())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "round_trip"]
+                if tokens:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids, pa.int32())))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.select("doc_id", "text").mapInArrow(stage, "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean" + ", ids array<int>" * tokens)
 
