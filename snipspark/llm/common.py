@@ -7,6 +7,7 @@ arrays are stored byte plane by byte plane, so that the zero bytes of small numb
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from itertools import chain
@@ -120,6 +121,47 @@ def flat(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(lo - (ends - n), n)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a Python worker lives on after a task, beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library, which looks after this itself
+        pass
+
+
+def frugal(stage):
+    """A stage over batches that gives its memory back when it ends."""
+
+    def run(batches):
+        yield from stage(batches)
+        give_back()
+
+    return run
+
+
+def frugal_group(stage):
+    """The same for a stage over the table of a group."""
+
+    def run(table):
+        out = stage(table)
+        give_back()
+        return out
+
+    return run
+
+
+def frugal_groups(stage):
+    """The same for a stage over the tables of two groups."""
+
+    def run(left, right):
+        out = stage(left, right)
+        give_back()
+        return out
+
+    return run
+
+
 def input_bytes(df: DataFrame) -> int:
     """The planner's estimate of the input's size."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, WordHashes, flat, hashed_words, joined, mixed, pieces, planes, ranges_for, stored, text_bytes, window_hashes
+from .common import U64, WordHashes, flat, frugal, frugal_group, hashed_words, joined, mixed, pieces, planes, ranges_for, stored, text_bytes, window_hashes
 from .decontaminate import sized
 from .substrings import by_part, rows, runs
 
@@ -55,7 +55,7 @@ FREQUENT, MOST = 8, 1 << 20
 #: Bits of a shingle's hash that counts are kept by.
 COUNT_BITS = 36
 #: Shingles, and classes, that a task gathers before it sends them.
-FLUSH, CLASSES = 3_000_000, 500_000
+FLUSH, CLASSES = 2_000_000, 500_000
 #: Bits of the filter of classes that have postings in common with others: fixed, 4 MB.
 FILTER_BITS = 1 << 25
 #: Probes of one leader that go to one block.
@@ -160,7 +160,7 @@ def frequent_stage(most: int):
 def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted count keys of the most frequent shingles, and their counts: at most MOST."""
     parts = ranges_for(docs)
-    found = docs.select("text").mapInArrow(count_stage(parts), COUNTS).groupBy("part").applyInArrow(frequent_stage(max(1, MOST // parts)), "key binary, n binary").collect()
+    found = docs.select("text").mapInArrow(frugal(count_stage(parts)), COUNTS).groupBy("part").applyInArrow(frugal_group(frequent_stage(max(1, MOST // parts))), "key binary, n binary").collect()
     key = np.concatenate([np.frombuffer(r["key"], np.uint64) for r in found] or [np.empty(0, np.uint64)])
     n = np.concatenate([np.frombuffer(r["n"], np.int64) for r in found] or [np.empty(0, np.int64)])
     order = np.argsort(key)
@@ -361,7 +361,7 @@ def probed(pairs: DataFrame, texts: DataFrame, blocks: int) -> DataFrame:
     leads = pairs.select("a", "star").distinct()
     sides = pairs.select("a", "star", "b").unionByName(leads.select("a", "star", F.col("a").alias("b")))
     full = sides.join(texts.withColumnRenamed("cls", "b"), "b").select(block, "a", "star", "b", "words")
-    return stored(full.groupBy("block").applyInArrow(probe_stage, "a long, b long, same long, united long").distinct())
+    return stored(full.groupBy("block").applyInArrow(frugal_group(probe_stage), "a long, b long, same long, united long").distinct())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -416,7 +416,7 @@ def in_blocks(lists: DataFrame, texts: DataFrame) -> DataFrame:
     strangers = spread.where("root <> main").select("family", "cls", "root", F.lit(0).alias("side"), block("rows").alias("i"), upto("columns").alias("j"))
     everyone = spread.select("family", "cls", "root", F.lit(1).alias("side"), upto("rows").alias("i"), block("columns").alias("j"))
     cells = strangers.unionByName(everyone).join(texts, "cls")
-    return stored(cells.groupBy("family", "i", "j").applyInArrow(block_stage, "a long, b long"))
+    return stored(cells.groupBy("family", "i", "j").applyInArrow(frugal_group(block_stage), "a long, b long"))
 
 
 def first_pivots(probes: DataFrame) -> DataFrame:
@@ -435,9 +435,9 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     parts = ranges_for(docs)
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
     known = spark.sparkContext.broadcast(frequent(docs))
-    lists = stored(docs.select("text").mapInArrow(posting_stage(parts, known), POSTS).groupBy("part").applyInArrow(list_stage, LISTS))
+    lists = stored(docs.select("text").mapInArrow(frugal(posting_stage(parts, known)), POSTS).groupBy("part").applyInArrow(frugal_group(list_stage), LISTS))
     chosen = spark.sparkContext.broadcast(class_filter(lists))
-    classes = stored(keyed.mapInArrow(class_stage(chosen), "key long, doc_id long, cls long, n_shingles long, words binary"))
+    classes = stored(keyed.mapInArrow(frugal(class_stage(chosen)), "key long, doc_id long, cls long, n_shingles long, words binary"))
     texts = classes.where("words is not null").groupBy("cls").agg(F.first("words").alias("words"))
 
     best = F.struct("core", -F.col("cls"))

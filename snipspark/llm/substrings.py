@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, WordHashes, hashed_words, joined, pieces, planes, ranges_for, text_bytes, window_hashes
+from .common import U64, WordHashes, frugal, frugal_group, frugal_groups, hashed_words, joined, pieces, planes, ranges_for, text_bytes, window_hashes
 
 WIDTH = 20
 #: A perfect difference cover.
@@ -267,13 +267,13 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     parts, buckets = ranges_for(docs), ranges_for(docs, 4 << 20)
     rest = F.struct(*(c for c in docs.columns if c != "text")).alias("rest")
     numbered = docs.select("doc_id", "text", rest, F.xxhash64("doc_id", "text").alias("uid"))
-    anchors = numbered.select("uid", "text").mapInArrow(anchor_stage(parts, width), ANCHORS)
-    flags = anchors.groupBy("part").applyInArrow(repeated_stage(buckets), FLAGS)
+    anchors = numbered.select("uid", "text").mapInArrow(frugal(anchor_stage(parts, width)), ANCHORS)
+    flags = anchors.groupBy("part").applyInArrow(frugal_group(repeated_stage(buckets)), FLAGS)
     placed = numbered.withColumn("bucket", F.col("uid").bitwiseAND(buckets - 1).cast("int")).repartition("bucket")
-    windows = placed.groupBy("bucket").cogroup(flags.groupBy("bucket")).applyInArrow(window_stage(parts, width), WINDOWS)
-    later = windows.groupBy("part").applyInArrow(later_stage, LATER)
+    windows = placed.groupBy("bucket").cogroup(flags.groupBy("bucket")).applyInArrow(frugal_groups(window_stage(parts, width)), WINDOWS)
+    later = windows.groupBy("part").applyInArrow(frugal_group(later_stage), LATER)
     schema = T.StructType([T.StructField("rest", numbered.schema["rest"].dataType), T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
-    return placed.groupBy("bucket").cogroup(later.groupBy("bucket")).applyInArrow(removal_stage(width), schema)
+    return placed.groupBy("bucket").cogroup(later.groupBy("bucket")).applyInArrow(frugal_groups(removal_stage(width)), schema)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
