@@ -114,6 +114,13 @@ def joined(blobs, dtype) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty(0, dtype)
 
 
+def taken(found: list[np.ndarray]) -> np.ndarray:
+    """The arrays end to end; the list is emptied, so that its arrays are free."""
+    whole = np.concatenate(found)
+    found.clear()
+    return whole
+
+
 def flat(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     """All of lo[i] .. lo[i] + n[i] - 1, end to end."""
     total = int(n.sum())

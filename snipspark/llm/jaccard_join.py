@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, WordHashes, flat, frugal, frugal_group, hashed_words, joined, mixed, pieces, planes, ranges_for, stored, text_bytes, window_hashes
+from .common import U64, WordHashes, flat, frugal, frugal_group, hashed_words, joined, mixed, pieces, planes, ranges_for, stored, taken, text_bytes, window_hashes
 from .decontaminate import sized
 from .substrings import by_part, rows, runs
 
@@ -56,6 +56,8 @@ FREQUENT, MOST = 8, 1 << 20
 COUNT_BITS = 36
 #: Shingles, and classes, that a task gathers before it sends them.
 FLUSH, CLASSES = 2_000_000, 500_000
+#: Entries of the rows that leave a task at once.
+SENT = 500_000
 #: Bits of the filter of classes that have postings in common with others: fixed, 4 MB.
 FILTER_BITS = 1 << 25
 #: Probes of one leader that go to one block.
@@ -113,7 +115,7 @@ def count_stage(parts: int):
     bits = parts.bit_length() - 1
 
     def flush(found):
-        key, n = np.unique(np.concatenate(found), return_counts=True)
+        key, n = np.unique(taken(found), return_counts=True)
         out = []
         for p, s in by_part((key >> U64(COUNT_BITS - bits)).astype(np.int64)):
             out.append((p, planes(np.diff(key[s], prepend=U64(0))), planes(np.minimum(n[s], 0xFFFFFFFF).astype(np.uint32))))
@@ -134,7 +136,7 @@ def count_stage(parts: int):
                 count += len(w)
                 if count >= FLUSH or len(seen) >= CLASSES:
                     yield from flush(found).to_batches()
-                    found, count, seen = [], 0, set()
+                    count, seen = 0, set()
         if count:
             yield from flush(found).to_batches()
 
@@ -177,14 +179,23 @@ def posting_stage(parts: int, known):
     bits = parts.bit_length() - 1
 
     def flush(found):
-        key, cls, size, core = (np.concatenate(x) for x in zip(*found))
+        key, cls, size, core = (taken(x) for x in found)
         order = np.argsort(key, kind="stable")
         key, cls, size, core = key[order], cls[order], size[order], core[order]
-        return rows(POSTS, [(p, planes(key[s]), planes(cls[s]), planes(size[s]), core[s].tobytes()) for p, s in by_part((key >> U64(64 - bits)).astype(np.int64))])
+        del order
+        out, count = [], 0
+        for p, s in by_part((key >> U64(64 - bits)).astype(np.int32)):
+            out.append((p, planes(key[s]), planes(cls[s]), planes(size[s]), core[s].tobytes()))
+            count += s.stop - s.start
+            if count >= SENT:
+                yield from rows(POSTS, out).to_batches()
+                out, count = [], 0
+        if out:
+            yield from rows(POSTS, out).to_batches()
 
     def stage(batches):
         often, times = known.value
-        memo, seen, found, count = WordHashes(), set(), [], 0
+        memo, seen, found, count = WordHashes(), set(), ([], [], [], []), 0
         for b in batches:
             texts = text_bytes(b.column("text"))
             for lo, hi in pieces(texts):
@@ -210,13 +221,14 @@ def posting_stage(parts: int, known):
                 place = np.arange(len(w)) - np.repeat(at[:-1], n)
                 short = place < np.repeat(n - least_shared(n) + 1, n)
                 own = doc[short]
-                found.append((w[short], np.array(names, np.int64)[own], n[own].astype(np.uint32), core[own]))
+                for gathered, x in zip(found, (w[short], np.array(names, np.int64)[own], n[own].astype(np.uint32), core[own])):
+                    gathered.append(x)
                 count += len(own)
                 if count >= FLUSH or len(seen) >= CLASSES:
-                    yield from flush(found).to_batches()
-                    seen, found, count = set(), [], 0
+                    yield from flush(found)
+                    seen, count = set(), 0
         if count:
-            yield from flush(found).to_batches()
+            yield from flush(found)
 
     return stage
 

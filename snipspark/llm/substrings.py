@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, WordHashes, frugal, frugal_group, frugal_groups, hashed_words, joined, pieces, planes, ranges_for, text_bytes, window_hashes
+from .common import U64, WordHashes, frugal, frugal_group, frugal_groups, hashed_words, joined, pieces, planes, ranges_for, taken, text_bytes, window_hashes
 
 WIDTH = 20
 #: A perfect difference cover.
@@ -34,6 +34,8 @@ PERIOD, COVER = 13, (0, 1, 3, 9)
 OTHER_BASE = 0xD6E8FEB86659FD93
 #: Entries that a task gathers before it sends them.
 FLUSH = 3_000_000
+#: Entries of the rows that leave a task at once.
+SENT = 500_000
 #: Entries of a block that only passes through.
 BLOCK = 50_000
 
@@ -73,21 +75,28 @@ def anchor_stage(parts: int, width: int):
     covered = np.isin(np.arange(PERIOD), COVER)
 
     def flush(keys, refs, places):
-        key, ref, pos = np.concatenate(keys), np.concatenate(refs), np.concatenate(places)
+        key, ref, pos = taken(keys), taken(refs), taken(places)
         order = np.argsort(key, kind="stable")
         key, ref, pos = key[order], ref[order], pos[order]
+        del order
         starts, n = runs(key)
-        again = np.repeat(n > 1, n)
-        first = pos[starts] | ((n > 1).astype(np.uint32) << np.uint32(31))
-        own, rref = key[starts], ref[starts]
-        part = (own >> U64(64 - bits)).astype(np.int64)
-        low = own >> U64(64 - bits - 40) & U64((1 << 40) - 1)
-        out = [(p, False, planes(low[s]), planes(rref[s]), planes(first[s])) for p, s in by_part(part)]
-        again = np.flatnonzero(again)
+        again = np.flatnonzero(np.repeat(n > 1, n))
         for i in range(0, len(again), BLOCK):
             here = again[i : i + BLOCK]
-            out.append((int(key[here[0]] % U64(parts)), True, b"", planes(ref[here]), planes(pos[here])))
-        return rows(ANCHORS, out)
+            yield from rows(ANCHORS, [(int(key[here[0]] % U64(parts)), True, b"", planes(ref[here]), planes(pos[here]))]).to_batches()
+        ref, pos = ref[starts], pos[starts] | ((n > 1).astype(np.uint32) << np.uint32(31))
+        key = key[starts]
+        del starts, n, again
+        out, count = [], 0
+        for p, s in by_part((key >> U64(64 - bits)).astype(np.int32)):
+            low = key[s] >> U64(64 - bits - 40) & U64((1 << 40) - 1)
+            out.append((p, False, planes(low), planes(ref[s]), planes(pos[s])))
+            count += len(low)
+            if count >= SENT:
+                yield from rows(ANCHORS, out).to_batches()
+                out, count = [], 0
+        if out:
+            yield from rows(ANCHORS, out).to_batches()
 
     def stage(batches):
         memo, keys, refs, places, count = WordHashes(), [], [], [], 0
@@ -105,10 +114,10 @@ def anchor_stage(parts: int, width: int):
                 places.append(pos[here].astype(np.uint32))
                 count += len(here)
                 if count >= FLUSH:
-                    yield from flush(keys, refs, places).to_batches()
-                    keys, refs, places, count = [], [], [], 0
+                    yield from flush(keys, refs, places)
+                    count = 0
         if count:
-            yield from flush(keys, refs, places).to_batches()
+            yield from flush(keys, refs, places)
 
     return stage
 
