@@ -23,6 +23,8 @@ U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 MASK64 = (1 << 64) - 1
+#: Spark's bound on the bytes of an Arrow batch, and the one that text stages set.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 class WordHashes(dict):
@@ -169,6 +171,14 @@ def frugal_groups(stage):
     return run
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches between the JVM and Python workers by bytes, so that what both hold of a task's input doesn't
+    grow with its rows or their lengths (a single longer row is a batch of its own). A bound that the session has stays;
+    ours stays set, as it counts when a plan runs, not when it is made. Results don't depend on it."""
+    if spark.conf.get(BATCH_KEY, None) is None:
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
+
+
 def input_bytes(df: DataFrame) -> int:
     """The planner's estimate of the input's size."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, WordHashes, flat, frugal, frugal_group, hashed_words, joined, mixed, pieces, planes, ranges_for, stored, taken, text_bytes, window_hashes
+from .common import U64, WordHashes, flat, frugal, frugal_group, hashed_words, joined, mixed, pieces, planes, ranges_for, small_batches, stored, taken, text_bytes, window_hashes
 from .decontaminate import sized
 from .substrings import by_part, rows, runs
 
@@ -444,6 +444,7 @@ def first_pivots(probes: DataFrame) -> DataFrame:
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """For each row: key (a hash of its text), doc_id, cls (its class; null without words), n_shingles, component_id."""
     spark = docs.sparkSession
+    small_batches(spark)
     parts = ranges_for(docs)
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
     known = spark.sparkContext.broadcast(frequent(docs))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, text_bytes
+from .common import pieces, small_batches, text_bytes
 
 UND = "und"
 DIMS = 1 << 14
@@ -222,6 +222,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """row (a struct of all columns), lang_pred and score, for each row of docs; only text is looked at."""
+    small_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(model)
     given = docs.select(F.struct(*docs.columns).alias("row"), "text")
     row = given.schema["row"].dataType.simpleString()

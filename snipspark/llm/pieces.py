@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, pieces as ranges, text_bytes
+from .common import flat, pieces as ranges, small_batches, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -259,6 +259,7 @@ def decode(ids: np.ndarray, count: np.ndarray, v: Vocabulary) -> list[bytes]:
 
 def tokenised(docs: DataFrame, model: str = MODEL, tokens: bool = False) -> DataFrame:
     """For each row: doc_id, n_tokens, ids_sha256 (of the ids as 4-byte little-endian numbers), round_trip; with tokens also the ids."""
+    small_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(Vocabulary(model))
 
     def stage(batches):

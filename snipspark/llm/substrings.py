@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, WordHashes, frugal, frugal_group, frugal_groups, hashed_words, joined, pieces, planes, ranges_for, taken, text_bytes, window_hashes
+from .common import U64, WordHashes, frugal, frugal_group, frugal_groups, hashed_words, joined, pieces, planes, ranges_for, small_batches, taken, text_bytes, window_hashes
 
 WIDTH = 20
 #: A perfect difference cover.
@@ -273,6 +273,7 @@ def removal_stage(width: int):
 
 def dedup_substrings(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """For each row: rest (a struct of all columns but text), kept (the text; if words were removed, the others joined by one space), n_words, n_removed, kept_sha256 (of the kept words joined by one space)."""
+    small_batches(docs.sparkSession)
     parts, buckets = ranges_for(docs), ranges_for(docs, 4 << 20)
     rest = F.struct(*(c for c in docs.columns if c != "text")).alias("rest")
     numbered = docs.select("doc_id", "text", rest, F.xxhash64("doc_id", "text").alias("uid"))

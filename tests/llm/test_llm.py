@@ -15,7 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from snipspark.llm import chat, decontaminate, jaccard_join, langid, pieces, quality, sharding, substrings, toxicity, warc
+from snipspark.llm import chat, common, decontaminate, jaccard_join, langid, pieces, quality, sharding, substrings, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, uid string, bucket int"
 WORD1 = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -135,6 +135,26 @@ def test_substrings(docs, nothing):
     assert substrings.dedup_substrings(nothing).count() == 0
 
 
+def test_small_batches_change_nothing(spark, docs):
+    """Batches of any size give the same rows; a bound that the session has stays."""
+    before = spark.conf.get(common.BATCH_KEY, None)
+    results = []
+    try:
+        for bound in (2000, 64 << 20):
+            spark.conf.set(common.BATCH_KEY, str(bound))
+            common.small_batches(spark)
+            assert spark.conf.get(common.BATCH_KEY) == str(bound)
+            results.append([multiset(substrings.dedup_substrings(docs).drop("rest").collect()), multiset(jaccard_join.jaccard_join(docs).collect()), multiset(pieces.tokenised(docs, tokens=True).drop("ids").collect())])
+        spark.conf.unset(common.BATCH_KEY)
+        common.small_batches(spark)
+        assert spark.conf.get(common.BATCH_KEY) == str(common.BATCH_BYTES)
+    finally:
+        spark.conf.unset(common.BATCH_KEY)
+        if before is not None:
+            spark.conf.set(common.BATCH_KEY, before)
+    assert results[0] == results[1]
+
+
 def shingles(t):
     w = lowered(t or "").encode().split()
     return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
