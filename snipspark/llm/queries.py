@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard_join, langid, pieces, quality, sharding, substrings, toxicity, warc
+from . import chat, decontaminate, fim, hard_negatives, jaccard_join, langid, near_vectors, pieces, quality, sharding, substrings, toxicity, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_sharding": sharding.op8,
     "op9_sentencepiece": pieces.op9,
     "op10_warc": warc.op10,
+    "op11_hard_negatives": hard_negatives.op11,
+    "op12_fill_in_middle": fim.op12,
+    "op13_near_vectors": near_vectors.op13,
 }
 ORACLE = {
     "op1_decontaminate": decontaminate.ORACLE_OP1,
@@ -23,4 +26,7 @@ ORACLE = {
     "op6_chat_formatting": chat.ORACLE_OP6,
     "op7_jaccard_join": jaccard_join.ORACLE_OP7,
     "op10_warc": warc.ORACLE_OP10,
+    "op11_hard_negatives": hard_negatives.ORACLE_OP11,
+    "op12_fill_in_middle": fim.ORACLE_OP12,
+    "op13_near_vectors": near_vectors.ORACLE_OP13,
 }
