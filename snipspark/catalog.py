@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions import vectors as V
-from .operators import budget, compress, graph, ranking, search, tables
+from .operators import budget, compress, graph, keyword, ranking, search, tables
+from .operators.vector_index import VectorStore
+from .sources.scratch import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -75,14 +77,18 @@ def doc_frequency(spark, sf_dir):
 
 @query(f"WITH {BM25} SELECT query_id, doc_id, r AS rank, s AS bm25 FROM (SELECT query_id, doc_id, round(bm25, 6) AS s, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, doc_id) AS r FROM m) WHERE r <= 10")
 def bm25_topk(spark, sf_dir):
-    scored = search.bm25(search.held(words(spark, sf_dir)), asked(spark, sf_dir)).withColumn("bm25", F.round("bm25", 6))
-    return search.top_k(scored, "query_id", "bm25", "doc_id", 10)
+    return keyword.keyword_top(search.held(words(spark, sf_dir)), asked(spark, sf_dir), 10)
+
+
+@query()
+def bm25_blocks(spark, sf_dir):
+    """For each query the blocks of documents that hold a term of it, and those that were read for its best 10."""
+    return keyword.Keyword(search.held(words(spark, sf_dir)), asked(spark, sf_dir)).top(10)[1]
 
 
 @query(f"WITH {BM25} SELECT query_id, doc_id, r AS rank, s AS bm25 FROM (SELECT query_id, doc_id, round(bm25, 6) AS s, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, doc_id) AS r FROM m JOIN documents USING (doc_id) WHERE lang = 'fr') WHERE r <= 10")
 def bm25_lang_filtered(spark, sf_dir):
-    scored = search.bm25(search.held(words(spark, sf_dir, "lang")), asked(spark, sf_dir), where=F.col("lang") == "fr").withColumn("bm25", F.round("bm25", 6))
-    return search.top_k(scored, "query_id", "bm25", "doc_id", 10)
+    return keyword.keyword_top(search.held(words(spark, sf_dir, "lang")), asked(spark, sf_dir), 10, where=F.col("lang") == "fr")
 
 
 @query(f"WITH {BM25} SELECT query_id, round(greatest(max(bm25), 1), 6) AS best FROM m GROUP BY query_id")
@@ -117,6 +123,49 @@ def vector_topk_within(spark, sf_dir):
     return search.nearest_within(v, queries, "vec_id", "query_id", "label", 5, "embedding")
 
 
+EXACT = f"SELECT query_id, vec_id, s AS cosine, r AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, round({COSINE}, 6) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COSINE}, 6) DESC, v.vec_id) AS r FROM {{v}} v, embeddings q WHERE q.vec_id % 100 = 0) WHERE r <= 10"
+
+
+def vector_store(spark, sf_dir):
+    """The vectors by cell, in a new folder."""
+    store = VectorStore(spark, scratch(spark, "vectors"), "long", "array<float>")
+    store.build(read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.create_map(F.lit("label"), F.col("label").cast("string")).alias("meta")))
+    return store
+
+
+def store_queries(spark, sf_dir):
+    return vector_queries(read(spark, sf_dir, "embeddings")).withColumnRenamed("embedding", "vector")
+
+
+@query(EXACT.format(v="embeddings"))
+def vector_topk_full_probe(spark, sf_dir):
+    return vector_store(spark, sf_dir).search(store_queries(spark, sf_dir), "query_id", 10).select("query_id", F.col("id").alias("vec_id"), "cosine", "rank")
+
+
+@query()
+def vector_topk_ivf(spark, sf_dir):
+    """For each query the true 10 nearest, how many of them the nearest cells hold, and how many cells were read of how many."""
+    store, queries = vector_store(spark, sf_dir), store_queries(spark, sf_dir)
+    probes = store.tuned(queries, "query_id", 10)
+    near = store.search(queries, "query_id", 10, probes).select("query_id", "id")
+    exact = search.nearest(read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), queries, "id", "query_id", 10)
+    return tables.recall_of(exact, near, "query_id", "id").select("query_id", "expected", "hit", "recall", F.lit(probes).alias("read"), F.lit(len(store.centres())).alias("cells"))
+
+
+#: A store after rows divisible by 5 were deleted and those divisible by 7 turned round.
+CHANGED = "(SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN list_transform(embedding, lambda c: -c) ELSE embedding END AS embedding, label FROM embeddings WHERE vec_id % 5 <> 0 OR vec_id % 7 = 0)"
+
+
+@query(EXACT.format(v=CHANGED + " ").replace("WHERE q.vec_id % 100 = 0", "WHERE q.vec_id % 100 = 0 AND v.label < 5"))
+def vector_store_changes(spark, sf_dir):
+    store = vector_store(spark, sf_dir)
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.create_map(F.lit("label"), F.col("label").cast("string")).alias("meta"))
+    store.delete(rows.where("id % 5 = 0"))
+    store.upsert(rows.where("id % 7 = 0").withColumn("vector", F.transform("vector", lambda c: -c)))
+    found = store.search(store_queries(spark, sf_dir), "query_id", 10, where=F.expr("int(meta['label']) < 5"))
+    return found.select("query_id", F.col("id").alias("vec_id"), "cosine", "rank")
+
+
 @query("SELECT label, count(*) AS n, round(avg(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))), 6) AS mean_norm FROM embeddings GROUP BY label")
 def embedding_norms(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(V.norm(F.col("embedding"))), 6).alias("mean_norm"))
@@ -301,8 +350,7 @@ CANDIDATES = f"""{BM25}, b AS (SELECT query_id, doc_id, row_number() OVER (PARTI
 
 def candidates(spark, sf_dir):
     """The 30 documents that the keyword search finds for each item, with the facts of a request made up from their numbers."""
-    found = search.bm25(search.held(words(spark, sf_dir)), asked(spark, sf_dir)).withColumn("bm25", F.round("bm25", 6))
-    found = search.top_k(found, "query_id", "bm25", "doc_id", 30).select("query_id", "doc_id", (1 / (1 + F.col("rank"))).alias("semantic"))
+    found = keyword.keyword_top(search.held(words(spark, sf_dir)), asked(spark, sf_dir), 30).select("query_id", "doc_id", (1 / (1 + F.col("rank"))).alias("semantic"))
     d = found.join(read(spark, sf_dir, "documents").drop("text"), "doc_id")
     return d.select(
         "query_id", "doc_id", F.col("source").alias("file_path"), (F.col("n_chars") % 300).alias("start_line"), F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")).alias("current_file"), ((F.col("query_id") * 7) % 300).alias("cursor_line"),
@@ -322,34 +370,31 @@ def rank_topk(spark, sf_dir):
     return search.top_k(x, "query_id", "score", "doc_id", 20).select("query_id", "doc_id", rounded("score"), "rank")
 
 
-@query("SELECT path FROM (VALUES ('src/a.ts'), ('docs/x y.md')) v(path)")
-def git_diff_files(spark, sf_dir):
-    diff = "--- a/src/a.ts\n+++ b/src/a.ts\n@@ -1 +1 @@\n+x\n--- /dev/null\n+++ b/docs/x y.md\n+++ b/src/a.ts"
-    return spark.createDataFrame([(diff,)], "diff string").select(F.explode(T.diff_files(F.col("diff"))).alias("path"))
-
-
 # budgets
 ITEMS = "x AS (SELECT source AS query_id, doc_id, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens, 1.0 / (1 + doc_id % 17) AS score, row_number() OVER (PARTITION BY source ORDER BY 1.0 / (1 + doc_id % 17) DESC, doc_id) AS rank FROM documents)"
 
 
 def items(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), "doc_id", T.estimated_tokens(F.col("text")).alias("tokens"), (1.0 / (1 + F.col("doc_id") % 17)).alias("score"))
-    return search.top_k(d, "query_id", "score", "doc_id", 1 << 30)
+    return read(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), "doc_id", T.estimated_tokens(F.col("text")).alias("tokens"), (1.0 / (1 + F.col("doc_id") % 17)).alias("score"))
+
+
+def best_first():
+    return [F.col("score").desc(), F.col("doc_id")]
 
 
 @query(f"WITH {ITEMS} SELECT query_id, doc_id, CAST(run AS BIGINT) AS run FROM (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS run FROM x) WHERE run <= 5000")
 def budget_fill(spark, sf_dir):
-    return budget.fill(items(spark, sf_dir), "query_id", 5000).select("query_id", "doc_id", "run")
+    return budget.fill(items(spark, sf_dir), "query_id", 5000, best_first()).select("query_id", "doc_id", "run")
 
 
 @query(f"WITH {ITEMS}, y AS (SELECT *, rank - 1 AS i, first_value(score) OVER w AS top, sum(tokens) OVER w AS run FROM x WINDOW w AS (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING)), z AS (SELECT *, i < 20 AND run <= 8000 AND NOT (top > 0 AND ((score / top < 0.35 AND i >= 3) OR (score / top < 0.2 AND i >= 1))) AS ok FROM y), k AS (SELECT *, min(CAST(ok AS INTEGER)) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS keep FROM z), a AS (SELECT *, max(keep) OVER (PARTITION BY query_id) AS kept FROM k) SELECT query_id, doc_id, CAST(run AS BIGINT) AS run FROM a WHERE keep = 1 OR (i = 0 AND kept = 0)")
 def adaptive_select(spark, sf_dir):
-    return budget.adaptive(items(spark, sf_dir), "query_id", 1000).select("query_id", "doc_id", "run")
+    return budget.adaptive(items(spark, sf_dir), "query_id", 1000, order=best_first()).select("query_id", "doc_id", "run")
 
 
 @query(f"WITH {ITEMS} SELECT query_id, CAST(sum(tokens) AS BIGINT) AS total_tokens, round(sum(tokens) / 5000, 6) AS utilisation FROM (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS run FROM x) WHERE run <= 5000 GROUP BY query_id")
 def budget_utilisation(spark, sf_dir):
-    return budget.utilisation(budget.fill(items(spark, sf_dir), "query_id", 5000), "query_id", 5000).select("query_id", "total_tokens", rounded("utilisation"))
+    return budget.utilisation(budget.fill(items(spark, sf_dir), "query_id", 5000, best_first()), "query_id", 5000).select("query_id", "total_tokens", rounded("utilisation"))
 
 
 # compression
@@ -561,4 +606,4 @@ def context_pipeline(spark, sf_dir):
     c = found.withColumns({"open_files": F.array(F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string"))), "recent_edits": none.cast("array<string>"), "git_diff": none.cast("string"), "current_file": none.cast("string"), "cursor_line": none.cast("int"), "start_line": F.lit(0), "distance": none.cast("int"), "in_degree": F.col("doc_id") % 5, "indexed_at_ms": none.cast("long")})
     ranked = ranking.rank(c, "query_id", "doc_id", AS_OF).withColumn("score", F.round("score", 6)).drop("rank")
     best = search.top_k(ranked, "query_id", "score", "doc_id", 20).withColumn("tokens", T.estimated_tokens(F.col("text")))
-    return budget.fill(best, "query_id", 4000).select("query_id", "doc_id", "rank", "score", "run")
+    return budget.fill(best, "query_id", 4000, few=True).select("query_id", "doc_id", "rank", "score", "run")

@@ -1,14 +1,20 @@
-"""Queries over code: a project made from the pages table (a file, a symbol, an import and a reference for each page), and
-small sources written here, whose rows the SQL states one by one."""
+"""Queries over code: a project made from the pages table (a file, a symbol, an import and a reference for each page), names,
+hierarchies, the cache and the store over the other tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from .catalog import BM25, EDGES, asked, key_edges, near_sql, query, read, seeds, words
-from .operators import graph, ranking, search, tables
-from .sources import parsing
-from .sources.files import Rules
+from .functions import bpe
+from .operators import graph, hierarchy, names, ranking, search, tables
+from .operators.keyword import keyword_top
+from .sources.scratch import scratch
+from .sources.store import Store
+from .streaming import cache
+
+#: Ranks of a public byte-pair vocabulary; a parameter of what counts with it.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 #: A page's file, and the places that its import names: by page_id modulo 4 a neighbour in its folder, a file of another folder under the
 #: extension it is compiled to, a folder with an index file, or a package.
@@ -53,7 +59,7 @@ def graph_nodes(spark, sf_dir):
  UNION ALL SELECT 'file:' || path, 'sym' || other, 'imports' FROM t WHERE other IS NOT NULL UNION ALL SELECT 'sym' || p.i, 'sym' || q.i, CASE WHEN p.i % 2 = 1 THEN 'calls' ELSE 'references' END FROM p JOIN p q ON q.i = p.i + 3"""
 )
 def graph_built(spark, sf_dir):
-    return graph.edges(*project(spark, sf_dir))
+    return graph.edges(*project(spark, sf_dir)).drop("file_path")
 
 
 def references(spark, sf_dir):
@@ -79,8 +85,7 @@ FOUND = f"{BM25}, b AS (SELECT query_id, doc_id, s, row_number() OVER (PARTITION
 
 @query(f"WITH {FOUND}, u AS (SELECT query_id, doc_id, s AS semantic, 0 AS origin FROM b WHERE r <= 10 UNION ALL SELECT DISTINCT query_id, doc_id + 1, 0.3, 1 FROM b WHERE r <= 10) SELECT query_id, doc_id, CAST(arg_min(semantic, origin) AS DOUBLE) AS semantic, min(origin) AS origin FROM u GROUP BY query_id, doc_id")
 def candidate_union(spark, sf_dir):
-    scored = search.bm25(search.held(words(spark, sf_dir)), asked(spark, sf_dir)).withColumn("bm25", F.round("bm25", 6))
-    found = search.top_k(scored, "query_id", "bm25", "doc_id", 10).select("query_id", "doc_id", F.col("bm25").alias("semantic"))
+    found = keyword_top(search.held(words(spark, sf_dir)), asked(spark, sf_dir), 10).select("query_id", "doc_id", F.col("bm25").alias("semantic"))
     return ranking.candidate_union(found, found.select("query_id", (F.col("doc_id") + 1).alias("doc_id")), "query_id", "doc_id")
 
 
@@ -95,57 +100,96 @@ def graph_distances(spark, sf_dir):
     return ranking.distances(c, reached, "query_id").select("p_partkey", "distance")
 
 
-#: Sources of the parser's queries, one for each way of reading: braces, indentation, headings.
-SOURCES = {
-    "src/cart.ts": ("typescript", 'import { Price } from "./price";\nimport tax from "../tax.js";\n\n/**\n * Holds lines.\n */\nexport class Cart {\n  private total = 0;\n\n  add(line: Line): number {\n    return this.sum(line.price);\n  }\n}\n\ninterface Line { price: Price }\nexport function empty(): Cart {\n  return new Cart();\n}\n'),
-    "lib/shop.py": ("python", "from cart.base import Cart, Line\nimport os\n\n\nclass Shop:\n    def open(self):\n        return Cart(os.name)\n\n\n# closes all\ndef close(shop):\n    shop.close()\n"),
-    "cmd/main.go": ("go", 'package main\n\nimport (\n\t"fmt"\n)\n\ntype Till struct {\n\tn int\n}\n\n// ring\nfunc (t *Till) Ring() {\n\tfmt.Println(t.n)\n}\n'),
-    "docs/use.md": ("markdown", "Intro\n# Start\nRun it.\n## More\nRead.\n"),
-}
+# names
+NAMED = "p AS (SELECT p_partkey AS id, p_name || ' ' || p_partkey AS name, p_brand AS file_path FROM part)"
+
+
+def named_parts(spark, sf_dir):
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text(F.col("p_name"), " ", F.col("p_partkey")).alias("name"), F.col("p_brand").alias("file_path"))
+
+
+@query(f"WITH {NAMED}, i AS (SELECT o_orderkey AS id, 'f' || o_custkey AS file_path, o_orderkey % 97 AS last FROM orders), f AS (SELECT last, arg_min(file_path, (name, id)) AS target_path FROM (SELECT DISTINCT last FROM i) JOIN p ON contains(lower(name), CAST(last AS VARCHAR)) GROUP BY last) SELECT id, file_path, target_path FROM i JOIN f USING (last)")
+def resolve_imports_by_name(spark, sf_dir):
+    """Packages that no file answers to go to the file of the first symbol whose name holds their last part."""
+    symbols = named_parts(spark, sf_dir)
+    imports = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), text("f", F.col("o_custkey")).alias("file_path"), text("@scope/", F.col("o_orderkey") % 97).alias("source"), F.array().cast("array<string>").alias("imported_names"))
+    return graph.resolve_imports(imports, symbols.select(F.col("file_path").alias("path")).distinct(), symbols, by_name=True)
+
+
+@query(f"WITH {NAMED}, q AS (SELECT c_custkey AS query_id, CASE c_custkey % 3 WHEN 0 THEN 'T ' || c_custkey % 50 WHEN 1 THEN CAST(c_custkey AS VARCHAR) ELSE 'GEAR' END AS pattern FROM customer WHERE c_nationkey = 3) SELECT query_id, count(*) AS found, min(id) AS first_id, max(id) AS last_id FROM q JOIN p ON contains(lower(name), lower(pattern)) GROUP BY query_id")
+def symbol_substring(spark, sf_dir):
+    i = F.col("c_custkey")
+    patterns = read(spark, sf_dir, "customer").where("c_nationkey = 3").select(i.alias("query_id"), F.when(i % 3 == 0, text("T ", i % 50)).when(i % 3 == 1, i.cast("string")).otherwise(F.lit("GEAR")).alias("pattern"))
+    return names.symbols_holding(patterns, named_parts(spark, sf_dir)).groupBy("query_id").agg(F.count("*").alias("found"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
+#: Parts under the part of half their number, orders under customers under nations under regions; some parts are their own parents, or each other's.
+TREE = """t AS (SELECT 'r' || r_regionkey AS id, NULL AS parent, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name FROM customer
+ UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey, CAST(o_orderkey AS VARCHAR) FROM orders UNION ALL SELECT 'p' || p_partkey, CASE WHEN p_partkey % 41 = 0 THEN 'p' || p_partkey WHEN p_partkey % 43 = 5 THEN 'p' || (p_partkey + 1) WHEN p_partkey % 43 = 6 THEN 'p' || (p_partkey - 1) WHEN p_partkey > 1 THEN 'p' || CAST(floor(p_partkey / 2) AS BIGINT) END, p_name FROM part)"""
+
+
+@query(f"WITH RECURSIVE {TREE}, w AS (SELECT id, id AS root, CAST(0 AS BIGINT) AS depth, CAST(name AS VARCHAR) AS path FROM t WHERE parent IS NULL OR parent NOT IN (SELECT id FROM t) UNION ALL SELECT t.id, w.root, w.depth + 1, w.path || '.' || t.name FROM t JOIN w ON t.parent = w.id) SELECT t.id, root, depth, path FROM t LEFT JOIN w USING (id)")
+def symbol_paths(spark, sf_dir):
+    region, nation, customer, orders, part = read(spark, sf_dir, "region", "nation", "customer", "orders", "part")
+    row = lambda df, a, key, up, name: df.select(text(a, F.col(key)).alias("id"), up.alias("parent_id"), F.col(name).cast("string").alias("name"))
+    p = F.col("p_partkey")
+    above = F.when(p % 41 == 0, text("p", p)).when(p % 43 == 5, text("p", p + 1)).when(p % 43 == 6, text("p", p - 1)).when(p > 1, text("p", F.floor(p / 2)))
+    rows = row(region, "r", "r_regionkey", F.lit(None).cast("string"), "r_name").unionByName(row(nation, "n", "n_nationkey", text("r", F.col("n_regionkey")), "n_name")).unionByName(row(customer, "c", "c_custkey", text("n", F.col("c_nationkey")), "c_name"))
+    return hierarchy.paths(rows.unionByName(row(orders, "o", "o_orderkey", text("c", F.col("o_custkey")), "o_orderkey")).unionByName(row(part, "p", "p_partkey", above, "p_name")))
 
 
-def parsed(spark, name):
-    files = spark.createDataFrame([(p, *v) for p, v in SOURCES.items()], "path string, language string, content string")
-    return parsing.table(parsing.parse(files), name)
+@query(near_sql(3).replace("(VALUES ('n1'), ('s1'), ('p7')) v(s)", "(SELECT 'p' || p_partkey AS s FROM part)"))
+def graph_neighbors_all(spark, sf_dir):
+    """Three steps from every part."""
+    return graph.neighbours(key_edges(spark, sf_dir), read(spark, sf_dir, "part").select(text("p", F.col("p_partkey")).alias("seed")), 3)
 
 
-SYMBOLS = """(VALUES ('src/cart.ts', 'Cart', 'class', 6, 12, true, '/**' || chr(10) || ' * Holds lines.' || chr(10) || ' */', NULL, 'export class Cart {'),
- ('src/cart.ts', 'add', 'method', 9, 11, true, NULL, 'Cart', 'add(line: Line): number {'), ('src/cart.ts', 'Line', 'interface', 14, 14, false, NULL, NULL, 'interface Line { price: Price }'),
- ('src/cart.ts', 'empty', 'function', 15, 17, true, NULL, NULL, 'export function empty(): Cart {'), ('lib/shop.py', 'Shop', 'class', 4, 6, false, NULL, NULL, 'class Shop:'),
- ('lib/shop.py', 'open', 'method', 5, 6, false, NULL, 'Shop', 'def open(self):'), ('lib/shop.py', 'close', 'function', 10, 11, false, '# closes all', NULL, 'def close(shop):'),
- ('cmd/main.go', 'Till', 'struct', 6, 8, false, NULL, NULL, 'type Till struct {'), ('cmd/main.go', 'Ring', 'method', 11, 13, false, '// ring', NULL, 'func (t *Till) Ring() {'),
- ('docs/use.md', 'Intro', 'section', 0, 0, true, NULL, NULL, 'Intro'), ('docs/use.md', 'Start', 'section', 1, 2, true, NULL, NULL, '# Start'), ('docs/use.md', 'More', 'section', 3, 4, true, NULL, NULL, '## More'))
- s(file_path, name, kind, start_line, end_line, exported, documentation, parent, signature)"""
+# the cache: events are operations on keys made of user numbers; two kinds of errors drop all keys that begin with a number, or all
+OPS = """o AS (SELECT ts, event_id AS seq, CASE WHEN event_type IN ('click', 'purchase') THEN 'set' WHEN event_type = 'view' THEN 'get' WHEN event_type = 'signup' THEN 'has' WHEN user_id % 10 < 7 THEN 'delete' WHEN user_id % 10 < 9 THEN 'invalidate' ELSE 'clear' END AS op,
+ CASE WHEN event_type = 'error' AND user_id % 10 BETWEEN 7 AND 8 THEN 'u' || (user_id % 3 + 1) WHEN event_type = 'error' AND user_id % 10 = 9 THEN NULL ELSE 'u' || user_id END AS key, props AS value, CASE WHEN event_type = 'click' THEN CAST(user_id * 3600000 AS BIGINT) END AS ttl_ms FROM events)"""
+ANSWERS = f"""WITH {OPS}, g AS (SELECT * FROM o WHERE op IN ('get', 'has')), k AS (SELECT ts, seq, key, op, value, ttl_ms FROM o WHERE op IN ('set', 'delete') UNION ALL SELECT w.ts, w.seq, k.key, 'delete', NULL, NULL FROM o w JOIN (SELECT DISTINCT key FROM o WHERE op IN ('set', 'get', 'has', 'delete')) k ON w.op = 'clear' OR (w.op = 'invalidate' AND starts_with(k.key, w.key))),
+ l AS (SELECT g.ts, g.seq, g.op, g.key, arg_max(struct_pack(op := k.op, value := k.value, til := epoch_ms(k.ts) + k.ttl_ms), (k.ts, k.seq)) AS w FROM g LEFT JOIN k ON k.key = g.key AND (k.ts, k.seq) < (g.ts, g.seq) GROUP BY ALL)
+ SELECT seq, op, key, hit, CASE WHEN hit AND op = 'get' THEN w.value END AS value FROM (SELECT *, coalesce(w.op = 'set' AND (w.til IS NULL OR epoch_ms(ts) <= w.til), false) AS hit FROM l)"""
 
 
-@query(f"SELECT file_path, name, kind, start_line, end_line, exported, documentation, parent, signature FROM {SYMBOLS}")
-def parse_symbols(spark, sf_dir):
-    s = parsed(spark, "symbols")
-    outer = s.select(F.col("id").alias("parent_id"), F.col("name").alias("parent"))
-    return s.join(outer, "parent_id", "left").select("file_path", "name", "kind", "start_line", "end_line", "exported", "documentation", "parent", "signature")
+def cache_operations(events):
+    kind, user = F.col("event_type"), F.col("user_id")
+    wide = (kind == "error") & (user % 10 >= 7)
+    op = F.when(kind.isin("click", "purchase"), "set").when(kind == "view", "get").when(kind == "signup", "has").when(~wide, "delete").when(user % 10 < 9, "invalidate").otherwise("clear")
+    key = F.when(wide & (user % 10 < 9), text("u", user % 3 + 1)).when(wide, F.lit(None)).otherwise(text("u", user))
+    return events.select(F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), op.alias("op"), key.alias("key"), F.col("props").alias("value"), F.when(kind == "click", (user * 3600000).cast("long")).alias("ttl_ms"))
 
 
-@query("SELECT file_path, source, names, is_default, line FROM (VALUES ('src/cart.ts', './price', 'Price', false, 0), ('src/cart.ts', '../tax.js', 'tax', true, 1), ('lib/shop.py', 'cart.base', 'Cart,Line', false, 0), ('lib/shop.py', 'os', '', true, 1), ('cmd/main.go', 'fmt', '', false, 3)) i(file_path, source, names, is_default, line)")
-def parse_imports(spark, sf_dir):
-    return parsed(spark, "imports").select("file_path", "source", F.array_join("imported_names", ",").alias("names"), "is_default", "line")
+@query(ANSWERS)
+def cache_replay(spark, sf_dir):
+    return cache.replayed(cache_operations(read(spark, sf_dir, "events"))).drop("at")
 
 
-@query("SELECT file_path, caller, to_name, line FROM (VALUES ('src/cart.ts', 'Cart', 'add', 9), ('src/cart.ts', 'Cart', 'this.sum', 10), ('lib/shop.py', 'Shop', 'open', 5), ('lib/shop.py', 'Shop', 'Cart', 6)) c(file_path, caller, to_name, line)")
-def parse_calls(spark, sf_dir):
-    names = parsed(spark, "symbols").select(F.col("id").alias("from_symbol_id"), F.col("name").alias("caller"))
-    return parsed(spark, "refs").where("kind = 'call'").join(names, "from_symbol_id").select("file_path", "caller", "to_name", "line")
+@query(ANSWERS)
+def cache_live_stream(spark, sf_dir):
+    """The same as a stream over the table's files, until it has read them all."""
+    events = read(spark, sf_dir, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, as a stream's path is a folder or one
+    return cache.answered(cache.cache_stream(cache_operations(stream))).drop("at")
 
 
-LINES = " UNION ALL ".join("SELECT '{}' AS file_path, string_split('{}', chr(10)) AS ls".format(p, v[1].replace("'", "''")) for p, v in SOURCES.items())
+@query()
+def token_counts(spark, sf_dir):
+    """Byte-pair tokens of every document."""
+    count = bpe.token_counter(VOCABULARY)
+    return search.spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", count(F.col("text")).alias("tokens"))
 
 
-@query(f"WITH l AS ({LINES}), c AS (SELECT s.*, '// File: ' || file_path || chr(10) || '// Symbol: ' || name || ' (' || kind || ')' || chr(10) || '// Signature: ' || signature || chr(10) || array_to_string(ls[start_line + 1:end_line + 1], chr(10)) AS content FROM {SYMBOLS} JOIN l USING (file_path)) SELECT file_path, name AS symbol_name, start_line, content, sha256(content) AS hash FROM c")
-def parse_chunks(spark, sf_dir):
-    return parsed(spark, "chunks").select("file_path", "symbol_name", "start_line", "content", "hash")
+#: Documents as children of the files that they came in: some files changed, some went.
+BUCKETED = "SELECT path, sha256(text) AS hash, CAST(doc_id % 5 = 0 AND doc_id % 7 <> 0 AS BOOLEAN) AS new FROM (SELECT *, 'd' || doc_id AS path FROM documents) WHERE doc_id % 7 <> 0"
 
 
-@query("SELECT path, ignored FROM (VALUES ('src/a/b.js', false), ('src/b.js', true), ('a/mygen/x.ts', false), ('a/gen/x.ts', true), ('node_modules/x.js', true), ('lib/keep.min.js', false), ('lib/x.min.js', true), ('pkg/__init__.py', false), ('out/x.ts', true), ('out', false)) v(path, ignored)")
-def ignore_rules(spark, sf_dir):
-    rules = Rules(["node_modules", "src/*.js", "**/gen", "*.min.js", "!keep.min.js", "out/", "# a note", ""])
-    paths = ["src/a/b.js", "src/b.js", "a/mygen/x.ts", "a/gen/x.ts", "node_modules/x.js", "lib/keep.min.js", "lib/x.min.js", "pkg/__init__.py", "out/x.ts", "out"]
-    return spark.createDataFrame([(p, rules.ignored(p)) for p in paths], "path string, ignored boolean")
+@query(BUCKETED)
+def replace_by_bucket(spark, sf_dir):
+    """A store's table after one commit that replaces a fifth of its rows and removes a seventh."""
+    store = Store(spark, scratch(spark, "store"), {"docs": "path string, hash string, new boolean"}, {"docs": "path"})
+    i = F.col("doc_id")
+    docs = read(spark, sf_dir, "documents").select("doc_id", text("d", i).alias("path"), F.sha2("text", 256).alias("hash"))
+    store.commit(whole={"docs": docs.withColumn("new", F.lit(False))})
+    store.commit(replaced={"docs": (docs.where((i % 5 == 0) & (i % 7 != 0)).withColumn("new", F.lit(True)), docs.where((i % 5 == 0) | (i % 7 == 0)).select("path"))})
+    return store.table("docs")

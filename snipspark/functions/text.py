@@ -101,3 +101,13 @@ def fingerprint(text: Column) -> Column:
 def joined_parts(*parts: Column) -> Column:
     """Non-empty parts joined by blanks."""
     return F.concat_ws(" ", *(F.nullif(p, F.lit("")) for p in parts))
+
+
+def cache_key(*parts: Column) -> Column:
+    """The key of a cached result: its kind and what it depends on, joined by colons."""
+    return F.concat_ws(":", *parts)
+
+
+def request_hash(*fields: Column) -> Column:
+    """What tells requests apart: a digest of their fields as JSON, in the order given, nulls included."""
+    return F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+from .names import holding, name_postings
+
 #: Extensions that an import's path is tried with, in this order, also with index files.
 TRIED = [".ts", ".tsx", ".js", ".jsx", ".py", ".go", ".rs", ".java", ".c", ".cpp", ".h", ".hpp"]
 
@@ -27,35 +30,33 @@ def resolved_path(from_file: Column, source: Column) -> Column:
     return F.array_join(F.aggregate(F.split(source, "/"), start, step), "/")
 
 
+def tried_paths(imports: DataFrame) -> DataFrame:
+    """(id, file_path, priority, path): the paths that each relative import may name."""
+    base = imports.where(F.col("source").startswith(".")).select("id", "file_path", resolved_path(F.col("file_path"), F.col("source")).alias("base"))
+    stem = F.regexp_replace("base", r"\.[A-Za-z]+$", "")
+    tried = [F.concat("base", F.lit(e)) for e in TRIED] + [F.concat("base", F.lit(f"/index{e}")) for e in TRIED] + [F.col("base")] + [F.concat(stem, F.lit(e)) for e in TRIED]
+    return base.select("id", "file_path", F.posexplode(F.array(*tried)).alias("priority", "path"))
+
+
 def resolve_imports(imports: DataFrame, files: DataFrame, symbols: DataFrame, by_name: bool = False) -> DataFrame:
     """(id, file_path, target_path): the first existing file of 24 candidates and, so that `./x.js` finds `x.ts`, of the
     path without its own extension. With by_name an unresolved source goes to the file of the first symbol, by name,
     that contains its last segment."""
-    base = imports.where(F.col("source").startswith(".")).select("id", "file_path", resolved_path(F.col("file_path"), F.col("source")).alias("base"))
-    stem = F.regexp_replace("base", r"\.[A-Za-z]+$", "")
-    tried = [F.concat("base", F.lit(e)) for e in TRIED] + [F.concat("base", F.lit(f"/index{e}")) for e in TRIED] + [F.col("base")] + [F.concat(stem, F.lit(e)) for e in TRIED]
-    candidates = base.select("id", "file_path", F.posexplode(F.array(*tried)).alias("priority", "path"))
-    hit = candidates.join(files.select("path"), "path").groupBy("id", "file_path").agg(F.min_by("path", "priority").alias("target_path"))
+    hit = tried_paths(imports).join(files.select("path"), "path").groupBy("id", "file_path").agg(F.min_by("path", "priority").alias("target_path"))
     if not by_name:
         return hit
     left = imports.join(hit.select("id"), "id", "left_anti").select("id", "file_path", F.element_at(F.split("source", "/"), -1).alias("last"))
-    # a substring of a name stands at the head of one of the name's tails, so equal first letters of both make this a
-    # join on keys; names shorter than that head join by what they have
-    head = 3
-    tails = symbols.select("name", F.col("file_path").alias("target_path"), F.col("id").alias("sid"), F.explode(F.sequence(F.lit(1), F.greatest(F.length("name"), F.lit(1)))).alias("at"))
-    tails = tails.withColumn("tail", F.substr(F.lower("name"), F.col("at")))
-    keyed = tails.withColumn("size", F.explode(F.array(*(F.lit(n) for n in range(1, head + 1))))).where(F.length("tail") >= F.col("size"))
-    keyed = keyed.select("name", "target_path", "sid", "tail", F.substr("tail", F.lit(1), F.col("size")).alias("head")).distinct()
-    wanted = left.where("last <> ''").withColumn("last", F.lower("last")).withColumn("head", F.substring("last", 1, head))
-    named = wanted.join(keyed, "head").where(F.expr("startswith(tail, last)"))
-    return hit.unionByName(named.groupBy("id", "file_path").agg(F.min_by("target_path", F.struct("name", "sid")).alias("target_path")))
+    first = symbols.groupBy("name").agg(F.min_by("file_path", "id").alias("target_path"), F.min("id").alias("sid"))
+    found = holding(left, name_postings(symbols), "last").withColumnRenamed("pattern", "last").join(first, "name")
+    best = found.groupBy("last").agg(F.min_by("target_path", F.struct("name", "sid")).alias("target_path"))
+    return hit.unionByName(left.join(best, "last").select("id", "file_path", "target_path"))
 
 
 def resolve_names(refs: DataFrame, symbols: DataFrame, legacy: bool = False) -> DataFrame:
     """(ref_id, symbol_id) for references (ref_id, file_path, name): a symbol of that name in the same file, else the
     first of that name anywhere. With legacy a same-file symbol need only contain the name."""
     s = symbols.select(F.col("id").alias("symbol_id"), F.col("name").alias("sname"), F.col("file_path").alias("sfile"))
-    last = refs.withColumn("short", F.element_at(F.split("name", r"\."), -1))
+    last = refs.withColumn("short", last_part(F.col("name")))
     word = "name" if legacy else "short"
     match = F.expr(f"contains(lower(sname), lower({word}))") if legacy else F.col("sname") == F.col(word)
     local = last.join(s, (F.col("file_path") == F.col("sfile")) & match).groupBy("ref_id").agg(F.min_by("symbol_id", F.struct("sname", "symbol_id")).alias("near"))
@@ -63,38 +64,90 @@ def resolve_names(refs: DataFrame, symbols: DataFrame, legacy: bool = False) ->
     return last.join(local, "ref_id", "left").join(first, F.col(word) == F.col("sname"), "left").select("ref_id", F.coalesce("near", "far").alias("symbol_id")).where("symbol_id is not null")
 
 
-def edges(files: DataFrame, symbols: DataFrame, imports: DataFrame, refs: DataFrame, legacy: bool = False) -> DataFrame:
-    """(from_id, to_id, kind) of the whole graph at once, so that it doesn't depend on any order of files."""
-    contains = symbols.select(file_node(F.col("file_path")).alias("from_id"), F.col("id").alias("to_id"), F.lit("contains").alias("kind"))
+def last_part(name: Column) -> Column:
+    """What a dotted name names."""
+    return F.element_at(F.split(name, r"\."), -1)
+
+
+def affected(touched: DataFrame, names: DataFrame, imports: DataFrame, refs: DataFrame) -> DataFrame:
+    """(file_path) of the files whose links and edges may differ after files were touched: those files, files that may import one of them,
+    and files with a reference to a name that is a symbol there, before or after."""
+    importing = tried_paths(imports).join(touched.withColumnRenamed("file_path", "path"), "path", "left_semi").select("file_path")
+    naming = refs.withColumn("name", last_part(F.col("to_name"))).join(names, "name", "left_semi").select("file_path")
+    return touched.unionByName(importing).unionByName(naming).distinct()
+
+
+def edges(files: DataFrame, symbols: DataFrame, imports: DataFrame, refs: DataFrame, legacy: bool = False, of: DataFrame | None = None) -> DataFrame:
+    """(from_id, to_id, kind, file_path) of the whole graph at once, so that it doesn't depend on any order of files; file_path is the
+    file that an edge comes from. With `of` (file_path) the edges of these files alone; imports and refs are theirs then."""
+    own = symbols if of is None else symbols.join(of, "file_path", "left_semi")
+    contains = own.select(file_node(F.col("file_path")).alias("from_id"), F.col("id").alias("to_id"), F.lit("contains").alias("kind"), "file_path")
     targets = resolve_imports(imports, files, symbols, legacy)
-    to_files = targets.select(file_node(F.col("file_path")).alias("from_id"), file_node(F.col("target_path")).alias("to_id"), F.lit("imports").alias("kind"))
+    to_files = targets.select(file_node(F.col("file_path")).alias("from_id"), file_node(F.col("target_path")).alias("to_id"), F.lit("imports").alias("kind"), "file_path")
     wanted = imports.select("id", F.explode("imported_names").alias("wanted")).join(targets, "id")
     to_symbols = wanted.join(symbols.select(F.col("id").alias("to_id"), "name", F.col("file_path").alias("target_path")), "target_path").where(F.expr("contains(name, wanted)") if legacy else F.col("name") == F.col("wanted"))
-    to_symbols = to_symbols.groupBy("file_path", "id", "wanted").agg(F.min_by("to_id", F.struct((F.col("name") != F.col("wanted")).alias("inexact"), "name", "to_id")).alias("to_id")).select(file_node(F.col("file_path")).alias("from_id"), "to_id", F.lit("imports").alias("kind"))
-    uses = resolve_names(refs.select(F.col("id").alias("ref_id"), "file_path", F.col("to_name").alias("name")), symbols, legacy).join(refs.select(F.col("id").alias("ref_id"), "from_symbol_id", "kind"), "ref_id")
-    uses = uses.where("symbol_id <> from_symbol_id").select(F.col("from_symbol_id").alias("from_id"), F.col("symbol_id").alias("to_id"), F.when(F.col("kind") == "call", "calls").otherwise("references").alias("kind"))
+    to_symbols = to_symbols.groupBy("file_path", "id", "wanted").agg(F.min_by("to_id", F.struct((F.col("name") != F.col("wanted")).alias("inexact"), "name", "to_id")).alias("to_id")).select(file_node(F.col("file_path")).alias("from_id"), "to_id", F.lit("imports").alias("kind"), "file_path")
+    uses = resolve_names(refs.select(F.col("id").alias("ref_id"), "file_path", F.col("to_name").alias("name")), symbols, legacy).join(refs.select(F.col("id").alias("ref_id"), "from_symbol_id", "kind", "file_path"), "ref_id")
+    uses = uses.where("symbol_id <> from_symbol_id").select(F.col("from_symbol_id").alias("from_id"), F.col("symbol_id").alias("to_id"), F.when(F.col("kind") == "call", "calls").otherwise("references").alias("kind"), "file_path")
     return contains.unionByName(to_files).unionByName(to_symbols).unionByName(uses)
 
 
-def neighbours(edges: DataFrame, seeds: DataFrame, depth: int = 1, kinds: list[str] | None = None, limit: int = 100, known: DataFrame | None = None, legacy_precedence: bool = False) -> DataFrame:
-    """(seed, node_id, distance): undirected breadth-first search from each seed (column seed), least distance first, at
-    most `limit` nodes a seed, ties by node. Nodes that `known` (column id) lacks aren't reached. With legacy_precedence
-    the kinds restrict incoming edges only. Each step keeps one row for each seed and node before it goes on."""
+def adjacent(edges: DataFrame, kinds: list[str] | None = None, known: DataFrame | None = None, legacy_precedence: bool = False) -> DataFrame:
+    """(a, b): which nodes are next to which, both ways, once each."""
     allowed = F.col("kind").isin(kinds) if kinds else F.lit(True)
     out = edges if legacy_precedence else edges.where(allowed)
     both = out.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).unionByName(edges.where(allowed).select(F.col("to_id").alias("a"), F.col("from_id").alias("b"))).distinct()
-    if known is not None:
-        both = both.join(known.select(F.col("id").alias("b")), "b", "left_semi")
-    reached = seeds.select("seed", F.col("seed").alias("node_id"), F.lit(0).alias("distance")).distinct()
-    frontier = reached
+    return both if known is None else both.join(known.select(F.col("id").alias("b")), "b", "left_semi")
+
+
+#: Neighbours of a node beyond which they are dealt over several keys; seeds that one number stands for.
+HUB, BITS = 10_000, 64
+
+
+def neighbours(edges: DataFrame, seeds: DataFrame, depth: int = 1, kinds: list[str] | None = None, limit: int = 100, known: DataFrame | None = None, legacy_precedence: bool = False) -> DataFrame:
+    """(seed, node_id, distance): undirected breadth-first search from each seed (column seed), least distance first, at
+    most `limit` nodes a seed, ties by node. Nodes that `known` (column id) lacks aren't reached. With legacy_precedence
+    the kinds restrict incoming edges only.
+
+    Seeds are searched from together: BITS of them are the bits of a number, and a step ors the numbers of all nodes next to a
+    node. A seed that has its `limit` of nodes takes no further step, as farther nodes would come after them. The neighbours of a
+    hub are dealt over several keys."""
+    both = stored(adjacent(edges, kinds, known, legacy_precedence))
+    hubs = stored(both.groupBy("a").agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts")).where("parts > 1"))
+    salted = both.join(hubs, "a", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+
+    # seeds are dealt to groups of about half as many as there are bits and numbered within these: groups that came out larger take two numbers and more
+    given = seeds.select("seed").where("seed is not null").distinct()
+    groups = max(1, -(-given.count() // (BITS // 2)))
+    place = Window.partitionBy("g").orderBy("seed")
+    numbered = given.withColumn("g", F.pmod(F.xxhash64("seed"), F.lit(groups))).withColumn("n", F.row_number().over(place) - 1)
+    numbered = stored(numbered.select("seed", F.struct("g", F.floor(F.col("n") / BITS).alias("part")).alias("block"), (F.col("n") % BITS).cast("int").alias("bit")))
+    one = lambda bit: F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    frontier = numbered.select("block", F.col("seed").alias("node_id"), one(F.col("bit")).alias("bits"))
+    visited, steps = frontier, []
     for step in range(1, depth + 1):
-        found = frontier.join(both, F.col("node_id") == F.col("a")).select("seed", F.col("b").alias("node_id")).distinct()
-        frontier = found.join(reached.select("seed", "node_id"), ["seed", "node_id"], "left_anti").withColumn("distance", F.lit(step))
-        if step > 1:
-            frontier = frontier.persist()
-        reached = reached.unionByName(frontier)
+        spread = frontier.join(hubs.withColumnRenamed("a", "node_id"), "node_id", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+        reached = spread.join(salted, (F.col("node_id") == F.col("a")) & (spread["part"] == salted["part"])).groupBy("block", F.col("b").alias("node_id")).agg(F.bit_or("bits").alias("bits"))
+        seen = visited.withColumnRenamed("bits", "old")
+        new = reached.join(seen, ["block", "node_id"], "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long"))))).where("bits <> 0").drop("old")
+        new = stored(new)
+        steps.append(new.withColumn("distance", F.lit(step)))
+        if step < depth:
+            # a bit for each seed that has enough
+            each = lambda rows: rows.select("block", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1))).alias("bit"), "bits").where(F.expr("bits & shiftleft(1L, bit)") != 0)
+            counts = [each(s).groupBy("block", "bit").agg(F.count("*").alias("c")) for s in steps]
+            total = counts[0]
+            for c in counts[1:]:
+                total = total.unionByName(c)
+            done = total.groupBy("block", "bit").agg(F.sum("c").alias("c")).where(F.col("c") >= limit).groupBy("block").agg(F.bit_or(one(F.col("bit"))).alias("done"))
+            frontier = stored(new.join(done, "block", "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("done", F.lit(0).cast("long"))))).where("bits <> 0").drop("done"))
+            visited = stored(visited.unionByName(new).groupBy("block", "node_id").agg(F.bit_or("bits").alias("bits")))
+    found = steps[0]
+    for s in steps[1:]:
+        found = found.unionByName(s)
+    rows = found.select("block", "node_id", "distance", "bits", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1))).alias("bit")).where(F.expr("bits & shiftleft(1L, bit)") != 0)
     w = Window.partitionBy("seed").orderBy("distance", "node_id")
-    return reached.where("distance > 0").withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit).drop("n")
+    return rows.join(numbered, ["block", "bit"]).select("seed", "node_id", "distance").withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit).drop("n")
 
 
 def in_degree(edges: DataFrame) -> DataFrame:

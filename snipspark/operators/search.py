@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.embedders import LOCAL
 from ..functions.text import search_terms
 from ..functions.vectors import DIMENSIONS, cosine, hash_vectors
+from ..sources.scratch import stored
 
 #: Saturation and length normalisation of BM25.
 K1, B = 1.2, 0.75
@@ -187,11 +188,17 @@ def fused(query: str, key: str, keyword: DataFrame, vector: DataFrame, overlap:
 def hybrid(docs: DataFrame, queries: DataFrame, k: int = 20, key: str = "doc_id", text: str = "text", name: str | None = None, query: str = "query_id", query_text: str = "text", weights: tuple[float, float] = LOCAL, language: str | None = None, strict: bool = False, digits: int = 6) -> DataFrame:
     """(query, key, score, rank): the fused top k. `language` restricts the keyword leg alone, with `strict` all legs.
     Cosines and scores are rounded before they are ranked, so that the order of additions decides no tie."""
+    from .keyword import Keyword, with_others  # which builds on this module
+
     only = F.col("lang") == language if language else None
     kept = held(tokens(docs, key, text, *(["lang"] if language else [])))
     scope = kept.where(only) if language and strict else kept
-    keyword = bm25(kept, queries, key, query, query_text, only)
     wanted = hash_vectors(queries.select(query, search_terms(F.col(query_text)).alias("ts")), query, DIMENSIONS)
     vector = nearest(hash_vectors(scope, key, DIMENSIONS), wanted, key, query, 2 * k, digits=digits)
     overlap = name_overlap(docs.where(only) if language and strict else docs, queries, key, name, query, query_text) if name else None
+    index = Keyword(kept, queries, key, query, query_text, only)
+    vector = stored(vector.select(query, key, "cosine"))
+    keyword = with_others(index, k, vector, *([overlap] if overlap is not None else []))
+    if only is not None:
+        keyword = keyword.join(kept.where(only).select(key), key, "left_semi")
     return top_k(fused(query, key, keyword, vector, overlap, weights).withColumn("score", F.round("score", digits)), query, "score", key, k)

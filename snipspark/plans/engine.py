@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from ..functions.embedders import HashEmbedder
 from ..functions.text import estimated_tokens, joined_parts
 from ..operators import budget, compress, graph, ranking, search, tables
+from ..operators.keyword import Keyword, with_others
 from ..sources import files, parsing
+from ..sources.scratch import stored
 from ..sources.store import Store
 
 REQUEST = "query_id long, task string, current_file string, cursor_line int, open_files array<string>, recent_edits array<string>, git_diff string"
@@ -60,7 +62,8 @@ class Engine:
     # index
     def index(self, source: str, force: bool = False, now_ms: int | None = None) -> dict:
         """Indexes what changed under a folder; children, graph and vectors of changed and removed files are replaced, in
-        one commit. Returns counts, the number of files that couldn't be parsed, and at most ERRORS of their errors."""
+        one commit that writes the buckets of these files alone, and of those whose links and edges may change with them.
+        Returns counts, the number of files that couldn't be parsed, and at most ERRORS of their errors."""
         now_ms = int(time.time() * 1000) if now_ms is None else now_ms
         found = files.scan(self.spark, source, self.rules, self.documents)
         old = self.store.table("files")
@@ -70,18 +73,24 @@ class Engine:
         bad = parsed.where("error is not null")
         errors = [(r["path"], r["error"]) for r in bad.select("path", "error").limit(ERRORS).collect()]
         if stats["indexed"] or stats["removed"]:
-            touched = fresh.select(F.col("path").alias("file_path")).union(gone.select("path")).distinct()
-            kept = lambda name: self.store.table(name).join(touched, "file_path", "left_anti")
-            new = {name: kept(name).unionByName(parsing.table(parsed, name)) for name in ("symbols", "imports", "refs", "chunks")}
-            listed = old.join(touched.withColumnRenamed("file_path", "path"), "path", "left_anti").unionByName(fresh.drop("content").withColumn("indexed_at_ms", F.lit(now_ms)))
-            made = search.held(search.tokens(parsing.table(parsed, "chunks").withColumnRenamed("id", "chunk_id"), "chunk_id", "content", "content", "file_path", "language", "symbol_kind", "symbol_name"))
+            touched = fresh.select(F.col("path").alias("file_path")).union(gone.select("path")).distinct().persist()
+            new = {name: parsing.table(parsed, name) for name in ("symbols", "imports", "refs", "chunks")}
+            now = {name: self.store.table(name).join(touched, "file_path", "left_anti").unionByName(new[name]) for name in ("symbols", "imports", "refs")}
+            files_now = old.join(touched, F.col("path") == F.col("file_path"), "left_anti").select("path").unionByName(fresh.select("path"))
+            listed = fresh.drop("content").withColumn("indexed_at_ms", F.lit(now_ms))
+            made = search.held(search.tokens(new["chunks"].withColumnRenamed("id", "chunk_id"), "chunk_id", "content", "content", "file_path", "language", "symbol_kind", "symbol_name"))
             vectors = self.embedder.embed(made, "chunk_id", "content").join(made.select("chunk_id", "file_path"), "chunk_id").withColumn("provider", F.lit(self.embedder.name))
-            links = graph.resolve_names(new["refs"].select(F.col("id").alias("ref_id"), "file_path", F.col("to_name").alias("name")), new["symbols"])
-            self.store.commit(
-                files=listed, terms=kept("terms").unionByName(made.drop("content")), vectors=kept("vectors").unionByName(vectors), links=links,
-                nodes=graph.nodes(listed, new["symbols"]), edges=graph.edges(listed, new["symbols"], new["imports"], new["refs"]), **new,
-            )
-            made.unpersist()
+            # links and edges change in files that name a symbol of a touched file, before or after, or may import such a file
+            named = self.store.table("symbols").join(touched, "file_path", "left_semi").select("name").union(new["symbols"].select("name")).distinct()
+            affected = graph.affected(touched, named, now["imports"], now["refs"]).persist()
+            of = lambda name: now[name].join(affected, "file_path", "left_semi")
+            links = graph.resolve_names(of("refs").select(F.col("id").alias("ref_id"), "file_path", F.col("to_name").alias("name")), now["symbols"])
+            links = links.join(of("refs").select(F.col("id").alias("ref_id"), "file_path"), "ref_id")
+            edges = graph.edges(files_now, now["symbols"], of("imports"), of("refs"), of=affected)
+            rows = {"files": listed, "terms": made.drop("content"), "vectors": vectors, "nodes": graph.nodes(listed, new["symbols"]), **new}
+            self.store.commit(replaced={name: (df, touched) for name, df in rows.items()} | {"links": (links, affected), "edges": (edges, affected)})
+            for df in (made, affected, touched):
+                df.unpersist()
         stats |= {"failed": bad.count(), "errors": errors}
         for df in (fresh, gone, parsed):
             df.unpersist()
@@ -109,7 +118,6 @@ class Engine:
         if kinds:
             terms = terms.where(F.col("symbol_kind").isin(kinds))
         scope = terms.where(only) if only is not None and strict else terms
-        keyword = search.bm25(terms, queries, "chunk_id", where=only, by=by)
         vectors = self.store.table("vectors")
         if kinds or (only is not None and strict):
             vectors = vectors.join(scope.select("chunk_id"), "chunk_id", "left_semi")
@@ -119,6 +127,13 @@ class Engine:
         else:
             cosines = search.nearest(vectors, wanted, "chunk_id", "query_id", 2 * limit)
         named = search.name_overlap(scope.where("symbol_name is not null"), queries, "chunk_id", "symbol_name", "query_id", "text", by)
+        if by:
+            keyword = search.bm25(terms, queries, "chunk_id", where=only, by=by)
+        else:
+            cosines, named = stored(cosines.drop("rank")), stored(named)
+            keyword = with_others(Keyword(terms, queries, "chunk_id", where=only), limit, cosines, named)
+            if only is not None:
+                keyword = keyword.join(terms.where(only).select("chunk_id"), "chunk_id", "left_semi")
         best = search.fused("query_id", "chunk_id", keyword, cosines, named, self.embedder.weights).withColumn("score", F.round("score", 9))
         return search.top_k(best, "query_id", "score", "chunk_id", limit)
 
@@ -155,7 +170,7 @@ class Engine:
         placed = ranking.distances(rows, reached, "query_id")
         placed = placed.join(graph.in_degree(edges).withColumnRenamed("node_id", "symbol_id"), "symbol_id", "left").join(self.store.table("files").select(F.col("path").alias("file_path"), "indexed_at_ms"), "file_path", "left")
         ranked = ranking.rank(placed, "query_id", "chunk_id", as_of_ms, weights or ranking.WEIGHTS).withColumn("tokens", self.count(F.col("content")))
-        chosen = budget.fill(ranked, "query_id", max_tokens) if max_tokens else budget.adaptive(ranked, "query_id", total)
+        chosen = budget.fill(ranked, "query_id", max_tokens, few=True) if max_tokens else budget.adaptive(ranked, "query_id", total, few=True)
         if limit:
             chosen = chosen.where(F.col("rank") <= limit)
         return chosen.select("query_id", "rank", "chunk_id", "symbol_id", "file_path", "start_line", "end_line", "content", "score", "scores", "tokens", "run")
@@ -168,7 +183,7 @@ class Engine:
         done = requests.select("query_id", "task").join(each, "query_id", "left")
         notes = done.select(F.lit("retrieval").alias("category"), F.substring("task", 1, KEY).alias("key"), F.coalesce("files", F.lit("")).alias("content"), F.lit(now_ms).alias("at"))
         entries = done.select(F.lit("retrieval").alias("kind"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.lit(0).cast("long").alias("saved"), F.lit(latency_ms).cast("long").alias("latency_ms"), F.lit(False).alias("hit"))
-        self.store.commit(memory=tables.remember(self._past().unionByName(notes)), log=self.store.table("log").unionByName(entries))
+        self.store.commit(replaced={"memory": self._remembered(notes)}, appended={"log": entries})
 
     # text
     def compress(self, texts: DataFrame, target: int | None = None) -> DataFrame:
@@ -224,19 +239,25 @@ class Engine:
             raise InvalidRequest(f"unknown category {category}")
         now_ms = int(time.time() * 1000) if now_ms is None else now_ms
         entry = self.spark.createDataFrame([(category, key, content, now_ms)], "category string, key string, content string, at long")
-        self.store.commit(memory=tables.remember(self._past().unionByName(entry)))
+        self.store.commit(replaced={"memory": self._remembered(entry)})
 
-    def _past(self) -> DataFrame:
-        """The memory as the writes it came from, first and last."""
-        old = self.store.table("memory")
-        return old.select("category", "key", "content", F.col("created_at").alias("at")).unionByName(old.select("category", "key", "content", F.col("updated_at").alias("at")))
+    def _remembered(self, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The memory of the keys that entries write to, after them, and these keys. An old row is its first and its last write."""
+        keys = entries.select("key").distinct()
+        old = self.store.table("memory").join(keys, "key", "left_semi")
+        writes = lambda at: old.select("category", "key", "content", F.col(at).alias("at"))
+        return tables.remember(writes("created_at").unionByName(writes("updated_at")).unionByName(entries)), keys
 
     def recall(self, category: str | None = None, key: str | None = None, limit: int = 100) -> DataFrame:
         positive("limit", limit)
         return tables.recall(self.store.table("memory"), category, key, limit)
 
     def forget(self, category: str, key: str | None = None) -> None:
-        self.store.commit(memory=tables.forget(self.store.table("memory"), category, key))
+        rest = tables.forget(self.store.table("memory"), category, key)
+        if key is None:
+            self.store.commit(whole={"memory": rest})
+        else:
+            self.store.commit(replaced={"memory": (rest.where(F.col("key") == key), self.spark.createDataFrame([(key,)], "key string"))})
 
     def project_summary(self) -> tuple[str | None, DataFrame]:
         """The remembered summary and the first five symbols by name."""
@@ -245,7 +266,7 @@ class Engine:
 
     # state
     def log(self, entries: DataFrame) -> None:
-        self.store.commit(log=self.store.table("log").unionByName(entries))
+        self.store.commit(appended={"log": entries})
 
     def metrics(self) -> DataFrame:
         return tables.usage(self.store.table("log"))

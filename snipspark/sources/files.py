@@ -19,8 +19,8 @@ from ..functions.text import language_of
 #: What is never indexed, and the largest file in bytes.
 IGNORED = ["node_modules", ".git", "dist", "build", "coverage", ".turbo", ".data", "*.min.js", "*.map"]
 LARGEST = 1_000_000
-#: Folders that the driver lists before tasks go on; bytes of contents that a task hands on at once.
-FAN, PIECE = 256, 16 << 20
+#: Folders that the driver lists before tasks go on, tasks that walk the rest; bytes of contents that a task hands on at once.
+FAN, TASKS, PIECE = 256, 4096, 16 << 20
 LISTED = "path string, size long, mtime_ms long"
 
 
@@ -111,7 +111,7 @@ def listing(spark: SparkSession, root: str, rules: Rules) -> DataFrame:
     head = spark.createDataFrame(top, LISTED)
     if not open_:
         return head
-    rest = spark.createDataFrame([(f,) for f in open_], "folder string").repartition(len(open_)).mapInPandas(walk, LISTED)
+    rest = spark.createDataFrame([(f,) for f in open_], "folder string").repartition(min(len(open_), TASKS)).mapInPandas(walk, LISTED)
     return head.unionByName(rest)
 
 
