@@ -7,9 +7,10 @@ message; a text of role `tool` that is an object with `tool_call_id` is a result
 table (name, param, type, required) of the tools' parameters; type is the name that Spark gives a JSON value's type
 (STRING, BIGINT, DOUBLE, BOOLEAN, ARRAY, OBJECT, ...).
 
-Order: plain messages keep their turn. A call's level is 0, or one more than the highest level of the calls it depends
-on; a result follows its call. Sorting a conversation by (place, level, kind, turn, item) is a topological order: place
-is the turn of the call. Levels are found over the calls alone, by pointer jumping along chains and waves between them,
+Order: plain messages keep their turn as their place. A call's place is the latest turn among its own and those of all calls that it depends on,
+at any remove; its level is 0, or one more than the highest level of the calls it depends on. A result has its call's place and level.
+Sorting a conversation by (place, level, kind, turn, item) is a topological order, also where a call depends on one of a later
+turn: that one's place is no later, and its level is lower. Levels are found over the calls alone, by pointer jumping along chains and waves between them,
 each stored, until no call is left or none moves; calls on a cycle, or on a call that isn't there, keep level null and `resolved` false, and sort last in their
 place. Nothing is gathered per conversation, so a conversation of any length is spread over tasks.
 
@@ -23,7 +24,7 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -70,7 +71,7 @@ def valid_calls(calls: DataFrame, schemas: DataFrame) -> DataFrame:
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """(uid, level) of the calls whose dependencies can be ordered.
+    """(uid, level, place) of the calls whose dependencies can be ordered.
 
     Calls with one dependency form chains, which pointer jumping shortens to their heads in as many rounds as the longest
     has bits; then each wave settles the calls whose several dependencies are settled."""
@@ -78,19 +79,21 @@ def levels(calls: DataFrame) -> DataFrame:
     first = calls.where("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(F.min_by("uid", F.struct("turn", "item", "uid")).alias("on"))
     edges = stored(needs.join(first, ["conv_id", "call_id"], "left").select("uid", "on"))
     several = edges.groupBy("uid").agg(F.count("*").alias("n"), F.min("on").alias("head"))
-    chains = stored(several.where("n = 1 and head is not null").select("uid", "head", F.lit(1).alias("steps")))
+    turns = calls.select("uid", "turn")
+    chains = stored(several.where("n = 1 and head is not null").join(turns, "uid").select("uid", "head", F.lit(1).alias("steps"), F.col("turn").alias("latest")))
     for _ in range(chains.count().bit_length() + 1):
-        onward = chains.select(F.col("uid").alias("head"), F.col("head").alias("next"), F.col("steps").alias("more"))
+        onward = chains.select(F.col("uid").alias("head"), F.col("head").alias("next"), F.col("steps").alias("more"), F.col("latest").alias("later"))
         if not chains.join(onward, "head", "left_semi").limit(1).count():
             break
-        chains = stored(chains.join(onward, "head", "left").select("uid", F.coalesce("next", "head").alias("head"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
-    done = calls.join(edges.select("uid").distinct(), "uid", "left_anti").select("uid", F.lit(0).alias("level"))
+        chains = stored(chains.join(onward, "head", "left").select("uid", F.coalesce("next", "head").alias("head"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.greatest("latest", "later").alias("latest")))
+    done = calls.join(edges.select("uid").distinct(), "uid", "left_anti").select("uid", F.lit(0).alias("level"), F.col("turn").alias("place"))
     waiting = edges.join(several.where("n > 1").select("uid"), "uid", "left_semi")
-    along = lambda settled: settled.unionByName(chains.join(settled.withColumnRenamed("uid", "head"), "head").select("uid", (F.col("level") + F.col("steps")).alias("level")))
+    along = lambda settled: settled.unionByName(chains.join(settled.withColumnRenamed("uid", "head"), "head").select("uid", (F.col("level") + F.col("steps")).alias("level"), F.greatest("place", "latest").alias("place")))
     left = waiting.select("uid").distinct().count()
     while left:
         known = along(done).withColumnRenamed("uid", "on")
-        ready = waiting.join(known, "on", "left").groupBy("uid").agg(F.every(F.col("level").isNotNull()).alias("all"), F.max("level").alias("top")).where("all").select("uid", (F.col("top") + 1).alias("level"))
+        ready = waiting.join(known, "on", "left").groupBy("uid").agg(F.every(F.col("level").isNotNull()).alias("all"), F.max("level").alias("top"), F.max("place").alias("place")).where("all")
+        ready = ready.join(turns, "uid").select("uid", (F.col("top") + 1).alias("level"), F.greatest("place", "turn").alias("place"))
         done = stored(done.unionByName(ready))
         waiting = stored(waiting.join(done.select("uid"), "uid", "left_anti"))
         rest = waiting.select("uid").distinct().count()
@@ -112,9 +115,9 @@ def formatted(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     order = levels(calls)
     named = calls.join(order, "uid", "left").join(valid_calls(calls, schemas), "uid", "left").join(links.select(F.col("call.uid").alias("uid"), F.lit(True).alias("linked")), "uid", "left")
     none, no = F.lit(None).cast("string"), F.array().cast("array<string>")
-    call_rows = named.select("conv_id", F.col("turn").alias("place"), "level", F.lit("call").alias("kind"), "turn", "item", "call_id", F.coalesce("linked", F.lit(False)).alias("linked"), F.col("level").isNotNull().alias("resolved"), F.coalesce("faults", no).alias("faults"), line(arguments=F.expr("to_json(arguments)"), id=quoted("call_id"), name=quoted("name"), role=quoted("role"), type=F.lit('"tool_call"')).alias("json"))
-    placed = results.join(links.select(F.col("answer").alias("uid"), "call"), "uid", "left").join(order.select(F.col("uid").alias("call_uid"), "level"), F.col("call.uid") == F.col("call_uid"), "left")
-    result_rows = placed.select("conv_id", F.coalesce("call.turn", "turn").alias("place"), "level", F.lit("result").alias("kind"), "turn", F.lit(0).alias("item"), "call_id", F.col("call").isNotNull().alias("linked"), F.col("level").isNotNull().alias("resolved"), no.alias("faults"), line(content=F.col("content"), id=quoted("call_id"), role=quoted("role"), type=F.lit('"tool_result"')).alias("json"))
+    call_rows = named.select("conv_id", F.coalesce("place", "turn").alias("place"), "level", F.lit("call").alias("kind"), "turn", "item", "call_id", F.coalesce("linked", F.lit(False)).alias("linked"), F.col("level").isNotNull().alias("resolved"), F.coalesce("faults", no).alias("faults"), line(arguments=F.expr("to_json(arguments)"), id=quoted("call_id"), name=quoted("name"), role=quoted("role"), type=F.lit('"tool_call"')).alias("json"))
+    placed = results.join(links.select(F.col("answer").alias("uid"), "call"), "uid", "left").join(order.select(F.col("uid").alias("call_uid"), "level", F.col("place").alias("call_place")), F.col("call.uid") == F.col("call_uid"), "left")
+    result_rows = placed.select("conv_id", F.coalesce("call_place", "call.turn", "turn").alias("place"), "level", F.lit("result").alias("kind"), "turn", F.lit(0).alias("item"), "call_id", F.col("call").isNotNull().alias("linked"), F.col("level").isNotNull().alias("resolved"), no.alias("faults"), line(content=F.col("content"), id=quoted("call_id"), role=quoted("role"), type=F.lit('"tool_result"')).alias("json"))
     plain_rows = plain.select("conv_id", F.col("turn").alias("place"), F.lit(0).alias("level"), F.lit("message").alias("kind"), "turn", F.lit(0).alias("item"), none.alias("call_id"), F.lit(False).alias("linked"), F.lit(True).alias("resolved"), no.alias("faults"), line(content=quoted("text"), role=quoted("role"), type=F.lit('"message"')).alias("json"))
     return plain_rows.unionByName(call_rows).unionByName(result_rows)
 
@@ -125,15 +128,33 @@ def sort_keys():
     return ["conv_id", "place", F.col("level").asc_nulls_last(), kind[F.col("kind")], "turn", "item", "json"]
 
 
+def positioned(rows: DataFrame) -> DataFrame:
+    """With position, the place of a row in its conversation from 0. Rows are cut into ranges by conversation and order, and a range
+    is numbered from what the conversation's earlier ranges have, so a long conversation is many tasks' work."""
+    keys = sort_keys()
+    cut = stored(rows.repartitionByRange(*keys).withColumn("part", F.spark_partition_id()))
+    counts = cut.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("conv_id").alias("conv"), F.col("part").alias("at"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    own = F.row_number().over(Window.partitionBy("conv_id", "part").orderBy(*keys[1:])) - 1
+    placed = cut.withColumn("own", own).join(starts, F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("part") == F.col("at")))
+    return placed.select(*rows.columns, (F.col("start") + F.col("own")).alias("position"))
+
+
 def dialogue_calls(conversations: DataFrame) -> DataFrame:
-    """Dialogues without tools as messages with calls: a user's turn calls `reply` with its text, and depends on the call of two turns before where there is one; an assistant's turn is the result of the turn before."""
+    """Dialogues without tools as messages with calls: a user's turn calls `reply` with its text and turn, and depends on the call of two turns
+    before where there is one, in every fifth conversation of two turns after; an assistant's turn is the result of the turn before. In
+    two of three conversations the turn is given as a string or left out."""
     c = conversations.select("conv_id", "turn", "role", "text")
     key = lambda t: F.concat(F.lit("call-"), F.col("conv_id").cast("string"), F.lit("-"), t.cast("string"))
-    # whether the user spoke two turns before: the same row seen from there
-    before = c.where("role = 'user'").select("conv_id", (F.col("turn") + 2).alias("turn"), F.lit(True).alias("again")).distinct()
-    users = c.where("role = 'user'").join(before, ["conv_id", "turn"], "left")
-    needs = F.when(F.col("again"), F.array(key(F.col("turn") - 2)))
-    called = F.to_json(F.struct(F.array(F.struct(key(F.col("turn")).alias("id"), F.lit("reply").alias("name"), F.struct("text", "turn").alias("arguments"), needs.alias("depends_on"))).alias("tool_calls")))
+    step = F.when(F.col("conv_id") % 5 == 4, 2).otherwise(-2)
+    # whether the user spoke there: the same row seen from there
+    there = c.where("role = 'user'").select("conv_id", (F.col("turn") - step).alias("turn"), F.lit(True).alias("again")).distinct()
+    users = c.where("role = 'user'").join(there, ["conv_id", "turn"], "left")
+    needs = F.when(F.col("again"), F.array(key(F.col("turn") + step)))
+    call = lambda *given: F.to_json(F.struct(F.array(F.struct(key(F.col("turn")).alias("id"), F.lit("reply").alias("name"), F.struct(*given).alias("arguments"), needs.alias("depends_on"))).alias("tool_calls")))
+    kind = F.col("conv_id") % 3
+    called = F.when(kind == 1, call("text", F.col("turn").cast("string").alias("turn"))).when(kind == 2, call("text")).otherwise(call("text", "turn"))
     answered = F.to_json(F.struct(key(F.col("turn") - 1).alias("tool_call_id"), F.col("text").alias("content")))
     user = users.select("conv_id", "turn", "role", called.alias("text"))
     other = c.where("role <> 'user' or role is null").select("conv_id", "turn", F.when(F.col("role") == "assistant", "tool").otherwise(F.col("role")).alias("role"), F.when(F.col("role") == "assistant", answered).otherwise(F.col("text")).alias("text"))
@@ -143,17 +164,17 @@ def dialogue_calls(conversations: DataFrame) -> DataFrame:
 def op6(spark, sf_dir: str) -> DataFrame:
     messages = dialogue_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     schemas = spark.createDataFrame([("reply", "text", "STRING", True), ("reply", "turn", "BIGINT", True)], PARAMETERS)
-    out = formatted(messages, schemas)
-    return out.select("conv_id", "turn", "kind", "place", "level", "call_id", "linked", F.size("faults").cast("long").alias("n_faults"), F.sha2("json", 256).alias("json_sha256"))
+    out = positioned(formatted(messages, schemas))
+    return out.select("conv_id", "turn", "kind", "place", "level", "position", "call_id", "linked", F.size("faults").cast("long").alias("n_faults"), F.sha2("json", 256).alias("json_sha256"))
 
 
 ORACLE_OP6 = r"""
-WITH RECURSIVE c AS (SELECT conv_id, turn, role, text, 'call-' || conv_id || '-' || turn AS me, 'call-' || conv_id || '-' || (turn - 1) AS prior FROM conversations),
-l AS (SELECT conv_id, turn, 0 AS level FROM c a WHERE role = 'user' AND NOT EXISTS (FROM c b WHERE b.role = 'user' AND b.conv_id = a.conv_id AND b.turn = a.turn - 2)
- UNION ALL SELECT c.conv_id, c.turn, l.level + 1 FROM l JOIN c ON c.conv_id = l.conv_id AND c.turn = l.turn + 2 AND c.role = 'user'),
-u AS (SELECT c.*, l.level, EXISTS (FROM c b WHERE b.role = 'assistant' AND b.conv_id = c.conv_id AND b.turn = c.turn + 1) AS linked FROM c JOIN l USING (conv_id, turn) WHERE role = 'user'),
-x AS (SELECT conv_id, turn, 'call' AS kind, turn AS place, level, me AS call_id, linked, '{"arguments":{"text":' || to_json(text) || ',"turn":' || turn || '},"id":"' || me || '","name":"reply","role":"user","type":"tool_call"}' AS j FROM u
- UNION ALL SELECT c.conv_id, c.turn, 'result', coalesce(u.turn, c.turn), u.level, c.prior, u.turn IS NOT NULL, '{"content":' || to_json(c.text) || ',"id":"' || c.prior || '","role":"tool","type":"tool_result"}' FROM c LEFT JOIN u ON u.conv_id = c.conv_id AND u.turn = c.turn - 1 WHERE c.role = 'assistant'
- UNION ALL SELECT conv_id, turn, 'message', turn, 0, NULL, false, '{"content":' || to_json(text) || ',"role":' || to_json(role) || ',"type":"message"}' FROM c WHERE role NOT IN ('user', 'assistant'))
-SELECT conv_id, turn, kind, place, CAST(level AS INTEGER) AS level, call_id, linked, CAST(0 AS BIGINT) AS n_faults, sha256(CAST(j AS VARCHAR)) AS json_sha256 FROM x
+WITH RECURSIVE c AS (SELECT conv_id, turn, role, text, 'call-' || conv_id || '-' || turn AS me, 'call-' || conv_id || '-' || (turn - 1) AS prior, CASE WHEN conv_id % 5 = 4 THEN 2 ELSE -2 END AS step FROM conversations),
+l AS (SELECT conv_id, turn, 0 AS level, turn AS place FROM c a WHERE role = 'user' AND NOT EXISTS (FROM c b WHERE b.role = 'user' AND b.conv_id = a.conv_id AND b.turn = a.turn + a.step)
+ UNION ALL SELECT c.conv_id, c.turn, l.level + 1, greatest(l.place, c.turn) FROM l JOIN c ON c.conv_id = l.conv_id AND c.turn + c.step = l.turn AND c.role = 'user'),
+u AS (SELECT c.*, l.level, l.place, CASE conv_id % 3 WHEN 1 THEN ',"turn":"' || turn || '"' WHEN 2 THEN '' ELSE ',"turn":' || turn END AS given, EXISTS (FROM c b WHERE b.role = 'assistant' AND b.conv_id = c.conv_id AND b.turn = c.turn + 1) AS linked FROM c JOIN l USING (conv_id, turn) WHERE role = 'user'),
+x AS (SELECT conv_id, turn, 'call' AS kind, 1 AS o, place, level, me AS call_id, linked, CASE WHEN conv_id % 3 > 0 THEN 1 ELSE 0 END AS n_faults, '{"arguments":{"text":' || to_json(text) || given || '},"id":"' || me || '","name":"reply","role":"user","type":"tool_call"}' AS j FROM u
+ UNION ALL SELECT c.conv_id, c.turn, 'result', 2, coalesce(u.place, c.turn), u.level, c.prior, u.turn IS NOT NULL, 0, '{"content":' || to_json(c.text) || ',"id":"' || c.prior || '","role":"tool","type":"tool_result"}' FROM c LEFT JOIN u ON u.conv_id = c.conv_id AND u.turn = c.turn - 1 WHERE c.role = 'assistant'
+ UNION ALL SELECT conv_id, turn, 'message', 0, turn, 0, NULL, false, 0, '{"content":' || to_json(text) || ',"role":' || to_json(role) || ',"type":"message"}' FROM c WHERE role NOT IN ('user', 'assistant'))
+SELECT conv_id, turn, kind, place, CAST(level AS INTEGER) AS level, row_number() OVER (PARTITION BY conv_id ORDER BY place, level NULLS LAST, o, turn, CAST(j AS VARCHAR)) - 1 AS position, call_id, linked, CAST(n_faults AS BIGINT) AS n_faults, sha256(CAST(j AS VARCHAR)) AS json_sha256 FROM x
 """
