@@ -5,12 +5,12 @@ its widest dimension, relative to that dimension's width over all rows, at the w
 a level at once, by histograms of BINS bins that are refined around the wanted share until a bin holds one row. The
 driver sees only the histograms of at most `shards` nodes; the tree is then one expression over the metadata.
 
-Dimensions are functions of the text, and rows of one value are ordered by the text's digest and then by a row number.
-So equal texts lie side by side and share a shard, except where a boundary that equal sizes demand falls within such a
-group: a group larger than a shard has to be split.
+Dimensions are functions of the text, and rows of one value are ordered by the text's digest and then by a hash of id and text.
+So equal texts lie side by side. A group of them goes whole to the side that comes nearer to the share, and so shares a shard; only a
+group of more bytes than an even shard is cut, by the hash. Nothing depends on how a scan is split.
 
-Cases: a null text has no bytes (size 8, crc 0) and is a document like the others. Repeated rows each get a slot. Null
-doc_ids are kept and come first within their part of a shard. Fewer rows than shards leave shards empty. Other columns
+Cases: a null text has no bytes (size 8, crc 0) and is a document like the others. Repeated rows each get a slot; rows alike in doc_id and
+text share a shard, however many. Null doc_ids are kept and come first within their part of a shard. Fewer rows than shards leave shards empty. Other columns
 are ignored. An empty table gives an empty result.
 """
 
@@ -23,21 +23,24 @@ from .common import stored
 
 SHARDS = 24
 BINS = 512
+#: Bits of a key that tell rows of a group apart.
+TIE = 16
 #: Rows of a shard that are numbered together.
 STRIP = 20_000
 TOP = 1 << 30
 
 
 def metadata(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32, a row number, and each dimension as one ordered number: value above, ties below."""
+    """doc_id, size, text_crc32, hashes of the text (digest) and of the row (uid), and each dimension."""
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    base = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"), F.xxhash64(text).alias("digest"), F.monotonically_increasing_id().alias("uid"))
+    base = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"), F.xxhash64(text).alias("digest"), F.xxhash64("doc_id", text).alias("uid"))
     return stored(base)
 
 
 def keyed(meta: DataFrame, dims: list[str]) -> DataFrame:
+    """With each dimension as one ordered number: 30 bits of its value, 16 of the text's digest, 16 of the row's hash."""
     bounds = meta.agg(*(f(d).alias(f"{k}_{d}") for d in dims for k, f in (("lo", F.min), ("hi", F.max)))).first()
-    tie = F.shiftleft(F.pmod("digest", F.lit(1 << 16)), 16).bitwiseOR(F.pmod(F.xxhash64("uid"), F.lit(1 << 16)))
+    tie = F.shiftleft(F.pmod("digest", F.lit(1 << 16)), TIE).bitwiseOR(F.pmod("uid", F.lit(1 << TIE)))
     for d in dims:
         lo, hi = bounds[f"lo_{d}"] or 0, bounds[f"hi_{d}"] or 0
         scaled = F.floor((F.col(d) - lo).cast("double") / max(hi - lo, 1) * (TOP - 1)).cast("long")
@@ -45,50 +48,58 @@ def keyed(meta: DataFrame, dims: list[str]) -> DataFrame:
     return stored(meta.drop("chars", "digest"))
 
 
-def placed(rows: DataFrame, splits: list[tuple], nodes) -> DataFrame:
-    """With the node of each row (the first shard of those it stands for): one condition for each node, along its path."""
-    where = dict.fromkeys([0], F.lit(True))
+def placed(rows: DataFrame, splits: list[tuple]) -> DataFrame:
+    """With the node of each row (the first shard of those it stands for): the tree as nested conditions, of which a row meets one path."""
+    tree: dict = {"node": 0}
+    leaf = {0: tree}
     for at, half, dim, cut in splits:
-        right = F.col(f"k_{dim}") > cut
-        where[at + half] = where[at] & right
-        where[at] = where[at] & ~right
-    node = F.lit(0)
-    for n in nodes:
-        node = F.when(where[n], F.lit(n)).otherwise(node) if n else node
-    return rows.withColumn("node", node)
+        here = leaf[at]
+        left, right = {"node": at}, {"node": at + half}
+        here.clear()
+        here.update(dim=dim, cut=cut, left=left, right=right)
+        leaf |= {at: left, at + half: right}
 
+    def column(t):
+        return F.lit(t["node"]) if "node" in t else F.when(F.col(f"k_{t['dim']}") > t["cut"], column(t["right"])).otherwise(column(t["left"]))
 
-def cuts(rows: DataFrame, wanted: dict) -> dict:
-    """For each node (dim, share, lo, hi): the largest key of the left side, whose bytes come nearest to its share."""
+    return rows.withColumn("node", column(tree))
+
+
+def cuts(rows: DataFrame, wanted: dict, leaf: float) -> dict:
+    """For each node (dim, share, lo, hi): the largest key of the left side, whose bytes come nearest to its share without parting
+    a group of at most `leaf` bytes. First whole groups are weighed; the rows of one are only where it is larger."""
     totals = {r["node"]: r["b"] for r in rows.groupBy("node").agg(F.sum("size").alias("b")).collect()}
-    state = {n: {"dim": d, "lo": lo, "hi": hi + 1, "left": 0, "goal": share * totals[n]} for n, (d, share, lo, hi) in wanted.items()}
+    state = {n: {"dim": d, "lo": lo >> TIE, "hi": (hi >> TIE) + 1, "left": 0, "goal": share * totals[n], "shift": TIE} for n, (d, share, lo, hi) in wanted.items()}
     done = {}
     while state:
         key, lo, width = F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("long")
         for n, s in state.items():
             here = F.col("node") == n
-            key, lo, width = F.when(here, F.col(f"k_{s['dim']}")).otherwise(key), F.when(here, F.lit(s["lo"])).otherwise(lo), F.when(here, F.lit(max(1, -(-(s["hi"] - s["lo"]) // BINS)))).otherwise(width)
+            own = F.shiftright(f"k_{s['dim']}", s["shift"])
+            key, lo, width = F.when(here, own).otherwise(key), F.when(here, F.lit(s["lo"])).otherwise(lo), F.when(here, F.lit(max(1, -(-(s["hi"] - s["lo"]) // BINS)))).otherwise(width)
         bins = rows.where(F.col("node").isin(list(state))).select("node", "size", key.alias("key"), lo.alias("lo"), width.alias("width")).withColumn("bin", F.expr("(key - lo) div width")).where(f"key >= lo and bin < {BINS}")
         found: dict = {}
-        for r in bins.groupBy("node", "bin").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect():
-            found.setdefault(r["node"], []).append((r["bin"], r["b"], r["n"]))
+        for r in bins.groupBy("node", "bin").agg(F.sum("size").alias("b")).collect():
+            found.setdefault(r["node"], []).append((r["bin"], r["b"]))
         for n in list(state):
             s = state[n]
             step = max(1, -(-(s["hi"] - s["lo"]) // BINS))
             left = s["left"]
-            for b, size, count in sorted(found.get(n, [])):
+            for b, size in sorted(found.get(n, [])):
                 if left + size >= s["goal"] or b == max(x[0] for x in found[n]):
                     lo, hi = s["lo"] + b * step, min(s["lo"] + (b + 1) * step, s["hi"])
-                    if count == 1 or step == 1:
-                        # one row, or rows that nothing tells apart: on the side that is nearer to the share
-                        done[n] = hi - 1 if left + size - s["goal"] <= s["goal"] - left else lo - 1
-                        del state[n]
-                    else:
+                    if step > 1:
                         state[n] = s | {"lo": lo, "hi": hi, "left": left}
+                    elif s["shift"] and size > leaf:
+                        state[n] = s | {"lo": lo << TIE, "hi": hi << TIE, "left": left, "shift": 0}
+                    else:
+                        # on the side that is nearer to the share
+                        done[n] = ((hi if left + size - s["goal"] <= s["goal"] - left else lo) << s["shift"]) - 1
+                        del state[n]
                     break
                 left += size
             else:
-                done[n] = s["hi"]
+                done[n] = (s["hi"] << s["shift"]) - 1
                 del state[n]
     return done
 
@@ -96,9 +107,10 @@ def cuts(rows: DataFrame, wanted: dict) -> dict:
 def kd_shards(docs: DataFrame, shards: int = SHARDS, dims: tuple[str, ...] = ("size", "text_crc32", "chars")) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot for each row."""
     meta = keyed(metadata(docs), list(dims))
+    leaf = (meta.agg(F.sum("size")).first()[0] or 0) / shards
     splits, nodes = [], {0: shards}
     while any(k > 1 for k in nodes.values()):
-        rows = placed(meta, splits, nodes)
+        rows = placed(meta, splits)
         span = {r["node"]: r for r in rows.groupBy("node").agg(*(f(f"k_{d}").alias(f"{k}_{d}") for d in dims for k, f in (("lo", F.min), ("hi", F.max)))).collect()}
         wanted, after = {}, {}
         for n, k in nodes.items():
@@ -108,12 +120,12 @@ def kd_shards(docs: DataFrame, shards: int = SHARDS, dims: tuple[str, ...] = ("s
             widest = max(dims, key=lambda d: span[n][f"hi_{d}"] - span[n][f"lo_{d}"])
             wanted[n] = (widest, (k // 2) / k, span[n][f"lo_{widest}"], span[n][f"hi_{widest}"])
             after |= {n: k // 2, n + k // 2: k - k // 2}
-        for n, cut in cuts(rows, wanted).items():
+        for n, cut in cuts(rows, wanted, leaf).items():
             splits.append((n, nodes[n] // 2, wanted[n][0], cut))
         nodes = after
-    rows = placed(meta, splits, nodes).select("doc_id", "size", "text_crc32", "uid", F.col("node").alias("shard"))
+    rows = placed(meta, splits).select("doc_id", "size", "text_crc32", "uid", F.col("node").alias("shard"))
     strips = max(1, -(-meta.count() // (shards * STRIP)))
-    rows = rows.withColumn("strip", F.pmod(F.xxhash64("uid"), F.lit(strips)))
+    rows = rows.withColumn("strip", F.pmod("uid", F.lit(strips)))
     counts = rows.groupBy("shard", "strip").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("strip").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     own = F.row_number().over(Window.partitionBy("shard", "strip").orderBy(F.col("doc_id").asc_nulls_first(), "uid")) - 1
