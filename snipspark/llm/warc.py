@@ -51,7 +51,8 @@ MEMBER, EXTRA, LENGTHS = b"\x1f\x8b\x08", 4, b"sl"
 #: Bytes of a member that are inflated at once.
 STEP = 1 << 16
 SPAN = 64 << 20
-ROWS = 500
+#: Rows, and bytes of payloads, that a reader hands on at once.
+ROWS, HELD = 500, 4 << 20
 ENDINGS = (".warc.gz", ".warc")
 #: Parts that the revisits of a payload are dealt to, so that those of a hot one don't meet in one task.
 SALTS = 16
@@ -365,13 +366,14 @@ class WarcReader(DataSourceReader):
             return
         system, _ = file_system(self.path)
         with system.open_input_file(partition.path) as stream:
-            held = []
+            held, size = [], 0
             found = plain_records(stream, self.wanted, self.payload) if partition.plain else records(stream, partition.start, partition.end, self.wanted, self.payload)
             for row in found:
                 held.append(row)
-                if len(held) >= ROWS or len(row["payload"] or b"") > 4 << 20:
+                size += len(row["payload"] or b"")
+                if len(held) >= ROWS or size >= HELD:
                     yield pa.RecordBatch.from_pylist(held, ARROW)
-                    held = []
+                    held, size = [], 0
             if held:
                 yield pa.RecordBatch.from_pylist(held, ARROW)
 
