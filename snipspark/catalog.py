@@ -582,10 +582,18 @@ def path_classify(spark, sf_dir):
 
 
 # evaluation and health
-@query(f"WITH {BM25}, t AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, doc_id) AS r FROM m), x AS (SELECT query_id, doc_id FROM t WHERE r <= 5), g AS (SELECT query_id, doc_id FROM t WHERE r <= 10 AND doc_id % 2 = 0) SELECT query_id, count(*) AS expected, count(x.doc_id) AS hit, round(count(x.doc_id) / count(*), 6) AS recall FROM g LEFT JOIN x USING (query_id, doc_id) GROUP BY query_id")
+WINDOWS = "unnest(list_transform(range(1, greatest(len(ws) - 6, 0) + 1), lambda i: array_to_string(ws[i:i + 6], ' ')))"
+
+
+@query(f"WITH {BM25}, x AS (SELECT query_id, doc_id FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, doc_id) AS r FROM m) WHERE r <= 10), g AS (SELECT DISTINCT query_id, doc_id FROM (SELECT item_id AS query_id, array_to_string(regexp_split_to_array(text, '[ \\n]+')[1:7], ' ') AS head FROM benchmark) JOIN (SELECT doc_id, {WINDOWS} AS head FROM (SELECT doc_id, regexp_split_to_array(text, '[ \\n]+') AS ws FROM documents)) USING (head)) SELECT query_id, count(*) AS expected, count(x.doc_id) AS hit, round(count(x.doc_id) / count(*), 6) AS recall FROM g LEFT JOIN x USING (query_id, doc_id) GROUP BY query_id")
 def benchmark_recall(spark, sf_dir):
-    best = bm25_topk(spark, sf_dir).select("query_id", "doc_id", "rank")
-    return tables.recall_of(best.where("doc_id % 2 = 0"), best.where("rank <= 5"), "query_id", "doc_id").select("query_id", "expected", "hit", rounded("recall"))
+    """How many of the documents that quote an item's first seven words are among its best ten."""
+    words_of = lambda df, key: df.select(key, F.split("text", r"[ \n]+").alias("ws"))
+    heads = words_of(asked(spark, sf_dir), "query_id").select("query_id", F.array_join(F.slice("ws", 1, 7), " ").alias("head"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("ws") - 6), lambda i: F.array_join(F.slice("ws", i, 7), " "))
+    quotes = words_of(read(spark, sf_dir, "documents"), "doc_id").where("size(ws) >= 7").select("doc_id", F.explode(runs).alias("head"))
+    truth = quotes.join(search.small(heads), "head").select("query_id", "doc_id")
+    return tables.recall_of(truth, bm25_topk(spark, sf_dir), "query_id", "doc_id").select("query_id", "expected", "hit", rounded("recall"))
 
 
 @query("SELECT (SELECT count(*) FROM documents) > 0 AND (SELECT count(*) FROM embeddings) > 0 AND (SELECT count(*) FROM documents WHERE text IS NULL) = 0 AS healthy, CAST(0 AS BIGINT) AS failed")

@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import BM25, EDGES, asked, key_edges, near_sql, query, read, seeds, words
+from .catalog import AS_OF, BM25, EDGES, HYBRID, asked, key_edges, near_sql, query, read, rounded, seeds, terms_sql, words
 from .functions import bpe
 from .operators import graph, hierarchy, names, ranking, search, tables
 from .operators.keyword import keyword_top
+from .plans.engine import Engine
 from .sources.scratch import scratch
 from .sources.store import Store
 from .streaming import cache
@@ -193,3 +194,77 @@ def replace_by_bucket(spark, sf_dir):
     store.commit(whole={"docs": docs.withColumn("new", F.lit(False))})
     store.commit(replaced={"docs": (docs.where((i % 5 == 0) & (i % 7 != 0)).withColumn("new", F.lit(True)), docs.where((i % 5 == 0) | (i % 7 == 0)).select("path"))})
     return store.table("docs")
+
+
+# the engine over a store made of the tables: documents are chunks, each with a symbol named after its source, in files of one remainder; line items link symbols
+CHUNKS = """k AS (SELECT doc_id, 'f' || doc_id % 40 AS file_path, n_chars % 300 AS start_line, text, 'note ' || source AS symbol_name FROM documents),
+ g AS (SELECT 'file:' || file_path AS from_id, 'y' || doc_id AS to_id, 'contains' AS kind FROM k UNION ALL SELECT DISTINCT 'y' || l_orderkey % 200, 'y' || l_partkey % 200, CASE l_returnflag WHEN 'A' THEN 'calls' WHEN 'N' THEN 'imports' ELSE 'references' END FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 3 = 0)"""
+FUSED = HYBRID.replace("cosine * 0.25 FROM ck)", "cosine * 0.25 FROM ck UNION ALL SELECT query_id, doc_id, overlap * 0.75 FROM ov)").replace(" s AS (SELECT query_id, doc_id, sum(x) AS score", f""" ov AS (SELECT query_id, doc_id, len(list_intersect(qt, st)) / len(qt) AS overlap FROM (SELECT item_id AS query_id, list_distinct({terms_sql('text')}) AS qt FROM benchmark), (SELECT doc_id, list_distinct({terms_sql("'note ' || source")}) AS st FROM documents) WHERE len(list_intersect(qt, st)) > 0),
+ s AS (SELECT query_id, doc_id, sum(x) AS score""").replace("round(score, 6)", "round(score, 9)").replace("DESC, doc_id)", "DESC, 'd' || doc_id)")
+
+
+def engine_of_tables(spark, sf_dir):
+    docs, lines = read(spark, sf_dir, "documents", "lineitem")
+    i, none = F.col("doc_id"), F.lit(None).cast("string")
+    path, symbol = text("f", i % 40), text("y", i)
+    e = Engine(spark, scratch(spark, "engine"))
+    made = search.tokens(docs, "doc_id", "text", "source", "lang")
+    terms = made.select(text("d", i).alias("chunk_id"), path.alias("file_path"), F.col("lang").alias("language"), F.lit("function").alias("symbol_kind"), text("note ", F.col("source")).alias("symbol_name"), "ts", "dl")
+    chunks = docs.select(
+        text("d", i).alias("id"), symbol.alias("symbol_id"), path.alias("file_path"), F.col("text").alias("content"), none.alias("hash"), F.col("lang").alias("language"), i.alias("ord"),
+        text("note ", F.col("source")).alias("symbol_name"), F.lit("function").alias("symbol_kind"), none.alias("signature"), none.alias("parent_id"), (F.col("n_chars") % 300).cast("int").alias("start_line"), (F.col("n_chars") % 300 + 9).cast("int").alias("end_line"),
+    )
+    kind = F.when(F.col("l_returnflag") == "A", "calls").when(F.col("l_returnflag") == "N", "imports").otherwise("references")
+    uses = lines.where("l_linenumber = 1 and l_orderkey % 3 = 0").select(text("y", F.col("l_orderkey") % 200).alias("from_id"), text("y", F.col("l_partkey") % 200).alias("to_id"), kind.alias("kind")).distinct()
+    edges = docs.select(text("file:", path).alias("from_id"), symbol.alias("to_id"), F.lit("contains").alias("kind")).unionByName(uses).withColumn("file_path", F.col("from_id"))
+    files = docs.select(path.alias("path"), (AS_OF - (i % 40) * 3600000).alias("indexed_at_ms")).distinct().select("path", none.alias("hash"), F.lit(0).cast("long").alias("size"), none.alias("language"), F.lit(0).cast("long").alias("mtime_ms"), "indexed_at_ms")
+    e.store.commit(whole={"chunks": chunks, "terms": terms, "edges": edges, "files": files})
+    kept = e.store.table("terms")
+    e.store.commit(whole={"vectors": e.embedder.embed(kept, "chunk_id", "ts").join(kept.select("chunk_id", "file_path"), "chunk_id").withColumn("provider", F.lit(e.embedder.name))})
+    return e
+
+
+def numbered(c):
+    return F.substring(c, 2, 20).cast("long")
+
+
+@query(f"{FUSED} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM h WHERE rank <= 20")
+def engine_search(spark, sf_dir):
+    found = engine_of_tables(spark, sf_dir).search(asked(spark, sf_dir), 20)
+    return found.select("query_id", numbered("chunk_id").alias("doc_id"), rounded("score"), "rank")
+
+
+#: Requests: an item's text as the task, for two of three the file that is open, in which alone is searched, and facts made from its number.
+CONTEXT = f"""{FUSED.replace('WITH ', 'WITH RECURSIVE ', 1).replace('r <= 40', 'r <= 60')}, {CHUNKS},
+ rq AS (SELECT item_id AS query_id, CASE WHEN item_id % 3 > 0 THEN 'f' || item_id % 40 END AS current_file, CAST((item_id * 7) % 300 AS INTEGER) AS cursor_line, ['f1', 'f' || item_id % 5] AS open_files, ['f2'] AS recent_edits FROM benchmark),
+ sc AS (SELECT query_id, current_file, doc_id FROM rq JOIN k ON file_path = current_file), nf AS (SELECT file_path, count(*) AS n, avg(dl) AS a FROM k JOIN l USING (doc_id) GROUP BY file_path), ff AS (SELECT file_path, term, count(*) AS df FROM p JOIN k USING (doc_id) GROUP BY file_path, term),
+ mf AS (SELECT sc.query_id, sc.doc_id, sum(ln(1 + (nf.n - ff.df + 0.5) / (ff.df + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * l.dl / greatest(nf.a, 1)))) AS bm25 FROM sc JOIN q ON q.query_id = sc.query_id JOIN p ON p.doc_id = sc.doc_id AND p.term = q.term JOIN ff ON ff.file_path = current_file AND ff.term = q.term JOIN nf ON nf.file_path = current_file JOIN l ON l.doc_id = sc.doc_id GROUP BY sc.query_id, sc.doc_id),
+ cf AS (SELECT query_id, doc_id, coalesce(cosine, 0) AS cosine FROM sc LEFT JOIN c USING (query_id, doc_id) WHERE doc_id IN (SELECT doc_id FROM t_documents) AND query_id IN (SELECT query_id FROM t_benchmark) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY coalesce(cosine, 0) DESC, 'd' || doc_id) <= 60),
+ xf AS (SELECT query_id, doc_id, bm25 / greatest(max(bm25) OVER (PARTITION BY query_id), 1) * 0.75 AS x FROM mf UNION ALL SELECT query_id, doc_id, cosine * 0.25 FROM cf UNION ALL SELECT query_id, doc_id, overlap * 0.75 FROM ov JOIN sc USING (query_id, doc_id)),
+ hf AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, 'd' || doc_id) AS rank FROM (SELECT query_id, doc_id, round(sum(x), 9) AS score FROM xf GROUP BY query_id, doc_id)),
+ fd AS (SELECT query_id, doc_id, score, rank FROM h WHERE rank <= 30 AND query_id IN (SELECT query_id FROM rq WHERE current_file IS NULL) UNION ALL SELECT query_id, doc_id, score, rank FROM hf WHERE rank <= 30), o AS (SELECT from_id AS a, to_id AS b, kind FROM g UNION SELECT to_id, from_id, kind FROM g),
+ sd AS (SELECT query_id, 'y' || doc_id AS seed FROM fd WHERE rank <= 5 AND score >= 0.1),
+ w1 AS (SELECT DISTINCT seed, seed AS node_id, 0 AS d FROM sd UNION SELECT w1.seed, o.b, d + 1 FROM w1 JOIN o ON o.a = w1.node_id AND o.kind <> 'contains' WHERE d < 2),
+ n1 AS (SELECT seed, node_id, row_number() OVER (PARTITION BY seed ORDER BY min(d), node_id) AS r FROM w1 WHERE node_id <> seed GROUP BY seed, node_id),
+ more AS (SELECT DISTINCT query_id, CAST(node_id[2:] AS BIGINT) AS doc_id FROM sd JOIN n1 USING (seed) WHERE r <= 10 AND CAST(node_id[2:] AS BIGINT) IN (SELECT doc_id FROM documents)
+  UNION SELECT query_id, doc_id FROM rq JOIN (SELECT file_path, doc_id, row_number() OVER (PARTITION BY file_path ORDER BY doc_id) AS r FROM k) ON file_path = current_file WHERE r <= 3),
+ cd AS (SELECT query_id, doc_id, score AS semantic FROM fd UNION ALL SELECT query_id, doc_id, 0.3 FROM more ANTI JOIN fd USING (query_id, doc_id)),
+ w2 AS (SELECT DISTINCT 'file:' || current_file AS seed, 'file:' || current_file AS node_id, 0 AS d FROM rq WHERE current_file IS NOT NULL UNION SELECT w2.seed, o.b, d + 1 FROM w2 JOIN o ON o.a = w2.node_id WHERE d < 3),
+ n2 AS (SELECT seed, node_id, min(d) AS distance, row_number() OVER (PARTITION BY seed ORDER BY min(d), node_id) AS r FROM w2 WHERE node_id <> seed GROUP BY seed, node_id),
+ dg AS (SELECT to_id, count(*) AS n FROM g GROUP BY to_id),
+ fc AS (SELECT cd.query_id, cd.doc_id, k.text, semantic * 0.35 + CASE WHEN current_file IS NULL THEN 0 ELSE 1 / (1 + coalesce(n2.distance, 5)) END * 0.15 + CASE WHEN list_contains(open_files, file_path) THEN 0.1 ELSE 0 END + CASE WHEN list_contains(recent_edits, file_path) THEN 0.08 ELSE 0 END
+   + CASE WHEN current_file = file_path THEN 1 / (1 + abs(cursor_line - start_line)) ELSE 0 END * 0.12 + exp(-(k.doc_id % 40) * 3600000 / 86400000.0) * 0.05 + ln(1 + coalesce(dg.n, 0)) * 0.05 AS score
+  FROM cd JOIN k USING (doc_id) JOIN rq USING (query_id) LEFT JOIN n2 ON n2.seed = 'file:' || current_file AND n2.node_id = 'y' || k.doc_id AND n2.r <= 100 LEFT JOIN dg ON dg.to_id = 'y' || k.doc_id),
+ rk AS (SELECT query_id, doc_id, round(score, 9) AS score, CAST(ceil(length(coalesce(text, '')) / 4) AS BIGINT) AS tokens, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, 'd' || doc_id) AS rank FROM fc)
+ SELECT query_id, doc_id, rank, round(score, 6) AS score, CAST(run AS BIGINT) AS run FROM (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS run FROM rk) WHERE run <= 4000"""
+
+
+@query(CONTEXT)
+def engine_context(spark, sf_dir):
+    i = F.col("item_id")
+    requests = read(spark, sf_dir, "benchmark").select(
+        i.alias("query_id"), F.col("text").alias("task"), F.when(i % 3 > 0, text("f", i % 40)).alias("current_file"), ((i * 7) % 300).cast("int").alias("cursor_line"),
+        F.array(F.lit("f1"), text("f", i % 5)).alias("open_files"), F.array(F.lit("f2")).alias("recent_edits"), F.lit(None).cast("string").alias("git_diff"),
+    )
+    chosen = engine_of_tables(spark, sf_dir).context(requests, max_tokens=4000, as_of_ms=AS_OF)
+    return chosen.select("query_id", numbered("chunk_id").alias("doc_id"), "rank", rounded("score"), "run")

@@ -30,9 +30,11 @@ def replace_by(old: DataFrame, new: DataFrame, gone: DataFrame, key: str) -> Dat
 
 
 def index_stats(found: DataFrame, fresh: DataFrame, gone: DataFrame, symbols: DataFrame) -> DataFrame:
-    """One row: indexed, skipped, removed, symbols."""
-    count = lambda df, name: df.agg(F.count("*").alias(name))
-    return count(fresh, "indexed").join(count(found, "n")).join(count(gone, "removed")).join(count(symbols, "symbols")).select("indexed", (F.col("n") - F.col("indexed")).alias("skipped"), "removed", "symbols")
+    """One row: indexed, skipped, removed, symbols; one aggregation over all four."""
+    tagged = [df.select(F.lit(tag).alias("tag")) for df, tag in ((found, "found"), (fresh, "fresh"), (gone, "gone"), (symbols, "symbol"))]
+    rows = tagged[0].unionByName(tagged[1]).unionByName(tagged[2]).unionByName(tagged[3])
+    n = lambda tag: F.count_if(F.col("tag") == tag)
+    return rows.agg(n("fresh").alias("indexed"), (n("found") - n("fresh")).alias("skipped"), n("gone").alias("removed"), n("symbol").alias("symbols"))
 
 
 def remember(entries: DataFrame) -> DataFrame:

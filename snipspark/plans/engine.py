@@ -9,7 +9,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.embedders import HashEmbedder
@@ -18,7 +18,7 @@ from ..operators import budget, compress, graph, ranking, search, tables
 from ..operators.keyword import Keyword, with_others
 from ..sources import files, parsing
 from ..sources.scratch import stored
-from ..sources.store import Store
+from ..sources.store import SCHEMAS, Store
 
 REQUEST = "query_id long, task string, current_file string, cursor_line int, open_files array<string>, recent_edits array<string>, git_diff string"
 
@@ -57,7 +57,13 @@ class Engine:
     count: Callable[[Column], Column] = estimated_tokens
 
     def __post_init__(self):
-        self.store = Store(self.spark, self.root)
+        self.store, self.watched = Store(self.spark, self.root), []
+
+    def _watch(self, kind: str, df: DataFrame, tokens: Column, saved: Column | None = None) -> DataFrame:
+        """The rows, which when they are first made tell `metrics` their tokens and when the last of them was there."""
+        seen, clock = Observation(), F.expr("reflect('java.lang.System', 'currentTimeMillis')").cast("long")
+        self.watched.append((kind, seen, int(time.time() * 1000)))
+        return df.observe(seen, F.sum(tokens).alias("tokens"), F.sum(F.lit(0) if saved is None else saved).alias("saved"), F.max(clock).alias("end"))
 
     # index
     def index(self, source: str, force: bool = False, now_ms: int | None = None) -> dict:
@@ -88,7 +94,10 @@ class Engine:
             links = links.join(of("refs").select(F.col("id").alias("ref_id"), "file_path"), "ref_id")
             edges = graph.edges(files_now, now["symbols"], of("imports"), of("refs"), of=affected)
             rows = {"files": listed, "terms": made.drop("content"), "vectors": vectors, "nodes": graph.nodes(listed, new["symbols"]), **new}
+            began = time.time()
             self.store.commit(replaced={name: (df, touched) for name, df in rows.items()} | {"links": (links, affected), "edges": (edges, affected)})
+            # the vectors are made in the commit
+            self.log(self.spark.createDataFrame([("embedding", 0, 0, int((time.time() - began) * 1000), False)], SCHEMAS["log"]))
             for df in (made, affected, touched):
                 df.unpersist()
         stats |= {"failed": bad.count(), "errors": errors}
@@ -157,7 +166,7 @@ class Engine:
         total = chunks.count()
         note = tables.recall(self.store.table("memory"), "project_summary", "default", 1).select(F.col("content").alias("note"))
         asked = requests.join(F.broadcast(note), how="left").select("query_id", F.col("current_file").alias("file_path"), joined_parts(F.col("task"), F.coalesce("note", F.lit(""))).alias("text"))
-        found = search.held(self.search(asked, FOUND))
+        found = stored(self.search(asked, FOUND))
         more = graph.expand(found, edges, chunks.withColumnRenamed("id", "chunk_id"), total)
         first = 2 if total <= 50 else 3
         w = Window.partitionBy("file_path").orderBy("ord", "id")
@@ -173,23 +182,24 @@ class Engine:
         chosen = budget.fill(ranked, "query_id", max_tokens, few=True) if max_tokens else budget.adaptive(ranked, "query_id", total, few=True)
         if limit:
             chosen = chosen.where(F.col("rank") <= limit)
-        return chosen.select("query_id", "rank", "chunk_id", "symbol_id", "file_path", "start_line", "end_line", "content", "score", "scores", "tokens", "run")
+        chosen = chosen.select("query_id", "rank", "chunk_id", "symbol_id", "file_path", "start_line", "end_line", "content", "score", "scores", "tokens", "run")
+        return self._watch("retrieval", chosen, F.col("tokens"))
 
-    def record(self, requests: DataFrame, chosen: DataFrame, latency_ms: int = 0, now_ms: int | None = None) -> None:
-        """Notes what `context` chose for requests, in one commit: a memory entry for each task (its first 100 characters
-        are the key, the chosen files the content) and a log entry with its tokens."""
+    def record(self, requests: DataFrame, chosen: DataFrame, now_ms: int | None = None) -> None:
+        """Notes what `context` chose for requests: a memory entry for each task (its first 100 characters are the key, the
+        chosen files the content)."""
         now_ms = int(time.time() * 1000) if now_ms is None else now_ms
-        each = chosen.groupBy("query_id").agg(F.sum("tokens").alias("tokens"), F.array_join(F.array_sort(F.collect_set("file_path")), ", ").alias("files"))
+        each = chosen.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("file_path")), ", ").alias("files"))
         done = requests.select("query_id", "task").join(each, "query_id", "left")
         notes = done.select(F.lit("retrieval").alias("category"), F.substring("task", 1, KEY).alias("key"), F.coalesce("files", F.lit("")).alias("content"), F.lit(now_ms).alias("at"))
-        entries = done.select(F.lit("retrieval").alias("kind"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.lit(0).cast("long").alias("saved"), F.lit(latency_ms).cast("long").alias("latency_ms"), F.lit(False).alias("hit"))
-        self.store.commit(replaced={"memory": self._remembered(notes)}, appended={"log": entries})
+        self.store.commit(replaced={"memory": self._remembered(notes)})
 
     # text
     def compress(self, texts: DataFrame, target: int | None = None) -> DataFrame:
         """texts (text) with the struct `result`."""
         positive("target", target)
-        return compress.compress(texts, "text", target, count=self.count)
+        done = compress.compress(texts, "text", target, count=self.count)
+        return self._watch("compression", done, F.col("result.compressed_tokens"), F.col("result.saved_tokens"))
 
     def budget(self, items: DataFrame, max_tokens: int) -> DataFrame:
         """The prefix of items (query_id, rank, content) that fits."""
@@ -269,6 +279,13 @@ class Engine:
         self.store.commit(appended={"log": entries})
 
     def metrics(self) -> DataFrame:
+        """One row of counters over the log, to which what `context`, `compress` and `index` did since is added first. A request's
+        latency is the time from the call to its last row; contexts that were never read count for nothing."""
+        done = [w for w in self.watched if w[1]._jo is not None and w[1]._jo.future().isCompleted()]
+        if done:
+            self.watched = [w for w in self.watched if w not in done]
+            rows = [(kind, int(m["tokens"] or 0), int(m["saved"] or 0), max(0, (m["end"] or start) - start), False) for kind, seen, start in done for m in [seen.get]]
+            self.log(self.spark.createDataFrame(rows, SCHEMAS["log"]))
         return tables.usage(self.store.table("log"))
 
     def doctor(self) -> dict:

@@ -100,10 +100,14 @@ def test_lookups_and_record(engine, spark):
     assert [r["source"] for r in engine.imports("src/session.ts").collect()] == ["./http"]
     assert {r["kind"] for r in engine.find("token").collect()} == {"symbol", "chunk"}
     r = spark.createDataFrame([(1, "renew token", None, None, None, None, None)], REQUEST)
+    before = engine.metrics().first()
     chosen = engine.context(r, as_of_ms=2_000)
-    engine.record(r, chosen, 5, 10)
+    tokens = sum(x["tokens"] for x in chosen.collect())
+    after = engine.metrics().first()
+    assert after["retrieved_tokens"] - before["retrieved_tokens"] == tokens > 0 and after["latency_ms"] > before["latency_ms"] and after["embedding_latency_ms"] > 0
+    assert engine.metrics().first() == after  # counted once
+    engine.record(r, chosen, 10)
     assert "src/session.ts" in engine.recall("retrieval", "renew token").first()["content"]
-    assert engine.metrics().first()["retrieved_tokens"] == sum(x["tokens"] for x in chosen.collect())
     assert '"rank":1' in as_json(chosen.where("rank = 1")).first()["json"]
 
 
