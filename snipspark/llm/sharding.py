@@ -79,16 +79,15 @@ def cuts(rows: DataFrame, wanted: dict, leaf: float) -> dict:
             key, lo, width = F.when(here, own).otherwise(key), F.when(here, F.lit(s["lo"])).otherwise(lo), F.when(here, F.lit(max(1, -(-(s["hi"] - s["lo"]) // BINS)))).otherwise(width)
         bins = rows.where(F.col("node").isin(list(state))).select("node", "size", key.alias("key"), lo.alias("lo"), width.alias("width")).withColumn("bin", F.expr("(key - lo) div width")).where(f"key >= lo and bin < {BINS}")
         found: dict = {}
-        for r in bins.groupBy("node", "bin").agg(F.sum("size").alias("b")).collect():
-            found.setdefault(r["node"], []).append((r["bin"], r["b"]))
+        for r in bins.groupBy("node", "bin").agg(F.sum("size").alias("b"), F.min("key").alias("least"), F.max("key").alias("most")).collect():
+            found.setdefault(r["node"], []).append((r["bin"], r["b"], r["least"], r["most"]))
         for n in list(state):
             s = state[n]
-            step = max(1, -(-(s["hi"] - s["lo"]) // BINS))
             left = s["left"]
-            for b, size in sorted(found.get(n, [])):
+            for b, size, lo, most in sorted(found.get(n, [])):
                 if left + size >= s["goal"] or b == max(x[0] for x in found[n]):
-                    lo, hi = s["lo"] + b * step, min(s["lo"] + (b + 1) * step, s["hi"])
-                    if step > 1:
+                    hi = most + 1
+                    if lo < most:
                         state[n] = s | {"lo": lo, "hi": hi, "left": left}
                     elif s["shift"] and size > leaf:
                         state[n] = s | {"lo": lo << TIE, "hi": hi << TIE, "left": left, "shift": 0}
