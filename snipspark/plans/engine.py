@@ -79,8 +79,9 @@ class Engine:
         bad = parsed.where("error is not null")
         errors = [(r["path"], r["error"]) for r in bad.select("path", "error").limit(ERRORS).collect()]
         if stats["indexed"] or stats["removed"]:
-            touched = fresh.select(F.col("path").alias("file_path")).union(gone.select("path")).distinct().persist()
-            new = {name: parsing.table(parsed, name) for name in ("symbols", "imports", "refs", "chunks")}
+            touched = stored(fresh.select(F.col("path").alias("file_path")).union(gone.select("path")).distinct())
+            # what is made from the change is written once, as the rest reads it again and again
+            new = {name: stored(parsing.table(parsed, name)) for name in ("symbols", "imports", "refs", "chunks")}
             now = {name: self.store.table(name).join(touched, "file_path", "left_anti").unionByName(new[name]) for name in ("symbols", "imports", "refs")}
             files_now = old.join(touched, F.col("path") == F.col("file_path"), "left_anti").select("path").unionByName(fresh.select("path"))
             listed = fresh.drop("content").withColumn("indexed_at_ms", F.lit(now_ms))
@@ -88,18 +89,17 @@ class Engine:
             vectors = self.embedder.embed(made, "chunk_id", "content").join(made.select("chunk_id", "file_path"), "chunk_id").withColumn("provider", F.lit(self.embedder.name))
             # links and edges change in files that name a symbol of a touched file, before or after, or may import such a file
             named = self.store.table("symbols").join(touched, "file_path", "left_semi").select("name").union(new["symbols"].select("name")).distinct()
-            affected = graph.affected(touched, named, now["imports"], now["refs"]).persist()
-            of = lambda name: now[name].join(affected, "file_path", "left_semi")
-            links = graph.resolve_names(of("refs").select(F.col("id").alias("ref_id"), "file_path", F.col("to_name").alias("name")), now["symbols"])
-            links = links.join(of("refs").select(F.col("id").alias("ref_id"), "file_path"), "ref_id")
-            edges = graph.edges(files_now, now["symbols"], of("imports"), of("refs"), of=affected)
+            affected = stored(graph.affected(touched, named, now["imports"], now["refs"]))
+            imports, refs = (stored(now[name].join(affected, "file_path", "left_semi")) for name in ("imports", "refs"))
+            links = graph.resolve_names(refs.select(F.col("id").alias("ref_id"), "file_path", F.col("to_name").alias("name")), now["symbols"])
+            links = links.join(refs.select(F.col("id").alias("ref_id"), "file_path"), "ref_id")
+            edges = graph.edges(files_now, now["symbols"], imports, refs, of=affected)
             rows = {"files": listed, "terms": made.drop("content"), "vectors": vectors, "nodes": graph.nodes(listed, new["symbols"]), **new}
             began = time.time()
             self.store.commit(replaced={name: (df, touched) for name, df in rows.items()} | {"links": (links, affected), "edges": (edges, affected)})
             # the vectors are made in the commit
             self.log(self.spark.createDataFrame([("embedding", 0, 0, int((time.time() - began) * 1000), False)], SCHEMAS["log"]))
-            for df in (made, affected, touched):
-                df.unpersist()
+            made.unpersist()
         stats |= {"failed": bad.count(), "errors": errors}
         for df in (fresh, gone, parsed):
             df.unpersist()

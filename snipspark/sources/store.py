@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +36,8 @@ SCHEMAS = {
 KEYS = {name: "file_path" for name, s in SCHEMAS.items() if "file_path" in s} | {"files": "path", "memory": "key"}
 #: Buckets of a keyed table; folders of a bucket beyond which an append writes the bucket anew.
 BUCKETS, PARTS = 64, 32
+#: Tables that a commit writes at once.
+TABLES = 4
 
 
 class Conflict(Exception):
@@ -117,28 +120,39 @@ class Store:
         return {n.removeprefix("bucket="): [folder] for n in self._names(name, folder) if n.startswith("bucket=")}
 
     def commit(self, whole: dict[str, DataFrame] | None = None, replaced: dict[str, tuple[DataFrame, DataFrame]] | None = None, appended: dict[str, DataFrame] | None = None) -> int:
-        """One version: `whole` tables are written anew; of `replaced` ones (new rows, keys that go) the buckets of either are; rows of
-        `appended` ones are added. Other tables and buckets stay as they are. Of rows with a key that goes none stays."""
+        """One version: `whole` tables are written anew; of `replaced` ones (new rows, keys that go) the buckets of the keys are, in which
+        none of the old rows with such a key stays; rows of `appended` ones are added. Other tables and buckets stay as they are. The
+        keys of new rows must be among those that go, as must be a null that stands for the rows without a key."""
         base = (self.versions() or [0])[-1]
         known = self.manifest(base)
         buckets, held = known["buckets"], known["tables"]
-        for name, rows in (whole or {}).items():
-            held[name] = self._written(name, rows, buckets)
+        writes, touched = dict(whole or {}), {}
+        places: dict[tuple, list[int]] = {}
         for name, (rows, gone) in (replaced or {}).items():
             key = self.keys[name]
-            gone = gone if key in gone.columns else gone.withColumnRenamed(gone.columns[0], key)
-            places = gone.select(self.place(name, buckets).alias("b")).union(rows.select(self.place(name, buckets)))
-            touched = sorted(r.b for r in places.distinct().collect())  # at most one for each bucket
-            gone = gone.select(key).where(F.col(key).isNotNull()).distinct()
-            kept = self.table(name, touched, base).join(gone, key, "left_anti")
-            new = self._written(name, kept.select(*self.fields(name)).unionByName(rows.select(*self.fields(name))), buckets)
-            held[name] = {b: f for b, f in held.get(name, {}).items() if int(b) not in touched} | new
+            keys = gone if key in gone.columns else gone.withColumnRenamed(gone.columns[0], key)
+            place = self.place(name, buckets).alias("b")
+            # at most one for each bucket; tables that are changed alike ask once
+            at = (id(gone), str(place).replace(key, ""))
+            if at not in places:
+                places[at] = sorted(r.b for r in keys.select(place).distinct().collect())
+            touched[name] = places[at]
+            named = keys.select(F.col(key).alias("__gone")).distinct()
+            kept = self.table(name, touched[name], base).join(named, F.col(key).eqNullSafe(F.col("__gone")), "left_anti")
+            writes[name] = kept.select(*self.fields(name)).unionByName(rows.select(*self.fields(name)))
+        added = set()
         for name, rows in (appended or {}).items():
-            if max(map(len, held.get(name, {"": []}).values())) >= PARTS:
-                held[name] = self._written(name, self.table(name, version=base).unionByName(rows.select(*self.fields(name))), buckets)
-            else:
-                for b, folders in self._written(name, rows, buckets).items():
+            whole_again = max(map(len, held.get(name, {"": []}).values())) >= PARTS
+            writes[name] = self.table(name, version=base).unionByName(rows.select(*self.fields(name))) if whole_again else rows
+            added |= set() if whole_again else {name}
+        with ThreadPoolExecutor(TABLES) as pool:  # tables are written beside each other
+            written = dict(zip(writes, pool.map(lambda n: self._written(n, writes[n], buckets), writes)))
+        for name, new in written.items():
+            if name in added:
+                for b, folders in new.items():
                     held.setdefault(name, {}).setdefault(b, []).extend(folders)
+            else:
+                held[name] = {b: f for b, f in held.get(name, {}).items() if name in touched and int(b) not in touched[name]} | new
         self._point(base + 1, known)
         return base + 1
 
