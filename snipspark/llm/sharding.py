@@ -37,8 +37,12 @@ def metadata(docs: DataFrame) -> DataFrame:
     return stored(base)
 
 
-def keyed(meta: DataFrame, dims: list[str]) -> DataFrame:
-    """With each dimension as one ordered number: 30 bits of its value, 16 of the text's digest, 16 of the row's hash."""
+def keyed(meta: DataFrame, dims: list[str], leaf: float) -> DataFrame:
+    """With each dimension as one ordered number, 30 bits of its value, 16 of the text's digest, 16 of the row's hash, and whether
+    the row's group has more bytes than a leaf."""
+    # fewer groups than leaves
+    large = [r.digest for r in meta.groupBy("digest").agg(F.sum("size").alias("b")).where(F.col("b") > leaf).collect()]
+    meta = meta.withColumn("large", F.col("digest").isin(large) if large else F.lit(False))
     bounds = meta.agg(*(f(d).alias(f"{k}_{d}") for d in dims for k, f in (("lo", F.min), ("hi", F.max)))).first()
     tie = F.shiftleft(F.pmod("digest", F.lit(1 << 16)), TIE).bitwiseOR(F.pmod("uid", F.lit(1 << TIE)))
     for d in dims:
@@ -65,9 +69,9 @@ def placed(rows: DataFrame, splits: list[tuple]) -> DataFrame:
     return rows.withColumn("node", column(tree))
 
 
-def cuts(rows: DataFrame, wanted: dict, leaf: float) -> dict:
+def cuts(rows: DataFrame, wanted: dict) -> dict:
     """For each node (dim, share, lo, hi): the largest key of the left side, whose bytes come nearest to its share without parting
-    a group of at most `leaf` bytes. First whole groups are weighed; the rows of one are only where it is larger."""
+    a group, unless it is a large one. First whole groups are weighed, then the rows of one that is large."""
     totals = {r["node"]: r["b"] for r in rows.groupBy("node").agg(F.sum("size").alias("b")).collect()}
     state = {n: {"dim": d, "lo": lo >> TIE, "hi": (hi >> TIE) + 1, "left": 0, "goal": share * totals[n], "shift": TIE} for n, (d, share, lo, hi) in wanted.items()}
     done = {}
@@ -77,19 +81,19 @@ def cuts(rows: DataFrame, wanted: dict, leaf: float) -> dict:
             here = F.col("node") == n
             own = F.shiftright(f"k_{s['dim']}", s["shift"])
             key, lo, width = F.when(here, own).otherwise(key), F.when(here, F.lit(s["lo"])).otherwise(lo), F.when(here, F.lit(max(1, -(-(s["hi"] - s["lo"]) // BINS)))).otherwise(width)
-        bins = rows.where(F.col("node").isin(list(state))).select("node", "size", key.alias("key"), lo.alias("lo"), width.alias("width")).withColumn("bin", F.expr("(key - lo) div width")).where(f"key >= lo and bin < {BINS}")
+        bins = rows.where(F.col("node").isin(list(state))).select("node", "size", "large", key.alias("key"), lo.alias("lo"), width.alias("width")).withColumn("bin", F.expr("(key - lo) div width")).where(f"key >= lo and bin < {BINS}")
         found: dict = {}
-        for r in bins.groupBy("node", "bin").agg(F.sum("size").alias("b"), F.min("key").alias("least"), F.max("key").alias("most")).collect():
-            found.setdefault(r["node"], []).append((r["bin"], r["b"], r["least"], r["most"]))
+        for r in bins.groupBy("node", "bin").agg(F.sum("size").alias("b"), F.min("key").alias("least"), F.max("key").alias("most"), F.bool_or("large").alias("large")).collect():
+            found.setdefault(r["node"], []).append((r["bin"], r["b"], r["least"], r["most"], r["large"]))
         for n in list(state):
             s = state[n]
             left = s["left"]
-            for b, size, lo, most in sorted(found.get(n, [])):
+            for b, size, lo, most, large in sorted(found.get(n, [])):
                 if left + size >= s["goal"] or b == max(x[0] for x in found[n]):
                     hi = most + 1
                     if lo < most:
                         state[n] = s | {"lo": lo, "hi": hi, "left": left}
-                    elif s["shift"] and size > leaf:
+                    elif s["shift"] and large:
                         state[n] = s | {"lo": lo << TIE, "hi": hi << TIE, "left": left, "shift": 0}
                     else:
                         # on the side that is nearer to the share
@@ -105,8 +109,8 @@ def cuts(rows: DataFrame, wanted: dict, leaf: float) -> dict:
 
 def kd_shards(docs: DataFrame, shards: int = SHARDS, dims: tuple[str, ...] = ("size", "text_crc32", "chars")) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot for each row."""
-    meta = keyed(metadata(docs), list(dims))
-    leaf = (meta.agg(F.sum("size")).first()[0] or 0) / shards
+    base = metadata(docs)
+    meta = keyed(base, list(dims), (base.agg(F.sum("size")).first()[0] or 0) / shards)
     splits, nodes = [], {0: shards}
     while any(k > 1 for k in nodes.values()):
         rows = placed(meta, splits)
@@ -119,7 +123,7 @@ def kd_shards(docs: DataFrame, shards: int = SHARDS, dims: tuple[str, ...] = ("s
             widest = max(dims, key=lambda d: span[n][f"hi_{d}"] - span[n][f"lo_{d}"])
             wanted[n] = (widest, (k // 2) / k, span[n][f"lo_{widest}"], span[n][f"hi_{widest}"])
             after |= {n: k // 2, n + k // 2: k - k // 2}
-        for n, cut in cuts(rows, wanted, leaf).items():
+        for n, cut in cuts(rows, wanted).items():
             splits.append((n, nodes[n] // 2, wanted[n][0], cut))
         nodes = after
     rows = placed(meta, splits).select("doc_id", "size", "text_crc32", "uid", F.col("node").alias("shard"))

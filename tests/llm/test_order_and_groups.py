@@ -68,6 +68,9 @@ def tree_by_loops(rows, shards):
         for f in facts:
             f["keys"].append((int((f[d] - lo) / max(hi - lo, 1) * (sharding.TOP - 1)) << 32) | (f["digest"] % (1 << 16) << 16) | f["uid"] % (1 << 16))
     leaf, out = sum(f["size"] for f in facts) / shards, [0] * len(facts)
+    total = collections.Counter()
+    for f in facts:
+        total[f["digest"]] += f["size"]
 
     def cut(bins, goal, left):
         """(number of bins on the left, bin that holds the goal, bytes before it)."""
@@ -89,7 +92,7 @@ def tree_by_loops(rows, shards):
             groups[facts[i]["keys"][d] >> 16] += facts[i]["size"]
         key, size, left = cut(sorted(groups.items()), goal, 0)
         shift = 16
-        if size > leaf:
+        if any(total[facts[i]["digest"]] > leaf for i in members if facts[i]["keys"][d] >> 16 == key):
             for i in members:
                 if facts[i]["keys"][d] >> 16 == key:
                     single[facts[i]["keys"][d]] += facts[i]["size"]
