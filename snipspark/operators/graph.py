@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import stored
 from .names import holding, name_postings
+from .search import small
 
 #: Extensions that an import's path is tried with, in this order, also with index files.
 TRIED = [".ts", ".tsx", ".js", ".jsx", ".py", ".go", ".rs", ".java", ".c", ".cpp", ".h", ".hpp"]
@@ -46,22 +47,28 @@ def resolve_imports(imports: DataFrame, files: DataFrame, symbols: DataFrame, by
     if not by_name:
         return hit
     left = imports.join(hit.select("id"), "id", "left_anti").select("id", "file_path", F.element_at(F.split("source", "/"), -1).alias("last"))
-    first = symbols.groupBy("name").agg(F.min_by("file_path", "id").alias("target_path"), F.min("id").alias("sid"))
-    found = holding(left, name_postings(symbols), "last").withColumnRenamed("pattern", "last").join(first, "name")
-    best = found.groupBy("last").agg(F.min_by("target_path", F.struct("name", "sid")).alias("target_path"))
-    return hit.unionByName(left.join(best, "last").select("id", "file_path", "target_path"))
+    # the first name of each source alone meets the symbols
+    name = holding(left, name_postings(symbols), "last").groupBy(F.col("pattern").alias("last")).agg(F.min("name").alias("name"))
+    best = stored(symbols.join(small(stored(name)), "name").groupBy("last").agg(F.min_by("file_path", "id").alias("target_path")))
+    return hit.unionByName(left.join(small(best), "last").select("id", "file_path", "target_path"))
 
 
 def resolve_names(refs: DataFrame, symbols: DataFrame, legacy: bool = False) -> DataFrame:
     """(ref_id, symbol_id) for references (ref_id, file_path, name): a symbol of that name in the same file, else the
     first of that name anywhere. With legacy a same-file symbol need only contain the name."""
-    s = symbols.select(F.col("id").alias("symbol_id"), F.col("name").alias("sname"), F.col("file_path").alias("sfile"))
     last = refs.withColumn("short", last_part(F.col("name")))
     word = "name" if legacy else "short"
-    match = F.expr(f"contains(lower(sname), lower({word}))") if legacy else F.col("sname") == F.col(word)
-    local = last.join(s, (F.col("file_path") == F.col("sfile")) & match).groupBy("ref_id").agg(F.min_by("symbol_id", F.struct("sname", "symbol_id")).alias("near"))
-    first = s.groupBy("sname").agg(F.min("symbol_id").alias("far"))
-    return last.join(local, "ref_id", "left").join(first, F.col(word) == F.col("sname"), "left").select("ref_id", F.coalesce("near", "far").alias("symbol_id")).where("symbol_id is not null")
+    # symbols that share name and file are one row before they meet references, references that share both are answered once
+    own = symbols.groupBy("file_path", F.col("name").alias("sname")).agg(F.min("id").alias("symbol_id"))
+    if legacy:
+        asked = stored(last.select("file_path", "name").where("file_path is not null and name is not null").distinct())
+        found = holding(asked, name_postings(own, "sname", ("file_path",)), "name", ("file_path",)).select("file_path", F.col("pattern").alias("name"), F.col("name").alias("sname"))
+        pairs = found.join(own, ["file_path", "sname"]).unionByName(asked.where("name = ''").join(own, "file_path"))
+        local = pairs.groupBy("file_path", "name").agg(F.min_by("symbol_id", F.struct("sname", "symbol_id")).alias("near"))
+    else:
+        local = own.select("file_path", F.col("sname").alias(word), F.col("symbol_id").alias("near"))
+    first = own.groupBy(F.col("sname").alias(word)).agg(F.min("symbol_id").alias("far"))
+    return last.join(local, ["file_path", word], "left").join(first, word, "left").select("ref_id", F.coalesce("near", "far").alias("symbol_id")).where("symbol_id is not null")
 
 
 def last_part(name: Column) -> Column:

@@ -174,6 +174,41 @@ def test_names_that_hold_patterns(spark):
     assert got == {(p, n) for p in asked for n in own if p and n is not None and p.lower() in n.lower()}
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_are_not_broadcast(spark, tmp_path):
+    """A file of names is small, their postings aren't."""
+    spark.range(2000).select(F.concat(F.lit("name"), F.col("id").cast("string")).alias("name")).write.parquet(str(tmp_path / "n"))
+    found = names.holding(spark.createDataFrame([(str(i),) for i in range(30)], "pattern string"), names.name_postings(spark.read.parquet(str(tmp_path / "n"))))
+    built = plan(found).split("BroadcastExchange")[1:]
+    assert built and not any("posexplode" in b for b in built)
+    assert found.where("pattern = '7'").count() == sum("7" in str(i) for i in range(2000))
+
+
+@pytest.mark.parametrize("legacy", [False, True])
+def test_names_that_many_share(spark, legacy):
+    """20,000 symbols and 5,000 references of one name and file meet as one row each: pairs would be 100 million."""
+    rows = [(i, "set", "f") for i in range(20_000)] + [(30_000, "a.set", "g"), (30_001, "reset", "g"), (30_002, "Get", "h"), (30_003, "get", "k")]
+    symbols = spark.createDataFrame(rows, "id long, name string, file_path string")
+    refs = [(i, "f", "set") for i in range(5000)] + [(6000, "g", "set"), (6001, "h", "get"), (6002, "g", ""), (6003, "x", "x.get"), (6004, None, "get"), (6005, "f", None)]
+    found = graph.resolve_names(spark.createDataFrame(refs, "ref_id long, file_path string, name string"), symbols, legacy)
+    got = {r.ref_id: r.symbol_id for r in found.collect()}
+    assert got == dict.fromkeys(range(5000), 0) | ({6000: 30_000, 6001: 30_002, 6002: 30_000, 6004: 30_003} if legacy else {6000: 0, 6001: 30_003, 6003: 30_003, 6004: 30_003})
+
+
+def test_patterns_that_many_ask_for(spark, tmp_path):
+    from snipspark import catalog_code
+
+    rows = [(i, 3) for i in range(1, 900)] + [(5, 4)]
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    parts = [(i, f"blue {'gear' if i % 2 else 'bolt'}", "b", "t", 1, 1.0) for i in range(60)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r.query_id: (r.found, r.first_id, r.last_id) for r in catalog_code.symbol_substring(spark, str(tmp_path)).collect()}
+    assert got[2] == got[899] == (30, 1, 59) and got[3] == got[753] == (5, 30, 38)
+
+
 # the graph
 def reach(edges, seed, depth, limit, known=None):
     near = {}
