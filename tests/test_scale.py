@@ -18,6 +18,12 @@ from snipspark.streaming import cache
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
+def written(spark):
+    """Bytes shuffled so far."""
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
 # vectors
 def points(n, dims, seed=2, clusters=12):
     rng = np.random.default_rng(seed)
@@ -120,6 +126,18 @@ def test_top_by_blocks_is_the_top(spark, texts, queries, where):
     assert key(keyword.keyword_top(tokens, queries, 10, where=only)) == key(plain)
 
 
+def test_best_shuffles_no_pairs(spark, texts, queries):
+    """Thousands of texts share a word with each query; what leaves the tasks is the best of each, of copies as many as are asked for."""
+    copies = spark.range(20_000).select((F.col("id") + 10_000).alias("doc_id"), F.lit("w1 w2 w3 w9 other").alias("text"))
+    tokens = search.tokens(texts.select("doc_id", "text").unionByName(copies), "doc_id", "text").persist()
+    tokens.count()
+    before = written(spark)
+    got = sorted((r.query_id, r["rank"], r.doc_id, r.bm25) for r in keyword.keyword_top(tokens, queries, 10).collect())
+    assert written(spark) - before < 400_000
+    plain = search.top_k(search.bm25(tokens, queries).withColumn("bm25", F.round("bm25", 6)), "query_id", "bm25", "doc_id", 10)
+    assert got == sorted((r.query_id, r["rank"], r.doc_id, r.bm25) for r in plain.collect())
+
+
 def test_blocks_are_left_out(texts, queries):
     tokens = search.tokens(texts, "doc_id", "text").persist()
     blocks = {r.query_id: (r.read, r.blocks) for r in keyword.Keyword(tokens, queries).top(10)[1].collect()}
@@ -293,12 +311,6 @@ def test_cache_of_a_batch_and_of_a_stream(spark, tmp_path):
     assert key(cache.answered(cache.cache_stream(stream, shards=3))) == want
 
 
-def written(spark):
-    """Bytes shuffled so far."""
-    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
-    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
-
-
 def test_invalidations_dont_meet_all_keys(spark):
     """2,000 keys under 3,000 clears: pairs would be 6 million rows."""
     sets = spark.range(2000).selectExpr("timestamp_millis(id) at", "id seq", "'set' op", "concat('k', id) key", "'v' value", "cast(null as long) ttl_ms")
