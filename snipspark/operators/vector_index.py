@@ -14,20 +14,26 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import stored
 from ..sources.store import Store
-from .search import Best, half_up, matrix, top_k
+from .search import PAIRS, Best, cosines, half_up, matrix, small, top_k
 
 #: Cells by default: a power of two near the root of the rows, between these.
 LEAST, MOST = 16, 4096
 ROUNDS = 5
 #: Vectors and queries of a block.
 VECTORS, QUERIES = 32_768, 4096
+#: Rows that leave a task at once.
+ROWS = 16_384
 #: Queries that the number of cells to read is tuned on, and the recall wanted.
 TUNED, TARGET = 256, 0.9
 
 
 def nearest_cells(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
     """The n cells of each row, nearest first; ties by number."""
-    return np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :n]
+    out, step = np.zeros((len(x), min(n, len(centres))), np.int64), max(1, PAIRS // max(len(centres), 1))
+    for lo in range(0, len(x), step):
+        near = x[lo : lo + step] @ centres.T
+        out[lo : lo + step] = near.argmax(axis=1)[:, None] if n == 1 else np.argsort(-near, axis=1, kind="stable")[:, :n]
+    return out
 
 
 def sized_to(rows: np.ndarray, dims: int) -> np.ndarray:
@@ -76,8 +82,12 @@ def located(rows: DataFrame, held: np.ndarray, n: int = 1, vector: str = "vector
         for b in batches:
             x = sized_to(matrix(b.column(vector)), held.shape[1])
             near = nearest_cells(x, held, n) if len(x) else np.zeros((0, n), np.int64)
-            take = pa.array(np.repeat(np.arange(b.num_rows), near.shape[1]))
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in b.schema.names), pa.array(near.reshape(-1), pa.int32())], [*b.schema.names, "cell"])
+            # rows that go to many cells leave in pieces
+            step = max(1, ROWS // max(near.shape[1], 1))
+            for lo in range(0, b.num_rows, step):
+                part, cells = b.slice(lo, step), near[lo : lo + step]
+                take = pa.array(np.repeat(np.arange(part.num_rows), cells.shape[1]))
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(take) for c in b.schema.names), pa.array(cells.reshape(-1), pa.int32())], [*b.schema.names, "cell"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(stage, f"{kinds}, cell int")
@@ -89,10 +99,10 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
 
 
 def in_blocks(vectors: DataFrame, queries: DataFrame, key: str, query: str, k: int, vector: str = "vector", digits: int = 6, each: tuple[int, int] = (VECTORS, QUERIES)) -> DataFrame:
-    """(query, key, cosine, cell, rank): for queries (query, vector, cell) the k nearest vectors (key, vector, cell) of their cells. Each
+    """(query, key, cosine, cell, rank): for queries (query, vector, cell) the k nearest vectors (key, vector, cell) of their cells; cells may be of any type. Each
     block of a cell's vectors meets each block of its queries in a task, which multiplies and keeps the k best of each query."""
     shape = blocks(vectors, each[0]).withColumnRenamed("n", "rows").join(blocks(queries, each[1]), "cell")
-    shape = F.broadcast(stored(shape))  # a row for each cell
+    shape = small(stored(shape))  # a row for each cell
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     dealt = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     ours = vectors.join(shape, "cell").select("cell", dealt(key, "rows").alias("i"), every("n").alias("j"), key, vector)
@@ -102,19 +112,18 @@ def in_blocks(vectors: DataFrame, queries: DataFrame, key: str, query: str, k: i
         names = right.column(query).combine_chunks()
         best = Best(len(names), k)
         if len(names) and left.num_rows:
-            wanted = matrix(right.column("wanted"))
-            step = max(64, (1 << 22) // len(names))
+            wanted = right.column("wanted").combine_chunks()
+            step = max(64, PAIRS // len(names))
             for lo in range(0, left.num_rows, step):
-                part = left.slice(lo, step)
-                v = matrix(part.column(vector))
-                scores = half_up(v @ wanted.T, digits) if v.shape[1] == wanted.shape[1] else np.zeros((len(v), len(names)))
-                best.add(scores, part.column(key).combine_chunks())
+                part = left.slice(lo, step).combine_chunks()
+                best.add(half_up(cosines(part.column(vector).combine_chunks(), wanted), digits), part.column(key).combine_chunks())
         q, s, keys = best.prune()
-        cell = left.column("cell")[0].as_py() if left.num_rows else 0
-        return pa.table({query: names.take(pa.array(q)), key: keys if keys is not None else left.column(key).combine_chunks()[:0], "cosine": pa.array(s), "cell": pa.array([cell] * len(q), pa.int32())})
+        cell = left.column("cell")[0].as_py() if left.num_rows else None
+        return pa.table({query: names.take(pa.array(q)), key: keys if keys is not None else left.column(key).combine_chunks()[:0], "cosine": pa.array(s), "cell": pa.array([cell] * len(q), left.column("cell").type)})
 
+    cells = vectors.schema["cell"].dataType.simpleString()
     kinds = vectors.schema[key].dataType.simpleString(), queries.schema[query].dataType.simpleString()
-    found = ours.groupBy("cell", "i", "j").cogroup(theirs.groupBy("cell", "i", "j")).applyInArrow(stage, f"{query} {kinds[1]}, {key} {kinds[0]}, cosine double, cell int")
+    found = ours.groupBy("cell", "i", "j").cogroup(theirs.groupBy("cell", "i", "j")).applyInArrow(stage, f"{query} {kinds[1]}, {key} {kinds[0]}, cosine double, cell {cells}")
     return top_k(found, query, "cosine", key, k)
 
 

@@ -18,6 +18,10 @@ from snipspark.streaming import cache
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def written(spark):
     """Bytes shuffled so far."""
     executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
@@ -91,6 +95,30 @@ def test_a_cell_of_most_rows_and_queries(spark):
     assert best(got) == best(search.nearest(rows, queries, "id", "query_id", 5))
 
 
+def test_pairs_of_vectors_are_compared_in_pieces():
+    """A batch of 10,000 vectors and 4,096 centres or queries would be tables of hundreds of MB."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    x, centres = rng.standard_normal((4000, 8)), rng.standard_normal((4096, 8))
+    tracemalloc.start()
+    near = vector_index.nearest_cells(x, centres, 3)
+    assert tracemalloc.get_traced_memory()[1] < 120 << 20
+    tracemalloc.stop()
+    assert (near == np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :3]).all() and (vector_index.nearest_cells(x, centres, 1)[:, 0] == near[:, 0]).all()
+
+
+def test_nearest_within_groups_by_blocks(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, ["a", "b", "c", None][i % 4] if i % 50 else "a", [float(c) for c in rng.standard_normal(3 if i % 9 else 2)]) for i in range(600)] + [(700, "a", None), (701, "b", [0.0, 0.0, 0.0])]
+    v = spark.createDataFrame(rows, "id long, g string, vector array<double>").persist()
+    q = v.where("id % 25 = 0 or id > 699").select(F.col("id").alias("query_id"), "g", "vector")
+    got = search.nearest_within(v, q, "id", "query_id", "g", 6)
+    pairs = v.join(q.withColumnRenamed("vector", "wanted"), "g").select("query_id", "id", F.round(V.cosine(F.col("vector"), F.col("wanted")), 6).alias("cosine"))
+    assert best(got) == best(search.top_k(pairs, "query_id", "cosine", "id", 6))
+    assert "FlatMapCoGroupsInArrow" in plan(got)
+
+
 def test_no_vectors(spark, tmp_path):
     s = vector_index.VectorStore(spark, str(tmp_path / "s"), "long")
     s.build(spark.createDataFrame([], "id long, vector array<double>"))
@@ -192,10 +220,6 @@ def test_names_that_hold_patterns(spark):
     assert got == {(p, n) for p in asked for n in own if p and n is not None and p.lower() in n.lower()}
 
 
-def plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()
-
-
 def test_postings_are_not_broadcast(spark, tmp_path):
     """A file of names is small, their postings aren't."""
     spark.range(2000).select(F.concat(F.lit("name"), F.col("id").cast("string")).alias("name")).write.parquet(str(tmp_path / "n"))
