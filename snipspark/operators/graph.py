@@ -107,8 +107,44 @@ def adjacent(edges: DataFrame, kinds: list[str] | None = None, known: DataFrame
     return both if known is None else both.join(known.select(F.col("id").alias("b")), "b", "left_semi")
 
 
-#: Neighbours of a node beyond which they are dealt over several keys; seeds that one number stands for.
-HUB, BITS = 10_000, 64
+#: Neighbours of a node beyond which they are dealt over several keys; seeds that one number stands for; seeds from which lists of the nearest are kept for all nodes.
+HUB, BITS, MANY = 10_000, 64, 5000
+#: Nearest nodes of a neighbour that are looked at before a bound is known.
+HEAD = 4
+
+
+def nearest_lists(adjacent: DataFrame, depth: int, limit: int) -> DataFrame:
+    """(a, near, full): for each node with neighbours the `limit` + 1 nearest nodes within `depth` steps, itself included, as an ordered array of
+    (distance, node_id), from a table (a, b) of which nodes are next to which.
+
+    A node among the nearest of a node is also among the nearest of the neighbour that the way leads over, so a step merges the
+    neighbours' lists. Heads of these lists, a few nodes each, tell how far the last of the nearest can be; of the lists only what
+    isn't beyond that is moved. A node whose list is full of nodes within the steps so far takes no further step."""
+    most = limit + 1
+    further = [(F.col("x.distance") + 1).alias("distance"), F.col("x.node_id").alias("node_id")]  # outer explodes, as Spark guards others by making the arrays a second time
+
+    def merged(rows: DataFrame) -> DataFrame:
+        """(a, distance, node_id) to the nearest of each a. A window keeps no more than `most` rows a task and node before it shuffles."""
+        once = rows.groupBy("a", "node_id").agg(F.min("distance").alias("distance"))
+        w = Window.partitionBy("a").orderBy("distance", "node_id")
+        best = once.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
+        return best.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("distance", "node_id"))).alias("near"))
+
+    own = adjacent.select("a", F.lit(0).alias("distance"), F.col("a").alias("node_id")).distinct()
+    lists = stored(merged(adjacent.select("a", F.lit(1).alias("distance"), F.col("b").alias("node_id")).unionByName(own)).withColumn("full", F.size("near") >= most))
+    for _ in range(1, depth):
+        wanting = lists.where(~F.col("full"))
+        ways = stored(adjacent.join(wanting.select("a"), "a", "left_semi"))
+        theirs = lists.select(F.col("a").alias("b"), "near")
+        heads = ways.join(theirs, "b").select("a", F.explode_outer(F.slice("near", 1, HEAD)).alias("x")).select("a", *further)
+        known = wanting.select("a", F.explode("near").alias("x")).select("a", "x.*")
+        last = F.element_at("near", -1)
+        bound = merged(known.unionByName(heads)).select("a", F.when(F.size("near") >= most, F.struct((last["distance"] - 1).alias("distance"), last["node_id"].alias("node_id"))).alias("bound"))
+        bounded = stored(ways.join(bound, "a"))
+        within = bounded.join(theirs, "b").select("a", F.explode_outer(F.filter("near", lambda x: F.col("bound").isNull() | (x <= F.col("bound")))).alias("x")).where("x is not null").select("a", *further)
+        new = merged(known.unionByName(within)).withColumn("full", F.size("near") >= most)
+        lists = stored(lists.where("full").unionByName(new))
+    return lists
 
 
 def neighbours(edges: DataFrame, seeds: DataFrame, depth: int = 1, kinds: list[str] | None = None, limit: int = 100, known: DataFrame | None = None, legacy_precedence: bool = False) -> DataFrame:
@@ -118,8 +154,13 @@ def neighbours(edges: DataFrame, seeds: DataFrame, depth: int = 1, kinds: list[s
 
     Seeds are searched from together: BITS of them are the bits of a number, and a step ors the numbers of all nodes next to a
     node. A seed that has its `limit` of nodes takes no further step, as farther nodes would come after them. The neighbours of a
-    hub are dealt over several keys."""
+    hub are dealt over several keys. MANY seeds and more are answered from lists of the nearest of all nodes, as their
+    frontiers would grow with seeds times edges."""
     both = stored(adjacent(edges, kinds, known, legacy_precedence))
+    if seeds.select("seed").distinct().count() >= MANY:
+        asked = seeds.select(F.col("seed").alias("a")).where("seed is not null").distinct()
+        near = nearest_lists(both, depth, limit).join(asked, "a").select(F.col("a").alias("seed"), F.posexplode(F.filter("near", lambda x: x["distance"] > 0)).alias("n", "x"))
+        return near.where(F.col("n") < limit).select("seed", "x.node_id", "x.distance")
     hubs = stored(both.groupBy("a").agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts")).where("parts > 1"))
     salted = both.join(hubs, "a", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
 

@@ -281,6 +281,30 @@ def test_search_from_many_seeds(spark, monkeypatch, depth, limit, hub):
             assert sorted(got.get(s, [])) == reach(edges, s, depth, limit, these), s
 
 
+@pytest.mark.parametrize(("depth", "limit", "head"), [(2, 7, 1), (3, 5, 2), (3, 100, 4)])
+def test_lists_of_the_nearest_are_the_search(spark, monkeypatch, depth, limit, head):
+    rng = random.Random(depth + limit)
+    edges = {(f"n{rng.randrange(200)}", f"n{rng.randrange(200)}") for _ in range(300)} | {("hub", f"n{i}") for i in range(0, 90)} | {("n3", "n3")}
+    df = spark.createDataFrame([(a, b, rng.choice(["calls", "imports"])) for a, b in edges], "from_id string, to_id string, kind string")
+    seeds = spark.createDataFrame([(f"n{i}",) for i in range(200)] + [("hub",), ("alone",), ("n1",), (None,)], "seed string")
+    monkeypatch.setattr(graph, "HEAD", head)
+    for more in ({}, {"kinds": ["calls"], "legacy_precedence": True}):
+        monkeypatch.setattr(graph, "MANY", 1 << 30)
+        want = sorted(tuple(r) for r in graph.neighbours(df, seeds, depth, limit=limit, **more).collect())
+        monkeypatch.setattr(graph, "MANY", 1)
+        got = sorted(tuple(r) for r in graph.neighbours(df, seeds, depth, limit=limit, **more).collect())
+        assert got == want
+
+
+def test_many_seeds_of_a_dense_graph(spark, monkeypatch):
+    """500 seeds, each two steps from all 3,000 nodes: the pairs would be 1.5 million rows."""
+    monkeypatch.setattr(graph, "MANY", 500)
+    edges = spark.range(90_000).selectExpr("concat('s', id % 30) from_id", "concat('p', floor(id / 30)) to_id", "'calls' kind")
+    seeds = spark.range(500).selectExpr("concat('p', id) seed")
+    before = written(spark)
+    assert graph.neighbours(edges, seeds, 3, limit=20).count() == 10_000 and written(spark) - before < 20_000_000
+
+
 def test_paths_of_a_forest_with_cycles(spark):
     rng = random.Random(2)
     parent = {i: rng.randrange(i) if rng.random() < 0.9 and i else None for i in range(300)}
@@ -375,6 +399,17 @@ def test_an_invalidation_reads_no_entries():
     assert ("k25",) not in entries.entries and ("k1",) in entries.entries
 
 
+def test_scores_are_rounded_as_in_sql(spark):
+    """A cosine of six places times a quarter is often a half at the seventh place."""
+    import duckdb
+
+    sql = dict(duckdb.sql("SELECT i, round(i / 1000000 * 0.25, 6) FROM range(-1000000, 1000000) r(i)").fetchall())
+    x = F.col("id") / 1_000_000 * 0.25
+    got = spark.range(-1_000_000, 1_000_000).select("id", search.rounded(x, 6).alias("ours"), F.round(x, 6).alias("sparks")).toArrow().to_pydict()
+    assert all(sql[i] == v for i, v in zip(got["id"], got["ours"]))
+    assert any(sql[i] != v for i, v in zip(got["id"], got["sparks"]))
+
+
 # changes of a folder
 def test_stream_of_changes(spark, tmp_path):
     tree, state, out = tmp_path / "tree", str(tmp_path / "state"), str(tmp_path / "out")
