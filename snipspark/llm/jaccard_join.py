@@ -10,13 +10,13 @@ probing visits. Which shingles are frequent comes from counts over all documents
 1. Counts: each task counts its distinct shingles, key ranges add up; the most frequent (at most MOST) are broadcast.
 2. Postings of the n - T + 1 first elements: lists of one class end here; the others are rows (shingle, class, n).
 3. Searches: each list has a leader, the class with the largest share of frequent shingles, as the source of a group of
-   near-copies has, and each class is searched by the best leader of its lists. A search is DivideSkip over the inverted
+   near-copies has, and each class is searched by the best leader of its lists whose size allows a link. A search is DivideSkip over the inverted
    lists of the classes that it may reach (`Lists`): of the leader's lists the longest are set aside, the short ones are
    merged by a heap, classes that occur there often enough are probed in the long lists by binary search, and those that
    reach the required overlap stay. Lists whose members then form one component need nothing more.
 4. In the lists that are left, members of different components have to be compared. Those of up to FEW members give
-   pairs, unless the triangle inequality of the Jaccard distance, through a leader that both were probed by, rules the
-   pair out. Larger ones are joined to families; the members outside a family's main component are searches among
+   pairs, unless the triangle inequality of the Jaccard distance, through a leader that both were probed by, or the number
+   of short lists that the two share rules the pair out. Larger ones are joined to families; the members outside a family's main component are searches among
    blocks of all its members. Both go through the same DivideSkip searches and return links only.
 5. Components by repeated star contraction in the shared folder; each document gets the least doc_id of its component.
 
@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, WordHashes, flat, frugal, frugal_group, hashed_words, joined, mixed, pieces, planes, ranges_for, small_batches, stored, taken, text_bytes, window_hashes
+from .common import U64, flat, frugal, frugal_group, joined, mixed, pieces, planes, ranges_for, small_batches, stored, taken, text_bytes, window_hashes, word_hashes
 from .decontaminate import sized
 from .substrings import by_part, rows, runs
 
@@ -74,15 +74,25 @@ MU = 0.0085
 HEAP = 4096
 
 
-def class_of(words: list[bytes]) -> int:
-    """A signed 64-bit name for a word sequence."""
-    x = xxhash.xxh3_64_intdigest(b" ".join(words), 7)
-    return x - (1 << 64) if x >> 63 else x
+def classes_of(h: np.ndarray, at: np.ndarray) -> list[int | None]:
+    """A signed 64-bit name for each text's sequence of word hashes; none for texts without words."""
+    names = [xxhash.xxh3_64_intdigest(h[a:b].tobytes(), 7) if b > a else None for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+    return [x - (1 << 64) if x and x >> 63 else x for x in names]
 
 
-def windows(words: list[list[bytes]], memo: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles of each text end to end, as they come, and where each text's begin."""
-    h, at = hashed_words(words, memo)
+def fresh(h: np.ndarray, at: np.ndarray, seen: set) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The word hashes of the classes that weren't seen, where each one's begin, and their names."""
+    names, new = classes_of(h, at), []
+    for i, c in enumerate(names):
+        if c is not None and c not in seen:
+            seen.add(c)
+            new.append(i)
+    n = np.diff(at)[new]
+    return h[flat(at[new], n)], np.append(0, np.cumsum(n)), np.array([names[i] for i in new], np.int64)
+
+
+def windows(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of texts, given by their word hashes, end to end as they come, and where each text's begin."""
     n = np.diff(at)
     whole = np.maximum(n - SIZE + 1, 0)
     w = window_hashes(h, SIZE)[flat(at[:-1], whole)] if whole.any() else np.zeros(0, np.uint64)
@@ -95,19 +105,16 @@ def windows(words: list[list[bytes]], memo: WordHashes) -> tuple[np.ndarray, np.
     return np.concatenate(parts), np.append(0, np.cumsum([len(x) for x in parts]))
 
 
-def shingled(words: list[list[bytes]], memo: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+def shingled(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct shingles of each text, sorted, end to end, and where each text's begin."""
-    w, at = windows(words, memo)
+    w, at = windows(h, at)
     for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
         w[a:b].sort()
-    doc = np.repeat(np.arange(len(words)), np.diff(at))
+    n = np.diff(at)
+    doc = np.repeat(np.arange(len(n)), n)
     new = np.ones(len(w), bool)
     new[1:] = (w[1:] != w[:-1]) | (doc[1:] != doc[:-1])
-    return w[new], np.append(0, np.cumsum(np.bincount(doc[new], minlength=len(words))))
-
-
-def normalised(texts: list) -> list[list[bytes]]:
-    return [t.lower().split() if t else [] for t in texts]
+    return w[new], np.append(0, np.cumsum(np.bincount(doc[new], minlength=len(n))))
 
 
 def count_stage(parts: int):
@@ -122,16 +129,12 @@ def count_stage(parts: int):
         return rows(COUNTS, out)
 
     def stage(batches):
-        memo, seen, found, count = WordHashes(), set(), [], 0
+        seen, found, count = set(), [], 0
         for b in batches:
             texts = text_bytes(b.column("text"))
             for lo, hi in pieces(texts):
-                fresh = []
-                for words in normalised(texts[lo:hi]):
-                    if words and (c := class_of(words)) not in seen:
-                        seen.add(c)
-                        fresh.append(words)
-                w, _ = windows(fresh, memo)
+                h, at, _ = fresh(*word_hashes(texts[lo:hi]), seen)
+                w, _ = windows(h, at)
                 found.append(w >> U64(64 - COUNT_BITS))
                 count += len(w)
                 if count >= FLUSH or len(seen) >= CLASSES:
@@ -195,17 +198,12 @@ def posting_stage(parts: int, known):
 
     def stage(batches):
         often, times = known.value
-        memo, seen, found, count = WordHashes(), set(), ([], [], [], []), 0
+        seen, found, count = set(), ([], [], [], []), 0
         for b in batches:
             texts = text_bytes(b.column("text"))
             for lo, hi in pieces(texts):
-                fresh, names = [], []
-                for words in normalised(texts[lo:hi]):
-                    if words and (c := class_of(words)) not in seen:
-                        seen.add(c)
-                        fresh.append(words)
-                        names.append(c)
-                w, at = shingled(fresh, memo)
+                h, at, names = fresh(*word_hashes(texts[lo:hi]), seen)
+                w, at = shingled(h, at)
                 n = np.diff(at)
                 rank = np.zeros(len(w), np.int64)
                 if len(often):
@@ -221,7 +219,7 @@ def posting_stage(parts: int, known):
                 place = np.arange(len(w)) - np.repeat(at[:-1], n)
                 short = place < np.repeat(n - least_shared(n) + 1, n)
                 own = doc[short]
-                for gathered, x in zip(found, (w[short], np.array(names, np.int64)[own], n[own].astype(np.uint32), core[own])):
+                for gathered, x in zip(found, (w[short], names[own], n[own].astype(np.uint32), core[own])):
                     gathered.append(x)
                 count += len(own)
                 if count >= FLUSH or len(seen) >= CLASSES:
@@ -254,6 +252,10 @@ def filter_bits(cls: np.ndarray) -> np.ndarray:
     return np.stack([x & U64(FILTER_BITS - 1), x >> U64(39)])
 
 
+def in_filter(bits: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    return np.all([bits[i >> U64(3)] >> (U64(7) - (i & U64(7))).astype(np.uint8) & 1 for i in filter_bits(cls)], axis=0)
+
+
 def class_filter(lists: DataFrame) -> np.ndarray:
     """A Bloom filter of the classes in lists, of a fixed size: tasks set bits, the driver unites the bytes."""
 
@@ -279,18 +281,17 @@ def class_stage(chosen):
     """Each document's class and number of shingles, and its text if its class may be in lists."""
 
     def stage(batches):
-        bits, memo = chosen.value, WordHashes()
+        bits = chosen.value
         for b in batches:
             texts, ids, keys = text_bytes(b.column("text")), b.column("doc_id"), b.column("key")
             names, sizes, keep = [], [], []
             for lo, hi in pieces(texts):
-                words = normalised(texts[lo:hi])
-                _, at = shingled(words, memo)
-                sizes.append(np.diff(at))
-                names += [class_of(w) if w else None for w in words]
-                cls = np.array([c or 0 for c in names[lo:hi]], np.int64)
-                hit = np.all([bits[i >> U64(3)] >> (U64(7) - (i & U64(7))).astype(np.uint8) & 1 for i in filter_bits(cls)], axis=0)
-                keep += [b" ".join(w) if w and k else None for w, k in zip(words, hit)]
+                h, at = word_hashes(texts[lo:hi])
+                sizes.append(np.diff(shingled(h, at)[1]))
+                found = classes_of(h, at)
+                hit = in_filter(bits, np.array([c or 0 for c in found], np.int64))
+                keep += [b" ".join(t.lower().split()) if c is not None and k else None for t, c, k in zip(texts[lo:hi], found, hit)]
+                names += found
             yield pa.RecordBatch.from_arrays([keys, ids, pa.array(names, pa.int64()), pa.array(np.concatenate(sizes) if sizes else [], pa.int64()), pa.array(keep, pa.binary())], ["key", "doc_id", "cls", "n_shingles", "words"])
 
     return stage
@@ -350,7 +351,7 @@ def probe_stage(table):
     """The searches of a block (a leader, the classes it may reach, all with their words) to the numbers of shared and of all shingles; classes that the short lists rule out have -1 shared ones."""
     a, star, b, words = table.column("a").to_numpy(), table.column("star").to_numpy(), table.column("b").to_numpy(), table.column("words").to_pylist()
     _, first, row = np.unique(b, return_index=True, return_inverse=True)
-    w, at = shingled([words[i].split() for i in first], WordHashes())
+    w, at = shingled(*word_hashes([words[i] for i in first]))
     size, out = np.diff(at), []
     order = np.lexsort((a != b, star, a))
     starts, n = runs(a[order], star[order])
@@ -365,13 +366,26 @@ def probe_stage(table):
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "same": pa.array(same, pa.int64()), "united": pa.array(united, pa.int64())})
 
 
-def probed(pairs: DataFrame, texts: DataFrame, blocks: int) -> DataFrame:
+def words_of(classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cls, words) of the classes that are wanted (column cls), and of some that the filter lets through: those texts alone are shuffled."""
+    chosen = classes.sparkSession.sparkContext.broadcast(class_filter(wanted))
+    held = F.arrow_udf(lambda cls: pa.array(in_filter(chosen.value, cls.to_numpy(zero_copy_only=False)).astype(bool)), T.BooleanType())
+    return classes.where("words is not null").where(held("cls")).groupBy("cls").agg(F.first("words").alias("words"))
+
+
+def size_fits(x: str, y: str):
+    """Whether sets of these sizes can reach the threshold."""
+    return DEN * F.least(x, y) >= NUM * F.greatest(x, y)
+
+
+def probed(pairs: DataFrame, classes: DataFrame, blocks: int) -> DataFrame:
     """(a, b, same, united) of pairs of classes (a, b), by searches for a. Its words go once to each block of its pairs, of which a leader of many has many."""
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).alias("stars"))
     pairs = pairs.join(many, "a").withColumn("star", F.pmod(F.col("b"), F.col("stars")))
     block = F.pmod(F.xxhash64("a", "star"), F.lit(blocks)).cast("int").alias("block")
     leads = pairs.select("a", "star").distinct()
     sides = pairs.select("a", "star", "b").unionByName(leads.select("a", "star", F.col("a").alias("b")))
+    texts = words_of(classes, pairs.select(F.explode(F.array("a", "b")).alias("cls")))
     full = sides.join(texts.withColumnRenamed("cls", "b"), "b").select(block, "a", "star", "b", "words")
     return stored(full.groupBy("block").applyInArrow(frugal_group(probe_stage), "a long, b long, same long, united long").distinct())
 
@@ -400,7 +414,7 @@ def is_link():
 def block_stage(table):
     """Two blocks of a family, each class with its component and whole words, to links between components: the first block's classes are searched for among the second's; a class gives one link for each component there."""
     side, cls, root, words = (table.column(c).to_pylist() for c in ("side", "cls", "root", "words"))
-    w, at = shingled([x.split() for x in words], WordHashes())
+    w, at = shingled(*word_hashes(words))
     size, out = np.diff(at), []
     cls, root, first = np.array(cls, np.int64), np.array(root, np.int64), np.array(side) == 0
     own = np.flatnonzero(~first)
@@ -415,7 +429,7 @@ def block_stage(table):
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def in_blocks(lists: DataFrame, texts: DataFrame) -> DataFrame:
+def in_blocks(lists: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b): links between members of different components within the families of large lists. All members of a list are one family."""
     family = components(lists.select(F.col("cls").alias("a"), F.col("lead_cls").alias("b"))).withColumnRenamed("root", "family")
     held = stored(lists.groupBy("cls").agg(F.first("root").alias("root")).join(family, "cls"))
@@ -427,7 +441,7 @@ def in_blocks(lists: DataFrame, texts: DataFrame) -> DataFrame:
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     strangers = spread.where("root <> main").select("family", "cls", "root", F.lit(0).alias("side"), block("rows").alias("i"), upto("columns").alias("j"))
     everyone = spread.select("family", "cls", "root", F.lit(1).alias("side"), upto("rows").alias("i"), block("columns").alias("j"))
-    cells = strangers.unionByName(everyone).join(texts, "cls")
+    cells = strangers.unionByName(everyone).join(words_of(classes, held), "cls")
     return stored(cells.groupBy("family", "i", "j").applyInArrow(frugal_group(block_stage), "a long, b long"))
 
 
@@ -451,15 +465,14 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     lists = stored(docs.select("text").mapInArrow(frugal(posting_stage(parts, known)), POSTS).groupBy("part").applyInArrow(frugal_group(list_stage), LISTS))
     chosen = spark.sparkContext.broadcast(class_filter(lists))
     classes = stored(keyed.mapInArrow(frugal(class_stage(chosen)), "key long, doc_id long, cls long, n_shingles long, words binary"))
-    texts = classes.where("words is not null").groupBy("cls").agg(F.first("words").alias("words"))
 
     best = F.struct("core", -F.col("cls"))
-    leaders = lists.groupBy("shingle").agg(F.max_by(F.struct("core", F.col("cls").alias("a")), best).alias("lead"))
-    led = lists.join(leaders, "shingle")
+    leaders = lists.groupBy("shingle").agg(F.max_by(F.struct("core", F.col("cls").alias("a"), "size"), best).alias("lead"))
+    led = lists.join(leaders, "shingle").where(size_fits("size", "lead.size"))
     # a leader's own best leader is itself: it is probed by the others only
     pairs = led.groupBy("cls").agg(F.max_by("lead.a", F.struct("lead.core", -F.col("lead.a"))).alias("a")).where("a <> cls")
     pairs = pairs.select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
-    probes = probed(stored(pairs), texts, parts)
+    probes = probed(stored(pairs), classes, parts)
     links = probes.where(is_link()).select("a", "b")
     found = stored(components(links))
 
@@ -467,17 +480,21 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     tagged = lists.join(found, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     several = tagged.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("members"), F.max_by(F.struct("cls", "root"), best).alias("lead")).where("least <> most")
     open_ = stored(tagged.join(several.select("shingle", "members", F.col("lead.cls").alias("lead_cls"), F.col("lead.root").alias("lead")), "shingle").drop("core"))
-    members = stored(open_.where(F.col("members") <= FEW).join(first_pivots(probes), "cls", "left"))
+    unseen = open_.where(F.col("members") > FEW).groupBy("cls").agg(F.count("*").alias("unseen"))
+    members = stored(open_.where(F.col("members") <= FEW).join(first_pivots(probes), "cls", "left").join(unseen, "cls", "left"))
     x, y = members.where("root <> lead").alias("x"), members.alias("y")
     near = 1 - NUM / DEN + 1e-9
     apart = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.lead")) | (F.col("x.cls") < F.col("y.cls")))
-    could = F.coalesce((F.col("x.pivot") != F.col("y.pivot")) | (F.abs(F.col("x.far") - F.col("y.far")) <= near), F.lit(True)) & (DEN * F.least("x.size", "y.size") >= NUM * F.greatest("x.size", "y.size"))
-    rest = x.join(y, apart & could).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
+    could = F.coalesce((F.col("x.pivot") != F.col("y.pivot")) | (F.abs(F.col("x.far") - F.col("y.far")) <= near), F.lit(True)) & size_fits("x.size", "y.size")
+    # two sets share what their short lists share (a row here for each, and at most all lists of more than FEW) and at most T - 1 elements behind
+    most = F.least(F.coalesce("x.unseen", F.lit(0)), F.coalesce("y.unseen", F.lit(0))) + F.ceil(NUM * F.greatest("x.size", "y.size") / DEN) - 1
+    rest = x.join(y, apart & could).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"), most.alias("most"), (F.col("x.size") + F.col("y.size")).alias("both"))
+    rest = rest.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("most").alias("most"), F.first("both").alias("both")).where((NUM + DEN) * (F.col("shared") + F.col("most")) >= NUM * F.col("both")).select("a", "b")
     rest = stored(rest.join(probes.select("a", "b"), ["a", "b"], "left_anti"))
-    links = links.unionByName(probed(rest, texts, parts).where(is_link()).select("a", "b"))
+    links = links.unionByName(probed(rest, classes, parts).where(is_link()).select("a", "b"))
     large = open_.where(F.col("members") > FEW)
     if large.limit(1).count():
-        links = links.unionByName(in_blocks(large, texts))
+        links = links.unionByName(in_blocks(large, classes))
     final = components(links)
 
     own = classes.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))

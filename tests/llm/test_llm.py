@@ -193,6 +193,36 @@ def test_jaccard_join(docs, nothing, monkeypatch, few):
         assert jaccard_join.jaccard_join(nothing).count() == 0
 
 
+def test_word_hashes():
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abCDéx\0-") for _ in range(rng.choice([1, 2, 7, 8, 9, 16, 17, 40, 255, 256, 257, 600])))
+    texts = [None, "", " \t", *("".join(word()[: rng.choice([3, 700])] + rng.choice(" \n\t\r\x0b\x0c\x1c") * rng.randrange(1, 3) for _ in range(60)) for _ in range(60)), "x", ""]
+    texts = [t.encode() if t is not None else None for t in texts]
+    words = [t.lower().split() if t else [] for t in texts]
+    h, at = common.word_hashes(texts)
+    assert np.diff(at).tolist() == [len(w) for w in words]
+    flat = [x for w in words for x in w]
+    assert len(set(flat)) == len(set(h.tolist())) == len(set(zip(flat, h.tolist())))
+    assert common.word_hashes([])[1].tolist() == [0] and common.word_hashes([b"AB  c"])[0].tolist() == common.word_hashes([b"c ab"])[0][::-1].tolist()
+
+
+def test_jaccard_join_compares_no_texts_that_share_a_passage_alone(spark, monkeypatch):
+    rng = random.Random(9)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for g in range(30):  # a passage in texts of four sizes, another one in three texts of one size
+        some, more = words(15), words(15)
+        rows += [words(n) + some + words(n) for n in (40, 60, 90, 140)] + [words(60) + more + words(60) for _ in range(3)]
+    rows += [[*r[:-1], "other"] for r in rows[:5]]
+    asked, probed = [], jaccard_join.probed
+    monkeypatch.setattr(jaccard_join, "probed", lambda pairs, *more: asked.append(pairs.count()) or probed(pairs, *more))
+    docs = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
+    got = jaccard_join.jaccard_join(docs).select("doc_id", "n_shingles", "component_id").collect()
+    assert multiset(got) == multiset(components(pairs_of(docs)))
+    # the first searches are of a leader for texts of its size alone, the others for what may still reach the threshold
+    assert asked[0] <= 5 + 30 * 2 and asked[1] <= 5
+
+
 def test_t_occurrence_search():
     rng = random.Random(8)
     base = rng.sample(range(1 << 40), 120)
