@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from itertools import chain
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 #: Source file extensions by language.
 LANGUAGES = {
@@ -19,7 +24,8 @@ LANGUAGES = {
 
 
 #: What separates runs of identifier characters, where camel case is cut, and what separates path parts.
-RUN_GAP = "[^a-zA-Z0-9_./-]+"
+RUN, GAP = "[a-zA-Z0-9_./-]+", "[^a-zA-Z0-9_./-]"
+RUN_GAP = f"{GAP}+"
 CAMEL_EDGE = "(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
 PART_GAP = "[./_-]+"
 #: Runs without a match are one word: they need no cutting.
@@ -29,13 +35,35 @@ COMPOUND = "[a-z0-9][A-Z]|[A-Z][A-Z][a-z]|[./_-]"
 def search_terms(text: Column) -> Column:
     """Distinct identifiers and parts of two characters and more, in order of first occurrence: each run of word, dot,
     slash and dash characters in lower case, its camel-case parts and its path parts. Equal runs are cut once."""
-    runs = F.array_distinct(F.split(F.coalesce(text, F.lit("")), RUN_GAP))
+    # a blank is split at without a pattern, so only different pieces that hold another gap meet one
+    pieces = F.array_distinct(F.split(F.coalesce(text, F.lit("")), " "))
+    runs = F.array_distinct(F.flatten(F.transform(pieces, lambda x: F.when(x.rlike(GAP), F.split(x, RUN_GAP)).otherwise(F.array(x)))))
     lower = lambda parts: F.transform(parts, F.lower)
     cut = lambda x: F.concat(F.array(F.lower(x)), lower(F.split(x, CAMEL_EDGE)), lower(F.split(x, PART_GAP)))
     terms = F.flatten(F.transform(runs, lambda x: F.when(x.rlike(COMPOUND), cut(x)).otherwise(F.array(F.lower(x)))))
     return F.array_distinct(F.filter(terms, lambda x: F.length(x) >= 2))
 
 
+class Terms(dict):
+    """Memo of the terms of runs; emptied at a fixed number of entries, so it stays small on any vocabulary."""
+
+    def __missing__(self, run: str) -> tuple[str, ...]:
+        if len(self) >= 200_000:
+            self.clear()
+        cut = [run, *re.split(CAMEL_EDGE, run), *re.split(PART_GAP, run)] if re.search(COMPOUND, run) else [run]
+        value = self[run] = tuple(dict.fromkeys(x.lower() for x in cut if len(x) >= 2))
+        return value
+
+
+def listed_terms(texts: pa.Array) -> pa.Array:
+    memo, find = Terms(), re.compile(RUN).findall
+    return pa.array([list(dict.fromkeys(chain.from_iterable(map(memo.__getitem__, find(t or ""))))) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+
+def terms_of_texts(text: Column) -> Column:
+    """`search_terms` for whole collections, where a pattern for each word in the JVM is what takes the time."""
+    return F.arrow_udf(listed_terms, ArrayType(StringType()))(text)
+
 
 def normal_path(path: Column) -> Column:
     return F.translate(path, "\\", "/")

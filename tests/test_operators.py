@@ -232,3 +232,10 @@ def test_stream(spark, tmp_path):
     q = chunk_stream(files_stream(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("chunks").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [r["symbol_name"] for r in spark.table("chunks").collect()] == ["f"]
+
+
+def test_terms_of_whole_collections(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(["a", "B", "cd", "EF", "Gh", "7", "_", ".", "/", "-", " ", "\n", "é", "İ", "(", "\0"]) for _ in range(rng.randrange(120))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in [None, "", " ", *texts]], "t string")
+    assert all(r.a == r.b for r in df.select(T.search_terms(F.col("t")).alias("a"), T.terms_of_texts(F.col("t")).alias("b")).collect())
