@@ -12,11 +12,13 @@ def paths(rows: DataFrame, id: str = "id", parent: str = "parent_id", name: str
     """(id, root, depth, path) of rows (id, parent, name): the topmost row, the steps to it, and the names from it down. A parent that isn't among
     the rows counts as none. Rows of a cycle, or under one, have no root, depth or path. Ids must be unique.
 
-    Each round takes a row as far again as it came; rows that have arrived take no part in the next. When a round brings no row to
+    Rows under which none stands, which are most, take no part in the rounds: all rows read their parent's result at the end. Each round takes a row as far again as it came; rows that have arrived take no part in the next. When a round brings no row to
     its top none will arrive any more, as a row's ancestors arrive before it: what is left is in a cycle or under one."""
     given = rows.select(F.col(id).alias("id"), F.col(parent).alias("up"), F.coalesce(F.col(name), F.lit("")).alias("path"))
-    known = given.select(F.col("id").alias("up")).withColumn("is", F.lit(True))
-    start = given.join(known, "up", "left").select("id", F.when(F.col("is"), F.col("up")).alias("up"), "path")
+    parents = given.select(F.col("up").alias("id")).where("id is not null").distinct()
+    inner = stored(given.join(parents, "id", "left_semi"))
+    known = inner.select(F.col("id").alias("up")).withColumn("is", F.lit(True))
+    start = inner.join(known, "up", "left").select("id", F.when(F.col("is"), F.col("up")).alias("up"), "path")
     # `up` is the first row above that `path` lacks, `depth` the rows of `path` but this one
     done = stored(start.where("up is null").select("id", F.col("id").alias("root"), F.lit(0).cast("long").alias("depth"), "path"))
     moving = stored(start.where("up is not null").select("id", "up", F.lit(1).cast("long").alias("steps"), "path"))
@@ -31,4 +33,7 @@ def paths(rows: DataFrame, id: str = "id", parent: str = "parent_id", name: str
         # a row whose next one has just arrived waits for the next round
         far = left.join(over, "up", "left")
         moving = stored(far.select("id", F.coalesce("up2", "up").alias("up"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), F.when(F.col("up2").isNull(), F.col("path")).otherwise(F.concat("above", F.lit(sep), "path")).alias("path")))
-    return given.select("id").join(done, "id", "left")
+    above = inner.select("id").join(done, "id", "left").select(F.col("id").alias("up"), "root", "depth", F.col("path").alias("above"), F.lit(True).alias("is"))
+    below = given.join(above, "up", "left")
+    follows = lambda value, top: F.when(F.col("is"), value).otherwise(top)
+    return below.select("id", follows(F.col("root"), F.col("id")).alias("root"), follows(F.col("depth") + 1, F.lit(0).cast("long")).alias("depth"), follows(F.concat("above", F.lit(sep), "path"), F.col("path")).alias("path"))

@@ -319,6 +319,13 @@ def test_paths_of_a_forest_with_cycles(spark):
         assert got[i] == ((chain[-1], len(chain) - 1, ".".join(f"x{c}" for c in reversed(chain))) if ends else (None, None, None)), i
 
 
+def test_rows_under_which_none_stands_are_moved_twice(spark):
+    """100,000 rows under 50 rows in a chain: they are looked up by their id and by their parent, whatever the rounds."""
+    rows = spark.range(100_050).selectExpr("id", "if(id < 50, nullif(id - 1, -1), id % 50) parent_id", "concat('n', id) name")
+    before = written(spark)
+    assert hierarchy.paths(rows).where("root = 0").count() == 100_050 and written(spark) - before < 5_000_000
+
+
 # the cache
 def operations(n, seed):
     rng = random.Random(seed)
