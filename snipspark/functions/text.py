@@ -112,13 +112,22 @@ def sentences(text: Column) -> Column:
 IDENTIFIERS = [
     r"(?<![A-Za-z0-9_])(?:class|interface|type|enum|function|const|let|var)\s+([A-Za-z_$][\w$]*)",
     r"(?<![A-Za-z0-9_])([A-Z][A-Za-z0-9_]*)",
-    r"(?:(?<![A-Za-z0-9_])(?=[a-z_])|(?<=[A-Za-z0-9_])(?=\$))([a-z_$][\w$]*)\s*\(",
+    r"(?:(?<![A-Za-z0-9_])(?=[a-z_])|(?<=[A-Za-z0-9_])(?=\$))([a-z_$][\w$]*)$",
 ]
+#: What stands before an opening bracket, read backwards.
+BEFORE = r"^\s*([\w$]+)"
+
+
+def called(text: Column) -> Column:
+    """Called names, in order: the end of what stands before each opening bracket, so that no pattern runs over the text."""
+    parts = F.split(text, r"\(")
+    ends = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda x: F.reverse(F.regexp_extract(F.reverse(x), BEFORE, 1)))
+    return F.transform(ends, lambda x: F.regexp_extract(x, IDENTIFIERS[-1], 1))
 
 
 def identifiers(text: Column) -> Column:
     """Declared names, capitalised names and called names of two characters and more."""
-    found = F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in IDENTIFIERS))
+    found = F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in IDENTIFIERS[:-1]), called(text))
     return F.array_distinct(F.filter(found, lambda x: F.length(x) > 1))
 
 

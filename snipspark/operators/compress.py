@@ -58,7 +58,7 @@ def dedupe(text: Column, target: int | None = None) -> Column:
 def merge(text: Column, target: int | None = None) -> Column:
     """Blocks between empty lines, a block joined to the group before it while that keeps the two under BLOCK characters.
     Blocks of a group stand one line apart, groups two."""
-    blocks = F.split(text, r"\n{2,}")
+    blocks = F.when(text.contains("\n\n"), F.split(text, r"\n{2,}")).otherwise(F.array(text))
     nothing, line, gap = 0, 1, 2
 
     def step(s, n):
@@ -91,7 +91,8 @@ def skeleton(text: Column, target: int | None = None) -> Column:
         return F.struct(depth.cast("int").alias("depth"), ((s["inside"] | opens) & ~closes).alias("inside"), mark.cast("int").alias("mark"))
 
     start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("inside"), F.lit(0).alias("mark"))
-    marks = scanned(F.transform(lines, lambda x: seen(bare(x))), start, step)
+    # trimmed first, as an expression given to `seen` is computed wherever it stands there
+    marks = scanned(F.transform(F.transform(lines, bare), seen), start, step)
     shown = F.zip_with(lines, marks, lambda x, m: F.when(m == gone, F.array().cast("array<string>")).when(m == kept, F.array(x)).otherwise(F.array(x, F.lit(OMITTED))))
     out = F.array_join(F.flatten(shown), "\n")
     if not target:

@@ -239,3 +239,11 @@ def test_terms_of_whole_collections(spark):
     texts = ["".join(rng.choice(["a", "B", "cd", "EF", "Gh", "7", "_", ".", "/", "-", " ", "\n", "é", "İ", "(", "\0"]) for _ in range(rng.randrange(120))) for _ in range(400)]
     df = spark.createDataFrame([(t,) for t in [None, "", " ", *texts]], "t string")
     assert all(r.a == r.b for r in df.select(T.search_terms(F.col("t")).alias("a"), T.terms_of_texts(F.col("t")).alias("b")).collect())
+
+
+def test_called_names(spark):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(["a", "B", "cd", "Ef", "$", "7", "_", " ", "\n", "\t", "(", "(", ")", ".", "é"]) for _ in range(rng.randrange(60))) for _ in range(500)]
+    df = spark.createDataFrame([(t,) for t in ["", "(", "f (g(", *texts]], "t string")
+    for r in df.select("t", F.filter(T.called(F.col("t")), lambda x: x != "").alias("got")).collect():
+        assert r["got"] == re.findall(r"\b([a-z_$][\w$]*)\s*\(", r["t"], re.A), r["t"]
