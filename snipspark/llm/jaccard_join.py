@@ -56,8 +56,8 @@ FREQUENT, MOST = 8, 1 << 20
 COUNT_BITS = 36
 #: Shingles, and classes, that a task gathers before it sends them.
 FLUSH, CLASSES = 2_000_000, 500_000
-#: Entries of the rows that leave a task at once.
-SENT = 500_000
+#: Entries of the rows that leave a task at once: a MB or two, as the JVM holds them outside its heap.
+SENT = 100_000
 #: Bits of the filter of classes that have postings in common with others: fixed, 4 MB.
 FILTER_BITS = 1 << 25
 #: Probes of one leader that go to one block.
@@ -122,11 +122,20 @@ def count_stage(parts: int):
     bits = parts.bit_length() - 1
 
     def flush(found):
-        key, n = np.unique(taken(found), return_counts=True)
-        out = []
-        for p, s in by_part((key >> U64(COUNT_BITS - bits)).astype(np.int64)):
-            out.append((p, planes(np.diff(key[s], prepend=U64(0))), planes(np.minimum(n[s], 0xFFFFFFFF).astype(np.uint32))))
-        return rows(COUNTS, out)
+        key = taken(found)
+        key.sort()
+        starts, n = runs(key)
+        key, n = key[starts], n.astype(np.uint32)
+        del starts
+        out, count = [], 0
+        for p, s in by_part((key >> U64(COUNT_BITS - bits)).astype(np.int32)):
+            out.append((p, planes(np.diff(key[s], prepend=U64(0))), planes(n[s])))
+            count += s.stop - s.start
+            if count >= SENT:
+                yield from rows(COUNTS, out).to_batches()
+                out, count = [], 0
+        if out:
+            yield from rows(COUNTS, out).to_batches()
 
     def stage(batches):
         seen, found, count = set(), [], 0
@@ -138,10 +147,10 @@ def count_stage(parts: int):
                 found.append(w >> U64(64 - COUNT_BITS))
                 count += len(w)
                 if count >= FLUSH or len(seen) >= CLASSES:
-                    yield from flush(found).to_batches()
+                    yield from flush(found)
                     count, seen = 0, set()
         if count:
-            yield from flush(found).to_batches()
+            yield from flush(found)
 
     return stage
 
@@ -272,7 +281,7 @@ def class_filter(lists: DataFrame) -> np.ndarray:
         return pa.table({"i": table.column("i").slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
 
     out = np.zeros((FILTER_BITS >> 19, 1 << 16), np.uint8)
-    for r in lists.select("cls").distinct().mapInArrow(stage, "i int, bits binary").groupBy("i").applyInArrow(unite, "i int, bits binary").collect():
+    for r in lists.select("cls").distinct().mapInArrow(frugal(stage), "i int, bits binary").groupBy("i").applyInArrow(frugal_group(unite), "i int, bits binary").collect():
         out[r["i"]] = np.frombuffer(r["bits"], np.uint8)
     return out.reshape(-1)
 

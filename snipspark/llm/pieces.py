@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, pieces as ranges, small_batches, text_bytes
+from .common import PIECE, flat, frugal, pieces as ranges, small_batches, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -257,18 +257,16 @@ def decode(ids: np.ndarray, count: np.ndarray, v: Vocabulary) -> list[bytes]:
     return [raw[a + (raw[a : a + 1] == b" ") : b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
-def tokenised(docs: DataFrame, model: str = MODEL, tokens: bool = False) -> DataFrame:
-    """For each row: doc_id, n_tokens, ids_sha256 (of the ids as 4-byte little-endian numbers), round_trip; with tokens also the ids."""
-    small_batches(docs.sparkSession)
-    known = docs.sparkSession.sparkContext.broadcast(Vocabulary(model))
+def token_stage(known, tokens: bool):
+    """Texts to their ids' number and digest, whether they come back, and with tokens the ids."""
 
     def stage(batches):
         v = known.value
         encoder = Encoder(v)
         for b in batches:
             texts = text_bytes(b.column("text"))
-            # a batch of results for each megabyte or so of texts; ids never become Python numbers
-            for lo, hi in ranges(texts, 1 << 20):
+            # a batch of results for each piece of the texts; ids never become Python numbers
+            for lo, hi in ranges(texts, PIECE):
                 ids, count = encoder.encode([t.decode() if t else "" for t in texts[lo:hi]])
                 ends = np.cumsum(count)
                 digests = [hashlib.sha256(ids[e - n : e].astype("<i4").tobytes()).hexdigest() for e, n in zip(ends, count)]
@@ -280,7 +278,14 @@ def tokenised(docs: DataFrame, model: str = MODEL, tokens: bool = False) -> Data
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select("doc_id", "text").mapInArrow(stage, "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean" + ", ids array<int>" * tokens)
+    return stage
+
+
+def tokenised(docs: DataFrame, model: str = MODEL, tokens: bool = False) -> DataFrame:
+    """For each row: doc_id, n_tokens, ids_sha256 (of the ids as 4-byte little-endian numbers), round_trip; with tokens also the ids."""
+    small_batches(docs.sparkSession)
+    known = docs.sparkSession.sparkContext.broadcast(Vocabulary(model))
+    return docs.select("doc_id", "text").mapInArrow(frugal(token_stage(known, tokens)), "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean" + ", ids array<int>" * tokens)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
