@@ -24,10 +24,10 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, with_uid
 
 #: Rows of a canonical line, in sort order within one place and level.
 KINDS = {"message": 0, "call": 1, "result": 2}
@@ -45,81 +45,104 @@ def line(**parts):
     return F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
 
 
-def split_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Plain messages, calls and results."""
+def entries(messages: DataFrame, schemas: DataFrame) -> DataFrame:
+    """A row for each plain message, call and result, from one pass over the messages: uid, conv_id, turn, kind, item, call_id, needs (the
+    calls that a call depends on), faults and json."""
     looks = F.col("text").rlike(r"^\s*\{")
     m = messages.select("conv_id", "turn", "role", "text", F.when(looks, F.try_parse_json("text")).alias("v"))
     called = F.try_variant_get("v", "$.tool_calls", "array<variant>")
     answers = F.when(F.col("role") == "tool", F.try_variant_get("v", "$.tool_call_id", "string"))
     m = m.select("conv_id", "turn", "role", "text", "v", called.alias("called"), answers.alias("answers"))
-    plain = m.where("called is null and answers is null").select("conv_id", "turn", "role", "text")
+    kind = F.when(F.col("called").isNotNull(), "call").when(F.col("answers").isNotNull(), "result").otherwise("message")
+    content = F.when(F.col("kind") == "message", quoted("text")).when(F.col("kind") == "result", F.coalesce(F.expr("to_json(try_variant_get(v, '$.content', 'variant'))"), F.lit("null")))
+    m = m.withColumn("kind", kind).select("conv_id", "turn", "role", "kind", "answers", content.alias("content"), F.posexplode(F.coalesce("called", F.expr("array(cast(null as variant))"))).alias("item", "c"))
     get = lambda path, kind: F.try_variant_get("c", path, kind)
-    calls = m.where("called is not null").select("conv_id", "turn", "role", F.posexplode("called").alias("item", "c")).select("conv_id", "turn", "role", "item", get("$.id", "string").alias("call_id"), get("$.name", "string").alias("name"), get("$.arguments", "variant").alias("arguments"), F.coalesce(get("$.depends_on", "array<string>"), F.array().cast("array<string>")).alias("depends_on"))
-    results = m.where("called is null and answers is not null").select("conv_id", "turn", "role", F.col("answers").alias("call_id"), F.coalesce(F.expr("to_json(try_variant_get(v, '$.content', 'variant'))"), F.lit("null")).alias("content"))
-    return plain, calls, results
+    m = m.select("conv_id", "turn", "role", "kind", "item", "content", F.coalesce("answers", get("$.id", "string")).alias("call_id"), get("$.name", "string").alias("name"), get("$.arguments", "variant").alias("arguments"), F.array_distinct(F.coalesce(get("$.depends_on", "array<string>"), F.array().cast("array<string>"))).alias("needs"))
+    json = line(arguments=F.expr("to_json(arguments)"), content=F.col("content"), id=quoted("call_id"), name=quoted("name"), role=quoted("role"), type=F.concat(F.lit('"'), F.when(F.col("kind") == "message", "").otherwise("tool_"), "kind", F.lit('"')))
+    return with_uid(with_faults(m, schemas).select("conv_id", "turn", "kind", "item", "call_id", "needs", "faults", json.alias("json")))
 
 
-def valid_calls(calls: DataFrame, schemas: DataFrame) -> DataFrame:
-    """uid and the faults of calls with faults: an unknown tool, missing parameters, values of another type, unknown parameters."""
-    given = calls.select("uid", "name", F.expr("try_cast(arguments as map<string, variant>)").alias("given")).select("uid", "name", F.explode("given").alias("param", "value")).select("uid", "name", "param", F.regexp_extract(F.schema_of_variant("value"), r"^\w+", 0).alias("is"))
-    needed = calls.select("uid", "name").join(schemas.where("required"), "name").select("uid", "param")
-    missing = needed.join(given, ["uid", "param"], "left_anti").select("uid", F.concat(F.lit("missing "), "param").alias("fault"))
-    typed = given.join(schemas.select("name", "param", "type"), ["name", "param"], "left")
-    wrong = typed.where("type is null or type <> is").select("uid", F.concat(F.when(F.col("type").isNull(), "unknown ").otherwise("type "), "param").alias("fault"))
-    stray = calls.join(schemas.select("name").distinct(), "name", "left_anti").select("uid", F.lit("unknown tool").alias("fault"))
-    return missing.unionByName(wrong).unionByName(stray).groupBy("uid").agg(F.sort_array(F.collect_set("fault")).alias("faults"))
+def with_faults(rows: DataFrame, schemas: DataFrame) -> DataFrame:
+    """With faults, of calls: an unknown tool, missing parameters, values of another type, unknown parameters; of others none. Each tool's
+    parameters are one row, so that a call finds its faults in its own row."""
+    tools = schemas.where("name is not null").groupBy(F.col("name").alias("tool")).agg(F.collect_list(F.struct("param", "type", "required")).alias("params"))
+    none = F.array().cast("array<string>")
+    rows = rows.join(tools, (F.col("kind") == "call") & (F.col("name") == F.col("tool")), "left").withColumn("given", F.coalesce(F.expr("map_entries(try_cast(arguments as map<string, variant>))"), F.expr("array()")))
+    params = F.coalesce("params", F.expr("array()"))
+    missing = F.transform(F.filter(params, lambda p: p["required"] & ~F.coalesce(F.exists("given", lambda g: g["key"] == p["param"]), F.lit(False))), lambda p: F.concat(F.lit("missing "), p["param"]))
 
+    def wrong(g):
+        is_ = F.regexp_extract(F.schema_of_variant(g["value"]), r"^\w+", 0)
+        known = F.filter(params, lambda p: p["param"] == g["key"])
+        each = F.transform(known, lambda p: F.when(p["type"].isNull(), F.concat(F.lit("unknown "), g["key"])).when(p["type"] != is_, F.concat(F.lit("type "), g["key"])))
+        return F.when(F.size(known) > 0, each).otherwise(F.array(F.concat(F.lit("unknown "), g["key"])))
 
-def levels(calls: DataFrame) -> DataFrame:
-    """(uid, level, place) of the calls whose dependencies can be ordered.
+    faults = F.concat(missing, F.flatten(F.transform("given", wrong)), F.when(F.col("tool").isNull(), F.array(F.lit("unknown tool"))).otherwise(none))
+    return rows.withColumn("faults", F.when(F.col("kind") == "call", F.sort_array(F.array_distinct(F.array_compact(faults)))).otherwise(none))
+
+
+def counted(df: DataFrame, **what) -> tuple[DataFrame, dict]:
+    """The rows stored, and how many of them fulfil each condition, counted while they are written."""
+    seen = Observation()
+    out = stored(df.observe(seen, *(F.count_if(c).alias(k) for k, c in what.items())))
+    return out, seen.get
+
+
+def levels(calls: DataFrame, keys: DataFrame) -> DataFrame:
+    """(uid, level, place) of the calls with dependencies that can be ordered; a call without any has level 0 and its turn as its place.
 
     Calls with one dependency form chains, which pointer jumping shortens to their heads in as many rounds as the longest
-    has bits; then each wave settles the calls whose several dependencies are settled."""
-    needs = calls.select("uid", "conv_id", F.explode(F.array_distinct("depends_on")).alias("call_id"))
-    first = calls.where("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(F.min_by("uid", F.struct("turn", "item", "uid")).alias("on"))
-    edges = stored(needs.join(first, ["conv_id", "call_id"], "left").select("uid", "on"))
-    several = edges.groupBy("uid").agg(F.count("*").alias("n"), F.min("on").alias("head"))
-    turns = calls.select("uid", "turn")
-    chains = stored(several.where("n = 1 and head is not null").join(turns, "uid").select("uid", "head", F.lit(1).alias("steps"), F.col("turn").alias("latest")))
-    for _ in range(chains.count().bit_length() + 1):
-        onward = chains.select(F.col("uid").alias("head"), F.col("head").alias("next"), F.col("steps").alias("more"), F.col("latest").alias("later"))
-        if not chains.join(onward, "head", "left_semi").limit(1).count():
-            break
-        chains = stored(chains.join(onward, "head", "left").select("uid", F.coalesce("next", "head").alias("head"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.greatest("latest", "later").alias("latest")))
-    done = calls.join(edges.select("uid").distinct(), "uid", "left_anti").select("uid", F.lit(0).alias("level"), F.col("turn").alias("place"))
-    waiting = edges.join(several.where("n > 1").select("uid"), "uid", "left_semi")
-    along = lambda settled: settled.unionByName(chains.join(settled.withColumnRenamed("uid", "head"), "head").select("uid", (F.col("level") + F.col("steps")).alias("level"), F.greatest("place", "latest").alias("place")))
-    left = waiting.select("uid").distinct().count()
+    has bits; then each wave settles the calls whose several dependencies are settled. A row knows how many dependencies its
+    head has, so it is at the end of its chain when that isn't one. A round in which none gets there leaves circles and calls behind missing ones."""
+    needs = calls.select("uid", "conv_id", "turn", F.size("needs").alias("n"), F.explode("needs").alias("call_id"))
+    found = keys.select("conv_id", "call_id", "call")
+    needs = needs.join(found, ["conv_id", "call_id"], "left").select("uid", "turn", "n", F.col("call.uid").alias("on"), F.col("call.turn").alias("on_turn"), F.col("call.n").alias("on_n"))
+    edges, seen = counted(needs, several=F.col("n") > 1, onward=(F.col("n") == 1) & (F.col("on_n") == 1))
+    chains = edges.where("n = 1 and on is not null").select("uid", F.col("on").alias("head"), F.col("on_n").alias("head_n"), F.lit(1).alias("steps"), F.greatest("turn", "on_turn").alias("latest"))
+    at_end, onward = chains.where("head_n <> 1"), chains.where("head_n = 1")
+    left = seen["onward"]
     while left:
+        heads = at_end.unionByName(onward).select(F.col("uid").alias("head"), F.col("head").alias("next"), F.col("head_n").alias("next_n"), F.col("steps").alias("more"), F.col("latest").alias("later"))
+        jumped = onward.join(heads, "head").select("uid", F.col("next").alias("head"), F.col("next_n").alias("head_n"), (F.col("steps") + F.col("more")).alias("steps"), F.greatest("latest", "later").alias("latest"))
+        jumped, moved = counted(jumped, ended=F.col("head_n") != 1, onward=F.col("head_n") == 1)
+        at_end, onward = at_end.unionByName(jumped.where("head_n <> 1")), jumped.where("head_n = 1")
+        left = moved["onward"] if moved["ended"] else 0
+    done = at_end.where("head_n = 0").select("uid", F.col("steps").alias("level"), F.col("latest").alias("place"))
+    if not seen["several"]:
+        return done
+    chains = at_end.where("head_n > 1")
+    done = done.unionByName(calls.where(F.size("needs") == 0).select("uid", F.lit(0).alias("level"), F.col("turn").alias("place")))
+    along = lambda settled: settled.unionByName(chains.join(settled.withColumnRenamed("uid", "head"), "head").select("uid", (F.col("level") + F.col("steps")).alias("level"), F.greatest("place", "latest").alias("place")))
+    waiting, left, rest = edges.where("n > 1").select("uid", "turn", "on"), None, seen["several"]
+    while rest and rest != left:
         known = along(done).withColumnRenamed("uid", "on")
-        ready = waiting.join(known, "on", "left").groupBy("uid").agg(F.every(F.col("level").isNotNull()).alias("all"), F.max("level").alias("top"), F.max("place").alias("place")).where("all")
-        ready = ready.join(turns, "uid").select("uid", (F.col("top") + 1).alias("level"), F.greatest("place", "turn").alias("place"))
-        done = stored(done.unionByName(ready))
-        waiting = stored(waiting.join(done.select("uid"), "uid", "left_anti"))
-        rest = waiting.select("uid").distinct().count()
-        if rest == left:
-            break
+        ready = waiting.join(known, "on", "left").groupBy("uid").agg(F.every(F.col("level").isNotNull()).alias("all"), F.max("level").alias("top"), F.max("place").alias("place"), F.max("turn").alias("turn")).where("all")
+        done = stored(done.unionByName(ready.select("uid", (F.col("top") + 1).alias("level"), F.greatest("place", "turn").alias("place"))))
         left = rest
+        waiting, seen = counted(waiting.join(done.select("uid"), "uid", "left_anti"), rest=F.lit(True))
+        rest = seen["rest"]
     return along(done)
 
 
 def formatted(messages: DataFrame, schemas: DataFrame) -> DataFrame:
-    """One row for each message, call and result: conv_id, place, level, kind, turn, item, call_id, linked, resolved, faults, json."""
-    plain, calls, results = split_messages(messages)
-    calls = stored(calls.withColumn("uid", F.monotonically_increasing_id()))
-    results = stored(results.withColumn("uid", F.monotonically_increasing_id()))
-    keys = ["conv_id", "call_id"]
-    firsts = calls.where("conv_id is not null and call_id is not null").groupBy(*keys).agg(F.min_by(F.struct("uid", "turn"), F.struct("turn", "item", "uid")).alias("call"))
-    answers = results.where("conv_id is not null").groupBy(*keys).agg(F.min_by("uid", F.struct("turn", "uid")).alias("answer"))
-    links = firsts.join(answers, keys).select("call", "answer")
-    order = levels(calls)
-    named = calls.join(order, "uid", "left").join(valid_calls(calls, schemas), "uid", "left").join(links.select(F.col("call.uid").alias("uid"), F.lit(True).alias("linked")), "uid", "left")
-    none, no = F.lit(None).cast("string"), F.array().cast("array<string>")
-    call_rows = named.select("conv_id", F.coalesce("place", "turn").alias("place"), "level", F.lit("call").alias("kind"), "turn", "item", "call_id", F.coalesce("linked", F.lit(False)).alias("linked"), F.col("level").isNotNull().alias("resolved"), F.coalesce("faults", no).alias("faults"), line(arguments=F.expr("to_json(arguments)"), id=quoted("call_id"), name=quoted("name"), role=quoted("role"), type=F.lit('"tool_call"')).alias("json"))
-    placed = results.join(links.select(F.col("answer").alias("uid"), "call"), "uid", "left").join(order.select(F.col("uid").alias("call_uid"), "level", F.col("place").alias("call_place")), F.col("call.uid") == F.col("call_uid"), "left")
-    result_rows = placed.select("conv_id", F.coalesce("call_place", "call.turn", "turn").alias("place"), "level", F.lit("result").alias("kind"), "turn", F.lit(0).alias("item"), "call_id", F.col("call").isNotNull().alias("linked"), F.col("level").isNotNull().alias("resolved"), no.alias("faults"), line(content=F.col("content"), id=quoted("call_id"), role=quoted("role"), type=F.lit('"tool_result"')).alias("json"))
-    plain_rows = plain.select("conv_id", F.col("turn").alias("place"), F.lit(0).alias("level"), F.lit("message").alias("kind"), "turn", F.lit(0).alias("item"), none.alias("call_id"), F.lit(False).alias("linked"), F.lit(True).alias("resolved"), no.alias("faults"), line(content=quoted("text"), role=quoted("role"), type=F.lit('"message"')).alias("json"))
-    return plain_rows.unionByName(call_rows).unionByName(result_rows)
+    """One row for each message, call and result: conv_id, place, level, kind, turn, item, call_id, linked, resolved, faults, json.
+
+    Texts are read from the messages once, and shuffled once more, when a row meets what is known of its call."""
+    rows = stored(entries(messages, schemas))
+    calls = rows.where("kind = 'call'")
+    first = lambda kind, *of: F.min(F.when(F.col("kind") == kind, F.struct(*of)))
+    keyed = rows.where("kind <> 'message' and conv_id is not null and call_id is not null")
+    keys = stored(keyed.groupBy("conv_id", "call_id").agg(first("call", "turn", "item", "uid", F.size("needs").alias("n")).alias("call"), first("result", "turn", "uid").alias("answer")))
+    order = levels(calls, keys)
+    # what is known of a call: its first result, where it is linked, and its level and place, where it depends on others
+    links = keys.where("call is not null and answer is not null").select("call.uid", F.col("answer.uid").alias("answer"), F.col("call.turn").alias("turn"), F.when(F.col("call.n") == 0, 0).alias("level"))
+    known = links.unionByName(order, allowMissingColumns=True).groupBy("uid").agg(*(F.max(c).alias(c) for c in ("answer", "turn", "level", "place")))
+    of_call = F.struct("uid", "level", "place", F.col("answer").isNotNull().alias("linked"))
+    of_result = F.struct(F.col("answer").alias("uid"), "level", F.coalesce("place", "turn").alias("place"), F.lit(True).alias("linked"))
+    known = known.select(F.inline(F.array_compact(F.array(of_call, F.when(F.col("answer").isNotNull(), of_result)))))
+    alone = F.when((F.col("kind") == "message") | ((F.col("kind") == "call") & (F.size("needs") == 0)), 0)
+    out = rows.join(known, "uid", "left").withColumns({"level": F.coalesce("level", alone), "place": F.coalesce("place", "turn"), "linked": F.coalesce("linked", F.lit(False))})
+    return out.select("conv_id", "place", "level", "kind", "turn", "item", "call_id", "linked", F.col("level").isNotNull().alias("resolved"), "faults", "json")
 
 
 def sort_keys():
@@ -128,17 +151,18 @@ def sort_keys():
     return ["conv_id", "place", F.col("level").asc_nulls_last(), kind[F.col("kind")], "turn", "item", "json"]
 
 
-def positioned(rows: DataFrame) -> DataFrame:
-    """With position, the place of a row in its conversation from 0. Rows are cut into ranges by conversation and order, and a range
-    is numbered from what the conversation's earlier ranges have, so a long conversation is many tasks' work."""
+def positioned(rows: DataFrame, *columns) -> DataFrame:
+    """The columns (all, where none are given) with position, the place of a row in its conversation from 0. Rows are cut into ranges by
+    conversation and order, and a range is numbered from what the conversation's earlier ranges have, so a long conversation is many
+    tasks' work. Only the columns are kept beyond the sort."""
     keys = sort_keys()
-    cut = stored(rows.repartitionByRange(*keys).withColumn("part", F.spark_partition_id()))
-    counts = cut.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
+    columns = columns or rows.columns
+    cut = stored(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("conv_id", F.struct(*columns).alias("row"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")))
+    counts = cut.groupBy("conv_id", "part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(F.col("conv_id").alias("conv"), F.col("part").alias("at"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
-    own = F.row_number().over(Window.partitionBy("conv_id", "part").orderBy(*keys[1:])) - 1
-    placed = cut.withColumn("own", own).join(starts, F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("part") == F.col("at")))
-    return placed.select(*rows.columns, (F.col("start") + F.col("own")).alias("position"))
+    starts = counts.select(F.col("conv_id").alias("conv"), F.col("part").alias("in"), (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
+    placed = cut.join(starts, F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("part") == F.col("in")))
+    return placed.select("row.*", (F.col("at") + F.col("shift")).alias("position"))
 
 
 def dialogue_calls(conversations: DataFrame) -> DataFrame:
@@ -164,8 +188,9 @@ def dialogue_calls(conversations: DataFrame) -> DataFrame:
 def op6(spark, sf_dir: str) -> DataFrame:
     messages = dialogue_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     schemas = spark.createDataFrame([("reply", "text", "STRING", True), ("reply", "turn", "BIGINT", True)], PARAMETERS)
-    out = positioned(formatted(messages, schemas))
-    return out.select("conv_id", "turn", "kind", "place", "level", "position", "call_id", "linked", F.size("faults").cast("long").alias("n_faults"), F.sha2("json", 256).alias("json_sha256"))
+    digests = F.size("faults").cast("long").alias("n_faults"), F.sha2("json", 256).alias("json_sha256")
+    out = positioned(formatted(messages, schemas), "conv_id", "turn", "kind", "place", "level", "call_id", "linked", *digests)
+    return out.select("conv_id", "turn", "kind", "place", "level", "position", "call_id", "linked", "n_faults", "json_sha256")
 
 
 ORACLE_OP6 = r"""

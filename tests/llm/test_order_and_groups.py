@@ -147,3 +147,59 @@ def test_batches_of_large_payloads(tmp_path, monkeypatch):
     reader.path, reader.tests, reader.payload = str(tmp_path), [], True
     sizes = [b.num_rows for b in reader.read(warc.Span(str(path), 0, 1))]
     assert sum(sizes) == 40 and max(sizes) == 4
+
+
+def test_op6_runs_few_jobs(spark, tmp_path):
+    """The driver's memory goes with the jobs and plans that it holds: one of some sixty jobs took more than 1,500 MB."""
+    rows = [(c, t, "assistant" if t % 2 else "user", f"text {c} {t}") for c in range(40) for t in range(8)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.sparkContext.setJobGroup("op6", "op6")
+    got = chat.op6(spark, str(tmp_path)).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("op6"))
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert len(got) == len(rows) and 5 < jobs <= 32, jobs
+
+
+def test_levels_and_faults_of_odd_calls(spark):
+    """Long chains, chains that end at a missing call, in a circle, at a call of several needs, ids that repeat, null ids, turns and conversations."""
+    rng = random.Random(3)
+    rows = []
+
+    def call(conv, turn, *calls):
+        rows.append((conv, turn, "assistant", json.dumps({"tool_calls": [{"id": i, "name": "t", "arguments": a, "depends_on": d} for i, d, a in calls]})))
+
+    graph = {f"c{i}": [f"c{i - 1}"] if i else [] for i in range(70)}
+    graph |= {f"l{i}": [f"l{i - 1}"] if i else ["nowhere"] for i in range(9)}
+    graph |= {f"r{i}": [f"r{(i - 1) % 5}"] for i in range(5)} | {f"t{i}": [f"t{i - 1}"] if i else ["r2"] for i in range(6)}
+    graph |= {"s": ["c3", "c68"], "s2": ["s", "c1", "s"], "gone": ["s", "nowhere"]} | {f"e{i}": [f"e{i - 1}"] if i else ["s2"] for i in range(7)}
+    graph |= {f"hub{i}": ["c0"] for i in range(30)}
+    turns = {k: rng.randrange(50) for k in graph}
+    for conv in (1, 2):
+        for k, d in rng.sample(sorted(graph.items()), len(graph)):
+            call(conv, turns[k], (k, d, {}))
+            rows.append((conv, turns[k] + 1, "tool", json.dumps({"tool_call_id": k, "content": 1})))
+    call(3, 5, ("a", [], {"x": 1, "y": None, "z": [1]}), ("a", ["a"], {"x": "1"}), (None, [], [1]), ("b", [None], {"w": 1.5}))
+    call(3, 4, ("a", [], {"x": True}))
+    call(None, 1, ("a", [], {}), ("b", ["a"], {}))
+    rows += [(None, 2, "tool", json.dumps({"tool_call_id": "a"})), (3, 9, "tool", json.dumps({"tool_call_id": "b"})), (3, 8, "assistant", json.dumps({"tool_calls": []})), (3, None, "user", "late")]
+    schemas = spark.createDataFrame([("t", "x", "BIGINT", True), ("t", "y", "STRING", False), ("t", "z", "ARRAY", False), ("t", "z", "OBJECT", False), ("t", "w", None, None)], chat.PARAMETERS)
+    got = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5), schemas).collect()
+
+    def settled(k, path=()):
+        """Level and place of a call, or None."""
+        if k not in graph or k in path:
+            return None
+        below = [settled(d, (*path, k)) for d in graph[k]]
+        return None if None in below else (1 + max((x[0] for x in below), default=-1), max([turns[k], *(x[1] for x in below)]))
+
+    at = {(r.conv_id, r.kind, r.call_id): r for r in got if r.conv_id in (1, 2)}
+    assert len(at) == 4 * len(graph)
+    for conv, kind, k in at:
+        r, want = at[conv, kind, k], settled(k)
+        assert (r.level, r.place) == (want or (None, turns[k])) and r.resolved == bool(want) and r.linked and r.faults == (["missing x"] if kind == "call" else []), k
+    odd = sorted(([r.conv_id, r.turn, r.kind, r.item, r.call_id, r.level, r.place, r.linked, r.faults] for r in got if r.conv_id not in (1, 2)), key=str)
+    assert odd == sorted([
+        [3, 5, "call", 0, "a", 0, 5, False, ["type y", "type z"]], [3, 5, "call", 1, "a", 1, 5, False, ["type x"]], [3, 5, "call", 2, None, 0, 5, False, ["missing x"]], [3, 5, "call", 3, "b", None, 5, True, ["missing x", "unknown w"]],
+        [3, 4, "call", 0, "a", 0, 4, False, ["type x"]], [3, 9, "result", 0, "b", None, 5, True, []], [3, None, "message", 0, None, 0, None, False, []],
+        [None, 1, "call", 0, "a", 0, 1, False, ["missing x"]], [None, 1, "call", 1, "b", None, 1, False, ["missing x"]], [None, 2, "result", 0, "a", None, 2, False, []],
+    ], key=str)
