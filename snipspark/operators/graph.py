@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,52 +104,138 @@ def edges(files: DataFrame, symbols: DataFrame, imports: DataFrame, refs: DataFr
     return contains.unionByName(to_files).unionByName(to_symbols).unionByName(uses)
 
 
-def adjacent(edges: DataFrame, kinds: list[str] | None = None, known: DataFrame | None = None, legacy_precedence: bool = False) -> DataFrame:
-    """(a, b): which nodes are next to which, both ways, once each."""
+def adjacent(edges: DataFrame, kinds: list[str] | None = None, known: DataFrame | None = None, legacy_precedence: bool = False, once: bool = True) -> DataFrame:
+    """(a, b): which nodes are next to which, both ways; once each, unless the reader drops repeats itself."""
     allowed = F.col("kind").isin(kinds) if kinds else F.lit(True)
-    out = edges if legacy_precedence else edges.where(allowed)
-    both = out.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).unionByName(edges.where(allowed).select(F.col("to_id").alias("a"), F.col("from_id").alias("b"))).distinct()
+    if legacy_precedence:
+        both = edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).unionByName(edges.where(allowed).select(F.col("to_id").alias("a"), F.col("from_id").alias("b")))
+    else:
+        way = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"))
+        both = edges.where(allowed).select(F.explode_outer(F.array(way("from_id", "to_id"), way("to_id", "from_id"))).alias("x")).select("x.*")
+    both = both.distinct() if once else both
     return both if known is None else both.join(known.select(F.col("id").alias("b")), "b", "left_semi")
 
 
 #: Neighbours of a node beyond which they are dealt over several keys; seeds that one number stands for; seeds from which lists of the nearest are kept for all nodes.
 HUB, BITS, MANY = 10_000, 64, 5000
-#: Nearest nodes of a neighbour that are looked at before a bound is known.
-HEAD = 4
-
-
-def nearest_lists(adjacent: DataFrame, depth: int, limit: int) -> DataFrame:
-    """(a, near, full): for each node with neighbours the `limit` + 1 nearest nodes within `depth` steps, itself included, as an ordered array of
-    (distance, node_id), from a table (a, b) of which nodes are next to which.
+#: Nearest nodes of a neighbour that are looked at before a bound is known, at least; places of lists that a task merges at once.
+HEAD, PLACES = 4, 1 << 20
+
+
+def first_lists(batches):
+    """(a, ids): each a and its different b, from rows (a, b) in order."""
+    left = None
+    for batch in chain(batches, [None]):
+        rows = pa.Table.from_batches([x for x in (left, batch) if x is not None]).combine_chunks() if left is not None or batch is not None else None
+        if rows is None or not rows.num_rows:
+            continue
+        a, b = (rows.column(c).chunk(0) for c in ("a", "b"))
+        other = lambda c: np.concatenate([[True], pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)])
+        new = other(a)
+        kept = np.flatnonzero(new | other(b))
+        a, b, new = a.take(pa.array(kept)), b.take(pa.array(kept)), new[kept]
+        starts = np.flatnonzero(new)
+        if batch is not None:  # the last one may go on in the next batch
+            left = pa.RecordBatch.from_arrays([a.slice(starts[-1]), b.slice(starts[-1])], ["a", "b"])
+            a, b, starts, new = a.slice(0, starts[-1]), b.slice(0, starts[-1]), starts[:-1], new[: starts[-1]]
+        names = a.take(pa.array(starts))
+        # each name before its own
+        ends = np.append(starts, len(a))
+        order = np.insert(np.arange(len(a)) + len(names), starts, np.arange(len(names)))
+        ids = pa.concat_arrays([names, b]).take(pa.array(order))
+        yield pa.RecordBatch.from_arrays([names, pa.ListArray.from_arrays(pa.array((ends + np.arange(len(ends))).astype(np.int32)), ids)], ["a", "ids"])
+
+
+def merged(table: pa.Table, most: int, depth: int) -> pa.Table:
+    """(a, head, ids, far, bs) of each a in rows (a, b, head, more, ids, far): the `most` nearest nodes of its own list (b null) and of its neighbours' (b), a step
+    further, and the neighbours of whose lists the rest (`more`) may hold nearer ones."""
+    table = table.combine_chunks()
+    col = lambda n: table.column(n).chunk(0)
+    a, ids = col("a").dictionary_encode(), col("ids")
+    names, row = a.dictionary, a.indices.to_numpy()
+    ends = np.cumsum(pc.list_value_length(ids).to_numpy())
+    flat = ids.flatten().dictionary_encode()
+    place = pc.sort_indices(flat.dictionary).to_numpy()
+    rank = np.empty(len(place), np.int64)
+    rank[place] = np.arange(len(place))
+    total, steps, theirs = len(place), depth + 1, col("b").is_valid().to_numpy(zero_copy_only=False)
+    node, owner = rank[flat.indices.to_numpy()], np.repeat(row.astype(np.int64), np.diff(ends, prepend=0))
+    far = col("far").flatten().to_numpy().astype(np.int64) + np.repeat(theirs, np.diff(ends, prepend=0))
+    by = np.sort((owner * total + node) * steps + far)  # of each node the least distance, then the nearest of each a
+    by = by[np.concatenate([[True], by[1:] // steps != by[:-1] // steps])]
+    by = np.sort((by // steps // total * steps + by % steps) * total + by // steps % total)
+    first = np.searchsorted(by, np.arange(len(names) + 1) * steps * total)
+    by = by[np.arange(len(by)) - np.repeat(first[:-1], np.diff(first)) < most]
+    first = np.searchsorted(by, np.arange(len(names) + 1) * steps * total)
+    # beyond the last of a full list nothing counts
+    bound = np.where(np.diff(first) >= most, by[first[1:] - 1], np.iinfo(np.int64).max)
+    asked = np.flatnonzero(col("more").to_numpy(zero_copy_only=False))
+    asked = asked[(owner[ends[asked] - 1] * steps + far[ends[asked] - 1]) * total + node[ends[asked] - 1] < bound[row[asked]]]
+    asked = asked[np.argsort(row[asked], kind="stable")]
+    heads = np.zeros(len(names), np.int32)
+    heads[row] = col("head").to_numpy()
+    listed = lambda at, values: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), values)
+    found = listed(first, flat.dictionary.take(pa.array(place[by % total])))
+    return pa.table({"a": names, "head": pa.array(heads), "ids": found, "far": listed(first, pa.array((by // total % steps).astype(np.int32))), "bs": listed(np.searchsorted(row[asked], np.arange(len(names) + 1)), col("b").take(pa.array(asked)))})
+
+
+def nearest_lists(adjacent: DataFrame, depth: int, limit: int, seeds: DataFrame | None = None) -> DataFrame:
+    """(a, ids, far): for each of the seeds (column a; all nodes without them) that has neighbours the `limit` + 1 nearest nodes within `depth` steps, itself
+    included, and how far they are, in order, from a table (a, b) of which nodes are next to which, repeats allowed.
 
     A node among the nearest of a node is also among the nearest of the neighbour that the way leads over, so a step merges the
-    neighbours' lists. Heads of these lists, a few nodes each, tell how far the last of the nearest can be; of the lists only what
-    isn't beyond that is moved. A node whose list is full of nodes within the steps so far takes no further step."""
-    most = limit + 1
-    further = [(F.col("x.distance") + 1).alias("distance"), F.col("x.node_id").alias("node_id")]  # outer explodes, as Spark guards others by making the arrays a second time
-
-    def merged(rows: DataFrame) -> DataFrame:
-        """(a, distance, node_id) to the nearest of each a. A window keeps no more than `most` rows a task and node before it shuffles."""
-        once = rows.groupBy("a", "node_id").agg(F.min("distance").alias("distance"))
-        w = Window.partitionBy("a").orderBy("distance", "node_id")
-        best = once.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
-        return best.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("distance", "node_id"))).alias("near"))
-
-    own = adjacent.select("a", F.lit(0).alias("distance"), F.col("a").alias("node_id")).distinct()
-    lists = stored(merged(adjacent.select("a", F.lit(1).alias("distance"), F.col("b").alias("node_id")).unionByName(own)).withColumn("full", F.size("near") >= most))
-    for _ in range(1, depth):
-        wanting = lists.where(~F.col("full"))
-        ways = stored(adjacent.join(wanting.select("a"), "a", "left_semi"))
-        theirs = lists.select(F.col("a").alias("b"), "near")
-        heads = ways.join(theirs, "b").select("a", F.explode_outer(F.slice("near", 1, HEAD)).alias("x")).select("a", *further)
-        known = wanting.select("a", F.explode("near").alias("x")).select("a", "x.*")
-        last = F.element_at("near", -1)
-        bound = merged(known.unionByName(heads)).select("a", F.when(F.size("near") >= most, F.struct((last["distance"] - 1).alias("distance"), last["node_id"].alias("node_id"))).alias("bound"))
-        bounded = stored(ways.join(bound, "a"))
-        within = bounded.join(theirs, "b").select("a", F.explode_outer(F.filter("near", lambda x: F.col("bound").isNull() | (x <= F.col("bound")))).alias("x")).where("x is not null").select("a", *further)
-        new = merged(known.unionByName(within)).withColumn("full", F.size("near") >= most)
-        lists = stored(lists.where("full").unionByName(new))
-    return lists
+    neighbours' lists: first their heads, a few nodes each, which tell how far the last of the nearest can be; then of those lists whose
+    head ends before it more, twice as much each time. A node whose list is full of nodes within the steps so far takes no further step, nor does one that no seed's later step can ask for."""
+    most, kind = limit + 1, adjacent.schema["a"].dataType.simpleString()
+    near = adjacent.where("a <> b").withColumn("n", F.dense_rank().over(Window.partitionBy("a").orderBy("b"))).where(F.col("n") <= limit)
+    lists = stored(near.select("a", "b").sortWithinPartitions("a", "b").mapInArrow(first_lists, f"a {kind}, ids array<{kind}>").select("a", "ids", F.concat(F.array(F.lit(0)), F.array_repeat(F.lit(1), F.size("ids") - 1)).alias("far"), (F.size("ids") >= most).alias("full")))
+    # up to which step a node takes part: seeds up to the last, what a seed with room reaches in a step up to the step before, and so on
+    due = (lists if seeds is None else seeds.distinct()).select("a", F.lit(depth).alias("due"))
+    for step in range(depth - 1, 1, -1) if seeds is not None else ():
+        over = lists.where(~F.col("full")).join(due.where(F.col("due") == step + 1), "a").select(F.explode("ids").alias("a"), F.lit(step).alias("due"))
+        due = stored(due.unionByName(over).groupBy("a").agg(F.max("due").alias("due")))
+    lists = stored(lists.join(due, "a", "left").withColumn("due", F.coalesce("due", F.lit(1))))
+    shape = f"a {kind}, head int, ids array<{kind}>, far array<int>, bs array<{kind}>"
+    for step in range(1, depth):
+        open_ = (~F.col("full")) & (F.col("due") > step)
+        wanting = lists.where(open_)
+        count = wanting.count()
+        if not count:
+            continue
+        blocks = -(-count * 4 * most // PLACES)
+
+        def merge(rows, blocks=blocks):
+            block = F.pmod(F.xxhash64("a"), F.lit(blocks)).alias("block")
+            return stored(rows.groupBy(block).applyInArrow(lambda t: merged(t, most, depth), shape))
+
+        around = F.size(F.filter("far", lambda x: x == 1))
+        # enough of each neighbour that together they fill the list about twice
+        wanting = wanting.withColumn("head", F.greatest(F.lit(HEAD), F.ceil(2 * (most - F.size("ids")) / around)).cast("int"))
+        theirs = lists.select(F.col("a").alias("b"), F.col("ids").alias("x"), F.col("far").alias("y"))
+        columns = lambda b, more: ["a", b.alias("b"), "head", more.alias("more"), "ids", "far"]
+        own = wanting.select(*columns(F.lit(None).cast(kind), F.lit(False)))
+        ways = wanting.select("a", "head", F.explode_outer(F.slice("ids", F.lit(2), around)).alias("b"))
+        # the first of a neighbour's list is itself, which is known
+        heads = ways.join(theirs, "b").withColumns({"ids": F.slice("x", F.lit(2), F.col("head")), "far": F.slice("y", F.lit(2), F.col("head"))}).select(*columns(F.col("b"), F.size("x") > F.col("head") + 1))
+        one = merge(own.unionByName(heads))
+        parts = []
+        while True:
+            parts.append(one.where(F.size("bs") == 0))
+            some = one.where(F.size("bs") > 0)
+            if some.isEmpty():
+                break
+            # as much again of the lists that end too early, of which there are fewer each time
+            at, twice = F.col("head") + 2, 2 * F.col("head")
+            rest = some.select("a", "head", F.explode_outer("bs").alias("b")).join(theirs, "b").withColumns({"ids": F.slice("x", at, F.col("head")), "far": F.slice("y", at, F.col("head")), "more": F.size("x") > twice + 1})
+            own = some.select(*columns(F.lit(None).cast(kind), F.lit(False)))
+            one = merge(own.unionByName(rest.select(*columns(F.col("b"), F.col("more")))).withColumn("head", twice))
+        one = parts[0]
+        for part in parts[1:]:
+            one = one.unionByName(part)
+        # nodes that took this step are due as before
+        new = one.select("a", "ids", "far", (F.size("ids") >= most).alias("full")).join(lists.where(open_).select("a", "due"), "a")
+        lists = stored(lists.where(~open_).unionByName(new)) if step + 1 < depth else lists.where(~open_).unionByName(new)
+    return lists.where(F.col("due") == depth).select("a", "ids", "far")
 
 
 def neighbours(edges: DataFrame, seeds: DataFrame, depth: int = 1, kinds: list[str] | None = None, limit: int = 100, known: DataFrame | None = None, legacy_precedence: bool = False) -> DataFrame:
@@ -156,11 +247,12 @@ def neighbours(edges: DataFrame, seeds: DataFrame, depth: int = 1, kinds: list[s
     node. A seed that has its `limit` of nodes takes no further step, as farther nodes would come after them. The neighbours of a
     hub are dealt over several keys. MANY seeds and more are answered from lists of the nearest of all nodes, as their
     frontiers would grow with seeds times edges."""
-    both = stored(adjacent(edges, kinds, known, legacy_precedence))
     if seeds.select("seed").distinct().count() >= MANY:
         asked = seeds.select(F.col("seed").alias("a")).where("seed is not null").distinct()
-        near = nearest_lists(both, depth, limit).join(asked, "a").select(F.col("a").alias("seed"), F.posexplode(F.filter("near", lambda x: x["distance"] > 0)).alias("n", "x"))
-        return near.where(F.col("n") < limit).select("seed", "x.node_id", "x.distance")
+        near = nearest_lists(adjacent(edges, kinds, known, legacy_precedence, once=False), depth, limit, asked)
+        rest = lambda c, name: F.slice(c, 2, limit).alias(name)  # noqa: E731  (the first is the seed)
+        return near.select(F.col("a").alias("seed"), rest("ids", "node_id"), rest("far", "distance")).select("seed", F.inline_outer(F.arrays_zip("node_id", "distance"))).where("node_id is not null")
+    both = stored(adjacent(edges, kinds, known, legacy_precedence))
     hubs = stored(both.groupBy("a").agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts")).where("parts > 1"))
     salted = both.join(hubs, "a", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
 

@@ -5,6 +5,7 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -305,6 +306,26 @@ def test_many_seeds_of_a_dense_graph(spark, monkeypatch):
     assert graph.neighbours(edges, seeds, 3, limit=20).count() == 10_000 and written(spark) - before < 20_000_000
 
 
+@pytest.mark.parametrize("size", [1, 3, 100])
+def test_first_lists_of_rows_cut_anywhere(size):
+    rng = random.Random(size)
+    rows = sorted((f"n{rng.randrange(9)}", f"m{rng.randrange(6)}") for _ in range(80))
+    table = pa.table({"a": [a for a, _ in rows], "b": [b for _, b in rows]})
+    got = [(r["a"], r["ids"]) for batch in graph.first_lists(iter(table.to_batches(max_chunksize=size))) for r in batch.to_pylist()]
+    assert got == [(n, [n, *sorted({b for a, b in rows if a == n})]) for n in sorted({a for a, _ in rows})]
+
+
+def test_lists_of_seeds_alone(spark, monkeypatch):
+    """Edges given more than once; what isn't asked for has no list."""
+    monkeypatch.setattr(graph, "HEAD", 1)
+    rng = random.Random(5)
+    edges = {(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(70)}
+    both = spark.createDataFrame([e for a, b in edges for e in ((a, b), (b, a), (a, b))], "a string, b string")
+    seeds = spark.createDataFrame([(f"n{i}",) for i in range(0, 60, 7)], "a string")
+    got = {r.a: [(d, n) for d, n in zip(r.far, r.ids) if d] for r in graph.nearest_lists(both, 3, 6, seeds).collect()}
+    assert got == {f"n{i}": want for i in range(0, 60, 7) if (want := reach(edges, f"n{i}", 3, 6))}
+
+
 def test_paths_of_a_forest_with_cycles(spark):
     rng = random.Random(2)
     parent = {i: rng.randrange(i) if rng.random() < 0.9 and i else None for i in range(300)}
