@@ -5,6 +5,7 @@ import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -247,3 +248,26 @@ def test_called_names(spark):
     df = spark.createDataFrame([(t,) for t in ["", "(", "f (g(", *texts]], "t string")
     for r in df.select("t", F.filter(T.called(F.col("t")), lambda x: x != "").alias("got")).collect():
         assert r["got"] == re.findall(r"\b([a-z_$][\w$]*)\s*\(", r["t"], re.A), r["t"]
+
+
+def test_batches_of_texts_are_bounded(spark):
+    """A Python worker holds a batch as objects many times its bytes: no more than a few texts of 100 KB come at once."""
+    before = spark.conf.get(search.BATCH_KEY, None)
+    spark.conf.unset(search.BATCH_KEY)
+    docs = spark.range(40).selectExpr("id doc_id", "repeat(concat('w', id, ' '), 30000) text").coalesce(1)
+    try:
+        tokens = search.tokens(docs, "doc_id", "text")
+        assert int(spark.conf.get(search.BATCH_KEY)) == search.BATCH_BYTES
+        sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+        assert max(r.n for r in sizes) < 40 and [r.dl for r in tokens.collect()] == [1] * 40
+        spark.conf.set(search.BATCH_KEY, "12345678")  # the session's own stays
+        search.tokens(docs, "doc_id", "text")
+        assert spark.conf.get(search.BATCH_KEY) == "12345678"
+    finally:
+        spark.conf.set(search.BATCH_KEY, before) if before else spark.conf.unset(search.BATCH_KEY)
+
+
+def test_terms_are_remembered_from_batch_to_batch():
+    T.TERMS.clear()
+    T.listed_terms(pa.array(["getToken x1"]))
+    assert T.TERMS["getToken"] == ("gettoken", "get", "token") and set(T.TERMS) >= {"getToken", "x1"}
