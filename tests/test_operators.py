@@ -4,6 +4,7 @@ import math
 import random
 import re
 import time
+from hashlib import sha256
 
 import pyarrow as pa
 import pytest
@@ -271,3 +272,16 @@ def test_terms_are_remembered_from_batch_to_batch():
     T.TERMS.clear()
     T.listed_terms(pa.array(["getToken x1"]))
     assert T.TERMS["getToken"] == ("gettoken", "get", "token") and set(T.TERMS) >= {"getToken", "x1"}
+
+
+def test_hashed_places_are_bytes():
+    """Eight bytes a feature, and the vector that they stand for."""
+    places = V.Places()
+    got = V.hashed(["ab", "cd"], places, 384)
+    want = [0.0] * 384
+    for feature, weight in (("ab", 1.0), ("cd", 1.0), ("ab cd", 0.5)):
+        h = sha256(feature.encode()).digest()
+        for i in range(4):
+            want[h[i] % 384] += weight if h[i + 4] % 2 == 0 else -weight
+    size = sum(x * x for x in want) ** 0.5
+    assert all(isinstance(v, bytes) and len(v) == 8 for v in places.values()) and max(abs(a - b / size) for a, b in zip(got, want)) < 1e-12
